@@ -6,8 +6,13 @@ from importlib import import_module
 
 #: query name: module that holds a function of that name and perhaps ORACLE_SQL
 NAMES = {
+    "op1_token_rollup": "rollup",
     "op2_binary_records": "token_records",
+    "op4_link_trust": "url_trust",
+    "op5_curriculum_mix": "mixing",
     "op7_best_fit_packing": "packing",
+    "op9_hypergeometric_shards": "sharding",
+    "op10_pivot_top_k": "topk",
 }
 
 
