@@ -8,6 +8,7 @@ from importlib import import_module
 NAMES = {
     "op1_token_rollup": "rollup",
     "op2_binary_records": "token_records",
+    "op3_ngram_ratio": "quality",
     "op4_link_trust": "url_trust",
     "op5_curriculum_mix": "mixing",
     "op7_best_fit_packing": "packing",
