@@ -11,6 +11,7 @@ NAMES = {
     "op3_ngram_ratio": "quality",
     "op4_link_trust": "url_trust",
     "op5_curriculum_mix": "mixing",
+    "op6_setsketch_near_dedup": "neardup",
     "op7_best_fit_packing": "packing",
     "op9_hypergeometric_shards": "sharding",
     "op10_pivot_top_k": "topk",
