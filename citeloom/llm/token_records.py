@@ -4,7 +4,8 @@ File format. A shard ``part-NNNNN.rec`` is a run of records, each
 
     length   8 bytes  little-endian, bytes of the payload
     check    4 bytes  masked CRC-32 of the length's 8 bytes
-    payload           8 bytes doc_id (signed; MISSING for null), then the ids, 4 bytes each
+    payload           8 bytes doc_id (signed; MISSING for null), 1 byte width, then the ids, each
+                      of width bytes, unsigned: 2 where every id of the vocabulary fits, else 4
     check    4 bytes  masked CRC-32 of the payload
 
 with masked(c) = ((c >> 15 | c << 17) + 0xA282EAD8) mod 2^32, so that a check over bytes that hold
@@ -67,6 +68,13 @@ def records(stream, at: int = 0) -> Iterator[tuple[int, bytes]]:
         at += struct.calcsize(_HEAD) + length + 4
 
 
+def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id and ids of a record's payload."""
+    doc, width = struct.unpack_from("<qB", payload)
+    ids = np.frombuffer(payload, f"<u{width}", offset=struct.calcsize("<qB")).astype(np.uint32)
+    return (None if doc == MISSING else doc), ids
+
+
 def _store(path: str):
     from pyarrow import fs
 
@@ -91,21 +99,23 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard
         store, root = _store(path)
         store.create_dir(root, recursive=True)
         name, own = f"{root}/part-{shard:05d}", f"{root}/.part-{shard:05d}-{context.taskAttemptId()}"
-        end = np.array([end_id], np.uint32).tobytes()
+        width = 2 if max(end_id + 1, coder.tokenizer.get_vocab_size()) <= 1 << 16 else 4
+        kind = np.dtype(f"<u{width}")
+        end = np.array([end_id], kind).tobytes()
         n_docs = n_tokens = at = 0
         with store.open_output_stream(f"{own}.rec") as rec, store.open_output_stream(f"{own}.idx") as idx:
             for batch in batches:
                 ids_of = batch.column(0).to_pylist()
                 for first, ids, total in coder.encode(batch.column(1)):
-                    raw, cut, out, entries = ids.tobytes(), (total * 4).tolist(), [], []
+                    raw, cut, out, entries = ids.astype(kind).tobytes(), (total * width).tolist(), [], []
                     for k in range(len(cut) - 1):
                         doc = ids_of[first + k]
                         doc = MISSING if doc is None else doc
-                        one = frame(struct.pack("<q", doc) + raw[cut[k] : cut[k + 1]] + end)
+                        one = frame(struct.pack("<qB", doc, width) + raw[cut[k] : cut[k + 1]] + end)
                         entries.append(struct.pack(_INDEX, at, len(one), doc, n_tokens))
                         out.append(one)
                         at += len(one)
-                        n_tokens += (cut[k + 1] - cut[k]) // 4 + 1
+                        n_tokens += (cut[k + 1] - cut[k]) // width + 1
                         n_docs += 1
                     rec.write(b"".join(out))
                     idx.write(b"".join(entries))
@@ -132,11 +142,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 with store.open_input_stream(f"{root}/part-{shard:05d}.rec", buffer_size=1 << 20) as rec:
                     rows, size = [], 0
                     for at, payload in records(rec):
-                        n = (len(payload) - 8) // 4
-                        doc = struct.unpack_from("<q", payload)[0]
-                        rows.append((None if doc == MISSING else doc, before, n, zlib.crc32(memoryview(payload)[8:]), shard, at, payload[8:]))
-                        before += n
-                        size += len(payload)
+                        doc, ids = parse(payload)
+                        rows.append((doc, before, len(ids), zlib.crc32(ids), shard, at, ids.tobytes()))
+                        before += len(ids)
+                        size += ids.nbytes
                         if size > 4 << 20:
                             yield _batch(rows)
                             rows, size = [], 0
@@ -158,13 +167,14 @@ def read_one(path: str, shard: int, number: int) -> tuple[int | None, list[int]]
     store, root = _store(path)
     with store.open_input_file(f"{root}/part-{shard:05d}.idx") as idx:
         idx.seek(number * struct.calcsize(_INDEX))
-        at, size, doc, _ = struct.unpack(_INDEX, idx.read(struct.calcsize(_INDEX)))
+        at, size, _, _ = struct.unpack(_INDEX, idx.read(struct.calcsize(_INDEX)))
     with store.open_input_file(f"{root}/part-{shard:05d}.rec") as rec:
         rec.seek(at)
         import io
 
         _, payload = next(records(io.BytesIO(rec.read(size)), at))
-    return (None if doc == MISSING else doc), np.frombuffer(payload[8:], np.uint32).tolist()
+    doc, ids = parse(payload)
+    return doc, ids.tolist()
 
 
 def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
