@@ -13,6 +13,7 @@ NAMES = {
     "op5_curriculum_mix": "mixing",
     "op6_setsketch_near_dedup": "neardup",
     "op7_best_fit_packing": "packing",
+    "op8_line_neighbourhood": "linededup",
     "op9_hypergeometric_shards": "sharding",
     "op10_pivot_top_k": "topk",
 }
