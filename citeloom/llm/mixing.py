@@ -24,7 +24,7 @@ no words at all every target is 0. An empty table gives no row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,6 +38,10 @@ ROWS_A_BUCKET = 10_000
 PARTS = 1_000_000_000  # positions are whole billionths of the training run
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def segments(knots: tuple[tuple[float, float], ...]) -> list[tuple[float, float, float, float, float]]:
     """(start time, length, weight at start and end, cumulative demand at start) of each segment, the integral scaled to 1."""
     if knots[0][0] != 0 or knots[-1][0] != 1 or any(v < 0 for _, v in knots):
@@ -85,11 +89,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return per.select("source", "turn", "n_docs", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
-    """docs: doc_id, text, source. Returns doc_id, size, source_size, target, taken, position_ppb, in order of position."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = pick(docs, doc_id="doc_id", text="text", source="source")
-    rows = materialize(rows.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("draw")), "sizes")
+def _decide(rows: DataFrame, weights: tuple[int, ...], max_repeats: int, rows_a_bucket: int) -> DataFrame:
+    """rows: doc_id, source, size and any others, stored. Adds the source's numbers, the words before each row, and what is taken."""
+    rows = rows.withColumn("draw", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     targets = materialize(source_targets(rows, weights, max_repeats), "targets")
     n = targets.agg(F.sum("n_docs")).first()[0] or 0
     digits = 2
@@ -103,25 +105,50 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     per = per.select(F.col("source").alias("s1"), F.col("bucket").alias("b1"), "base")
     rows = rows.join(per, (F.col("bucket") == F.col("b1")) & F.col("source").eqNullSafe(F.col("s1"))).drop("s1", "b1")
     targets = targets.withColumnRenamed("source", "s2")
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s2")))
-    return _take(rows, max_repeats, schedules)
-
-
-def _take(rows: DataFrame, max_repeats: int, schedules) -> DataFrame:
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     rows = rows.withColumn("before", (F.col("base") + F.col("own")).cast("long"))
     rows = rows.withColumn("goal", F.floor(F.col("target") + F.lit(0.5)).cast("long"))
     whole = F.least(F.lit(int(max_repeats)).cast("long"), F.expr("CASE WHEN source_size > 0 THEN goal DIV source_size ELSE 0 END"))
     rows = rows.withColumn("whole", whole)
     part = F.greatest(F.lit(0), F.least(F.col("goal") - F.col("whole") * F.col("source_size") - F.col("before"), F.col("size")))
-    rows = rows.withColumn("taken", (F.col("whole") * F.col("size") + part).cast("long"))
-    share = "(CAST(before AS DOUBLE) / CAST(goal AS DOUBLE))"
+    rows = rows.withColumn("part", part.cast("long"))
+    return rows.withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
+
+
+def position(first_word: str, schedules) -> Column:
+    """SQL for the training position, in whole billionths, of a word of the row's source in its order of consumption."""
+    share = f"(CAST({first_word} AS DOUBLE) / CAST(goal AS DOUBLE))"
     at = " ".join(f"WHEN {k} THEN {inverse_sql(share, knots)}" for k, knots in enumerate(schedules))
-    when = F.expr(f"CASE WHEN taken > 0 THEN CAST(floor(CAST('{PARTS}' AS DOUBLE) * (CASE turn % {len(schedules)} {at} END)) AS BIGINT) END")
-    rows = rows.select("doc_id", "size", "source_size", "target", "taken", when.alias("position_ppb"))
+    return F.expr(f"CASE WHEN taken > 0 THEN CAST(floor(CAST('{PARTS}' AS DOUBLE) * (CASE turn % {len(schedules)} {at} END)) AS BIGINT) END")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
     order = [F.col("position_ppb").asc_nulls_last(), F.col("doc_id").asc_nulls_first()]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
+    """docs: doc_id, text, source. Returns doc_id, size, source_size, target, taken, position_ppb (of the first copy), in order of position."""
+    rows = pick(docs, doc_id="doc_id", text="text", source="source")
+    rows = _decide(materialize(rows.select("doc_id", "source", _size().alias("size")), "sizes"), weights, max_repeats, rows_a_bucket)
+    return _in_order(rows.select("doc_id", "size", "source_size", "target", "taken", position("before", schedules).alias("position_ppb")))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for every time a document is taken, whole, in order of training position."""
+    names = docs.columns
+    flat = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id())
+    flat = materialize(flat, "documents")  # fixes the row numbers
+    named = flat.toDF(*names, "_row")
+    rows = pick(named, doc_id="doc_id", text="text", source="source", row="_row").select("row", "doc_id", "source", _size().alias("size"))
+    rows = _decide(materialize(rows, "sizes"), weights, max_repeats, rows_a_bucket)
+    copies = F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)
+    rows = rows.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    rows = rows.select("row", "doc_id", position("(copy * source_size + before)", schedules).alias("position_ppb"))
+    out = _in_order(flat.join(rows, flat["_row"] == rows["row"]))
+    return out.select(*(f"_c{i}" for i in range(len(names)))).toDF(*names)
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the standard weights."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -235,6 +235,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (doc_id, distinct); columns are kept."""
+    ids = materialize(ids.select(F.col("doc_id").alias("_gone")), "gone")
+    small = ids.count() <= SENT_IDS
+    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["_gone"], "left_anti")
+
+
 def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over 2-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2)
