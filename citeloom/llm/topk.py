@@ -2,9 +2,11 @@
 
 Distances from every vector to PIVOTS pivots are computed once. For a query q and a candidate x,
 max over pivots of |d(q,p) - d(x,p)| is a lower bound of d(q,x), so with
-<q,x> = (|q|^2 + |x|^2 - d(q,x)^2) / 2 it gives an upper bound of the score. Candidates are
-evaluated in the order of that bound, and evaluation stops when the bound falls below the k-th
-score found: no candidate left can enter, ties included. Bounds carry a margin for rounding.
+<q,x> = (|q|^2 + |x|^2 - d(q,x)^2) / 2 it gives an upper bound of the score. Candidates whose
+bound is below the k-th score found are out: they can't enter, ties included. The others are
+evaluated in the order of the bound, until it falls below the k-th score. Where the bounds leave
+most of a block of candidates, as with vectors that have no structure, the block is evaluated at
+once by a matrix product instead. Bounds carry a margin for rounding.
 
 Queries are taken in blocks of QUERY_BLOCK, each sent to the executors as one block of known size;
 all candidates stream past it in blocks of CANDIDATE_BLOCK, each with its own stopping. A task
@@ -32,8 +34,10 @@ from .common import materialize, pick
 
 PIVOTS = 32
 QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 8192
+CANDIDATE_BLOCK = 2048
+GROUP = 32  # queries whose bounds are held at once: GROUP x CANDIDATE_BLOCK numbers stay in a CPU's cache
 STEP = 256  # candidates a query evaluates between two looks at its bound
+DENSE = 0.1  # share of a block that may stay for evaluation in order of the bound
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -57,8 +61,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles while every partial sum is below 2^53, else in whole numbers."""
+    """Exact inner products: in floats or doubles while every partial sum fits their 24 or 53 bits, else in whole numbers."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most < 2**24:
+        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if most < 2**63:
@@ -79,35 +85,52 @@ class Searcher:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, k: int):
         self.ids, self.vectors, self.pivots, self.k = ids, vectors, pivots, k
-        self.table = _distances(vectors, pivots)
+        self.table = _distances(vectors, pivots).astype(np.float32)
         self.norm = (vectors.astype(np.float64) ** 2).sum(1)
         self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
         self.floor = np.full(len(ids), -np.inf)
         self.evaluated = 0
 
     def feed(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        table, norm = _distances(vectors, self.pivots), (vectors.astype(np.float64) ** 2).sum(1)
-        least = np.zeros((len(self.ids), len(ids)))
-        for p in range(self.table.shape[1]):
-            np.maximum(least, np.abs(self.table[:, p, None] - table[None, :, p]), out=least)
-        top = self.norm[:, None] + norm[None]
-        bound = (top - least * least) / 2 + 1e-6 * top + 1.0
-        for q in range(len(self.ids)):
-            possible = np.flatnonzero(bound[q] >= self.floor[q])
-            if not len(possible):
-                continue
-            order = possible[np.argsort(-bound[q, possible], kind="stable")]
-            for i in range(0, len(order), STEP):
-                part = order[i : i + STEP]
-                if bound[q, part[0]] < self.floor[q]:
-                    break
-                self._evaluate(q, ids[part], vectors[part])
-
-    def _evaluate(self, q: int, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.evaluated += len(ids)
-        score = _scores(self.vectors[q : q + 1], vectors)[0]
+        table, norm = np.ascontiguousarray(_distances(vectors, self.pivots).T.astype(np.float32)), (vectors.astype(np.float64) ** 2).sum(1)
+        least, own = (np.empty((GROUP, len(ids)), np.float32) for _ in range(2))
+        for g in range(0, len(self.ids), GROUP):
+            near = self.table[g : g + GROUP]
+            low, one = least[: len(near)], own[: len(near)]
+            low[:] = 0
+            for p in range(len(table)):
+                np.subtract(near[:, p, None], table[p], out=one)
+                np.abs(one, out=one)
+                np.maximum(low, one, out=low)
+            top = self.norm[g : g + GROUP, None] + norm
+            bound = (top - np.square(low, dtype=np.float64)) / 2 + 2e-6 * top + 1.0
+            possible = bound >= self.floor[g : g + GROUP, None]
+            share = possible.mean(axis=1)
+            dense = np.flatnonzero(share > DENSE)
+            if len(dense):
+                self.evaluated += len(dense) * len(ids)
+                score = _scores(self.vectors[g + dense], vectors)
+                good = score >= self.floor[g + dense, None]
+                for i in np.flatnonzero(good.any(axis=1)):
+                    self._enter(g + dense[i], ids[good[i]], score[i, good[i]])
+            for q in np.flatnonzero((share > 0) & (share <= DENSE)):
+                self._in_order(g + q, np.flatnonzero(possible[q]), bound[q], ids, vectors)
+
+    def _in_order(self, q: int, possible: np.ndarray, bound: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        order = possible[np.argsort(-bound[possible], kind="stable")]
+        for i in range(0, len(order), STEP):
+            part = order[i : i + STEP]
+            if bound[part[0]] < self.floor[q]:
+                break
+            self.evaluated += len(part)
+            self._enter(q, ids[part], _scores(self.vectors[q : q + 1], vectors[part])[0])
+
+    def _enter(self, q: int, ids: np.ndarray, score: np.ndarray) -> None:
         other = ids != self.ids[q]
         score, ids = np.concatenate([self.best[q][0], score[other]]), np.concatenate([self.best[q][1], ids[other]])
+        if len(score) > 4 * self.k:  # of many, only those that reach the k-th score need sorting
+            reach = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]
+            score, ids = score[reach], ids[reach]
         order = np.lexsort((ids, -score))[: self.k]
         self.best[q] = score[order], ids[order]
         if len(order) == self.k:
