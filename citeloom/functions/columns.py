@@ -23,8 +23,6 @@ DORMANT_BROWNS = ("#5B3A24", "#8A5F3E")
 ACTIVE_GREENS = ("#244F1C", "#D7F22A")
 ROOT_SIZES = (14.0, 18.0, 22.0, 26.0, 30.0)
 
-EVERYTHING = W.partitionBy()
-
 
 def trim_ws(c: Column) -> Column:
     """Strip white space of every kind, not only spaces."""
@@ -79,8 +77,9 @@ def close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b))
 
 
-def minmax(value: Column, over: WindowSpec = EVERYTHING) -> Column:
-    """Scale to 0..1 over a window; a constant becomes 1."""
+def minmax(value: Column, over: WindowSpec | None = None) -> Column:
+    """Scale to 0..1 over a window, all rows if none is given; a constant becomes 1."""
+    over = W.partitionBy() if over is None else over
     low, high = F.min(value).over(over), F.max(value).over(over)
     return F.when(value.isNull(), None).when(close(low, high), F.lit(1.0)).otherwise((value - low) / F.nullif(high - low, F.lit(0.0)))
 

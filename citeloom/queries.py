@@ -509,3 +509,6 @@ def cnm_subtopics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = heaviest.withColumn("subtopic", F.concat(F.lit("subtopic_"), F.row_number().over(W.orderBy(F.col("member_count").desc(), F.col("most").desc(), "cluster")).cast("string")))
     terms = text.top_terms(vectors.join(clusters, "doc").groupBy(F.col("cluster").alias("grp"), "term").agg(F.sum("w").alias("w")), 5)
     return ranked.join(terms.withColumnRenamed("grp", "cluster"), "cluster", "left").select("subtopic", "member_count", "representative", F.coalesce("top_terms", F.lit("")).alias("label"))
+
+
+from . import queries_scores  # noqa: E402, F401  registers the rest
