@@ -53,7 +53,7 @@ def topics(cells: DataFrame, rank: int = 4, iterations: int = 300, seed: int = 4
             raise ValueError(f"{len(docs)} documents; at most {MAX_DOCS} are factorised together")
         di, ti = {d: i for i, d in enumerate(docs)}, {t: i for i, t in enumerate(terms)}
         x = np.zeros((len(docs), len(terms), bins))
-        x[[di[d] for d in pdf["doc"]], [ti[t] for t in pdf["term"]], pdf["bin"]] = pdf["v"]
+        x[np.array([di[d] for d in pdf["doc"]]), np.array([ti[t] for t in pdf["term"]]), pdf["bin"].to_numpy()] = pdf["v"].to_numpy()
         by_doc, by_term, _ = factorize(x, rank, iterations, seed)
         share = by_doc / np.maximum(by_doc.sum(axis=1, keepdims=True), 1e-10)
         named = ["; ".join(terms[j] for j in np.argsort(-by_term[:, k], kind="stable")[:n_terms]) for k in range(rank)]
