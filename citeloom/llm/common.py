@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches sent to Python hold 8 MB at most, so long texts don't pile up in a worker; a lower setting stays."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    found = spark.conf.get(key, None)
+    if found is None or not found.isdigit() or not 0 < int(found) <= most:
+        spark.conf.set(key, str(most))
+
+
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Select columns by position, so extra columns whose names clash do no harm.
 
