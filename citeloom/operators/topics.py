@@ -22,8 +22,11 @@ def tensor(counts: DataFrame, docs: DataFrame, bins: int = 3, min_df: int = 2, m
     per = per.filter((F.col("df") >= min_df) & (F.col("df") <= bound))
     rows = counts.join(per, "term").withColumn("p", F.col("n") / F.col("g"))
     entropy = rows.groupBy("term").agg((-F.sum(F.col("p") * F.log("p")) / F.log(F.first("total").cast("double"))).alias("entropy"))
-    edges = entropy.agg(F.percentile("entropy", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))
-    binned = entropy.crossJoin(F.broadcast(edges)).select("term", F.size(F.filter("edges", lambda e: F.col("entropy") >= e)).alias("bin"))  # one row
+    if bins > 1:
+        edges = entropy.agg(F.percentile("entropy", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))
+        binned = entropy.crossJoin(F.broadcast(edges)).select("term", F.size(F.filter("edges", lambda e: F.col("entropy") >= e)).alias("bin"))  # one row
+    else:
+        binned = entropy.select("term", F.lit(0).alias("bin"))
     idf = F.log((1.0 + F.col("total")) / (1.0 + F.col("df"))) + 1.0
     return rows.join(binned, "term").select("doc", "term", "bin", (F.log1p("n") * idf).alias("v"))
 
