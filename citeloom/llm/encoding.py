@@ -9,6 +9,8 @@ may not hold (a special token's string, white space beyond ASCII) are encoded in
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from array import array
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ import pyarrow as pa
 from .bytewords import Block, blocks
 
 #: Memoised pieces a worker keeps (about 180 bytes each); further ones are encoded anew in each block.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 600_000
 _ALNUM, _PUNCT, _WS = (np.zeros(256, bool) for _ in range(3))
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _WS[[0x20, *range(0x09, 0x0E)]] = True
@@ -172,3 +174,15 @@ def encoder(path: str) -> Encoder:
     if path not in _kept:
         _kept[path] = Encoder(path)
     return _kept[path]
+
+
+def forget() -> None:
+    """Give up a worker's encoders and their memos, as it turns to other work."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc: what is freed stays with the process
+            pass

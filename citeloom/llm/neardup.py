@@ -12,12 +12,15 @@ registers of similar sets agree.
 3. Every bucket's members are compared with its hub, the member that shares most buckets with
    others: the document that copies were made from agrees with its copies more than they agree with
    each other. A pair goes on if the similarity that maximises the joint likelihood of its
-   registers (how many are greater, smaller and equal) is at least DOUBT, over five standard
+   registers (how many are greater, smaller and equal) is at least DOUBT, over four standard
    deviations below the bound; then the full sets decide. Each class tries its likeliest hub first,
    others only while it is not in the same component.
-4. In buckets whose members are still of several components, members outside the largest are
-   compared with all of the others. So a pair is passed over only if it is linked already, and no
-   bucket's pairs are listed all with all unless nothing in it belongs together.
+4. In buckets whose members are still of several components, members outside the largest one are
+   compared with all members of other components: in blocks of at most CHUNK by CHUNK, inside
+   tasks, each pair in its first common band only. First the sketches alone say which documents may
+   have a partner left; then blocks of those, with their texts, are verified, likeliest first, and
+   only links leave the task, one for each document and component. So a pair is passed over only if
+   its ends are linked already, and pairs are never listed.
 5. Links give components, labelled by the smallest doc_id.
 
 Rows of one hot set are combined before any exchange, hot buckets are joined with their hubs by
@@ -38,15 +41,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import encoding
 from .bytewords import Block, blocks, mix, windows
-from .common import components, materialize, pick
+from .common import bounded_batches, components, materialize, pick
 
 REGISTERS = 160
 BAND = 5
 BASE = 1.001
 RATE = 20.0
 LEVELS = (1 << 16) - 2
-DOUBT = 0.6
+DOUBT = 0.65
+CHUNK = 250
 PERCENT = 80
 #: Up to so many doc_ids (8 bytes each) are sent to all executors; more are joined by a shuffle.
 SENT_IDS = 1_000_000
@@ -105,6 +110,7 @@ def sketch(docs: DataFrame, shingle_words: int) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, key (digest of the set), regs; the last two null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding.forget()
         for batch in batches:
             for first, block in blocks(batch.column(1), lower=True):
                 sets = shingle_sets(block, shingle_words)
@@ -179,7 +185,7 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, shingle_words: int) -> DataFrame:
     """Verified links between classes (id, n_shingles, regs) that give the same components as all links do, as (id, label)."""
     spark = docs.sparkSession
-    members = classes.select("id", F.explode(_bands()).alias("bucket"))
+    members = classes.select("id", F.posexplode(_bands()).alias("band", "bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(members.join(full, "bucket"), "members")
     shared = members.groupBy("id").agg(F.sum("n").alias("shared"))
@@ -198,22 +204,112 @@ def links(docs: DataFrame, classes: DataFrame, shingle_words: int) -> DataFrame:
     found = materialize(verify(later, texts, shingle_words).unionByName(found), "links")
     labels = components(spark, found)
 
-    own = members.select("id", "bucket").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    held = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "label")).alias("top")).filter("kinds > 1")
-    mixed = materialize(own.join(mixed.select("bucket", F.col("top.label").alias("top")), "bucket"), "mixed")
-    minor = mixed.filter("label <> top").select("bucket", F.col("id").alias("a"), F.col("label").alias("la"))
-    other = mixed.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), (F.col("label") == F.col("top")).alias("major"))
-    rest = minor.join(other, "bucket").filter("la <> lb AND (major OR a < b)").select("a", "b").distinct()
-    rest = materialize(likely(rest, classes), "candidates")
-    known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = materialize(rest.select("a", "b").join(known, ["a", "b"], "left_anti"), "candidates")
-    missing = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id", "left_anti")
-    texts = texts.unionByName(texts_of(docs, missing).select(*texts.columns))
-    found = materialize(verify(rest, texts, shingle_words).unionByName(found), "links")
+    found = materialize(leftover_links(docs, members, classes, labels, shingle_words).unionByName(found), "links")
     return components(spark, found)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys in a sorted stream, whole whatever the batches."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        if not rest.num_rows:
+            continue
+        new = np.zeros(rest.num_rows - 1, bool)
+        for k in keys:
+            v = rest.column(k).to_numpy()
+            new |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield rest.slice(i, j - i)
+        rest = rest.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _open_pairs(group: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """In a block: for each minor row, the rows it may link to, likeliest first, with their estimates; rows as numbers."""
+    ids, labels, n = (group.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
+    minor, side, major = (group.column(c).to_numpy(zero_copy_only=False) for c in ("minor", "side", "major"))
+    regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    band = group.column("band")[0].as_py()
+    other = np.flatnonzero(side)
+    for i in np.flatnonzero(minor & ~side):
+        fits = (labels[other] != labels[i]) & (major[other] | (ids[i] < ids[other])) & (100 * np.minimum(n[i], n[other]) >= PERCENT * np.maximum(n[i], n[other]))
+        rows = other[fits]
+        if not len(rows):
+            continue
+        same = (regs[rows] == regs[i]).reshape(len(rows), -1, BAND).all(axis=2)
+        rows = rows[same.argmax(axis=1) == band]
+        if not len(rows):
+            continue
+        value = likely_similarity(np.broadcast_to(regs[i], (len(rows), REGISTERS)), regs[rows], np.full(len(rows), float(n[i])), n[rows].astype(float))
+        rows, value = rows[value >= DOUBT], value[value >= DOUBT]
+        if len(rows):
+            order = np.argsort(-value, kind="stable")
+            yield i, rows[order], value[order]
+
+
+def leftover_links(docs: DataFrame, members: DataFrame, classes: DataFrame, labels: DataFrame, shingle_words: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components by now; see step 4."""
+    own = members.select("id", "band", "bucket").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label"))
+    held = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).filter("kinds > 1")
+    mixed = mixed.select("bucket", "n", F.col("top.label").alias("top"), (F.col("n") - F.col("top.n")).alias("n_minor"))
+    mixed = own.join(mixed, "bucket").withColumn("major", F.col("label") == F.col("top"))
+    # two classes alone in a bucket are one pair
+    two = mixed.filter("n = 2").groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").distinct()
+    two = materialize(likely(two, classes), "pairs")
+    blocks_of = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    many = mixed.filter("n > 2").withColumn("left", blocks_of("n_minor")).withColumn("right", blocks_of("n"))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = many.filter("NOT major").select("bucket", "band", "id", "label", "major", place("left").alias("i"), every("right").alias("j"), F.lit(True).alias("minor"), F.lit(False).alias("side"))
+    other = many.select("bucket", "band", "id", "label", "major", every("left").alias("i"), place("right").alias("j"), F.lit(False).alias("minor"), F.lit(True).alias("side"))
+    keys = ["bucket", "i", "j"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.join(classes.select("id", "n_shingles", "regs"), "id").repartition(parts, *keys).sortWithinPartitions(*keys, "side", "id")
+
+    names = ["bucket", "band", "id", "label", "major", "i", "j", "minor", "side"]
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, *keys):
+            hit = np.zeros(group.num_rows, bool)
+            for i, rows, _ in _open_pairs(group):
+                hit[i] = True
+                hit[rows] = True
+            if hit.any():
+                yield from group.select(names).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    kinds = "bucket long, band int, id long, label long, major boolean, i int, j int, minor boolean, side boolean"
+    left = materialize(in_blocks(minor.unionByName(other)).mapInArrow(possible, kinds), "possible")
+    ids = left.select("id").unionByName(two.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    texts = materialize(texts_of(docs, ids), "texts")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, *keys):
+            sets = [s for _, block in blocks(group.column("text"), lower=True) for s in shingle_sets(block, shingle_words)]
+            ids, labels, out = group.column("id").to_pylist(), group.column("label").to_pylist(), []
+            for i, rows, _ in _open_pairs(group):
+                known = set()
+                for r in rows:
+                    if labels[r] in known:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[r], assume_unique=True))
+                    if 100 * both >= PERCENT * (len(sets[i]) + len(sets[r]) - both):
+                        known.add(labels[r])
+                        out.append((ids[i], ids[r]))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    found = in_blocks(left.join(texts.withColumnRenamed("doc_id", "id"), "id")).mapInArrow(settle, "a long, b long")
+    return found.unionByName(verify(two, texts, shingle_words)).distinct()
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that are not in one component yet."""
     la = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
@@ -224,6 +320,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     docs = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     sketches = materialize(sketch(docs, shingle_words), "sketches")
     sets = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
