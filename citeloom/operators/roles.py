@@ -89,18 +89,18 @@ def branches(communities: DataFrame, scores: DataFrame, trunk_rows: DataFrame, y
 
 
 def label(scores: DataFrame, trunk_rows: DataFrame, branch_rows: DataFrame | None = None) -> DataFrame:
-    """Adds ToS to scores: root before trunk before leaf before branch_N, else empty."""
+    """Adds role to scores: root before trunk before leaf before branch_N, else empty."""
     out = scores.join(trunk_rows.select("id", "trunk"), "id", "left")
     kind = F.when(F.col("root") > 0, "root").when(F.col("trunk").isNotNull(), "trunk").when(F.col("leaf") > 0, "leaf")
     if branch_rows is not None:
         out = out.join(branch_rows.select("id", "branch"), "id", "left")
         kind = kind.when(F.col("branch").isNotNull(), F.concat(F.lit("branch_"), F.col("branch").cast("string")))
-    return out.withColumn("ToS", kind.otherwise("")).drop("trunk", "branch")
+    return out.withColumn("role", kind.otherwise("")).drop("trunk", "branch")
 
 
 def role_summary(labels: DataFrame) -> DataFrame:
     """How many nodes carry each label; none counts as unclassified."""
-    name = F.coalesce(F.nullif(F.trim("ToS"), F.lit("")), F.lit("unclassified"))
+    name = F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.lit("unclassified"))
     return labels.groupBy(name.alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 

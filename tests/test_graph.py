@@ -59,7 +59,7 @@ def test_diamond_path_counts_and_sap(spark):
     assert sap["r"] == 3 * 4 + 1 * 9
     trunk = roles.trunk(scored)
     assert [r.id for r in trunk.collect()] == ["c", "b", "a"]
-    labels = {r.id: r.ToS for r in roles.label(scored, trunk).collect()}
+    labels = {r.id: r.role for r in roles.label(scored, trunk).collect()}
     assert labels == {"r": "root", "a": "trunk", "b": "trunk", "c": "trunk", "l": "leaf", "x": ""}
 
 

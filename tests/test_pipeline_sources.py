@@ -25,13 +25,13 @@ def test_all_stages_and_exports(spark, tmp_path):
     cites, arts = corpus(spark)
     settings = pipeline.Settings(2020, max_roots=3, max_leaves=4, max_trunk=4, max_branch_size=5, recent_years=19)
     t = pipeline.run(spark, cites, arts, settings, tmp_path / "out")
-    kinds = {r.ToS for r in t["labels"].select("ToS").distinct().collect()}
+    kinds = {r.role for r in t["labels"].select("role").distinct().collect()}
     assert {"root", "trunk", "leaf"} <= kinds
     assert "new" in {r.id for r in t["fruits"].collect()}
     assert (tmp_path / "out" / "index.html").read_text().startswith("<!DOCTYPE html>")
     nodes, edges = citations.gexf(spark, str(tmp_path / "out" / "network.gexf"))
     assert nodes.count() == t["labels"].count() and edges.count() == t["edges"].count()
-    assert {r.attributes["ToS"] for r in nodes.collect()} == kinds
+    assert {r.attributes["role"] for r in nodes.collect()} == kinds
 
 
 def test_dry_run_and_selection(spark, capsys):
