@@ -8,12 +8,13 @@ Whether that earlier line is itself dropped doesn't matter, so the answer depend
 work.
 
 Method: a deletion-neighbourhood join. Equal lines become one class, stood for by its earliest.
-Two lines within one edit share the hash of their first or of their last half (of one of two
-lengths), so only classes that share such a hash emit their neighbourhood: the line itself and all
+Two lines within one edit share the hash of their first or of their last q code points, for a q of
+about half their length, so only classes that share such a hash emit their neighbourhood: the line itself and all
 variants with one code point deleted, as hashed keys. Lines that differ by a substitution share a
 variant with the same place deleted; a line that lacks a code point of another equals a variant of
-it. Per key only the earliest line is kept, by aggregation before and after the exchange, so a hot
-key costs a row for each task and no pairs are listed. The pairs found are verified on the texts.
+it. The keys are exchanged once, sorted by key and place, and read as a stream: of a key only the
+earliest line meets the others, so no pairs of a key's lines are listed, and a key of any size
+takes no memory beyond its rows. The pairs found are verified on the texts.
 
 Lines are told apart by a 64-bit hash and their length in code points. Null text is one empty
 line. Null doc_ids come after all others. Repeated rows get the same answer: neither is earlier
@@ -26,17 +27,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import encoding
 from .bytewords import Block, _table, blocks, mix
-from .common import materialize, pick
+from .common import bounded_batches, materialize, pick
 
 MIN_CHARS = 20
 MAX_EDITS = 1
-#: Up to so many dropped lines (12 bytes each) are sent to all executors; more are joined by a shuffle.
-SENT_LINES = 2_000_000
-_PLACE = "struct<late:boolean,doc_id:bigint,line_no:int>"
+#: Up to so many rows of at most 40 bytes are sent to all executors; more are joined by a shuffle.
+SENT_ROWS = 1_000_000
+#: A line's place, doc_id * LINES + line number, is one number that aggregates in place; null doc_ids come last.
+PLACE = "decimal(38,0)"
+LINES = 1 << 31
+#: Half lengths of lines of LONG code points or more are multiples of GRID, so that neighbouring lengths mostly share one.
+GRID = 4
+LONG = 64
+_KEYS = ("k0", "k1", "k2", "k3")
 
 
 class Lines:
@@ -63,12 +71,18 @@ class Lines:
         ends = j >= self.n[k]
         return np.where(ends, self.b[k], self.points[np.minimum(self.first[k] + j, len(self.points) - 1)])
 
-    def halves(self, k: np.ndarray) -> list[np.ndarray]:
-        """Hashes of the first and of the last half of lines k, for both lengths a half can have."""
+    def halves(self, k: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Hashes of the first and last q code points of lines k, as (hash, whether there is one).
+
+        q is half the length, rounded down (to a multiple of GRID from LONG on); where a line one shorter has another q,
+        there are hashes for that one too. So lines within one edit have a q in common, and the edit
+        leaves the first or the last q code points of both alone.
+        """
         out = []
-        for size in (self.n[k] // 2, (self.n[k] + 1) // 2):
-            out.append(mix(self.block.hashes(self.a[k], self.at(k, size)) ^ np.uint64(0x5851F42D4C957F2D)))
-            out.append(self.block.hashes(self.at(k, self.n[k] - size), self.b[k]))
+        q, shorter = (np.where(x < LONG, x // 2, x // 2 // GRID * GRID) for x in (self.n[k], self.n[k] - 1))
+        for size, there in ((q, np.ones(len(k), bool)), (shorter, shorter != q)):
+            out.append((mix(self.block.hashes(self.a[k], self.at(k, size)) ^ np.uint64(0x5851F42D4C957F2D)), there))
+            out.append((self.block.hashes(self.at(k, self.n[k] - size), self.b[k]), there))
         return out
 
 
@@ -105,41 +119,56 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """docs: doc_id, text. One row per line that takes part: doc_id, line_no, h, n, halves."""
+    """docs: doc_id, text. One row per line that takes part: place, h, n, k0 to k3 (hashes of halves, null if none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding.forget()
         for batch in batches:
             for first, block in blocks(batch.column(1)):
                 lines = Lines(block)
                 k = np.flatnonzero(lines.n >= min_chars)
-                halves = np.stack(lines.halves(k), axis=1).reshape(-1)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * 4), _signed(halves))
+                halves = [pa.array(x.view(np.int64), mask=~there) for x, there in lines.halves(k)]
                 ids = batch.column(0).take(pa.array(first + lines.which[k]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[k].astype(np.int32)), _signed(lines.h[k]), pa.array(lines.n[k].astype(np.int32)), listed], ["doc_id", "line_no", "h", "n", "halves"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[k].astype(np.int32)), _signed(lines.h[k]), pa.array(lines.n[k].astype(np.int32)), *halves], ["doc_id", "line_no", "h", "n", *_KEYS])
+
+    rows = docs.mapInArrow(run, "doc_id long, line_no int, h long, n int, k0 long, k1 long, k2 long, k3 long")
+    return rows.select(_place("doc_id", "line_no").alias("place"), "h", "n", *_KEYS)
+
+
+def _place(doc_id: str, line_no: str) -> Column:
+    doc = F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
+    return (doc * F.lit(LINES).cast("decimal(11,0)") + F.col(line_no)).cast(PLACE)
 
-    return docs.mapInArrow(run, "doc_id long, line_no int, h long, n int, halves array<long>")
 
+def _doc_and_line(rows: DataFrame, *others: str) -> DataFrame:
+    """doc_id and line_no of a place."""
+    line = F.pmod("place", F.lit(LINES).cast(PLACE))
+    doc = ((F.col("place") - line) / F.lit(LINES).cast("decimal(11,0)")).cast("decimal(20,0)")
+    return rows.select(F.when(doc < F.lit(str(2**63)).cast("decimal(20,0)"), doc).cast("long").alias("doc_id"), line.cast("int").alias("line_no"), *others)
 
-def _place():
-    return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df, stored, as a join's small side where it is small."""
+    df = materialize(df, "side")
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
 def _by_document(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs with the lines of rows (doc_id, line_no, ...) that belong to each, as array ``of_doc``; null where there is none."""
     rows = materialize(rows.select("doc_id", F.struct(*(c for c in rows.columns if c != "doc_id")).alias("line")), "rows")
     listed = rows.groupBy("doc_id").agg(F.collect_list("line").alias("of_doc")).withColumnRenamed("doc_id", "_of")
-    listed = F.broadcast(listed) if rows.count() <= SENT_LINES else listed
+    listed = F.broadcast(listed) if rows.count() <= SENT_ROWS else listed
     return docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def close_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """For classes (h, n, place, halves) that have an earlier class within one edit: h, n, near (the earliest such place)."""
-    keys = classes.select("h", "n", "place", F.explode(F.array_distinct("halves")).alias("half"))
+    """For classes (h, n, place, k0 to k3) that have an earlier class within one edit: h, n, near (the earliest such place)."""
+    keys = classes.select("h", "n", F.explode(F.array(*_KEYS)).alias("half")).filter("half IS NOT NULL")
     shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
-    suspects = keys.join(shared, "half").select("h", "n", "place").distinct()
+    suspects = keys.join(_sent(shared), "half").select("h", "n").distinct()
+    suspects = classes.select("h", "n", "place").join(_sent(suspects), ["h", "n"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("late", pa.bool_()), ("doc_id", pa.int64()), ("line_no", pa.int32())])
         for batch in batches:
             wanted = batch.column(2).to_pylist()
             for first, block in blocks(batch.column(1)):
@@ -151,54 +180,92 @@ def close_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
                         if k < edges[t + 1] and int(lines.h[k].view(np.int64)) == x["h"] and lines.n[k] == x["n"]:
                             out.append((x["h"], x["n"], block.data[lines.a[k] : lines.b[k]].tobytes().decode(), x["place"]))
                 h, n, text, place = zip(*out, strict=True) if out else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(text, pa.string()), pa.array(place, kind)], ["h", "n", "line", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(text, pa.string()), pa.array(place, pa.decimal128(38, 0))], ["h", "n", "line", "place"])
 
-    asked = suspects.select(F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no"), "h", "n", "place")
-    texts = _by_document(docs, asked).filter("of_doc IS NOT NULL").select("doc_id", "text", "of_doc")
-    texts = materialize(texts.mapInArrow(fetch, f"h long, n int, line string, place {_PLACE}").dropDuplicates(["h", "n"]), "lines")
+    texts = _by_document(docs, _doc_and_line(suspects, "h", "n", "place")).filter("of_doc IS NOT NULL").select("doc_id", "text", "of_doc")
+    texts = materialize(texts.mapInArrow(fetch, f"h long, n int, line string, place {PLACE}").dropDuplicates(["h", "n"]), "lines")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, block in blocks(batch.column(2)):
                 key, cut, of = variants(block)
                 rows = pa.array(first + of)
-                yield pa.RecordBatch.from_arrays([_signed(key), pa.array(cut.astype(np.int32)), *(batch.column(i).take(rows) for i in (0, 1, 3))], ["v", "cut", "h", "n", "place"])
+                yield pa.RecordBatch.from_arrays([_signed(key), pa.array(cut.astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], ["v", "cut", "doc_id", "line_no"])
 
-    rows = materialize(texts.mapInArrow(emit, f"v long, cut int, h long, n int, place {_PLACE}"), "variants")
-    one = F.struct("place", "h", "n")
-    by_cut = rows.filter("cut >= 0").groupBy("v", "cut").agg(F.min(one).alias("near"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    by_key = rows.groupBy("v").agg(F.min(F.when(F.col("cut") < 0, one)).alias("whole"), F.min(F.when(F.col("cut") >= 0, one)).alias("less")).filter("whole IS NOT NULL AND less IS NOT NULL")
-    found = rows.join(by_cut, ["v", "cut"]).select("h", "n", "place", "near")
-    other = rows.join(by_key, "v").select("h", "n", "place", F.when(F.col("cut") < 0, F.col("less")).otherwise(F.col("whole")).alias("near"))
-    pairs = found.unionByName(other).filter("near.place < place").select("h", "n", F.col("near.h").alias("h2"), F.col("near.n").alias("n2"), F.col("near.place").alias("near")).distinct()
+    order = ["v", "cut", F.col("doc_id").asc_nulls_last(), "line_no"]
+    rows = _doc_and_line(texts, "line").mapInArrow(emit, "v long, cut int, doc_id long, line_no int")
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v").sortWithinPartitions(*order)
+    pairs = rows.mapInArrow(_neighbours, "doc_id long, line_no int, near_doc long, near_line int").distinct()
+    pairs = materialize(pairs.select(_place("doc_id", "line_no").alias("place"), _place("near_doc", "near_line").alias("near")), "pairs")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = [within_one_edit(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["h", "n", "near"]).filter(pa.array(same, pa.bool_()))
 
-    x = texts.select("h", "n", F.col("line").alias("x"))
-    y = texts.select(F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("line").alias("y"))
-    told = pairs.join(x, ["h", "n"]).join(y, ["h2", "n2"]).select("h", "n", "near", "x", "y").mapInArrow(check, f"h long, n int, near {_PLACE}")
+    x = texts.select("place", "h", "n", F.col("line").alias("x"))
+    y = texts.select(F.col("place").alias("near"), F.col("line").alias("y"))
+    told = pairs.join(x, "place").join(y, "near").select("h", "n", "near", "x", "y").mapInArrow(check, f"h long, n int, near {PLACE}")
     return materialize(told.groupBy("h", "n").agg(F.min("near").alias("near")), "near")
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (v, cut, doc_id, line_no), sorted so: each line with the earliest line before it that shares its key and place
+    deleted, and whole lines with the variants equal to them, the earlier of both first."""
+    rest: pa.Table | None = None
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        v, cut, line = (table.column(c).to_numpy() for c in ("v", "cut", "line_no"))
+        doc = table.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()
+        n = len(v)
+        key = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        run = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (cut[1:] != cut[:-1])))
+        head = np.repeat(run, np.diff(np.append(run, n)))
+        of_key = np.repeat(key, np.diff(np.append(key, n)))
+        own = np.flatnonzero((head != np.arange(n)) & (cut >= 0))
+        left, right = [own], [head[own]]
+        whole = np.flatnonzero((cut[of_key] < 0) & (cut >= 0))  # variants equal to a whole line
+        first = of_key[whole]
+        before = (doc[first] < doc[whole]) | (doc[first] == doc[whole]) & (line[first] < line[whole])
+        left += [np.where(before, whole, first)]
+        right += [np.where(before, first, whole)]
+        a, b = (pa.array(np.concatenate(x)) for x in (left, right))
+        ids, numbers = table.column("doc_id"), table.column("line_no")
+        cols = [ids.take(a), numbers.take(a), ids.take(b), numbers.take(b)]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in cols], ["doc_id", "line_no", "near_doc", "near_line"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        if not rest.num_rows:
+            continue
+        v = rest.column("v").to_numpy()
+        last = int(np.searchsorted(v, v[-1]))
+        if last:
+            yield pairs(rest.slice(0, last))
+            rest = rest.slice(last)
+    if rest is not None and rest.num_rows:
+        yield pairs(rest)
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
     """docs: doc_id, text. The lines to drop: doc_id, line_no, h (a line counts as meant only if its hash is h)."""
     if max_edits not in (0, 1):
         raise ValueError(f"max_edits is {max_edits}; 0 and 1 are supported")
     lines = materialize(line_table(docs, min_chars), "lines")
-    classes = lines.groupBy("h", "n").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("c"), F.first("halves").alias("halves"))
+    classes = lines.groupBy("h", "n").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("c"), *(F.max(k).alias(k) for k in _KEYS))
     classes = materialize(classes, "classes")
     near = close_lines(docs, classes) if max_edits else None
     known = classes.select("h", "n", "place", "c")
-    known = known.join(near, ["h", "n"], "left") if near is not None else known.withColumn("near", F.lit(None).cast(_PLACE))
-    known = materialize(known.filter("c > 1 OR near IS NOT NULL").select("h", "n", F.least("place", F.coalesce("near", "place")).alias("earliest")), "earliest")
-    return lines.join(known, ["h", "n"]).filter(F.col("earliest") < _place()).select("doc_id", "line_no", "h")
+    known = known.join(_sent(near), ["h", "n"], "left") if near is not None else known.withColumn("near", F.lit(None).cast(PLACE))
+    known = known.filter("c > 1 OR near IS NOT NULL").select("h", "n", F.least("place", F.coalesce("near", "place")).alias("earliest"))
+    gone = lines.select("place", "h", "n").join(_sent(known), ["h", "n"]).filter("earliest < place")
+    return _doc_and_line(gone, "h")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
     """docs: doc_id, text and any columns, which are kept. Text loses its dropped lines; adds n_lines and n_dropped."""
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     low = [x.lower() for x in names]
     at = [names.index(x) if x in names else low.index(x) for x in ("doc_id", "text")]
