@@ -61,3 +61,15 @@ def optional(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
     if path and Path(path).exists():
         return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
+
+
+def article_source(spark: SparkSession, path: str, template: str | None = None, sheet: str = "wos_scopus") -> DataFrame:
+    """A user's spreadsheet, if it is there and can be read, in place of the article file."""
+    if template and Path(template).exists():
+        import pandas as pd
+
+        try:
+            return spark.createDataFrame(pd.read_excel(template, sheet_name=sheet, dtype=str))
+        except ImportError as missing:
+            raise RuntimeError("reading spreadsheets needs a package that is not installed; save the sheet as CSV") from missing
+    return read_csv(spark, path)

@@ -100,3 +100,19 @@ def test_streams(spark, tmp_path):
     out = stream.velocity(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev"))).writeStream.format("memory").queryName("velocity").outputMode("append").trigger(availableNow=True).start()
     out.awaitTermination(60)
     assert [(r.dst, r.citations) for r in spark.sql("SELECT * FROM velocity").collect()] == [("x", 1)]
+
+
+def test_drawings(spark, tmp_path):
+    from citeloom.sources import drawings
+
+    rows = [(f"N{i}, 200{i}", f"c{i % 2}", 0.1 * i, 2000 + i, float(i), 14.0, "#C4AE97", "core" if i < 2 else "peripheral", 20.0, 8.6, "#7D932D", 22.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "id string, cluster string, anchor_score double, year int, sap double, size double, color string, branch_member_role string, leaf_length double, leaf_width double, leaf_color string, radius double")
+    df = df.withColumn("fruit_score", F.col("anchor_score")).withColumn("grp", F.col("cluster"))
+    assert drawings.roots(df, labels=True).count("<circle") == 5
+    assert drawings.trunk(df, ["c1"]).count("<circle") == 2
+    assert {k: v.count("<circle") for k, v in drawings.branches(df).items()} == {"c0": 3, "c1": 2}
+    assert drawings.leaves(df, exclude=["N1, 2001"]).count("<path") == 4
+    assert drawings.canopy(df, "M 0 0 H 200 V 200 H 0 Z").count("<path") == 5
+    assert drawings.fruits(df.limit(3)).count("<circle") == 3 and drawings.fruits(df).count("<circle") == 5
+    assert "root" in drawings.legend([("root", "#000")])
+    assert not drawings.copy_if_exists(tmp_path / "no", tmp_path / "x") and drawings.copy_if_exists(__file__, tmp_path / "a" / "b.py")
