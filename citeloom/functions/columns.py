@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -77,11 +77,26 @@ def close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b))
 
 
+def _between(value: Column, low: Column, high: Column) -> Column:
+    return F.when(value.isNull(), None).when(close(low, high), F.lit(1.0)).otherwise((value - low) / F.nullif(high - low, F.lit(0.0)))
+
+
 def minmax(value: Column, over: WindowSpec | None = None) -> Column:
-    """Scale to 0..1 over a window, all rows if none is given; a constant becomes 1."""
+    """Scale to 0..1 over a window; a constant becomes 1. Without a window all rows meet in one task: for role tables only."""
     over = W.partitionBy() if over is None else over
-    low, high = F.min(value).over(over), F.max(value).over(over)
-    return F.when(value.isNull(), None).when(close(low, high), F.lit(1.0)).otherwise((value - low) / F.nullif(high - low, F.lit(0.0)))
+    return _between(value, F.min(value).over(over), F.max(value).over(over))
+
+
+def scaled(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds each value scaled to 0..1 over all rows; a constant becomes 1.
+
+    The bounds are aggregated where the rows are and sent back as one row, so no row moves.
+    """
+    held = df.withColumns({f"_value_{k}": v for k, v in values.items()})
+    bounds = held.agg(*(f(f"_value_{k}").alias(f"_{n}_{k}") for k in values for n, f in (("low", F.min), ("high", F.max))))
+    out = held.crossJoin(F.broadcast(bounds))  # one row
+    out = out.withColumns({k: _between(F.col(f"_value_{k}"), F.col(f"_low_{k}"), F.col(f"_high_{k}")) for k in values})
+    return out.drop(*(f"_{n}_{k}" for k in values for n in ("value", "low", "high")))
 
 
 def age(year: Column, current_year: int) -> Column:

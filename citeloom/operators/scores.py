@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import ACTIVE_GREENS, BROWNS, DORMANT_BROWNS, FRUIT_REDS, LEAF_GREENS, ROOT_SIZES, age, contains_any, joined, minmax, mixed_color, size_level, trim_ws
+from ..functions.columns import ACTIVE_GREENS, BROWNS, DORMANT_BROWNS, FRUIT_REDS, LEAF_GREENS, ROOT_SIZES, age, contains_any, joined, minmax, mixed_color, scaled, size_level, trim_ws
 
 # Phrases that mark sources and topics of branch members.
 METHOD_TERMS = ("bibliometric", "checklist", "equation", "method", "methodological", "methodology", "modeling", "modelling", "qualitative", "reporting", "research method", "structural equation")
@@ -21,44 +21,46 @@ NON_SCHOLARLY_TERMS = ("guardian", "newspaper")
 def velocity_color(df: DataFrame, current_year: int, scale: tuple[str, str] = BROWNS, citations: str = "citations_received", year: str = "year") -> DataFrame:
     """Adds citation_velocity, citation_velocity_score, color and its channels."""
     out = df.withColumn("citation_velocity", F.col(citations) / age(F.col(year), current_year))
-    out = out.withColumn("citation_velocity_score", minmax(F.log1p("citation_velocity"))).withColumn("color", mixed_color(F.col("citation_velocity_score"), scale))
+    out = scaled(out, citation_velocity_score=F.log1p("citation_velocity")).withColumn("color", mixed_color(F.col("citation_velocity_score"), scale))
     return out.withColumns({f"color_{c}": F.conv(F.substring("color", i, 2), 16, 10).cast("int") for c, i in (("r", 2), ("g", 4), ("b", 6))})
 
 
 def root_sizes(df: DataFrame, group: str, local: float = 0.7, overall: float = 0.3, sizes: Sequence[float] = ROOT_SIZES) -> DataFrame:
     """Adds final_root_size_score, visual_size_level and size: discrete classes of a score mixed from cluster and whole."""
     log = F.log1p("citations_received")
-    score = local * minmax(log, W.partitionBy(group)) + overall * minmax(log)
-    out = df.withColumn("final_root_size_score", score)
-    out = out.withColumn("_c", 0.5 * F.col("final_root_size_score") + 0.5 * F.sqrt("final_root_size_score"))
-    out = out.withColumn("visual_size_level", size_level(minmax(F.col("_c"))))
-    return out.withColumn("size", F.element_at(F.array(*map(F.lit, sizes)), F.col("visual_size_level"))).drop("_c")
+    out = scaled(df, _overall=log)
+    out = out.withColumn("final_root_size_score", local * minmax(log, W.partitionBy(group)) + overall * F.col("_overall"))
+    out = scaled(out, _level=0.5 * F.col("final_root_size_score") + 0.5 * F.sqrt("final_root_size_score"))
+    out = out.withColumn("visual_size_level", size_level(F.col("_level")))
+    return out.withColumn("size", F.element_at(F.array(*map(F.lit, sizes)), F.col("visual_size_level"))).drop("_overall", "_level")
 
 
 def continuous_sizes(df: DataFrame, low: float = 6.0, high: float = 25.0) -> DataFrame:
     """Adds citation_size_score and size, by the square root of the score (trunk and branch nodes)."""
-    out = df.withColumn("citation_size_score", minmax(F.log1p("citations_received")))
+    out = scaled(df, citation_size_score=F.log1p("citations_received"))
     return out.withColumn("size", low + F.sqrt("citation_size_score") * (high - low))
 
 
 def leaf_metrics(df: DataFrame, low: float = 19.0, high: float = 34.0) -> DataFrame:
     """Adds year_score, leaf_length, leaf_width and leaf_color. df: year, in_degree. A missing year counts as the oldest."""
-    year = F.coalesce(F.col("year"), F.min("year").over(W.partitionBy())).cast("double")
-    out = df.withColumn("year_score", minmax(year)).withColumn("citation_size_score", minmax(F.log1p(F.col("in_degree").cast("double"))))
+    oldest = df.agg(F.min("year").alias("_oldest"))
+    out = df.crossJoin(F.broadcast(oldest))  # one row
+    out = scaled(out, year_score=F.coalesce("year", "_oldest").cast("double"), citation_size_score=F.log1p(F.col("in_degree").cast("double"))).drop("_oldest")
     out = out.withColumn("leaf_length", low + F.col("citation_size_score") * (high - low)).withColumn("leaf_width", F.col("leaf_length") * 0.43)
     return out.withColumn("leaf_color", mixed_color(F.col("year_score"), LEAF_GREENS))
 
 
 def temporal_leaves(df: DataFrame, recent_years: int = 5) -> DataFrame:
     """Adds leaf_age, leaf_temporal_class and leaf_color by age from the newest year of all."""
-    newest, oldest = F.max("year").over(W.partitionBy()), F.min("year").over(W.partitionBy())
-    out = df.withColumn("leaf_age", newest - F.col("year")).withColumn("_span", F.greatest(F.lit(1.0), (newest - recent_years - oldest).cast("double"))).withColumn("_old", oldest)
+    bounds = df.agg(F.max("year").alias("_new"), F.min("year").alias("_old"))
+    out = df.crossJoin(F.broadcast(bounds)).withColumn("leaf_age", F.col("_new") - F.col("year"))  # one row
+    out = out.withColumn("_span", F.greatest(F.lit(1.0), (F.col("_new") - recent_years - F.col("_old")).cast("double")))
     recent = F.col("leaf_age") <= recent_years
     kind = F.when(F.col("year").isNull(), "unknown_year_leaf").when(F.col("leaf_age") == 0, "fresh_frontier_leaf").when(recent, "recent_dark_green_leaf").otherwise("dormant_leaf")
     fresh = mixed_color(1.0 - F.col("leaf_age") / float(recent_years), ACTIVE_GREENS)
     old = mixed_color((F.col("year") - F.col("_old")).cast("double") / F.col("_span"), DORMANT_BROWNS)
     color = F.when(F.col("year").isNull(), DORMANT_BROWNS[0]).when(recent, fresh).otherwise(old)
-    return out.withColumn("leaf_temporal_class", kind).withColumn("leaf_color", color).drop("_span", "_old")
+    return out.withColumn("leaf_temporal_class", kind).withColumn("leaf_color", color).drop("_span", "_old", "_new")
 
 
 # --- root clusters -------------------------------------------------------------------------------
@@ -315,12 +317,14 @@ def fruit_scores(candidates: DataFrame, current_year: int, shares: tuple[float,
     """
     total = sum(shares)
     out = candidates.withColumn("external_velocity", F.col("cited_by") / age(F.col("year"), current_year))
-    gap = F.greatest(F.lit(0.0), minmax(F.log1p("cited_by")) - minmax(F.log1p(F.col("in_degree").cast("double"))))
-    out = out.withColumn("gap_raw", gap).withColumn("attention_gap", minmax(F.col("gap_raw")))
+    log = lambda c: F.log1p(F.col(c).cast("double"))
+    out = scaled(out, _outside=log("cited_by"), _inside=log("in_degree"), _velocity=log("external_velocity"), _neighbors=log("field_neighbors"), _text=F.col("text_relevance"))
+    out = scaled(out, attention_gap=F.greatest(F.lit(0.0), F.col("_outside") - F.col("_inside")))
     near = F.coalesce(1.0 / (1.0 + F.col("distance")), F.lit(0.0))
-    out = out.withColumn("proximity", 0.65 * near + 0.35 * minmax(F.log1p(F.col("field_neighbors").cast("double"))))
-    parts = [minmax(F.log1p("external_velocity")), F.col("attention_gap"), F.col("proximity"), minmax(F.col("text_relevance"))]
+    out = out.withColumn("proximity", 0.65 * near + 0.35 * F.col("_neighbors"))
+    parts = [F.col(c) for c in ("_velocity", "attention_gap", "proximity", "_text")]
     out = out.withColumn("fruit_score", sum((w / total * p for w, p in zip(shares, parts, strict=True)), F.lit(0.0)))
+    out = out.drop("_outside", "_inside", "_velocity", "_neighbors", "_text")
     kind = (
         F.when(F.col("cited_by") <= 0, "recent_no_external_signal")
         .when(~F.col("in_graph"), "external_signal_not_matched_in_graph")
@@ -328,7 +332,7 @@ def fruit_scores(candidates: DataFrame, current_year: int, shares: tuple[float,
         .when((F.col("in_degree") >= 5) & (F.col("attention_gap") <= 0.15), "already_absorbing_into_tree")
         .otherwise("fruit_candidate")
     )
-    return out.withColumn("fruit_signal_type", kind).drop("gap_raw")
+    return out.withColumn("fruit_signal_type", kind)
 
 
 def top_fruits(fruits: DataFrame, n: int = 3, low: float = 20.0, high: float = 34.0) -> DataFrame:

@@ -25,7 +25,8 @@ def sql_color(score: str, scale: tuple[str, str]) -> str:
 
 @query(f"SELECT p_partkey AS partkey, round({mm('p_retailprice')}, 9) AS scaled FROM part")
 def minmax_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), F.round(C.minmax(F.col("p_retailprice")), 9).alias("scaled"))
+    out = C.scaled(table(spark, sf_dir, "part"), scaled=F.col("p_retailprice"))
+    return out.select(F.col("p_partkey").alias("partkey"), F.round("scaled", 9).alias("scaled"))
 
 
 @query(f"SELECT p_partkey AS partkey, p_brand AS brand, round({mm('p_retailprice', 'PARTITION BY p_brand')}, 9) AS scaled FROM part")
