@@ -41,9 +41,8 @@ def semicolon_parts(c: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of two or more ASCII letters, lower-cased, longer than two and not a stop word."""
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z]+"), 0)
-    return F.filter(found, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
 
 
 def truthy(c: Column) -> Column:
