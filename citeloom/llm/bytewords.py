@@ -12,7 +12,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoding
-from .common import pick, scratch
+from .common import bounded_batches, pick, scratch
 
 MISSING = -(1 << 63)
 _HEAD = "<QI"
@@ -86,6 +86,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard
 
     The result is stored: it has a row for each shard, thousands at most.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,25 +6,29 @@ again as the next stage's docs. All but the last return the columns of documents
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import linededup, mixing, neardup, packing, quality
-from citeloom.llm.common import WORD, scratch, table
+from citeloom.llm.common import WORD, pick, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents alone, whatever else there is."""
+    return pick(docs, **{c: c for c in COLUMNS})
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the n-gram ratio reject go."""
-    judged = quality.judge(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    judged = quality.judge(_documents(docs), table(spark, sf_dir, "labels"))
     return judged.filter("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier go, with n_chars counted anew; a document left without a word goes too."""
-    cut = linededup.dedup_lines(docs.select(*COLUMNS))
+    cut = linededup.dedup_lines(_documents(docs))
     left = cut.filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -32,16 +36,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of smallest id stays."""
     groups = neardup.near_duplicates(docs)
-    return neardup.without(docs.select(*COLUMNS), groups.filter("NOT kept").select("doc_id").distinct())
+    return neardup.without(_documents(docs), groups.filter("NOT kept").select("doc_id").distinct())
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target takes it, in order of training position."""
-    return mixing.mix_documents(docs.select(*COLUMNS))
+    return mixing.mix_documents(_documents(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    import public_tokenizers
+
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
