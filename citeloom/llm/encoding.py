@@ -13,7 +13,7 @@ import ctypes
 import gc
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,9 +180,24 @@ def forget() -> None:
     """Give up a worker's encoders and their memos, as it turns to other work."""
     if _kept:
         _kept.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc: what is freed stays with the process
-            pass
+        release()
+
+
+def release() -> None:
+    """Hand memory that is free in this worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc: what is freed stays with the process
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and then release: an idle worker holds little."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return tidied

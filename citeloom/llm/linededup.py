@@ -131,7 +131,7 @@ def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
                 ids = batch.column(0).take(pa.array(first + lines.which[k]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[k].astype(np.int32)), _signed(lines.h[k]), pa.array(lines.n[k].astype(np.int32)), *halves], ["doc_id", "line_no", "h", "n", *_KEYS])
 
-    rows = docs.mapInArrow(run, "doc_id long, line_no int, h long, n int, k0 long, k1 long, k2 long, k3 long")
+    rows = docs.mapInArrow(encoding.tidy(run), "doc_id long, line_no int, h long, n int, k0 long, k1 long, k2 long, k3 long")
     return rows.select(_place("doc_id", "line_no").alias("place"), "h", "n", *_KEYS)
 
 
@@ -295,7 +295,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n_lines.astype(np.int64)), pa.array(gone)], [f"_c{i}" for i in range(len(own) + 2)])
 
     kinds = ", ".join(f"_c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    out = joined.select(F.col(f"_c{at[1]}").alias("_text"), "of_doc", *flat.columns).mapInArrow(rebuild, f"{kinds}, n_lines long, n_dropped long")
+    out = joined.select(F.col(f"_c{at[1]}").alias("_text"), "of_doc", *flat.columns).mapInArrow(encoding.tidy(rebuild), f"{kinds}, n_lines long, n_dropped long")
     return out.toDF(*names, "n_lines", "n_dropped")
 
 

@@ -130,7 +130,7 @@ def sketch(docs: DataFrame, shingle_words: int) -> DataFrame:
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), sizes, pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "key", "regs"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, regs binary")
+    return docs.mapInArrow(encoding.tidy(run), "doc_id long, n_shingles long, key binary, regs binary")
 
 
 def _bands() -> Column:
@@ -154,7 +154,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     one = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
     two = classes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, estimate double")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(encoding.tidy(run), "a long, b long, estimate double")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
 
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(encoding.tidy(run), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, shingle_words: int) -> DataFrame:
@@ -285,7 +285,7 @@ def leftover_links(docs: DataFrame, members: DataFrame, classes: DataFrame, labe
                 yield from group.select(names).filter(pa.array(hit)).combine_chunks().to_batches()
 
     kinds = "bucket long, band int, id long, label long, major boolean, i int, j int, minor boolean, side boolean"
-    left = materialize(in_blocks(minor.unionByName(other)).mapInArrow(possible, kinds), "possible")
+    left = materialize(in_blocks(minor.unionByName(other)).mapInArrow(encoding.tidy(possible), kinds), "possible")
     ids = left.select("id").unionByName(two.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     texts = materialize(texts_of(docs, ids), "texts")
 
@@ -306,7 +306,7 @@ def leftover_links(docs: DataFrame, members: DataFrame, classes: DataFrame, labe
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    found = in_blocks(left.join(texts.withColumnRenamed("doc_id", "id"), "id")).mapInArrow(settle, "a long, b long")
+    found = in_blocks(left.join(texts.withColumnRenamed("doc_id", "id"), "id")).mapInArrow(encoding.tidy(settle), "a long, b long")
     return found.unionByName(verify(two, texts, shingle_words)).distinct()
 
 

@@ -55,7 +55,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, w
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(encoding.tidy(cut), schema)
 
 
 def best_fit(lengths: list[int], capacity: int, max_docs: int, max_cost: int, weights: tuple[float, float, float], rule: str) -> list[int]:

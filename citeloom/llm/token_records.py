@@ -124,7 +124,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard
             store.move(f"{own}.{kind}", f"{name}.{kind}")
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], ["shard", "n_docs", "n_tokens"])
 
-    told = rows.mapInArrow(write, "shard int, n_docs long, n_tokens long")
+    told = rows.mapInArrow(encoding.tidy(write), "shard int, n_docs long, n_tokens long")
     manifest = f"{path}/manifest"
     told.write.mode("overwrite").parquet(manifest)
     return spark.read.schema(told.schema).parquet(manifest)
