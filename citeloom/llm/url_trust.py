@@ -9,8 +9,9 @@ Hosts without a rule's verdict get the method's. Host edges are the distinct pai
 hosts in href and src attributes. A host is a trusted seed if rules allow some of its pages and
 block none, a blocked seed in the opposite case. Trust is personalised PageRank from the trusted
 seeds along the edges, distrust the same from the blocked seeds along the reversed edges (who
-links to bad hosts is bad). A host is blocked if its distrust exceeds its trust and is at least
-MIN_SHARE percent of what a blocked seed starts with; every other host is allowed.
+links to bad hosts is bad). A host is blocked if its distrust exceeds its trust; every other host
+is allowed. A least share of a seed's start (``min_share`` percent) can be asked for, but it spares
+the linkers of a blocked host the more of them there are, so the query asks for none.
 
 Ranks are whole numbers (SCALE in all), each step's shares rounded down, so they don't depend on
 the order of summation, and reruns and other engines agree. Iteration stops after ROUNDS rounds, or
@@ -115,7 +116,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, min_share: int =
 
 def op4_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every page's url."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_share=0)
 
 
 def oracle_sql(pages: str = "pages") -> str:

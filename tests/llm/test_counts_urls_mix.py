@@ -115,6 +115,20 @@ def test_link_graph_against_brute_force_and_sql(spark):
     assert {(r.host, r.verdict, r.trust, r.distrust) for r in sql.itertuples()} == {(h, *v) for h, v in got.items()}
 
 
+def verdicts(spark, folder, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    df.write.parquet(f"{folder}/pages.parquet")
+    return {r.host: r for r in url_trust.op4_link_trust(spark, str(folder)).collect()}
+
+
+def test_all_linkers_of_a_much_linked_blocked_host_are_blocked(spark, tmp_path):
+    linkers = [f"l{i}.com" for i in range(300)]
+    rows = [page("http://bad.net/"), page("http://fine.org/fr/", "http://l0.com/"), *(page(f"http://{h}/", "http://bad.net/") for h in linkers), page("http://apart.com/")]
+    got = verdicts(spark, tmp_path, rows)
+    assert {h for h in linkers if got[h].verdict == "block"} == set(linkers[1:])  # l0 has more trust than distrust
+    assert got["apart.com"].verdict == "allow"
+
+
 def targets(sizes, repeats=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
