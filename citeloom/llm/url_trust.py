@@ -14,8 +14,9 @@ is allowed. A least share of a seed's start (``min_share`` percent) can be asked
 the linkers of a blocked host the more of them there are, so the query asks for none.
 
 Ranks are whole numbers (SCALE in all), each step's shares rounded down, so they don't depend on
-the order of summation, and reruns and other engines agree. Iteration stops after ROUNDS rounds, or
-when no rank changes. Skew: pages are reduced to distinct edges and per-host counts before any
+the order of summation, and reruns and other engines agree. Iteration stops when no rank changes,
+which it must come to: ranks never fall from one round to the next, and together never exceed SCALE.
+``rounds`` (by default ROUNDS, which the SQL repeats) stops earlier; the query sets no such bound. Skew: pages are reduced to distinct edges and per-host counts before any
 exchange can gather a host's pages; joins on host are plain equi-joins, which AQE splits.
 
 Null urls and urls without "://" have an empty host and path, fit no rule and are allowed. Null
@@ -24,6 +25,8 @@ html has no links. Repeated pages count once as an edge. An empty table gives no
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +72,8 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select("src", host_of(dst).alias("dst")).filter("src <> dst AND src <> '' AND dst <> ''").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank in whole numbers: (host, rank). edges: src, dst. seeds: host."""
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
+    """Personalised PageRank in whole numbers: (host, rank). edges: src, dst. seeds: host. rounds: None is until no rank changes."""
     n = seeds.count()
     if not n:
         return seeds.select("host", F.lit(0).cast("long").alias("rank"))
@@ -80,7 +83,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     if edges.isEmpty():
         return ranks
     edges = materialize(edges.join(degree, "src"), "edges")
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         share = F.expr(f"(rank * {DAMPING}) DIV (100 * degree)")
         given = edges.join(ranks.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(share).alias("given"))
         new = own.join(given, "host", "full").select("host", (F.coalesce("own", F.lit(0)) + F.coalesce("given", F.lit(0))).cast("long").alias("rank"))
@@ -92,7 +95,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     return ranks
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, min_share: int = MIN_SHARE) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, rounds: int | None = ROUNDS, min_share: int = MIN_SHARE) -> DataFrame:
     """pages: page_id, url, html. Returns page_id, host, path, rule, verdict, trust, distrust (ranks; 0 if none)."""
     all_pages = pick(pages, page_id="page_id", url="url", html="html")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -116,7 +119,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, min_share: int =
 
 def op4_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every page's url."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_share=0)
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rounds=None, min_share=0)
 
 
 def oracle_sql(pages: str = "pages") -> str:

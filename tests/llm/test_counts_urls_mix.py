@@ -129,6 +129,15 @@ def test_all_linkers_of_a_much_linked_blocked_host_are_blocked(spark, tmp_path):
     assert got["apart.com"].verdict == "allow"
 
 
+def test_distrust_reaches_the_far_end_of_a_chain(spark, tmp_path):
+    chain = ["bad.net", *(f"c{i}.com" for i in range(18))]
+    got = verdicts(spark, tmp_path, [page("http://bad.net/"), *(page(f"http://{a}/", f"http://{b}/") for b, a in zip(chain, chain[1:], strict=False))])
+    rank = url_trust.SCALE * 15 // 100
+    for h in chain:
+        assert (got[h].distrust, got[h].verdict) == (rank, "block"), h
+        rank = rank * 85 // 100
+
+
 def targets(sizes, repeats=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
