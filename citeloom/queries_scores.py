@@ -389,8 +389,8 @@ def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts and suppliers: an undirected graph of moderate size. The edges weigh 1."""
-    edges = stored(graph.undirected(raw_edges(spark, sf_dir).filter(F.substring("src", 1, 1).isin("P", "S", "N"))).withColumn("weight", F.lit(1.0)), "edges")
+    """The whole cleaned graph, undirected. The edges weigh 1."""
+    edges = stored(graph.undirected(clean_edges(spark, sf_dir)).withColumn("weight", F.lit(1.0)), "edges")
     return edges, stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
 
 

@@ -1,9 +1,12 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom import queries_scores
 from citeloom.operators import community, graph, roles
+from citeloom.queries import CLEAN
 
 
 def E(spark, *pairs):
@@ -116,6 +119,17 @@ def test_label_propagation_needs_no_single_task(spark):
     assert found.count() == 8
 
 
+def test_community_queries_see_the_whole_graph(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier", "nation", "orders", "customer", "part", "region"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    whole = con.execute(CLEAN + " SELECT src, dst FROM clean").fetchall()
+    edges, nodes = queries_scores._weighted(spark, sf)
+    assert {frozenset((r.a, r.b)) for r in edges.collect()} == {frozenset(e) for e in whole}
+    assert {r.id[0] for r in nodes.collect()} == set("OPSNRC")
+
+
 def test_cohesive_selection_stays_connected(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("x", "y", 1.0)], "a string, b string, weight double")
     rows = spark.createDataFrame([(1, "a", 2000, 1.0), (1, "b", 1990, 1.0), (1, "c", 2010, 1.0), (1, "x", 2020, 9.0), (1, "y", 2020, 9.0)], "community int, id string, year int, sap double")
