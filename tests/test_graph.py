@@ -119,6 +119,13 @@ def test_label_propagation_needs_no_single_task(spark):
     assert found.count() == 8
 
 
+@pytest.mark.parametrize("algorithm", [community.louvain, community.leiden])
+def test_too_large_a_graph_is_an_error_not_another_algorithm(spark, monkeypatch, algorithm):
+    monkeypatch.setattr(community, "MAX_NODES", 3)
+    with pytest.raises(ValueError, match="8 nodes"):
+        algorithm(*two_cliques(spark))
+
+
 def test_community_queries_see_the_whole_graph(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
