@@ -5,7 +5,8 @@ takes part if it has at least MIN_CHARS code points; shorter ones recur by chanc
 line is dropped if any line that takes part stands earlier, by (doc_id, line number), in the whole
 corpus and is equal or within MAX_EDITS insertions, deletions or substitutions of a code point.
 Whether that earlier line is itself dropped doesn't matter, so the answer depends on no order of
-work.
+work. With ``short_copies`` exact copies of every line that isn't blank take part as well, and
+MIN_CHARS bounds the one-edit match alone.
 
 Method: a deletion-neighbourhood join. Equal lines become one class, stood for by its earliest.
 Two lines within one edit share the hash of their first or of their last q code points, for a q of
@@ -118,16 +119,16 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """docs: doc_id, text. One row per line that takes part: place, h, n, k0 to k3 (hashes of halves, null if none)."""
+def line_table(docs: DataFrame, min_chars: int, short_copies: bool = False) -> DataFrame:
+    """docs: doc_id, text. One row per line that takes part: place, h, n, k0 to k3 (hashes of halves, null if none or below min_chars)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding.forget()
         for batch in batches:
             for first, block in blocks(batch.column(1)):
                 lines = Lines(block)
-                k = np.flatnonzero(lines.n >= min_chars)
-                halves = [pa.array(x.view(np.int64), mask=~there) for x, there in lines.halves(k)]
+                k = np.flatnonzero(lines.n >= (1 if short_copies else min_chars))
+                halves = [pa.array(x.view(np.int64), mask=~there | (lines.n[k] < min_chars)) for x, there in lines.halves(k)]
                 ids = batch.column(0).take(pa.array(first + lines.which[k]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[k].astype(np.int32)), _signed(lines.h[k]), pa.array(lines.n[k].astype(np.int32)), *halves], ["doc_id", "line_no", "h", "n", *_KEYS])
 
@@ -248,11 +249,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(rest)
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_copies: bool = False) -> DataFrame:
     """docs: doc_id, text. The lines to drop: doc_id, line_no, h (a line counts as meant only if its hash is h)."""
     if max_edits not in (0, 1):
         raise ValueError(f"max_edits is {max_edits}; 0 and 1 are supported")
-    lines = materialize(line_table(docs, min_chars), "lines")
+    lines = materialize(line_table(docs, min_chars, short_copies), "lines")
     classes = lines.groupBy("h", "n").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("c"), *(F.max(k).alias(k) for k in _KEYS))
     classes = materialize(classes, "classes")
     near = close_lines(docs, classes) if max_edits else None
@@ -263,7 +264,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     return _doc_and_line(gone, "h")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_copies: bool = False) -> DataFrame:
     """docs: doc_id, text and any columns, which are kept. Text loses its dropped lines; adds n_lines and n_dropped."""
     bounded_batches(docs.sparkSession)
     names = docs.columns
@@ -271,7 +272,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
     at = [names.index(x) if x in names else low.index(x) for x in ("doc_id", "text")]
     flat = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     plain = flat.select(F.col(f"_c{at[0]}").cast("long").alias("doc_id"), F.col(f"_c{at[1]}").alias("text"))
-    drops = dropped_lines(plain, min_chars, max_edits)
+    drops = dropped_lines(plain, min_chars, max_edits, short_copies)
     joined = _by_document(flat.withColumn("doc_id", F.col(f"_c{at[0]}").cast("long")), drops)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier go, with n_chars counted anew; a document left without a word goes too."""
-    cut = linededup.dedup_lines(_documents(docs))
+    cut = linededup.dedup_lines(_documents(docs), short_copies=True)
     left = cut.filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

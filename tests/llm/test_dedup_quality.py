@@ -92,6 +92,14 @@ def test_lines_against_brute_force(spark):
     assert all(r.n_lines - r.n_dropped == (1 if r.text is None else r.text.count("\n") + 1) or r.n_dropped == r.n_lines for r in got.values())
 
 
+def test_pipeline_drops_copies_of_short_lines(spark):
+    import corpus_pipeline as cp
+
+    texts = ["All rights reserved\none line of this document\nx\n\n", "another line altogether\n All rights reserved\nAll rights reserve\ny\n", "é\nx\né", "All rights reserved"]
+    got = {r.doc_id: r.text for r in cp.line_dedup(spark, docs(spark, *texts), "").collect()}
+    assert got == {0: texts[0], 1: "another line altogether\nAll rights reserve\ny\n", 2: "é"}
+
+
 def test_halves_find_every_pair_of_neighbours():
     import pyarrow as pa
 
