@@ -19,10 +19,18 @@ def test_shards_have_exact_sizes(spark):
 
 
 def test_matrix_is_hypergeometric():
-    sizes, shard, first = sharding.block_sizes(1000, 3, 100)
-    assert sizes.sum() == 1000 and max(sizes) - min(sizes) <= 2 and list(first[shard == 1][:2]) == [0, sizes[shard == 1][0]]
-    counts = [400, 100, 500]
-    got = np.array([np.array(sharding.draw_matrix(counts, np.array([250, 250, 500]), s)) for s in range(400)])
+    blocks = sharding.Blocks(1000, 3, 100)
+    sizes = blocks.sizes()
+    assert sizes.sum() == 1000 and max(sizes) - min(sizes) <= 2
+    assert [blocks.place(b)[0] for b in range(len(sizes))] == [b // blocks.each for b in range(len(sizes))]
+    for s in range(3):
+        at = 0
+        for b in range(s * blocks.each, (s + 1) * blocks.each):
+            assert blocks.place(b) == (s, at)
+            at += sizes[b]
+        assert at in (333, 334)
+    counts, edges = [400, 100, 500], np.array([0, 400, 500, 1000])
+    got = np.array([[sharding.matrix_row(p, edges, np.array([250, 250, 500]), s) for p in range(3)] for s in range(400)])
     assert (got.sum(axis=1) == [250, 250, 500]).all() and (got.sum(axis=2) == counts).all()
     mean = np.outer(counts, [250, 250, 500]) / 1000
     assert np.abs(got.mean(axis=0) - mean).max() < 2
@@ -30,6 +38,84 @@ def test_matrix_is_hypergeometric():
     assert got[:, 0, 0].var() == pytest.approx(n * k / m * (1 - k / m) * (m - n) / (m - 1), rel=0.3)
 
 
+def test_large_populations_have_the_same_law(monkeypatch):
+    rng = np.random.default_rng(4)
+    expected = rng.hypergeometric(300, 700, 200, 20_000)
+    monkeypatch.setattr(sharding, "LARGE", 400)
+    got = np.array([sharding.hypergeometric(rng, 300, 700, 200) for _ in range(20_000)])
+    assert got.min() >= 0 and abs(got.mean() - 60) < 0.2 and abs(got.var() / expected.var() - 1) < 0.05
+    below = [(got <= x).mean() - (expected <= x).mean() for x in range(40, 80)]
+    assert max(map(abs, below)) < 0.02
+    drawn = np.array([sharding.split(rng, np.array([100, 150, 350, 400]), 500) for _ in range(500)])
+    assert (drawn.sum(axis=1) == 500).all() and np.abs(drawn.mean(axis=0) - [50, 75, 175, 200]).max() < 1.5
+    monkeypatch.undo()
+    for good, bad, n in ((6 * 10**9, 4 * 10**9, 5 * 10**9), (25_000, 10**12, 10**11), (10**12, 25_000, 10**12)):
+        x = [sharding.hypergeometric(rng, good, bad, n) for _ in range(30)]
+        mean, spread = n * good / (good + bad), (n * good / (good + bad) * bad / (good + bad) * (good + bad - n) / (good + bad)) ** 0.5
+        assert all(max(0, n - bad) <= v <= min(n, good) for v in x) and abs(np.mean(x) - mean) < 5 * spread / 30**0.5 + 1
+    sizes = np.full(400, 10**7)
+    own = sharding.split(rng, sizes, 10**9)
+    assert own.sum() == 10**9 and (own <= sizes).all() and abs(own - 2.5e6).max() < 6 * (2.5e6 * 0.75) ** 0.5
+
+
+def test_nothing_larger_than_parts_and_blocks_is_sent(spark, monkeypatch):
+    sent = []
+    context = type(spark.sparkContext)
+    true = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: (sent.append(value), true(self, value))[1])
+    rows = spark.range(4000).repartition(4).select(F.col("id").alias("doc_id"))
+    assert sharding.shuffle_rows(rows, shards=5, block_rows=20, part_rows=64).count() == 4000
+    parts, blocks = 64, 200
+    assert len(sent) == 1 and all(len(x) <= parts + blocks for x in sent[0])
+
+
+def brute_force_shuffle(parts, shards, block_rows, seed):
+    """Every row's shard and slot, the whole matrix drawn first. parts: lists of rows."""
+    total = sum(map(len, parts))
+    each = max(1, -(-(-(-total // shards)) // block_rows))
+    sizes, starts = [], []
+    for s in range(shards):
+        rows, at = total // shards + (s < total % shards), 0
+        for j in range(each):
+            n = rows // each + (j < rows % each)
+            sizes.append(n)
+            starts.append((s, at))
+            at += n
+
+    def draw(low, high, open_slots):
+        if high - low == 1:
+            return [open_slots]
+        middle = (low + high) // 2
+        rng = np.random.Generator(np.random.PCG64([seed, 0, low, high]))
+        left = rng.multivariate_hypergeometric(open_slots, sum(map(len, parts[low:middle])), method="marginals")
+        return draw(low, middle, left) + draw(middle, high, np.array(open_slots) - left)
+
+    dealt = [[] for _ in sizes]
+    for p, (rows, counts) in enumerate(zip(parts, draw(0, len(parts), np.array(sizes)), strict=True)):
+        order = np.random.Generator(np.random.PCG64([seed, 1, p])).permutation(len(rows))
+        at = {int(x): row for x, row in zip(order, rows, strict=True)}
+        k = 0
+        for b, n in enumerate(counts):
+            dealt[b] += [at[i] for i in range(k, k + n)]
+            k += n
+    out = {}
+    for b, rows in enumerate(dealt):
+        assert len(rows) == sizes[b]
+        for row, x in zip(rows, np.random.Generator(np.random.PCG64([seed, 2, b])).permutation(len(rows)), strict=True):
+            out[row] = (starts[b][0], starts[b][1] + int(x))
+    return out
+
+
+def test_shuffle_against_brute_force(spark):
+    rows = spark.range(1003).repartition(5).select(F.col("id").alias("doc_id")).cache()
+    held = rows.select("doc_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")).collect()
+    parts = {}
+    for r in sorted(held, key=lambda r: r.i):
+        parts.setdefault((r.p, (r.i & ((1 << 33) - 1)) // 64), []).append(r.doc_id)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_rows(rows, shards=7, block_rows=30, part_rows=64, seed=9).collect()}
+    assert got == brute_force_shuffle([parts[k] for k in sorted(parts)], 7, 30, 9)
+
+
 def test_places_are_uniform(spark):
     rows = spark.range(40).coalesce(2).select(F.col("id").alias("doc_id"))
     seen = Counter()
@@ -40,6 +126,8 @@ def test_places_are_uniform(spark):
 
 def test_shards_of_awkward_rows(spark):
     assert sharding.shuffle_rows(awkward(spark).select(F.lit(1).alias("a")), shards=3).count() == 7
+    clash = sharding.shuffle_rows(awkward(spark), shards=3)
+    assert clash.columns == [*awkward(spark).columns, "shard", "slot"] and clash.count() == 7
     assert sharding.shuffle_rows(empty(spark).select("doc_id")).count() == 0
 
 
@@ -163,5 +251,7 @@ def test_queries_at_the_smallest_tables(spark):
     sf = "/root/testdata/sf0.001"
     rows = queries.queries()["op9_hypergeometric_shards"](spark, sf).collect()
     assert len(rows) == 200 and {r.law for r in rows} == {"rows"}
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]  # one file, one part
+    assert {r.doc_id: (r.shard, r.slot) for r in rows} == brute_force_shuffle([ids], sharding.SHARDS, sharding.BLOCK_ROWS, sharding.SEED)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.size == len((texts[r.doc_id] or "").encode()) + 8 for r in rows)
