@@ -145,7 +145,7 @@ def best(rows, k, every):
     return out
 
 
-@pytest.mark.parametrize("kind", ["random", "clusters", "ties"])
+@pytest.mark.parametrize("kind", ["random", "clusters", "ties", "large"])
 def test_search_against_brute_force(spark, kind):
     rng = np.random.default_rng(3)
     n, d = 300, 12
@@ -154,9 +154,11 @@ def test_search_against_brute_force(spark, kind):
         x = rng.normal(size=(6, d))[rng.integers(0, 6, n)] * 9 + x * 0.05
     if kind == "ties":
         x = rng.integers(-1, 2, (n, d)).astype(float)
+    if kind == "large":  # bounds in doubles
+        x = rng.normal(size=(n, d)) * 2.0**20
     rows = [(int(i), [float(a) for a in v]) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    got = topk.search(topk.whole_numbers(df), F.col("vec_id") % 20 == 0, k=7, pivots=8, query_block=4).collect()
+    got = topk.search(topk.whole_numbers(df), F.col("vec_id") % 20 == 0, k=7, pivots=8, chunk_rows=40, block=16).collect()
     floats = [(i, [np.float32(a) for a in v]) for i, v in rows]
     expected = best(floats, 7, 20)
     for q, lists in expected.items():
@@ -164,20 +166,54 @@ def test_search_against_brute_force(spark, kind):
     assert len(got) == 7 * len(expected)
 
 
-def test_pivots_spare_evaluations_and_stay_exact():
+def test_bounds_hold_and_are_no_looser_than_any_pivot_alone():
+    rng = np.random.default_rng(2)
+    for x in (rng.integers(-50, 50, (200, 10)), rng.integers(-3, 4, (200, 10)) * [1000, *[1] * 9], np.repeat(rng.integers(-9, 9, (4, 10)), 50, axis=0), np.zeros((5, 10), np.int64)):
+        chosen = topk.choose_pivots(x, 6)
+        pivots = topk.Pivots(chosen, wide=False)
+        d = pivots.distances(x)
+        apex = pivots.apexes(d).astype(np.float64)
+        true, bound = x @ x.T, apex @ apex.T + 1
+        assert (bound >= true).all()
+        square = d[:, 0] ** 2
+        gap = np.abs(d[:, None] - d[None]).max(axis=2)
+        alone = (square[:, None] + square[None] - gap**2) / 2
+        assert (bound <= alone + 2 * topk.SLACK * np.outer(d[:, 0], d[:, 0]) + 1 + 1e-3 * (1 + alone.max())).all()
+
+
+def vectors_of(spark, x):
+    return topk.whole_numbers(spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+
+
+@pytest.mark.parametrize("kind,most", [("clusters", 0.05), ("plain", 0.45)])
+def test_pivots_spare_evaluations_and_stay_exact(spark, kind, most):
     rng = np.random.default_rng(1)
-    centers = rng.normal(size=(40, 16)) * 300
-    x = (centers[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))).astype(np.int64)
-    ids = np.arange(4000)
-    s = topk.Searcher(ids[:5], x[:5], x[100:132], 10)
-    for i in range(0, 4000, 500):
-        s.feed(ids[i : i + 500], x[i : i + 500])
-    for q in range(5):
-        score = x @ x[q]
-        order = np.lexsort((ids, -score))
-        order = order[order != q][:10]
-        assert s.best[q][1].tolist() == order.tolist()
-    assert s.evaluated < 5 * 4000
+    n, d = 4000, 64
+    x = rng.normal(size=(n, d))
+    if kind == "clusters":
+        x = (rng.normal(size=(40, d)) * 9)[rng.integers(0, 40, n)] + x
+    told = {}
+    got = topk.search(vectors_of(spark, x), F.col("vec_id") % 100 == 0, k=10, told=told).collect()
+    whole = np.floor(64 * x.astype(np.float32).astype(np.float64)).astype(np.int64)
+    for q in range(0, n, 100):
+        score = whole @ whole[q]
+        order = np.lexsort((np.arange(n), -score))
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == order[order != q][:10].tolist()
+    assert told["pairs"] == 40 * n and told["evaluated"] / told["pairs"] < most, told
+
+
+def test_a_hot_vector_and_repeated_queries(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-3, 4, (600, 6)).astype(float)
+    x[rng.random(600) < 0.4] = x[0]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(20, [float(a) for a in x[20]])] * 3 + [(40, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.search(topk.whole_numbers(df), F.col("vec_id") % 20 == 0, k=7, chunk_rows=50, block=16).collect()
+    expected = best(rows, 7, 20)
+    for q, lists in expected.items():
+        own = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        distinct = sorted({tuple(x) for x in lists})
+        assert own == sorted((k + 1, *row) for rows in distinct for k, row in enumerate(rows))
 
 
 def test_scores_are_exact_at_every_size():
