@@ -72,6 +72,16 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A join's side of up to so many bytes, counted in rows of known width, is sent to all executors; a larger one is shuffled.
+SENT_BYTES = 32 << 20
+
+
+def sent(df: DataFrame, name: str = "side") -> DataFrame:
+    """df, stored, as a join's small side where it is small. Its columns must be of fixed width: their bytes times the rows are the bound."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() * df._jdf.schema().defaultSize() <= SENT_BYTES else df
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """Label every vertex of the undirected links (a, b) with the smallest vertex it reaches.
 

@@ -1,12 +1,11 @@
 r"""Line dedup: lines within one edit of an earlier line go, the earliest stays.
 
-Lines are \n-split, with white space at both ends (characters 9 to 13 and 32) ignored. A line
-takes part if it has at least MIN_CHARS code points; shorter ones recur by chance, and stay. A
-line is dropped if any line that takes part stands earlier, by (doc_id, line number), in the whole
-corpus and is equal or within MAX_EDITS insertions, deletions or substitutions of a code point.
-Whether that earlier line is itself dropped doesn't matter, so the answer depends on no order of
-work. With ``short_copies`` exact copies of every line that isn't blank take part as well, and
-MIN_CHARS bounds the one-edit match alone.
+Lines are \n-split, with white space at both ends (characters 9 to 13 and 32) ignored. Every line
+that isn't blank takes part. A line is dropped if a line stands earlier, by (doc_id, line number), in
+the whole corpus and is equal to it or, where both have MIN_CHARS code points or more, within
+MAX_EDITS insertions, deletions or substitutions of a code point: the edit bound of shorter lines is
+0, as one edit makes another word of them. Whether that earlier line is itself dropped doesn't
+matter, so the answer depends on no order of work.
 
 Method: a deletion-neighbourhood join. Equal lines become one class, stood for by its earliest.
 Two lines within one edit share the hash of their first or of their last q code points, for a q of
@@ -19,7 +18,8 @@ takes no memory beyond its rows. The pairs found are verified on the texts.
 
 Lines are told apart by a 64-bit hash and their length in code points. Null text is one empty
 line. Null doc_ids come after all others. Repeated rows get the same answer: neither is earlier
-than the other. An empty table gives no row.
+than the other. Lines are brought back to their documents by doc_id and a hash of the text, so rows
+without an id, or of one id, get their own lines alone. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -33,12 +33,10 @@ from pyspark.sql import functions as F
 
 from . import encoding
 from .bytewords import Block, _table, blocks, mix
-from .common import bounded_batches, materialize, pick
+from .common import SENT_BYTES, bounded_batches, materialize, pick, sent
 
 MIN_CHARS = 20
 MAX_EDITS = 1
-#: Up to so many rows of at most 40 bytes are sent to all executors; more are joined by a shuffle.
-SENT_ROWS = 1_000_000
 #: A line's place, doc_id * LINES + line number, is one number that aggregates in place; null doc_ids come last.
 PLACE = "decimal(38,0)"
 LINES = 1 << 31
@@ -119,21 +117,26 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def line_table(docs: DataFrame, min_chars: int, short_copies: bool = False) -> DataFrame:
-    """docs: doc_id, text. One row per line that takes part: place, h, n, k0 to k3 (hashes of halves, null if none or below min_chars)."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with ``th``, a hash of the text."""
+    return docs.withColumn("th", F.xxhash64("text"))
+
+
+def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
+    """docs: doc_id, text, th. One row per line that isn't blank: place, th, h, n, k0 to k3 (hashes of halves, null if none or below min_chars)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding.forget()
         for batch in batches:
             for first, block in blocks(batch.column(1)):
                 lines = Lines(block)
-                k = np.flatnonzero(lines.n >= (1 if short_copies else min_chars))
+                k = np.flatnonzero(lines.n >= 1)
                 halves = [pa.array(x.view(np.int64), mask=~there | (lines.n[k] < min_chars)) for x, there in lines.halves(k)]
-                ids = batch.column(0).take(pa.array(first + lines.which[k]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[k].astype(np.int32)), _signed(lines.h[k]), pa.array(lines.n[k].astype(np.int32)), *halves], ["doc_id", "line_no", "h", "n", *_KEYS])
+                ids, th = (batch.column(c).take(pa.array(first + lines.which[k])) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, th, pa.array(lines.number[k].astype(np.int32)), _signed(lines.h[k]), pa.array(lines.n[k].astype(np.int32)), *halves], ["doc_id", "th", "line_no", "h", "n", *_KEYS])
 
-    rows = docs.mapInArrow(encoding.tidy(run), "doc_id long, line_no int, h long, n int, k0 long, k1 long, k2 long, k3 long")
-    return rows.select(_place("doc_id", "line_no").alias("place"), "h", "n", *_KEYS)
+    rows = docs.select("doc_id", "text", "th").mapInArrow(encoding.tidy(run), "doc_id long, th long, line_no int, h long, n int, k0 long, k1 long, k2 long, k3 long")
+    return rows.select(_place("doc_id", "line_no").alias("place"), "th", "h", "n", *_KEYS)
 
 
 def _place(doc_id: str, line_no: str) -> Column:
@@ -148,26 +151,21 @@ def _doc_and_line(rows: DataFrame, *others: str) -> DataFrame:
     return rows.select(F.when(doc < F.lit(str(2**63)).cast("decimal(20,0)"), doc).cast("long").alias("doc_id"), line.cast("int").alias("line_no"), *others)
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """df, stored, as a join's small side where it is small."""
-    df = materialize(df, "side")
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
-
-
 def _by_document(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs with the lines of rows (doc_id, line_no, ...) that belong to each, as array ``of_doc``; null where there is none."""
-    rows = materialize(rows.select("doc_id", F.struct(*(c for c in rows.columns if c != "doc_id")).alias("line")), "rows")
-    listed = rows.groupBy("doc_id").agg(F.collect_list("line").alias("of_doc")).withColumnRenamed("doc_id", "_of")
-    listed = F.broadcast(listed) if rows.count() <= SENT_ROWS else listed
-    return docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    """docs with the distinct lines of rows (doc_id, th, ...) that belong to each, as array ``of_doc``; null where there is none."""
+    rows = materialize(rows.distinct(), "rows")
+    listed = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in ("doc_id", "th")))).alias("of_doc"))
+    listed = listed.withColumnsRenamed({"doc_id": "_of", "th": "_th"})
+    small = rows.count() * rows._jdf.schema().defaultSize() <= SENT_BYTES
+    return docs.join(F.broadcast(listed) if small else listed, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of", "_th")
 
 
 def close_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """For classes (h, n, place, k0 to k3) that have an earlier class within one edit: h, n, near (the earliest such place)."""
+    """docs: doc_id, text, th. For classes (h, n, place, th, k0 to k3) that have an earlier class within one edit: h, n, near (the earliest such place)."""
     keys = classes.select("h", "n", F.explode(F.array(*_KEYS)).alias("half")).filter("half IS NOT NULL")
     shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
-    suspects = keys.join(_sent(shared), "half").select("h", "n").distinct()
-    suspects = classes.select("h", "n", "place").join(_sent(suspects), ["h", "n"])
+    suspects = keys.join(sent(shared), "half").select("h", "n").distinct()
+    suspects = classes.select("h", "n", "place", "th").join(sent(suspects), ["h", "n"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +181,7 @@ def close_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 h, n, text, place = zip(*out, strict=True) if out else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(text, pa.string()), pa.array(place, pa.decimal128(38, 0))], ["h", "n", "line", "place"])
 
-    texts = _by_document(docs, _doc_and_line(suspects, "h", "n", "place")).filter("of_doc IS NOT NULL").select("doc_id", "text", "of_doc")
+    texts = _by_document(docs, _doc_and_line(suspects, "th", "h", "n", "place")).filter("of_doc IS NOT NULL").select("doc_id", "text", "of_doc")
     texts = materialize(texts.mapInArrow(fetch, f"h long, n int, line string, place {PLACE}").dropDuplicates(["h", "n"]), "lines")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,31 +247,31 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(rest)
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_copies: bool = False) -> DataFrame:
-    """docs: doc_id, text. The lines to drop: doc_id, line_no, h (a line counts as meant only if its hash is h)."""
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+    """docs: doc_id, text, th. The lines to drop: doc_id, th, line_no, h (a line counts as meant only if its hash is h)."""
     if max_edits not in (0, 1):
         raise ValueError(f"max_edits is {max_edits}; 0 and 1 are supported")
-    lines = materialize(line_table(docs, min_chars, short_copies), "lines")
-    classes = lines.groupBy("h", "n").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("c"), *(F.max(k).alias(k) for k in _KEYS))
+    lines = materialize(line_table(docs, min_chars), "lines")
+    classes = lines.groupBy("h", "n").agg(F.min("place").alias("place"), F.min_by("th", "place").alias("th"), F.count(F.lit(1)).alias("c"), *(F.max(k).alias(k) for k in _KEYS))
     classes = materialize(classes, "classes")
     near = close_lines(docs, classes) if max_edits else None
     known = classes.select("h", "n", "place", "c")
-    known = known.join(_sent(near), ["h", "n"], "left") if near is not None else known.withColumn("near", F.lit(None).cast(PLACE))
+    known = known.join(sent(near), ["h", "n"], "left") if near is not None else known.withColumn("near", F.lit(None).cast(PLACE))
     known = known.filter("c > 1 OR near IS NOT NULL").select("h", "n", F.least("place", F.coalesce("near", "place")).alias("earliest"))
-    gone = lines.select("place", "h", "n").join(_sent(known), ["h", "n"]).filter("earliest < place")
-    return _doc_and_line(gone, "h")
+    gone = lines.select("place", "th", "h", "n").join(sent(known), ["h", "n"]).filter("earliest < place")
+    return _doc_and_line(gone, "th", "h")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_copies: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
     """docs: doc_id, text and any columns, which are kept. Text loses its dropped lines; adds n_lines and n_dropped."""
     bounded_batches(docs.sparkSession)
     names = docs.columns
     low = [x.lower() for x in names]
     at = [names.index(x) if x in names else low.index(x) for x in ("doc_id", "text")]
     flat = docs.toDF(*(f"_c{i}" for i in range(len(names))))
-    plain = flat.select(F.col(f"_c{at[0]}").cast("long").alias("doc_id"), F.col(f"_c{at[1]}").alias("text"))
-    drops = dropped_lines(plain, min_chars, max_edits, short_copies)
-    joined = _by_document(flat.withColumn("doc_id", F.col(f"_c{at[0]}").cast("long")), drops)
+    plain = _keyed(flat.select(F.col(f"_c{at[0]}").cast("long").alias("doc_id"), F.col(f"_c{at[1]}").alias("text")))
+    drops = dropped_lines(plain, min_chars, max_edits)
+    joined = _by_document(flat.withColumns({"doc_id": F.col(f"_c{at[0]}").cast("long"), "th": F.xxhash64(f"_c{at[1]}")}), drops)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,8 +309,8 @@ def op8_line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS MATERIALIZED (SELECT doc_id, i AS line_no, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
-c AS MATERIALIZED (SELECT line, min((doc_id, line_no)) AS place, length(line) AS n FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line),
-k AS (SELECT line, unnest([left(line, n // 2), left(line, (n + 1) // 2), '<' || right(line, n // 2), '<' || right(line, (n + 1) // 2)]) AS half FROM c),
+c AS MATERIALIZED (SELECT line, min((doc_id, line_no)) AS place, length(line) AS n FROM l WHERE line <> '' GROUP BY line),
+k AS (SELECT line, unnest([left(line, n // 2), left(line, (n + 1) // 2), '<' || right(line, n // 2), '<' || right(line, (n + 1) // 2)]) AS half FROM c WHERE n >= {MIN_CHARS}),
 s AS MATERIALIZED (SELECT line, place, n FROM c WHERE line IN (SELECT line FROM k WHERE half IN (SELECT half FROM k GROUP BY half HAVING count(DISTINCT line) > 1))),
 v AS MATERIALIZED (SELECT line, place, r, left(line, r - 1) || substr(line, r + 1) AS v FROM s, unnest(range(1, n + 1)) AS u(r)),
 p AS (SELECT x.line, y.place FROM v x JOIN v y ON x.v = y.v AND x.r = y.r UNION ALL SELECT x.line, y.place FROM v x JOIN s y ON x.v = y.line

@@ -7,7 +7,8 @@ features of log(p_target / p_raw), so length cancels out. Documents below the th
 rejected, each by the same rule.
 
 The trusted target and the threshold are fitted on at most LABELLED labelled documents, those
-first by hash of doc_id; everything else covers the whole corpus. Half of the sample gives the
+first by hash of doc_id, one for each id (where an id repeats, the text of the greatest hash);
+everything else covers the whole corpus. Half of the sample gives the
 target's counts; the other half gives the threshold: the score that loses least, where a share of
 good documents rejected weighs GOOD_WEIGHT times as much as a share of bad ones kept; of equal ones
 the lowest. Without good labels, or without bad ones to set a threshold against, the method keeps
@@ -15,7 +16,9 @@ every document.
 
 Base rules: fewer than MIN_WORDS words, or more than MAX_REPEATED percent of the words in repeated
 5-word windows, fail. Null and empty texts have no words and fail. Score of a text without words:
-0. Repeated rows are judged alike. An empty table gives no row. Counts that tasks send on are a row
+0. Repeated rows are judged alike, ties with the threshold are kept, and texts of any length are read
+whole. Null doc_ids are judged but have no label; labels without an id or a quality don't count.
+Columns whose names clash are kept as they are. An empty table gives no row. Counts that tasks send on are a row
 for each feature at most, whatever the corpus holds.
 """
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import encoding
 from .bytewords import Block, blocks, mix, repeats, windows
-from .common import bounded_batches, pick
+from .common import bounded_batches, materialize, pick
 
 BUCKETS = 1 << 16
 LABELLED = 20_000
@@ -119,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[n
     raw = feature_counts(docs.select("text"))
     chosen = pick(labels, doc_id="doc_id", quality="quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").distinct()
     chosen = chosen.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id", "quality").limit(labelled)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("quality", (F.col("draw") % 2 == 0).alias("counts"), "text")
+    texts = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("quality", (F.col("draw") % 2 == 0).alias("counts"), "text")
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per text: its features and their counts, which a bounded sample bounds."""
@@ -134,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[n
                 yield pa.RecordBatch.from_arrays([pa.array(quality[rows], pa.int32()), pa.array(counts[rows]), pa.array(raw_ids, pa.binary())], ["quality", "counts", "features"])
 
     target = np.zeros(BUCKETS, np.int64)
-    held = sample.mapInArrow(summarize, "quality int, counts boolean, features binary")
+    held = materialize(sample.mapInArrow(summarize, "quality int, counts boolean, features binary"), "labelled")
     fitting = held.filter("quality = 1 AND counts").select("features")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,9 +83,9 @@ def test_lines_against_brute_force(spark):
         keep = []
         for x in (t or "").split("\n"):
             s = x.strip(" \t\n\x0b\x0c\r")
-            if len(s) < linededup.MIN_CHARS or not any(within(s, y) for y in seen):
+            if not s or not any(s == y or min(len(s), len(y)) >= linededup.MIN_CHARS and within(s, y) for y in seen):
                 keep.append(x)
-            if len(s) >= linededup.MIN_CHARS:
+            if s:
                 seen.append(s)
         expected[i] = None if t is None else "\n".join(keep)
     assert {i: r.text for i, r in got.items()} == expected
@@ -122,6 +122,9 @@ def test_lines_of_awkward_rows(spark):
     assert out.columns == [*df.columns, "n_lines", "n_dropped"]
     rows = out.collect()
     assert len(rows) == 7
+    nameless = [(None, "the first line of all, long enough\nsame"), (None, "x\nthe first line of all, long enough\nsame\nsame"), (None, "y\nz"), (7, "same\nother words"), (7, "q\nsame")]
+    cut = linededup.dedup_lines(spark.createDataFrame(nameless, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in cut) == [("7", "q"), ("7", "same\nother words"), ("None", "the first line of all, long enough"), ("None", "x"), ("None", "y\nz")]
     assert [r["n_dropped"] for r in rows if r[0] == 3] == [0, 0] and [r["n_dropped"] for r in rows if r[0] is None] == [1]
     assert linededup.dedup_lines(empty(spark)).count() == 0
     with pytest.raises(ValueError):
@@ -163,6 +166,75 @@ def test_quality_against_brute_force(spark):
     assert [(r.doc_id, r.score) for r in quality.judge(df.repartition(7), labels).orderBy("doc_id").collect()] == [(i, got[i].score) for i in sorted(got)]
 
 
+def brute_force_judge(spark, rows, labels):
+    """[(score, kept)] of rows (doc_id, text), by plain counts over all documents. The hash of a word or pair is taken as given."""
+    import math
+
+    import pyarrow as pa
+
+    from citeloom.llm.bytewords import blocks
+
+    known = {}
+
+    def feature(*w):
+        if w not in known:
+            ((_, block),) = list(blocks(pa.array([" ".join(w)])))
+            known[w] = int(quality.features(block)[0][-1])
+        return known[w]
+
+    def features(t):
+        w = words(t)
+        return [feature(x) for x in w] + [feature(*x) for x in zip(w, w[1:], strict=False)]
+
+    raw, target = Counter(f for _, t in rows for f in features(t)), Counter()
+    draws = {r.doc_id: r.h for r in spark.createDataFrame([(d,) for d, _ in labels], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    chosen = sorted(labels, key=lambda x: (draws[x[0]], x))[: quality.LABELLED]
+    texts = dict(rows)
+    for d, good in chosen:
+        if good and draws[d] % 2 == 0 and d in texts:
+            target.update(features(texts[d]))
+    totals = [sum(c.values()) for c in (target, raw)]
+    ratio = lambda f: math.log((target[f] + quality.SMOOTHING) / (totals[0] + quality.SMOOTHING * quality.BUCKETS) / ((raw[f] + quality.SMOOTHING) / (totals[1] + quality.SMOOTHING * quality.BUCKETS)))
+    score = lambda t: (sum(map(ratio, f)) / len(f)) if (f := features(t)) and totals[0] else 0.0
+    held = [(score(texts[d]), good) for d, good in chosen if draws[d] % 2 and d in texts]
+    good, bad = ([s for s, g in held if g == k] for k in (1, 0))
+    threshold = -math.inf
+    if totals[0] and good and bad:
+        cuts = sorted({s for s, _ in held})
+        right = [sum(b < c for b in bad) / len(bad) - quality.GOOD_WEIGHT * sum(g < c for g in good) / len(good) for c in cuts]
+        k = max(range(len(cuts)), key=lambda k: (right[k], -k))
+        threshold = cuts[0] if k == 0 else (cuts[k] + cuts[k - 1]) / 2
+    out = []
+    for _, t in rows:
+        n, *_, again = base(t)
+        out.append((score(t), not (n < 10 or 100 * again > 20 * n) and score(t) >= threshold))
+    return out
+
+
+@pytest.mark.parametrize("sf", [None, "/root/testdata/sf0.001"])
+def test_scores_and_verdicts_against_brute_force(spark, sf, tmp_path):
+    if sf is None:
+        _, df, labels = corpus(spark)
+        sf = str(tmp_path)
+        df.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = sorted({(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id is not None and r.quality is not None})
+    got = {r.doc_id: r for r in quality.op3_ngram_ratio(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for (d, t), (score, kept) in zip(rows, brute_force_judge(spark, rows, labels), strict=True):
+        assert (got[d].n_words, got[d].word_chars, got[d].n_symbols, got[d].n_dup_lines, got[d].n_repeat_words) == base(t)
+        assert got[d].score == pytest.approx(score, abs=1e-9) and got[d].kept == kept, d
+
+
+def test_a_labelled_id_that_repeats_counts_once(spark):
+    texts, df, labels = corpus(spark)
+    more = df.unionByName(df.filter("doc_id = 3")).unionByName(df.filter("doc_id = 85"))
+    assert quality.judge(more, labels).count() == len(texts) + 2
+    plain = [x.select("doc_id", "text") for x in (df, more)]
+    assert quality.fit(plain[0], labels)[1] == pytest.approx(quality.fit(plain[1], labels)[1], abs=0.05)
+
+
 def test_quality_without_labels_keeps_all_that_pass_the_base_rules(spark):
     _, df, labels = corpus(spark)
     assert all(r.kept != r.base_failed for r in quality.judge(df, labels.limit(0)).collect())
