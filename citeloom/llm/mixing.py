@@ -13,13 +13,18 @@ is above. Each document is taken as many whole times as the target holds its sou
 partial pass takes documents in order until the target is met, the last one in part. So a
 source's taken words equal its target rounded to a whole number.
 
-Skew: words are counted once and stored as narrow rows; running sums are taken within buckets of
-the order key, a number of buckets that grows with the table, and over the buckets' sums. A source
-that holds most rows is split like any other.
-
-Null text has size 0; null source is a source of its own; null doc_ids count as equal. Rows that
-repeat are documents of their own. A document of size 0 takes nothing and has no position. With
-no words at all every target is 0. An empty table gives no row.
+Skew: words are counted once and stored as narrow rows. Documents of one source, id and size are
+alike to the mix: they are one row with a count before any running sum, so an id that is null or
+repeats in a third of all rows is no larger a key than its sizes are many. Running sums are taken
+within buckets of the order key, a number of buckets that grows with the table, and over the
+buckets' sums; a source that holds most rows is split like any other. Rows are dealt out again in
+runs of at most RUN of one key.
+
+Null text has size 0, a long one is counted whole; null source is a source of its own; null doc_ids
+count as equal. Rows that repeat are documents of their own. Ties in the order, which only rows of
+one doc_id have, go by size; rows equal in both are interchangeable. A document of size 0 takes
+nothing and has no position. With no words at all every target is 0. Columns beyond doc_id, text and
+source don't matter, whatever their names. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ MAX_REPEATS = 3
 #: Knots (time, relative weight) of the schedules, in turn like WEIGHTS: early, level, late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.5), (1.0, 2.75)))
 ROWS_A_BUCKET = 10_000
+RUN = 10_000
 PARTS = 1_000_000_000  # positions are whole billionths of the training run
 
 
@@ -67,14 +73,14 @@ def inverse_sql(share: str, knots: tuple[tuple[float, float], ...]) -> str:
     return f"CASE{out}" if len(parts) > 1 else time
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """A row per source: source, turn, n_docs, source_size, target. sizes: source, size.
+def source_targets(keys: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """A row per source: source, turn, n_keys, source_size, target. keys: source, size, n (documents of that size).
 
     Sorted by how soon they are full, the full sources come first: one is full if its cap over its
     weight is at most what is left for it and those after it, over their weight. Windows here run
     over one row per source.
     """
-    per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").cast("long").alias("source_size"))
+    per = keys.groupBy("source").agg(F.count(F.lit(1)).alias("n_keys"), F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     turn = (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     per = per.withColumn("turn", turn.cast("int"))
     per = per.withColumn("weight", F.element_at(F.array(*(F.lit(int(w)) for w in weights)), F.col("turn") + 1).cast("long"))
@@ -86,30 +92,39 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     rest = F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(W.partitionBy()), F.lit(0))
     shared = F.sum(F.when(~F.col("full"), F.col("weight"))).over(W.partitionBy())
     target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise((F.col("weight") * rest).cast("double") / shared)
-    return per.select("source", "turn", "n_docs", "source_size", target.alias("target"))
+    return per.select("source", "turn", "n_keys", "source_size", target.alias("target"))
+
 
+def _keys(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, source, size. One row for all that are equal, with their number n."""
+    return materialize(rows.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")), "keys")
 
-def _decide(rows: DataFrame, weights: tuple[int, ...], max_repeats: int, rows_a_bucket: int) -> DataFrame:
-    """rows: doc_id, source, size and any others, stored. Adds the source's numbers, the words before each row, and what is taken."""
-    rows = rows.withColumn("draw", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    targets = materialize(source_targets(rows, weights, max_repeats), "targets")
-    n = targets.agg(F.sum("n_docs")).first()[0] or 0
+
+def _decide(keys: DataFrame, weights: tuple[int, ...], max_repeats: int, rows_a_bucket: int) -> DataFrame:
+    """keys: doc_id, source, size, n. Adds the source's numbers (turn, source_size, target, goal, whole) and the words before the first of the n."""
+    keys = keys.withColumn("draw", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    targets = materialize(source_targets(keys, weights, max_repeats), "targets")
+    rows = targets.agg(F.sum("n_keys")).first()[0] or 0
     digits = 2
-    while 16**digits * rows_a_bucket < n:
+    while 16**digits * rows_a_bucket < rows:
         digits += 1
-    rows = rows.withColumn("bucket", F.substring("draw", 1, digits))
-    per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    per = per.withColumn("base", F.sum("held").over(W.partitionBy("source").orderBy("bucket")) - F.col("held"))
+    keys = keys.withColumn("bucket", F.substring("draw", 1, digits)).withColumn("held", F.col("size") * F.col("n"))
+    per = keys.groupBy("source", "bucket").agg(F.sum("held").alias("all"))
+    per = per.withColumn("base", F.sum("all").over(W.partitionBy("source").orderBy("bucket")) - F.col("all"))
     inside = W.partitionBy("source", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("own", F.sum("size").over(inside) - F.col("size"))
+    keys = keys.withColumn("own", F.sum("held").over(inside) - F.col("held"))
     per = per.select(F.col("source").alias("s1"), F.col("bucket").alias("b1"), "base")
-    rows = rows.join(per, (F.col("bucket") == F.col("b1")) & F.col("source").eqNullSafe(F.col("s1"))).drop("s1", "b1")
+    keys = keys.join(per, (F.col("bucket") == F.col("b1")) & F.col("source").eqNullSafe(F.col("s1"))).drop("s1", "b1")
     targets = targets.withColumnRenamed("source", "s2")
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    rows = rows.withColumn("before", (F.col("base") + F.col("own")).cast("long"))
-    rows = rows.withColumn("goal", F.floor(F.col("target") + F.lit(0.5)).cast("long"))
+    keys = keys.join(targets, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    keys = keys.withColumn("before", (F.col("base") + F.col("own")).cast("long"))
+    keys = keys.withColumn("goal", F.floor(F.col("target") + F.lit(0.5)).cast("long"))
     whole = F.least(F.lit(int(max_repeats)).cast("long"), F.expr("CASE WHEN source_size > 0 THEN goal DIV source_size ELSE 0 END"))
-    rows = rows.withColumn("whole", whole)
+    return materialize(keys.withColumn("whole", whole), "decided")
+
+
+def _taken(rows: DataFrame) -> DataFrame:
+    """rows of _decide, before being that of each document: adds part (words of the last, partial pass) and taken."""
     part = F.greatest(F.lit(0), F.least(F.col("goal") - F.col("whole") * F.col("source_size") - F.col("before"), F.col("size")))
     rows = rows.withColumn("part", part.cast("long"))
     return rows.withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
@@ -122,30 +137,52 @@ def position(first_word: str, schedules) -> Column:
     return F.expr(f"CASE WHEN taken > 0 THEN CAST(floor(CAST('{PARTS}' AS DOUBLE) * (CASE turn % {len(schedules)} {at} END)) AS BIGINT) END")
 
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    order = [F.col("position_ppb").asc_nulls_last(), F.col("doc_id").asc_nulls_first()]
+def _in_order(rows: DataFrame, last: str) -> DataFrame:
+    order = [F.col("position_ppb").asc_nulls_last(), F.col("doc_id").asc_nulls_first(), F.col(last)]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """docs: doc_id, text, source. Returns doc_id, size, source_size, target, taken, position_ppb (of the first copy), in order of position."""
     rows = pick(docs, doc_id="doc_id", text="text", source="source")
-    rows = _decide(materialize(rows.select("doc_id", "source", _size().alias("size")), "sizes"), weights, max_repeats, rows_a_bucket)
-    return _in_order(rows.select("doc_id", "size", "source_size", "target", "taken", position("before", schedules).alias("position_ppb")))
+    keys = _decide(_keys(rows.select("doc_id", "source", _size().alias("size"))), weights, max_repeats, rows_a_bucket)
+    runs = keys.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    if (keys.agg(F.max("n")).first()[0] or 0) > RUN:  # a key's runs go to different tasks
+        runs = runs.repartition(F.xxhash64("source", "doc_id", "size", "run"))
+    rows = runs.withColumn("place", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, "n") - 1)))
+    rows = _taken(rows.withColumn("before", F.col("before") + F.col("place") * F.col("size")))
+    return _in_order(rows.select("doc_id", "size", "source_size", "target", "taken", position("before", schedules).alias("position_ppb"), "place"), "place").drop("place")
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for every time a document is taken, whole, in order of training position."""
+    """The mix itself, with the columns of docs: a row for every time a document is taken, whole, in order of training position.
+
+    Equal keys' documents are told apart by row number, counted in parts of their rows so that no key is one task's.
+    """
     names = docs.columns
     flat = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id())
     flat = materialize(flat, "documents")  # fixes the row numbers
     named = flat.toDF(*names, "_row")
     rows = pick(named, doc_id="doc_id", text="text", source="source", row="_row").select("row", "doc_id", "source", _size().alias("size"))
-    rows = _decide(materialize(rows, "sizes"), weights, max_repeats, rows_a_bucket)
+    rows = materialize(rows, "sizes")
+    keys = _decide(_keys(rows.select("doc_id", "source", "size")), weights, max_repeats, rows_a_bucket)
+    keys = keys.withColumns({"k_source": F.col("source"), "k_id": F.col("doc_id"), "k_size": F.col("size")}).drop("source", "doc_id", "size", "draw", "bucket", "held", "base", "own")
+    same = F.col("source").eqNullSafe(F.col("k_source")) & F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("size") == F.col("k_size"))
+    rows = materialize(rows.join(keys, same).drop("k_source", "k_id", "k_size"), "placed")
+    once, more = rows.filter("n = 1").withColumn("place", F.lit(0).cast("long")), rows.filter("n > 1")
+    key = ["source", "doc_id", "size", "run"]
+    more = materialize(more.withColumn("run", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / RUN))), "repeats")
+    held = more.groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
+    held = held.withColumn("first", F.sum("held").over(W.partitionBy(*key[:3]).orderBy("run")) - F.col("held")).drop("held")  # a row for each RUN rows
+    held = held.select("first", *(F.col(c).alias(f"h_{c}") for c in key))
+    more = more.withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy("row")) - 1)
+    more = more.join(held, F.col("source").eqNullSafe(F.col("h_source")) & F.col("doc_id").eqNullSafe(F.col("h_doc_id")) & (F.col("size") == F.col("h_size")) & (F.col("run") == F.col("h_run")))
+    more = more.withColumn("place", (F.col("place") + F.col("first")).cast("long")).drop("run", "first", *(f"h_{c}" for c in key))
+    rows = _taken(once.unionByName(more).withColumn("before", F.col("before") + F.col("place") * F.col("size")))
     copies = F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)
     rows = rows.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
     rows = rows.select("row", "doc_id", position("(copy * source_size + before)", schedules).alias("position_ppb"))
-    out = _in_order(flat.join(rows, flat["_row"] == rows["row"]))
+    out = _in_order(flat.join(rows, flat["_row"] == rows["row"]), "row")
     return out.select(*(f"_c{i}" for i in range(len(names)))).toDF(*names)
 
 

@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name: module that holds a function of that name and perhaps ORACLE_SQL
 NAMES = {
     "op1_token_rollup": "rollup",
+    "token_rollup_bpe": "rollup",  # the same operator over true token counts, which SQL can't check
     "op2_binary_records": "token_records",
     "op3_ngram_ratio": "quality",
     "op4_link_trust": "url_trust",
@@ -24,5 +25,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"{__package__}.{module}"), "ORACLE_SQL", None) for name, module in NAMES.items()}
+    found = {name: getattr(import_module(f"{__package__}.{module}"), "ORACLE_SQL", None) for name, module in NAMES.items() if name.startswith("op")}
     return {name: sql for name, sql in found.items() if sql}

@@ -7,7 +7,7 @@ from cases import awkward, docs, empty, words
 from pyspark.sql import functions as F
 
 from citeloom.llm import mixing, rollup, url_trust
-from citeloom.llm.common import scratch
+from citeloom.llm.common import pick, scratch
 
 FEED = "kind string, doc_id long, source string, lang string, tokenizer_version string, n_tokens long, old_tokens long"
 
@@ -61,6 +61,94 @@ def test_rollup_rejects_bad_input(spark):
     assert store.commit("x", spark.createDataFrame([("insert", 1, "a", None, "v", None, None)], FEED)) and totals(store) == {("a", None, "v"): (1, 0)}
 
 
+def insert(spark, n, *, source="a"):
+    return spark.createDataFrame([("insert", 1, source, "en", "v", n, None)], FEED)
+
+
+def test_two_writers_of_one_batch(spark, monkeypatch):
+    path = scratch(spark, "rollup")
+    one, two = rollup.TokenRollup(spark, path), rollup.TokenRollup(spark, path)
+    true = two._sum
+
+    def late(changes):  # the first writer commits when the second is past its look for the marker
+        assert one.commit("b", insert(spark, 1))
+        return true(changes)
+
+    monkeypatch.setattr(two, "_sum", late)
+    assert two.commit("b", insert(spark, 1)) is False
+    assert totals(one) == {("a", "en", "v"): (1, 1)} and one.committed() == ["b"]
+    assert len(one._names("data")) == 1  # the loser's folder is gone
+
+
+def test_many_writers_of_one_batch(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = scratch(spark, "rollup")
+    stores = [rollup.TokenRollup(spark, path) for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: stores[k].commit("b", insert(spark, k + 1)), range(8)))
+    assert sum(won) == 1 and totals(stores[0]) == {("a", "en", "v"): (1, won.index(True) + 1)}
+
+
+def test_commits_and_compactions_at_once(spark, monkeypatch):
+    path = scratch(spark, "rollup")
+    one, two = rollup.TokenRollup(spark, path), rollup.TokenRollup(spark, path)
+    one.commit("x", insert(spark, 1))
+    true = two._totals
+
+    def late(*args):  # while a base is summed, a batch and another base come in
+        monkeypatch.undo()
+        assert one.commit("y", insert(spark, 10)) and one.compact()
+        return true(*args)
+
+    monkeypatch.setattr(two, "_totals", late)
+    assert two.compact() is False
+    assert totals(one) == totals(two) == {("a", "en", "v"): (2, 11)}
+
+    true_one = one._totals
+
+    def later(*args):
+        monkeypatch.undo()
+        assert two.commit("z", insert(spark, 100))
+        return true_one(*args)
+
+    monkeypatch.setattr(one, "_totals", later)
+    assert one.compact() and totals(one) == {("a", "en", "v"): (3, 111)}
+    assert not one.commit("z", insert(spark, 100)) and one.compact() and totals(two) == {("a", "en", "v"): (3, 111)}
+
+
+def test_a_dead_writer_leaves_nothing(spark):
+    store = rollup.TokenRollup(spark, scratch(spark, "rollup"))
+    store._sum(insert(spark, 5))  # dies before its marker
+    assert totals(store) == {} and store.commit("b", insert(spark, 5)) and totals(store) == {("a", "en", "v"): (1, 5)}
+
+
+def test_rollup_of_empty_batches_and_clashing_columns(spark):
+    store = rollup.TokenRollup(spark, scratch(spark, "rollup"))
+    store.compact()
+    assert totals(store) == {} and store.commit("none", spark.createDataFrame([], FEED)) and totals(store) == {}
+    wide = spark.createDataFrame([("insert", 1, None, None, None, 7, None)] * 2, FEED).selectExpr("*", "'delete' AS KIND", "9 AS N_TOKENS")
+    assert store.commit("wide", wide) and totals(store) == {(None, None, None): (2, 14)}
+    store.compact()
+    assert totals(store) == {(None, None, None): (2, 14)} and not store.commit("none", wide)
+
+
+def test_rollup_by_tokenizers_against_brute_force(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    rows = pick(awkward(spark), **{c: c for c in ("doc_id", "text", "lang", "source", "n_chars")}).unionByName(docs(spark, "Some words, ünd more", "a\nb", None))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    byte, word = (Tokenizer.from_file(P.path(x)) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    for sf in (str(tmp_path), "/root/testdata/sf0.001"):
+        expected = defaultdict(lambda: [0, 0])
+        for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+            key, coder = ((r.source, r.lang, "word_bpe"), word) if r.lang == "en" else ((r.source, r.lang, "byte_bpe"), byte)
+            expected[key][0] += 1
+            expected[key][1] += len(coder.encode(r.text or "", add_special_tokens=False).ids)
+        assert {(r.source, r.lang, r.tokenizer_version): [r.n_docs, r.n_tokens] for r in rollup.token_rollup_bpe(spark, sf).collect()} == expected
+
+
 def page(url, *links):
     return url, "".join(f'<a href="{x}">x</a>' for x in links)
 
@@ -79,6 +167,35 @@ def test_urls_and_rules(spark):
     assert clash.count() == len(cases)
 
 
+def test_ten_thousand_rules_against_brute_force(spark):
+    rng = random.Random(12)
+    hosts = ["com", "net", "a.com", "b.a.com", "x.net", "c.b.a.com", "ünï.net"]
+    paths = ["/", "/a", "/a/", "/a/b", "/ab", "/b/c/d", "/é/"]
+    rules = [(rng.choice(["allow", "block"]), f"h{i}.{rng.choice(hosts)}", rng.choice(paths)) for i in range(9_900)]
+    rules += [(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(paths)) for _ in range(60)]
+    rules += [("allow", "a.com", f"/many/{i}/") for i in range(40)]
+    rng.shuffle(rules)
+    urls = [f"http://{rng.choice(['', 'w.', f'h{rng.randrange(10_000)}.', 'q.h7.'])}{rng.choice(hosts)}{rng.choice([*paths, '', '/many/3/x', '/a/b/c/d?e'])}{rng.choice(['', 'tail', '#f'])}" for _ in range(400)] + [None, "no scheme", urls_repeat := "http://a.com/a/b", urls_repeat]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").selectExpr("*", "'n' AS rule", "1 AS n")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_trust.judge(df, rules).collect()}
+    for i, u in enumerate(urls):
+        host, path = "", ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1].split("#")[0].split("?")[0]
+            host, _, path = rest.partition("/")
+            path = "/" + path if "/" in rest else ""
+        fits = [(-len(h + p), k) for k, (_, h, p) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule = rules[min(fits)[1]] if fits else None
+        assert got[i][0] == (rule and rule[1] + rule[2]), u
+        if rule:
+            assert got[i][1] == rule[0], (u, rule)
+    assert sum(x[0] is not None for x in got.values()) > 100
+    short = {r.page_id: (r.rule, r.verdict) for r in url_trust.judge(df, rules[:150]).collect()}
+    table = spark.createDataFrame([(*r, k) for k, r in enumerate([*rules[:150], (None, "com", "/"), ("block", None, "/")])], "verdict string, host string, path string, place long")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_trust.judge(df, table).collect()} == short
+    assert url_trust.judge(df.limit(0), rules).count() == 0
+
+
 def test_link_graph_against_brute_force_and_sql(spark):
     rng = random.Random(6)
     hosts = [f"h{i}.com" for i in range(12)] + ["bad.net", "worse.net", "good.example.net", "fine.org"]
@@ -97,13 +214,14 @@ def test_link_graph_against_brute_force_and_sql(spark):
     def rank(links, seeds):
         own = {s: url_trust.SCALE // len(seeds) * 15 // 100 for s in seeds}
         out, now = Counter(a for a, _ in links), dict(own)
-        for _ in range(url_trust.ROUNDS):
+        while True:
             new = defaultdict(int, own)
             for a, b in links:
                 if a in now:
                     new[b] += now[a] * 85 // (100 * out[a])
-            now = {k: v for k, v in new.items() if v > 0}
-        return now
+            was, now = now, {k: v for k, v in new.items() if v > 0}
+            if was == now:
+                return now
 
     trust, distrust = rank(edges, ["good.example.net", "fine.org"]), rank({(b, a) for a, b in edges}, ["bad.net", "worse.net"])
     for h in hosts:
@@ -193,6 +311,31 @@ def test_positions_invert_the_integral(spark, knots):
         mixing.segments(((0.0, 1.0), (0.5, 1.0)))
 
 
+def test_a_third_of_the_rows_without_id_against_brute_force_and_sql(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, 5, rng.randrange(1000)]), " ".join(["w"] * rng.choice([0, 3, 3, 3, rng.randrange(9)])), "en", rng.choice(["a", "a", "b", None]), 0) for _ in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, mixing.mix(df, rows_a_bucket=1).collect()), key=repr)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    assert got == sorted(con.execute(mixing.oracle_sql()).fetchall(), key=repr)
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(words(r[1]))
+    out = mixing.mix_documents(df)
+    assert out.columns == df.columns
+    taken = Counter()
+    for r in out.collect():
+        taken[r.source] += len(words(r.text))
+    assert all(-0.5 <= taken[s] - goal < 8.5 for s, goal in targets(size).items())
+    times = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    held = Counter((r[0], r[1], r[3]) for r in rows if words(r[1]))
+    for s in size:  # whole passes take every document, the last one each at most once
+        whole = int(round(targets(size)[s])) // size[s]
+        assert all(whole * n <= times[k] <= (whole + 1) * n for k, n in held.items() if k[2] == s)
+
+
 def test_mix_of_awkward_rows(spark):
     rows = mixing.mix(awkward(spark)).collect()
     assert len(rows) == 7 and {r.taken for r in rows if r.size == 0} == {0}
