@@ -7,13 +7,20 @@ as a share of its capacity (rule "norm"), or whose residuals have the smallest w
 product with the piece's demands ("dot": residuals that match the demand least are kept for
 others). Ties go to the sequence opened first. A piece that fits no open sequence opens one.
 
-Pieces of one group are packed in one task. Groups are dealt by hash of the piece, about
-GROUP_PIECES pieces each whatever the table's size, so a task's memory is bounded and at most one
-or two sequences a group are not full; a piece as long as the token capacity needs no packing.
+The capacities for documents and cost follow from the load: DOCS_SLACK and COST_SLACK times what a
+sequence holds of them on average, at the fewest sequences that the tokens allow, and at least one
+piece's share. So they bind where short or long pieces crowd into one sequence. As the fewest
+sequences come first, a group that they cost a sequence is packed again without them, and that
+packing stands if it takes fewer. A caller that names capacities has them kept whatever they cost.
+
+Pieces of one group are packed in one task. Groups are dealt by a stored row number, about
+GROUP_PIECES pieces each whatever the table's size and whatever repeats in it, so a task's memory is
+bounded and at most one or two sequences a group are not full.
 
 Only piece lengths are exchanged; texts never are. A null or empty text still has its end id, a
-piece of length 1. Repeated rows are separate documents; where doc_id repeats, ``row`` tells them
-apart only by order of their ids. An empty table gives no row.
+piece of length 1. Repeated rows and null doc_ids are documents of their own, each with its own
+pieces. Texts of any length are encoded whole and cut. Ties in length go by doc_id, piece and
+checksum. Other columns, whatever their names, are left out. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -31,6 +38,8 @@ from . import encoding
 from .common import bounded_batches, materialize, pick
 
 GROUP_PIECES = 50_000
+DOCS_SLACK = 8
+COST_SLACK = 4
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -116,25 +125,34 @@ def best_fit(lengths: list[int], capacity: int, max_docs: int, max_cost: int, we
 
 
 def pack_pieces(
-    pieces: DataFrame, capacity: int = 4096, max_docs: int = 4096, max_cost: int = 4096**2, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm", group_pieces: int = GROUP_PIECES
+    pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm", group_pieces: int = GROUP_PIECES
 ) -> DataFrame:
     """Pack pieces (doc_id, piece, start, length, ids_crc32): adds sequence_id and offset.
 
+    Capacities that are not named follow from the load, and give way where they would cost a sequence.
     Raises ValueError for a capacity or a rule that makes no sense, and for a piece that no empty
     sequence can take.
     """
-    if rule not in ("norm", "dot") or capacity < 1 or max_docs < 1:
+    if rule not in ("norm", "dot") or capacity < 1 or (max_docs is not None and max_docs < 1):
         raise ValueError(f"rule {rule!r}, capacity {capacity}, max_docs {max_docs}")
-    total = pieces.count()
+    rows = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    total, tokens, cost, longest = rows.agg(F.count(F.lit(1)), F.sum("length"), F.sum(F.col("length") * F.col("length")), F.max("length")).first()
+    least = max(1, -(-(tokens or 0) // capacity))
+    docs = max_docs or max(2, -(-DOCS_SLACK * total // least))
+    area = max_cost or max((longest or 0) ** 2, -(-COST_SLACK * (cost or 0) // least))
     groups = max(1, -(-total // group_pieces))
-    keyed = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    keyed = rows.withColumn("pack_group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = table.column("length").to_pylist()
-        if lengths and (lengths[0] > capacity or lengths[0] ** 2 > max_cost):
+        if lengths and (lengths[0] > capacity or lengths[0] ** 2 > area):
             raise ValueError(f"a piece of {lengths[0]} tokens fits no sequence")
-        seq = np.array(best_fit(lengths, capacity, max_docs, max_cost, weights, rule), np.int64)
+        found = best_fit(lengths, capacity, docs, area, weights, rule)
+        if (max_docs is None or max_cost is None) and max(found) + 1 > -(-sum(lengths) // capacity):
+            free = best_fit(lengths, capacity, max_docs or len(lengths), max_cost or max(area, capacity**2), weights, rule)
+            found = free if max(free) < max(found) else found
+        seq = np.array(found, np.int64)
         size = np.array(lengths, np.int64)
         order = np.argsort(seq, kind="stable")
         before = np.cumsum(size[order]) - size[order]
@@ -151,7 +169,7 @@ def pack_pieces(
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, **limits) -> DataFrame:
     """Encode, cut and pack docs; the encoded pieces' lengths are stored once in the shared folder."""
-    return pack_pieces(materialize(cut_documents(docs, tokenizer, end_id, capacity), "pieces"), capacity, **limits)
+    return pack_pieces(cut_documents(docs, tokenizer, end_id, capacity), capacity, **limits)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

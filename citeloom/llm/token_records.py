@@ -13,12 +13,14 @@ checks stays sound. ``part-NNNNN.idx`` has per record, in the same order, four l
 64-bit integers: offset and size of the record, doc_id, and how many ids the shard holds before
 it. Any record can be read alone, in any order.
 
-A shard holds one range of doc_id, ascending; shards ascend. Each task writes its own shard under
+A shard holds one range of doc_id, ascending, of about SHARD_BYTES of text; shards ascend. Each task writes its own shard under
 a temporary name and renames it, so a task that runs again, after an executor was lost, leaves the
 same bytes. The files go to the shared folder through pyarrow's file systems.
 
 Null texts are empty and give one id, the end id. Rows with the same doc_id stay separate and
-stand side by side, ordered by their ids. Null doc_ids come first. An empty table gives no record.
+stand side by side, ordered by their texts' hashes, then texts. Null doc_ids come first. Texts of any
+length are one record. Columns beyond doc_id and text don't matter, whatever their names. An empty
+table gives no record.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from . import encoding
 from .common import bounded_batches, pick, scratch
 
 MISSING = -(1 << 63)
+SHARD_BYTES = 256 << 20
 _HEAD = "<QI"
 _INDEX = "<QQqQ"
 
@@ -89,8 +92,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    if not shards:
+        held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // SHARD_BYTES))
+    rows = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

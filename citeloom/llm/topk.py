@@ -54,7 +54,7 @@ LEAST_CHUNKS = 24  # of a small table, so that a search has as many tasks
 PACK = 64
 PACKS_A_TASK = 64
 LOOK_AHEAD = 8
-STEP = 64  # candidates a query evaluates between two looks at its bound
+STEP, MOST_STEP = 64, 1024  # candidates a query evaluates between two looks at its bound, at first and at most
 SLACK = 1e-5  # of |q| |x|: bounds in 32-bit floats are off by less than 4e-6 of it at 48 pivots
 _KINDS = "chunk int, salt int, kind int, no long, ids binary, tags binary, vectors binary, apexes binary, floors binary"
 
@@ -165,56 +165,75 @@ class Chunk:
     """One chunk of candidates in a worker: blocks with their boxes; answers packs of queries."""
 
     def __init__(self, k: int):
-        self.k, self.parts = k, []
+        self.k, self.parts, self.ids, self.vectors, self.exact = k, [], None, None, {}
         self.evaluated = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, apexes: np.ndarray) -> None:
         self.parts.append((ids, vectors, apexes, apexes.min(axis=0), apexes.max(axis=0)))
 
+    def _whole(self) -> None:
+        self.ids, self.vectors = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        self.first = np.cumsum([0, *(len(p[0]) for p in self.parts)])
+        self.low, self.high = (np.stack([p[i] for p in self.parts]) for i in (3, 4))
+        self.most = float(np.abs(self.vectors.astype(np.int64)).max(initial=0))
+
+    def _scorer(self, queries: np.ndarray):
+        """A function (query number, rows) to exact scores: in floats or doubles while every partial sum fits their 24 or 53 bits."""
+        most = self.most * float(np.abs(queries.astype(np.int64)).max(initial=0)) * max(1, queries.shape[1])
+        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else None
+        if kind is None:
+            return lambda q, rows: _scores(queries[q : q + 1], self.vectors[rows])[0]
+        if kind not in self.exact:
+            self.exact[kind] = self.vectors.astype(kind)
+        mine, own = queries.astype(kind), self.exact[kind]
+        return lambda q, rows: (own[rows] @ mine[q]).astype(np.int64)
+
     def search(self, ids: np.ndarray, vectors: np.ndarray, apexes: np.ndarray, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the (scores, ids) of its k best rows here that reach its floor."""
-        nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        nothing = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
         if not self.parts:
-            return [nothing] * len(ids)
-        bounds = box_bound(apexes, np.stack([p[3] for p in self.parts]), np.stack([p[4] for p in self.parts]))
-        open_blocks = np.flatnonzero((bounds >= floors[:, None]).any(axis=0))
+            return nothing
+        if self.ids is None:
+            self._whole()
+        open_blocks = np.flatnonzero((box_bound(apexes, self.low, self.high) >= floors[:, None]).any(axis=0))
         if not len(open_blocks):
-            return [nothing] * len(ids)
-        own = [self.parts[b] for b in open_blocks]
-        upper = np.concatenate([apexes @ p[2].T for p in own], axis=1) + apexes.dtype.type(1)
-        first = np.cumsum([0, *(len(p[0]) for p in own)])
-        return [self._best(ids[q], vectors[q : q + 1], upper[q], float(floors[q]), own, first) for q in range(len(ids))]
+            return nothing
+        upper = np.concatenate([apexes @ self.parts[b][2].T for b in open_blocks], axis=1) + apexes.dtype.type(1)
+        rows = np.concatenate([np.arange(self.first[b], self.first[b + 1]) for b in open_blocks])
+        score = self._scorer(vectors)
+        return [self._best(int(ids[q]), q, upper[q], float(floors[q]), rows, score) for q in range(len(ids))]
 
-    def _best(self, query: int, vector: np.ndarray, upper: np.ndarray, floor: float, own: list, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        score, ids, done = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _best(self, query: int, number: int, upper: np.ndarray, floor: float, rows: np.ndarray, scorer) -> tuple[np.ndarray, np.ndarray]:
+        score, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def evaluate(rows: np.ndarray) -> None:
-            """Rows in the order of their bounds, until these fall below the floor."""
+        def evaluate(places: np.ndarray) -> None:
+            """Rows in the order of their bounds, until these fall below the floor; in steps that grow."""
             nonlocal score, ids, floor
-            rows = rows[np.argsort(-upper[rows], kind="stable")]
-            for i in range(0, len(rows), STEP):
-                part = rows[i : i + STEP]
-                if upper[part[0]] < floor:
-                    break
+            bound = upper[places]
+            order = np.argsort(-bound, kind="stable")
+            places, bound, at, step = places[order], bound[order], 0, STEP
+            while at < len(places) and bound[at] >= floor:
+                part = rows[places[at : at + step]]
                 self.evaluated += len(part)
-                block = np.searchsorted(first, part, side="right") - 1
-                found, names = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
-                for b in np.unique(block):
-                    mine = block == b
-                    at = part[mine] - first[b]
-                    found[mine], names[mine] = _scores(vector, own[b][1][at])[0], own[b][0][at]
-                keep = (names != query) & (found >= floor)
-                score, ids = np.concatenate([score, found[keep]]), np.concatenate([ids, names[keep]])
-                order = np.lexsort((ids, -score))[: self.k]
-                score, ids = score[order], ids[order]
-                if len(score) == self.k:
-                    floor = max(floor, float(score[-1]))
+                found = scorer(number, part)
+                keep = np.flatnonzero(found >= floor)
+                if len(keep):
+                    names, found = self.ids[part[keep]], found[keep]
+                    other = names != query
+                    score, ids = np.concatenate([score, found[other]]), np.concatenate([ids, names[other]])
+                    order = np.lexsort((ids, -score))[: self.k]
+                    score, ids = score[order], ids[order]
+                    if len(score) == self.k:
+                        floor = max(floor, float(score[-1]))
+                at, step = at + step, min(4 * step, MOST_STEP)
 
         if np.isinf(floor) and len(upper) > 2 * STEP:  # those of the greatest bounds first, for a floor to begin with
-            done = np.argpartition(-upper, STEP)[:STEP]
-            evaluate(done)
-        rows = np.flatnonzero(upper >= floor)
-        evaluate(rows[~np.isin(rows, done)] if len(done) else rows)
+            places = np.argpartition(-upper, STEP)
+            evaluate(places[:STEP])
+            left = places[STEP:]
+            evaluate(left[upper[left] >= floor])
+        else:
+            evaluate(np.flatnonzero(upper >= floor))
         return score, ids
 
 

@@ -8,6 +8,7 @@ import pytest
 from cases import awkward, docs, empty
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -111,6 +112,31 @@ def test_every_capacity_holds(spark, rule):
         assert sum(n for _, n in x) <= 30 and len(x) <= 4 and sum(n * n for _, n in x) <= 150
 
 
+def pieces_of(spark, lengths):
+    return spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
+def test_capacities_from_the_load_bind_without_a_sequence_more(spark, monkeypatch):
+    monkeypatch.setattr(packing, "DOCS_SLACK", 2)
+    lengths = [600] * 40 + [1] * 4000
+    least = -(-sum(lengths) // 1000)
+    free = bins(packing.pack_pieces(pieces_of(spark, lengths), 1000, max_docs=5000, max_cost=10**6).collect())
+    found = bins(packing.pack_pieces(pieces_of(spark, lengths), 1000).collect())
+    docs = -(-packing.DOCS_SLACK * len(lengths) // least)
+    assert max(map(len, free.values())) > docs >= max(map(len, found.values()))  # without it more would crowd into one
+    assert len(found) == len(free) == 40
+    crowd = [999] * 40 + [1] * 3000  # they would cost sequences here, and give way
+    assert len(bins(packing.pack_pieces(pieces_of(spark, crowd), 1000).collect())) == -(-sum(crowd) // 1000)
+
+
+def test_equal_rows_are_dealt_over_all_groups(spark):
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(300).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    out = packing.pack_pieces(rows, group_pieces=2_500).collect()
+    assert len(out) == 20_000 and len({r.sequence_id % 8 for r in out}) == 8
+    found = bins(out)
+    assert all(len(x) <= 13 for x in found.values()) and len(found) <= -(-20_000 // 13) + 8
+
+
 def test_best_fit_takes_the_tightest_sequence():
     assert packing.best_fit([7, 6, 4, 3], 10, 10, 1000, (1.0, 0.0, 0.0), "norm") == [0, 1, 1, 0]
     with pytest.raises(ValueError):
