@@ -48,19 +48,23 @@ def keep_first(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def coalesce_records(
-    rows: DataFrame, key: str, order: str, mapping: Mapping[str, str], preferred: Mapping[str, str] | None = None, merged_lists: Mapping[str, Sequence[str]] | None = None, dropped: Column | None = None
+    rows: DataFrame, key: str, order: str, mapping: Mapping[str, str] | DataFrame, preferred: Mapping[str, str] | None = None, merged_lists: Mapping[str, Sequence[str] | None] | None = None, dropped: Column | None = None
 ) -> DataFrame:
     """One record per canonical key: the base row's values, gaps filled from the others in order.
 
     Base: the row whose own key is canonical, else the preferred source's, else the first; order is
-    a column. Columns named in merged_lists become, for the keys listed there, the ordered distinct
-    union of semicolon lists instead.
+    a column. mapping: keys and their canonical keys, or a DataFrame key, canonical. Columns named in
+    merged_lists become, for the keys listed there (None: all), the ordered distinct union of semicolon
+    lists instead.
     """
     own = trim_ws(F.col(key))
     rows = rows.withColumn(key, own).filter(~F.col(key).startswith("ANONYMOUS"))
     if dropped is not None:
         rows = rows.filter(~F.coalesce(dropped, F.lit(False)))
-    rows = rows.withColumn("_canon", replaced(F.col(key), mapping))
+    if isinstance(mapping, DataFrame):
+        rows = rows.join(mapping.select(F.col(mapping.columns[0]).alias(key), F.col(mapping.columns[1]).alias("_to")), key, "left").withColumn("_canon", F.coalesce("_to", key)).drop("_to")
+    else:
+        rows = rows.withColumn("_canon", replaced(F.col(key), mapping))
     source = F.col(key) == F.try_element_at(F.create_map(*(F.lit(x) for p in preferred.items() for x in p)), F.col("_canon")) if preferred else F.lit(False)
     rows = rows.withColumn("_turn", F.when(F.col(key) == F.col("_canon"), 0).when(F.coalesce(source, F.lit(False)), 1).otherwise(2))
     # only the first row of the best kind is the base; the others follow in their own order
@@ -72,15 +76,28 @@ def coalesce_records(
     for c in columns:
         value = filled(F.col(c))
         first = F.min_by(F.col(c), F.when(value.isNotNull(), place))
-        listed = (merged_lists or {}).get(c)
-        if listed:
+        listed = (merged_lists or {}).get(c, ())
+        if listed or listed is None:
             parts = F.transform(F.array_sort(F.collect_list(F.struct("_base", order, semicolon_parts(F.col(c)).alias("p")))), lambda x: x["p"])
             union = F.array_join(F.array_distinct(F.flatten(parts)), ";")
-            first = F.when(F.col("_canon").isin(*listed), union).otherwise(first)
+            first = union if listed is None else F.when(F.col("_canon").isin(*listed), union).otherwise(first)
         aggs.append(first.alias(c))
     return rows.groupBy("_canon").agg(*aggs).withColumnRenamed("_canon", key)
 
 
+def tidy_articles(
+    rows: DataFrame, order: str, mapping: Mapping[str, str] | DataFrame, preferred: Mapping[str, str] | None = None, multi_doi: Sequence[str] = (), dropped_dois: Sequence[str] = (), overrides: DataFrame | None = None
+) -> DataFrame:
+    """Article rows (SR, doi, __doi_norm, ...) as one record per canonical SR, rows of a dropped DOI left out, overrides (SR, ...) applied last."""
+    doi = [F.lower(trim_ws(F.coalesce(F.col(c), F.lit("")))).isin(*dropped_dois) for c in ("doi", "__doi_norm") if c in rows.columns and dropped_dois]
+    gone = None
+    for d in doi:
+        gone = d if gone is None else gone | d
+    lists = {c: tuple(multi_doi) for c in ("doi", "__doi_norm") if c in rows.columns and multi_doi}
+    out = coalesce_records(rows.filter("SR IS NOT NULL"), "SR", order, mapping, preferred, lists, gone)
+    return out if overrides is None else override(out, overrides, "SR")
+
+
 def override(rows: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
     """Columns of overrides replace those of rows of the same key where not null; keys not in rows are added."""
     own = [c for c in overrides.columns if c != key]
@@ -90,10 +107,24 @@ def override(rows: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
     return changed.unionByName(added, allowMissingColumns=True)
 
 
-def normalize_columns(df: DataFrame, names: Sequence[str] = ("SR", "title", "abstract", "year", "cited_by", "journal", "source_title", "doi")) -> DataFrame:
-    """Rename columns that differ from the canonical names only in case."""
-    low = {n.lower(): n for n in names}
-    return df.withColumnsRenamed({c: low[c.lower()] for c in df.columns if c.lower() in low and c not in names})
+def normalize_columns(df: DataFrame, names: Sequence[str] = ("SR", "title", "abstract", "year", "journal", "source_title", "doi", "cited_by")) -> DataFrame:
+    """Rename columns that differ from the canonical names only in case and white space around; of several the last, as none if the name itself is there."""
+    found = {c.strip().lower(): c for c in df.columns}
+    return df.withColumnsRenamed({found[n.lower()]: n for n in names if n.lower() in found and n not in df.columns})
+
+
+def publications(rows: DataFrame, current_year: int, recent_years: int = 5, include_non_main: bool = False) -> DataFrame:
+    """Recent articles of a user's table: SR stripped, year and cited_by as numbers, one row for each SR, the most cited (ties: newest, then title).
+
+    Main articles only, where flags tell them. Rows without an SR or a year go; a missing cited_by is 0.
+    """
+    rows = normalize_columns(rows)
+    require_columns(rows, "SR", "year", "cited_by")
+    rows = main_articles(rows, include_non_main=include_non_main).filter("SR IS NOT NULL").withColumn("SR", trim_ws(F.col("SR")))
+    rows = numeric(rows, "year", "cited_by").withColumn("cited_by", F.coalesce("cited_by", F.lit(0.0)))
+    rows = rows.filter(F.col("year") >= current_year - recent_years).withColumn("year", F.col("year").cast("int"))
+    title = [F.col("title").asc_nulls_last()] if "title" in rows.columns else []
+    return keep_first(rows, "SR", F.col("cited_by").desc(), F.col("year").desc(), *title)
 
 
 def main_articles(df: DataFrame, flags: Sequence[str] = ("__is_main", "ismainarticle", "ismain_wos", "ismain_scopus"), include_non_main: bool = False) -> DataFrame:

@@ -1,6 +1,8 @@
 """Citation-graph operators over edges (src, dst): DataFrame loops whose rounds end in stored tables.
 
 An edge points from the citing to the cited node. No operator brings nodes or edges to the driver.
+The loops work on whole numbers: string ids are numbered once, in their order, so that the smallest
+number is the smallest id, and edges of numbers are taken as they are.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import forget, stored
 
 BIG = "decimal(38,0)"  # path counts grow exponentially; an overflow raises
 
@@ -37,29 +39,66 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
+def numbered(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ids, edges): ids has id and n, numbers that grow with the id; the edges' src and dst are numbers. nodes (id) adds nodes."""
+    every = vertices(edges) if nodes is None else nodes.select("id").unionByName(vertices(edges)).distinct()
+    ids = stored(every.repartitionByRange("id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("n")), "ids")
+    out = edges.join(ids.select(F.col("id").alias("src"), F.col("n").alias("s")), "src").join(ids.select(F.col("id").alias("dst"), F.col("n").alias("d")), "dst")
+    return ids, stored(out.select(F.col("s").alias("src"), F.col("d").alias("dst")), "edges")
+
+
+def _named(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """rows with the ids in place of the numbers in columns."""
+    for c in columns:
+        rows = rows.join(ids.select(F.col("n").alias(c), F.col("id").alias("_name")), c).withColumn(c, F.col("_name")).drop("_name")
+    return rows
+
+
+def _are_numbers(edges: DataFrame) -> bool:
+    return edges.schema["src"].dataType.typeName() == "long"
+
+
+def _trees(pairs: DataFrame) -> DataFrame:
+    """(v, p) for every node of pairs (a, b): the root of the tree in which each node hangs on its smallest neighbour, if smaller."""
+    both = pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("w")))
+    parent = stored(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("p")), "parents")
+    while True:  # pointers double in length, so a path of length n takes log n rounds
+        up = parent.select(F.col("v").alias("p"), F.col("p").alias("far"))
+        step = stored(parent.join(up, "p", "left").select("v", F.col("p").alias("was"), F.coalesce("far", "p").alias("p")), "parents")
+        forget(parent)
+        parent = step
+        if step.filter("was <> p").isEmpty():
+            return parent
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Weakly connected components: (id, component), the component being its smallest id.
 
-    Min-label propagation with pointer jumping. nodes (id) adds nodes that no edge touches.
+    By contraction: every node hangs on its smallest neighbour, trees become single nodes, and the
+    distinct edges between them are all that the next round sees, at most half as many nodes. nodes
+    (id) adds nodes that no edge touches.
     """
-    pairs = undirected(edges)
-    both = stored(pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("w"))), "both")
-    labels = stored(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        step = labels.join(near, "v").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        step = stored(step.join(jump, "label").select("v", "was", F.least("label", "far").alias("label")), "labels")
-        labels = step.select("v", "label")
-        if step.filter("was <> label").isEmpty():
-            break
-    out = labels.select(F.col("v").alias("id"), F.col("label").alias("component"))
+    if not _are_numbers(edges):
+        ids, links = numbered(edges, nodes)
+        return _named(components(links, ids.select(F.col("n").alias("id"))), ids, "id", "component")
+    left, rounds = stored(undirected(edges), "pairs"), []
+    while not left.isEmpty():
+        tree = _trees(left)
+        rounds.append(tree)
+        a, b = tree.select(F.col("v").alias("a"), F.col("p").alias("x")), tree.select(F.col("v").alias("b"), F.col("p").alias("y"))
+        between = left.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        was, left = left, stored(between, "pairs")
+        forget(was)
     every = vertices(edges) if nodes is None else nodes.select("id").unionByName(vertices(edges)).distinct()
-    return every.join(out, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    out = every.withColumn("component", F.col("id"))
+    for tree in rounds:  # later rounds are small
+        out = out.join(tree.select(F.col("v").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
+    return out
 
 
 def giant_component(edges: DataFrame) -> DataFrame:
     """Edges of the largest component; of equal ones that with the smallest id."""
+    edges = edges if hasattr(edges, "_stored_at") else stored(edges, "edges")
     labels = stored(components(edges), "components")
     top = labels.groupBy("component").count().orderBy(F.col("count").desc(), "component").limit(1).select("component")
     members = labels.join(F.broadcast(top), "component").select(F.col("id").alias("src"))
@@ -72,6 +111,19 @@ def prune_terminal(edges: DataFrame) -> DataFrame:
     return edges.join(ends, "dst", "left_anti").select("src", "dst")
 
 
+def _trim(left: DataFrame) -> DataFrame:
+    """Edges without the nodes that have no predecessor or no successor, again and again until all have both."""
+    n = left.count()
+    while n:
+        whole = degrees(left).filter("in_degree > 0 AND out_degree > 0").select("id")
+        step = stored(left.join(whole.withColumnRenamed("id", "src"), "src", "left_semi").join(whole.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "left")
+        forget(left)
+        was, n, left = n, step.count(), step
+        if n == was:
+            break
+    return left
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """Strongly connected components of two or more nodes: (id, scc), the scc named by its largest id.
 
@@ -79,17 +131,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
     is left every node takes the largest id that reaches it; the nodes of one colour from which its
     id is reached back are one component, and go.
     """
+    if not _are_numbers(edges):
+        ids, links = numbered(edges)
+        return _named(strong_components(links), ids, "id", "scc")
     left = stored(edges.filter("src <> dst").distinct(), "left")
     found = None
     while True:
-        while True:  # trim
-            n = left.count()
-            if not n:
-                break
-            left = stored(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "left")
-            if left.count() == n:
-                break
-        if not n:
+        left = _trim(left)
+        if left.isEmpty():
             break
         colors = stored(vertices(left).select("id", F.col("id").alias("color")), "colors")
         while True:
@@ -118,14 +167,19 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def break_cycles(edges: DataFrame) -> DataFrame:
     """Without the edges inside strongly connected components of two or more nodes."""
-    scc = strong_components(edges)
+    scc = stored(strong_components(edges), "scc")
+    if scc.isEmpty():
+        return edges
     out = edges.join(scc.select(F.col("id").alias("src"), F.col("scc").alias("s1")), "src", "left").join(scc.select(F.col("id").alias("dst"), F.col("scc").alias("s2")), "dst", "left")
     return out.filter("NOT coalesce(s1 = s2, false)").select("src", "dst")
 
 
 def clean_graph(edges: DataFrame) -> DataFrame:
     """Distinct edges, no self-loops, the giant component, no terminal single-cited nodes, no cycles."""
-    return stored(break_cycles(stored(prune_terminal(stored(giant_component(stored(drop_self_loops(edges.distinct()), "edges")), "giant")), "pruned")), "clean")
+    ids, links = numbered(stored(drop_self_loops(edges.distinct()), "edges"))
+    giant = stored(giant_component(links), "giant")
+    kept = break_cycles(stored(prune_terminal(giant), "pruned"))
+    return stored(_named(kept, ids, "src", "dst"), "clean")
 
 
 def path_sums(edges: DataFrame, seeds: DataFrame, *values: str, backward: bool = True) -> DataFrame:
@@ -215,3 +269,28 @@ def removal_impact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
     out = summary(pairs, every, "before").crossJoin(summary(kept, every.join(nodes.select("id"), "id", "left_anti"), "after")).crossJoin(n)  # one row each
     return out.select((F.col("n_after") - F.col("n_before")).alias("component_delta"), F.greatest(F.lit(0), F.col("giant_before") - F.col("giant_after") - F.col("n")).alias("giant_loss"))
+
+
+def removal_impacts(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """What taking each group of members (grp, id) out does: grp, component_delta, giant_loss (beyond the members themselves).
+
+    All groups are taken out at once, each from a copy of the graph: edges grow with the number of groups, a handful of branches.
+    """
+    ids, links = numbered(edges)
+    pairs = stored(undirected(links).withColumnsRenamed({"a": "src", "b": "dst"}), "pairs")
+    groups = stored(members.select("grp").distinct().orderBy("grp").coalesce(1).withColumn("g", F.monotonically_increasing_id()), "groups")
+    own = stored(members.join(ids, "id").join(groups, "grp").select("g", "n").distinct(), "members")
+    n_groups = groups.count()
+    whole = stored(components(pairs, ids.select(F.col("n").alias("id"))).groupBy("component").count(), "whole")
+    before = whole.agg(F.count(F.lit(1)).alias("n_before"), F.coalesce(F.max("count"), F.lit(0)).alias("giant_before"))
+    tag = lambda c: (F.col(c) * n_groups + F.col("g")).alias(c)
+    copies = pairs.crossJoin(F.broadcast(groups.select("g")))  # a handful of groups
+    for c in ("src", "dst"):
+        copies = copies.join(own.withColumnRenamed("n", c), ["g", c], "left_anti")
+    nodes = ids.select("n").crossJoin(F.broadcast(groups.select("g"))).join(own, ["g", "n"], "left_anti").select((F.col("n") * n_groups + F.col("g")).alias("id"))
+    parts = components(copies.select(tag("src"), tag("dst")), nodes).groupBy("component").count()
+    after = parts.groupBy((F.col("component") % n_groups).alias("g")).agg(F.count(F.lit(1)).alias("n_after"), F.max("count").alias("giant_after"))
+    size = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    out = groups.join(size, "g", "left").join(after, "g", "left").crossJoin(before)  # one row
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.select("grp", (zero("n_after") - F.col("n_before")).alias("component_delta"), F.greatest(F.lit(0), F.col("giant_before") - zero("giant_after") - zero("n")).alias("giant_loss"))

@@ -80,10 +80,15 @@ def smallest_communities(communities: DataFrame, count: int = 3) -> DataFrame:
     return communities.join(F.broadcast(ranked), "community").select("id", "community", "branch")
 
 
+def eligible(branch_nodes: DataFrame, scores: DataFrame, trunk_rows: DataFrame, years: DataFrame) -> DataFrame:
+    """Of the branches' nodes (id, branch) those that may be selected, with year and sap: neither root nor trunk, and dated; leaves count."""
+    rows = branch_nodes.select("id", "branch").join(years.select("id", "year"), "id").filter("year IS NOT NULL").join(scores.select("id", "root", "sap"), "id").filter("root = 0").drop("root")
+    return rows.join(trunk_rows.select("id"), "id", "left_anti")
+
+
 def branches(communities: DataFrame, scores: DataFrame, trunk_rows: DataFrame, years: DataFrame, max_branch_size: int = 15, count: int = 3) -> DataFrame:
-    """The newest members of the smallest communities: id, branch, branch_rank. Roots, trunk and undated nodes don't count; leaves do."""
-    rows = smallest_communities(communities, count).join(years.select("id", "year"), "id").filter("year IS NOT NULL")
-    rows = rows.join(scores.filter("root > 0").select("id"), "id", "left_anti").join(trunk_rows.select("id"), "id", "left_anti")
+    """The newest eligible members of the smallest communities: id, branch, branch_rank."""
+    rows = eligible(smallest_communities(communities, count), scores, trunk_rows, years)
     rank = F.row_number().over(W.partitionBy("branch").orderBy(F.col("year").desc(), F.col("id").desc()))
     return rows.withColumn("branch_rank", rank).filter(F.col("branch_rank") <= max_branch_size).select("id", "branch", "branch_rank")
 

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import ACTIVE_GREENS, BROWNS, DORMANT_BROWNS, FRUIT_REDS, LEAF_GREENS, ROOT_SIZES, age, contains_any, joined, minmax, mixed_color, scaled, size_level, trim_ws
+from ..functions.columns import ACTIVE_GREENS, BROWNS, DORMANT_BROWNS, FRUIT_REDS, LEAF_GREENS, ROOT_SIZES, age, contains_any, joined, minmax, mixed_color, number, scaled, size_level, trim_ws, year_in_word
 
 # Phrases that mark sources and topics of branch members.
 METHOD_TERMS = ("bibliometric", "checklist", "equation", "method", "methodological", "methodology", "modeling", "modelling", "qualitative", "reporting", "research method", "structural equation")
 NON_SCHOLARLY_TERMS = ("guardian", "newspaper")
+ROLE_ORDER = ("core", "peripheral", "background_methodological", "missing_metadata")
 
 
 # --- sizes and colours ---------------------------------------------------------------------------
@@ -125,7 +126,8 @@ def assign(papers: DataFrame, parents: DataFrame, path: DataFrame, text: DataFra
     for name, df in (("proximity", path), ("text_similarity", text), ("reference_similarity", references)):
         value = "proximity" if "proximity" in df.columns else "value"
         rows = rows.join(df.select("id", "parent", F.col(value).alias(name)), ["id", "parent"], "left").withColumn(name, F.round(F.coalesce(name, F.lit(0.0)), 6))
-    rows = rows.withColumn("score", F.round(shares[0] * F.col("proximity") + shares[1] * F.col("text_similarity") + shares[2] * F.col("reference_similarity"), 6))
+    # parts have 6 digits and shares 2, so 8 digits hold the sum itself
+    rows = rows.withColumn("score", F.round(shares[0] * F.col("proximity") + shares[1] * F.col("text_similarity") + shares[2] * F.col("reference_similarity"), 8))
     order = W.partitionBy("id").orderBy(F.col("score").desc(), F.col("proximity").desc(), F.col("text_similarity").desc(), "parent")
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n").withColumn("confidence", confidence(F.col("score")))
 
@@ -142,17 +144,52 @@ def parent_distribution(assignments: DataFrame) -> DataFrame:
     """Per branch (grp, parent, score, confidence): dominant and heaviest parent, concentration, share of firm assignments, distributions."""
     per = assignments.groupBy("grp", "parent").agg(F.count(F.lit(1)).alias("c"), F.sum("score").alias("s"))
     w = W.partitionBy("grp")
-    per = per.withColumn("by_count", F.row_number().over(w.orderBy(F.col("c").desc(), "parent"))).withColumn("by_score", F.row_number().over(w.orderBy(F.col("s").desc(), "parent")))
+    per = per.withColumn("by_score", F.row_number().over(w.orderBy(F.round("s", 9).desc(), "parent")))
     total, heaviest = F.sum("s"), F.max(F.when(F.col("by_score") == 1, F.col("s")))
     out = per.groupBy("grp").agg(
-        F.max(F.when(F.col("by_count") == 1, F.col("parent"))).alias("dominant_parent"),
         F.max(F.when(F.col("by_score") == 1, F.col("parent"))).alias("heaviest_parent"),
         F.round(F.when(total > 0, heaviest / F.nullif(total, F.lit(0.0))).otherwise(0.0), 6).alias("concentration"),
         joined(F.collect_list(F.struct("parent", F.concat_ws(":", F.col("parent").cast("string"), F.col("c").cast("string")).alias("v")))).alias("count_distribution"),
         joined(F.collect_list(F.struct("by_score", F.concat_ws(":", F.col("parent").cast("string"), F.format_string("%.6f", "s")).alias("v")))).alias("score_distribution"),
     )
     firm = assignments.groupBy("grp").agg(F.round(F.avg(F.col("confidence").isin("strong", "moderate").cast("int")), 6).alias("firm_share"))
-    return out.join(firm, "grp")
+    return out.join(mode(assignments, "grp", "parent", "dominant_parent"), "grp").join(firm, "grp")
+
+
+def mode(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """(group, name): the most frequent value of each group, of equally frequent ones the smallest; nulls don't count."""
+    return rows.groupBy(group).agg(F.mode(value, True).alias(name))
+
+
+def positional_ids(rows: DataFrame, prefix: str, *order: Column, group: str | None = None) -> DataFrame:
+    """Adds position (from 1, in the order given, within each group if one is named) and pid: root_01, or branch_1_03 with the group's number between.
+
+    For role tables, whose size is a parameter.
+    """
+    w = W.partitionBy(*([group] if group else [])).orderBy(*order)
+    parts = [F.lit(prefix), *([F.col(group).cast("string")] if group else [])]
+    out = rows.withColumn("position", F.row_number().over(w))
+    digits = F.when(F.col("position") < 10, F.lpad(F.col("position").cast("string"), 2, "0")).otherwise(F.col("position").cast("string"))
+    return out.withColumn("pid", F.concat_ws("_", *parts, digits))
+
+
+def display_order(members: DataFrame) -> DataFrame:
+    """Adds display_position: branches by number, then roles from core on, then greatest core score, newest, most cited, id.
+
+    members: id, grp (branch_N), branch_member_role, branch_core_score, year, citations_received.
+    """
+    number = F.regexp_extract("grp", r"(\d+)", 1).try_cast("int")
+    role = F.coalesce(F.array_position(F.array(*(F.lit(r) for r in ROLE_ORDER)), F.col("branch_member_role")), F.lit(0))
+    place = F.when(role == 0, len(ROLE_ORDER) + 1).otherwise(role)
+    order = [number, place, F.col("branch_core_score").desc_nulls_last(), F.col("year").desc_nulls_last(), F.col("citations_received").desc_nulls_last(), "id"]
+    return members.withColumn("display_position", F.row_number().over(W.orderBy(*order)))
+
+
+def publication_years(rows: DataFrame) -> DataFrame:
+    """Adds metadata_year, year_from_id, year (the first where there is one, else the second) and year_source: metadata, node_id or missing. rows: id, year."""
+    out = rows.withColumn("metadata_year", number(F.col("year")).cast("int")).withColumn("year_from_id", year_in_word(F.col("id")))
+    source = F.when(F.col("metadata_year").isNotNull(), "metadata").when(F.col("year_from_id").isNotNull(), "node_id").otherwise("missing")
+    return out.withColumns({"year": F.coalesce("metadata_year", "year_from_id"), "year_source": source})
 
 
 def growth(members: DataFrame, current_year: int) -> DataFrame:

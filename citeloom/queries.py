@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import clean, community, graph, roles, similarity, text
-from .sources.driver_tables import articles, clean_edges, event_hops, part_papers, raw_edges, table
+from .sources.driver_tables import articles, clean_edges, event_hops, kept, part_papers, raw_edges, table
 from .storage import stored
 
 QUERIES: dict = {}
@@ -161,16 +161,14 @@ def leaf_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(_leaves(spark, sf_dir), "leaf")
 
 
-_scored: dict[tuple[str, str], DataFrame] = {}
-
-
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored graph, made once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _scored:
+    """The scored graph; made once."""
+
+    def make() -> DataFrame:
         edges = clean_edges(spark, sf_dir)
-        _scored[key] = stored(roles.sap_scores(edges, stored(roles.roots(edges), "roots"), stored(_leaves(spark, sf_dir), "leaves")), "scores")
-    return _scored[key]
+        return stored(roles.sap_scores(edges, stored(roles.roots(edges), "roots"), stored(_leaves(spark, sf_dir), "leaves")), "scores")
+
+    return kept(spark, sf_dir, "scores", make)
 
 
 @query(CLEAN + SAP + " SELECT id, root::BIGINT AS root, leaf::BIGINT AS leaf, rc::BIGINT AS root_connections, rs::BIGINT AS raw_sap, lc::BIGINT AS leaf_connections, es::BIGINT AS elaborate_sap, sap::BIGINT AS sap FROM sc")
@@ -253,23 +251,27 @@ def bounded_path_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.path_proximity(near.join(parents.select(F.col("doc").alias("id"), "parent"), "id").select(F.col("seed").alias("id"), "parent", "distance"))
 
 
-@query(RAW + """, e AS (SELECT * FROM raw WHERE src[1] IN ('S', 'N')), p AS (SELECT s_suppkey, n_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-n AS (SELECT 'R' || n_regionkey AS grp, 'N' || n_nationkey AS id FROM nation UNION SELECT 'R' || n_regionkey, 'S' || s_suppkey FROM p UNION SELECT 'R' || r_regionkey, 'R' || r_regionkey FROM region),
-c AS (SELECT grp, count(*) AS n FROM n GROUP BY grp)
-SELECT grp, n AS n_nodes, n - 1 AS internal_edges, round(2.0::DOUBLE * (n - 1) / (n * (n - 1)), 6) AS density, 1::BIGINT AS n_components, 1.0::DOUBLE AS largest_fraction FROM c""")
+@query(RAW + """, p AS (SELECT s_suppkey, n_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+m AS MATERIALIZED (SELECT 'R' || n_regionkey AS grp, 'N' || n_nationkey AS id FROM nation UNION SELECT 'R' || n_regionkey, 'S' || s_suppkey FROM p UNION SELECT 'R' || r_regionkey, 'R' || r_regionkey FROM region),
+e AS (SELECT DISTINCT x.grp, least(src, dst) AS a, greatest(src, dst) AS b FROM raw JOIN m x ON x.id = src JOIN m y ON y.id = dst AND y.grp = x.grp WHERE src <> dst),
+c AS (SELECT grp, count(*) AS n FROM m GROUP BY grp), k AS (SELECT grp, count(*) AS n_e FROM e GROUP BY grp)
+SELECT grp, n AS n_nodes, coalesce(n_e, 0) AS internal_edges, round(CASE WHEN n > 1 THEN 2.0::DOUBLE * coalesce(n_e, 0) / (n * (n - 1)) ELSE 0 END, 6) AS density, 1::BIGINT AS n_components, 1.0::DOUBLE AS largest_fraction FROM c LEFT JOIN k USING (grp)""")
 def subgraph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = raw_edges(spark, sf_dir).filter(F.substring("src", 1, 1).isin("S", "N"))
-    members = graph.components(edges)
-    top = members.filter(F.substring("id", 1, 1) == "R").select("component", F.col("id").alias("grp"))
-    out = graph.subgraph_quality(edges, members.join(top, "component").select("grp", "id"))
+    """The quality of each region's nodes (nations, suppliers, itself) as a part of the whole graph."""
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("grp"), "n_nationkey")
+    suppliers = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("grp", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"))
+    own = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("grp"))
+    members = suppliers.unionByName(nations.select("grp", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"))).unionByName(own.select("grp", F.col("grp").alias("id")))
+    out = graph.subgraph_quality(raw_edges(spark, sf_dir), members.distinct())
     return out.select("grp", "n_nodes", F.col("internal_edges").cast("long").alias("internal_edges"), "density", "n_components", "largest_fraction")
 
 
-@query(RAW + """, r AS (SELECT n_regionkey, count(DISTINCT n_nationkey) AS nn, count(s_suppkey) AS ns FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1),
-lone AS (SELECT count(*) AS nations, (SELECT count(*) FROM supplier) AS suppliers FROM nation), sizes AS (SELECT nn + ns + 1 AS n FROM r)
-SELECT ((SELECT count(*) FROM supplier) + (SELECT count(*) FROM region) - (SELECT count(*) FROM r))::BIGINT AS component_delta, greatest(0, (SELECT max(n) FROM sizes) - 1 - (SELECT count(*) FROM nation))::BIGINT AS giant_loss""")
+#: Customers, orders, parts and suppliers stay linked; regions and suppliers without a line come loose.
+@query(RAW + """, lone AS (SELECT (SELECT count(DISTINCT n_regionkey) FROM nation) + (SELECT count(*) FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)) AS n)
+SELECT n::BIGINT AS component_delta, n::BIGINT AS giant_loss FROM lone""")
 def removal_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = raw_edges(spark, sf_dir).filter(F.substring("src", 1, 1).isin("S", "N"))
+    """What the whole graph loses with its nations."""
+    edges = stored(raw_edges(spark, sf_dir), "edges")
     return graph.removal_impact(edges, graph.vertices(edges).filter(F.substring("id", 1, 1) == "N"))
 
 
@@ -286,14 +288,15 @@ def id_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.correct_citations(padded.unionByName(e.select(F.lit("ANONYMOUS, 1999").alias("SR"), F.col("dst").alias("SR_ref"))), _FIX)
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article rows with duplicates: odd customers appear a second time, as rows that fill gaps of the even one before."""
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Article rows with duplicates, and the mapping of their keys: odd customers' rows belong to the even one before."""
     key = F.col("c_custkey")
-    base = table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("A"), key.cast("string")).alias("SR"), F.when(key % 4 != 0, F.col("c_name")).alias("title"), F.when(key % 3 == 0, F.lit(" ")).otherwise(F.col("c_mktsegment")).alias("journal"),
-        F.concat(F.lit("10.1/"), (key % 7).cast("string"), F.lit("; 10.2/"), (key % 5).cast("string")).alias("doi"), key.alias("_row"), (F.floor(key / 2) * 2).cast("string").alias("_even"),
+    name = lambda k: F.concat(F.lit("A"), k.cast("string"))
+    rows = table(spark, sf_dir, "customer").select(
+        name(key).alias("SR"), F.when(key % 4 != 0, F.col("c_name")).alias("title"), F.when(key % 3 == 0, F.lit(" ")).otherwise(F.col("c_mktsegment")).alias("journal"),
+        F.concat(F.lit("10.1/"), (key % 7).cast("string"), F.lit("; 10.2/"), (key % 5).cast("string")).alias("doi"), key.alias("_row"),
     )
-    return base
+    return rows, rows.filter("_row % 2 = 1").select("SR", name((F.floor(F.col("_row") / 2) * 2).cast("long")).alias("canonical"))
 
 
 RECORDS = """rec AS MATERIALIZED (SELECT 'A' || c_custkey AS SR, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS title, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE c_mktsegment END AS journal,
@@ -307,13 +310,8 @@ def record_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir)
-    # the mapping is data here: the canonical key is the even neighbour's
-    rows = rows.withColumn("_canon", F.concat(F.lit("A"), "_even"))
-    place = F.struct(F.when(F.col("SR") == F.col("_canon"), 0).otherwise(1).alias("k"), "_row")
-    first = lambda c: F.min_by(F.col(c), F.when(C.filled(F.col(c)).isNotNull(), place)).alias(c)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), C.semicolon_parts(F.col("doi")).alias("d")))), lambda x: x["d"])
-    return rows.groupBy(F.col("_canon").alias("SR")).agg(first("title"), first("journal"), F.array_join(F.array_distinct(F.flatten(parts)), ";").alias("doi"))
+    rows, mapping = _records(spark, sf_dir)
+    return clean.coalesce_records(rows, "SR", "_row", mapping, merged_lists={"doi": None})
 
 
 @query("WITH " + RECORDS + """, u AS (SELECT canon, k, r, d.i, trim(d.v) AS v FROM b, unnest(list_zip(range(1, len(string_split(doi, ';')) + 1), string_split(doi, ';'))) AS t(d0), LATERAL (SELECT d0[1] AS i, d0[2] AS v) d),
@@ -322,6 +320,15 @@ def doi_ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coalesced(spark, sf_dir).select("SR", "doi")
 
 
+@query("WITH " + RECORDS + """, kept AS (SELECT * FROM b WHERE doi <> '10.1/3; 10.2/3'), t AS (SELECT canon AS SR, arg_min(title, (k, r)) FILTER (WHERE trim(coalesce(title, '')) <> '') AS title, arg_min(journal, (k, r)) FILTER (WHERE trim(coalesce(journal, '')) <> '') AS journal FROM kept GROUP BY canon)
+SELECT SR, CASE WHEN SR = 'A2' THEN 'By hand' ELSE title END AS title, journal FROM t UNION ALL SELECT 'Z1', 'Added', NULL""")
+def article_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical ids, a dropped DOI, coalesced records, overrides."""
+    rows, mapping = _records(spark, sf_dir)
+    by_hand = spark.createDataFrame([("A2", "By hand"), ("Z1", "Added")], "SR string, title string")
+    return clean.tidy_articles(rows, "_row", mapping, dropped_dois=("10.1/3; 10.2/3",), overrides=by_hand).select("SR", "title", "journal")
+
+
 @query("""WITH o AS (SELECT 's' || s_suppkey % 10 || 'x' || s_suppkey AS k, s_name FROM supplier), n AS (SELECT 'X' || s_suppkey AS k, upper(s_name) AS nm FROM supplier WHERE s_acctbal < 0)
 SELECT 'X' || s_suppkey AS k, CASE WHEN s_acctbal < 0 THEN upper(s_name) ELSE s_name END AS name, s_nationkey AS nation FROM supplier
 UNION ALL SELECT 'Y' || n_nationkey, n_name, NULL FROM nation""")

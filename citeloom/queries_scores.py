@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import community, graph, roles, scores as S, similarity, text, topics
-from .queries import CLEAN, COMBINED, PAPERS, SAP, TEXTS, _leaves, _topic_communities, combined, mm, query, scores, vectors_sql
-from .sources.driver_tables import articles, clean_edges, part_papers, raw_edges, table
+from .operators import clean, community, graph, roles, scores as S, similarity, text, topics
+from .queries import _whole, ARTICLES, ORACLES, CLEAN, COMBINED, PAPERS, SAP, TEXTS, _leaves, _topic_communities, combined, mm, query, scores, vectors_sql
+from .sources.driver_tables import articles, clean_edges, kept, part_papers, raw_edges, table
 from .storage import stored
 
 NOW = 2001  # the newest year of the driver's orders; always passed, never today
@@ -90,6 +90,15 @@ def cluster_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cluster_metrics(pairs, _clusters(spark, sf_dir, papers), influence, edges.select(F.col("src").alias("id")).distinct())
 
 
+_STRENGTH_SQL = ORACLES["cluster_strength"]
+
+
+@query(f"SELECT cluster, member_count, strength FROM ({_STRENGTH_SQL}) WHERE member_count > 1 ORDER BY strength DESC, member_count DESC, cluster LIMIT 3")
+def display_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest clusters of two papers or more: those that drawings show."""
+    return S.display_clusters(cluster_strength(spark, sf_dir)).select("cluster", "member_count", "strength")
+
+
 @query(CLUSTERS + f""", bo AS (SELECT a AS doc, combined FROM tied WHERE ca = cb UNION ALL SELECT b, combined FROM tied WHERE ca = cb), ti AS (SELECT doc, sum(combined) AS ties FROM bo GROUP BY 1),
 j AS (SELECT cl.cluster, doc, {mm('citations::DOUBLE')} AS ns, count(*) OVER (PARTITION BY cl.cluster) - 1 AS others, coalesce(ties, 0) AS ties FROM papers JOIN cl USING (doc) LEFT JOIN ti USING (doc)),
 k AS (SELECT cluster, doc, ns, CASE WHEN others > 0 THEN ties / others ELSE 0 END AS w FROM j)
@@ -99,51 +108,52 @@ def root_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.root_anchors(papers.withColumnRenamed("citations", "sap"), pairs, _clusters(spark, sf_dir, papers))
 
 
-# --- branches: every part assigned to the subtopics of the most cited ones ------------------------
+# --- branches: every part and customer assigned to the subtopics of the most cited parts ----------
 
-ASSIGN = "WITH RECURSIVE z AS (SELECT 1)" + PAPERS + f""", par AS MATERIALIZED (SELECT doc, p_type AS parent FROM papers JOIN part ON doc = 'P' || p_partkey),
-pt AS MATERIALIZED (SELECT 'P' || p_partkey AS doc, p_name AS title, p_type || ' ' || p_brand AS abstract, p_type AS kind, p_brand AS brand FROM part),
-tk AS MATERIALIZED (SELECT doc, {TEXTS} AS tokens FROM pt), dt AS (SELECT doc, tokens FROM tk UNION ALL SELECT 'T:' || parent, flatten(list(tokens)) FROM par JOIN tk USING (doc) GROUP BY parent),
-""" + vectors_sql("dt", "v") + """, nm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM v GROUP BY doc),
-tx AS MATERIALIZED (SELECT x.doc AS id, substr(y.doc, 3) AS parent, sum(x.w * y.w) / (any_value(p.norm) * any_value(q.norm)) AS value FROM v x JOIN v y USING (term) JOIN nm p ON p.doc = x.doc JOIN nm q ON q.doc = y.doc WHERE x.doc[1] = 'P' AND y.doc[1] = 'T' GROUP BY x.doc, y.doc),
-rf AS MATERIALIZED (SELECT DISTINCT 'P' || l_partkey AS doc, l_suppkey AS m FROM lineitem), pr AS MATERIALIZED (SELECT DISTINCT parent, m FROM par JOIN rf USING (doc)),
+ASSIGN = CLEAN + PAPERS + f""", par AS MATERIALIZED (SELECT doc, p_type AS parent FROM papers JOIN part ON doc = 'P' || p_partkey),
+pt AS MATERIALIZED (SELECT 'P' || p_partkey AS doc, p_name AS title, p_type || ' ' || p_brand AS abstract, p_brand AS brand FROM part UNION ALL SELECT 'C' || c_custkey, c_name, c_mktsegment, c_mktsegment FROM customer),
+tk AS MATERIALIZED (SELECT doc, {TEXTS} AS tokens FROM pt), adt AS (SELECT doc, tokens FROM tk UNION ALL SELECT 'T:' || parent, flatten(list(tokens)) FROM par JOIN tk USING (doc) GROUP BY parent),
+""" + vectors_sql("adt", "av") + """, nm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM av GROUP BY doc),
+tx AS MATERIALIZED (SELECT x.doc AS id, substr(y.doc, 3) AS parent, sum(x.w * y.w) / (any_value(p.norm) * any_value(q.norm)) AS value FROM av x JOIN av y USING (term) JOIN nm p ON p.doc = x.doc JOIN nm q ON q.doc = y.doc WHERE x.doc[1] <> 'T' AND y.doc[1] = 'T' GROUP BY x.doc, y.doc),
+rf AS MATERIALIZED (SELECT src AS doc, dst AS m FROM clean WHERE src[1] IN ('P', 'C')), pr AS MATERIALIZED (SELECT DISTINCT parent, m FROM par JOIN rf USING (doc)),
 rn AS (SELECT doc, count(*) AS n FROM rf GROUP BY 1), pn AS (SELECT parent, count(*) AS n FROM pr GROUP BY 1),
 rv AS MATERIALIZED (SELECT s.doc AS id, s.parent, c / sqrt(rn.n::DOUBLE * pn.n) AS value FROM (SELECT rf.doc, pr.parent, count(*) AS c FROM rf JOIN pr USING (m) GROUP BY ALL) s JOIN rn ON rn.doc = s.doc JOIN pn ON pn.parent = s.parent),
-al AS (SELECT pt.doc AS id, k.parent, round(coalesce((SELECT max(CASE WHEN par.doc = pt.doc THEN 1.0::DOUBLE ELSE 0 END) FROM par WHERE par.parent = k.parent), 0), 6) AS proximity, round(coalesce(tx.value, 0), 6) AS text_similarity, round(coalesce(rv.value, 0), 6) AS reference_similarity
-  FROM pt CROSS JOIN (SELECT DISTINCT parent FROM par) k LEFT JOIN tx ON tx.id = pt.doc AND tx.parent = k.parent LEFT JOIN rv ON rv.id = pt.doc AND rv.parent = k.parent),
-sr AS (SELECT *, round(0.4::DOUBLE * proximity + 0.35::DOUBLE * text_similarity + 0.25::DOUBLE * reference_similarity, 6) AS score FROM al),
+pa AS (SELECT id, parent, min(d) AS d FROM (SELECT doc AS id, parent, 0 AS d FROM par UNION ALL SELECT x.src, parent, 1 FROM par JOIN clean x ON x.dst = doc UNION ALL SELECT y.src, parent, 2 FROM par JOIN clean x ON x.dst = doc JOIN clean y ON y.dst = x.src
+  UNION ALL SELECT z.src, parent, 3 FROM par JOIN clean x ON x.dst = doc JOIN clean y ON y.dst = x.src JOIN clean z ON z.dst = y.src) GROUP BY ALL),
+al AS (SELECT pt.doc AS id, k.parent, round(coalesce(CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / d END, 0), 6) AS proximity, round(coalesce(tx.value, 0), 6) AS text_similarity, round(coalesce(rv.value, 0), 6) AS reference_similarity
+  FROM pt CROSS JOIN (SELECT DISTINCT parent FROM par) k LEFT JOIN pa ON pa.id = pt.doc AND pa.parent = k.parent LEFT JOIN tx ON tx.id = pt.doc AND tx.parent = k.parent LEFT JOIN rv ON rv.id = pt.doc AND rv.parent = k.parent),
+sr AS (SELECT *, round(0.4::DOUBLE * proximity + 0.35::DOUBLE * text_similarity + 0.25::DOUBLE * reference_similarity, 8) AS score FROM al),
 asg AS MATERIALIZED (SELECT * EXCLUDE (n), CASE WHEN score >= 0.25 THEN 'strong' WHEN score >= 0.08 THEN 'moderate' WHEN score > 0 THEN 'weak' ELSE 'unassigned' END AS confidence FROM
   (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, proximity DESC, text_similarity DESC, parent) AS n FROM sr) WHERE n = 1)"""
 
-_assigned: dict[tuple[str, str], DataFrame] = {}
-
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _assigned:
-        return _assigned[key]
-    parts = articles(spark, sf_dir).filter(F.substring("id", 1, 1) == "P")
-    kinds = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("doc"), F.col("p_type").alias("parent"))
-    members = stored(part_papers(spark, sf_dir).select("doc").join(kinds, "doc"), "parents")
-    parents = stored(members.select("parent").distinct(), "parents")
-    edges = raw_edges(spark, sf_dir).filter(F.substring("src", 1, 1) == "P")
-    near = graph.reach(edges, parts.select("id"), max_depth=1, backward=False).filter("distance = 0")  # parts cite suppliers only
-    path = S.path_proximity(near.join(members.select(F.col("doc").alias("id"), "parent"), "id").select(F.col("seed").alias("id"), "parent", "distance"))
-    own = text.corpus(parts, "id", "title", "abstract")
-    together = own.join(members, "doc").select(F.concat(F.lit("T:"), "parent").alias("doc"), "tokens")
-    vectors = stored(text.tfidf(own.unionByName(together)), "vectors")
-    unit = vectors.join(text.norms(vectors), "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("u"))
-    kind = F.substring("doc", 1, 2)
-    x = unit.filter(kind != "T:").select(F.col("doc").alias("id"), "term", "u")
-    y = unit.filter(kind == "T:").select(F.expr("substring(doc, 3)").alias("parent"), "term", F.col("u").alias("v"))
-    texts = x.join(F.broadcast(y), "term").groupBy("id", "parent").agg(F.sum(F.col("u") * F.col("v")).alias("value"))  # y: the terms of 20 papers
-    refs = stored(edges.select(F.col("src").alias("id"), F.col("dst").alias("m")).distinct(), "refs")
-    parent_refs = refs.join(members.select(F.col("doc").alias("id"), "parent"), "id").select("parent", "m").distinct()
-    shared = refs.join(parent_refs, "m").groupBy("id", "parent").agg(F.count(F.lit(1)).alias("c"))
-    shared = shared.join(refs.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id").join(parent_refs.groupBy("parent").agg(F.count(F.lit(1)).alias("k")), "parent")
-    overlap = shared.select("id", "parent", (F.col("c") / F.sqrt(F.col("n").cast("double") * F.col("k"))).alias("value"))
-    _assigned[key] = stored(S.assign(parts, parents, path, texts, overlap), "assignments")
-    return _assigned[key]
+    """Made once; member, trend and emergence queries start from it."""
+
+    def make() -> DataFrame:
+        papers = articles(spark, sf_dir).filter(F.substring("id", 1, 1).isin("P", "C"))
+        kinds = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("doc"), F.col("p_type").alias("parent"))
+        members = stored(part_papers(spark, sf_dir).select("doc").join(kinds, "doc"), "parents")
+        parents = stored(members.select("parent").distinct(), "parents")
+        edges = clean_edges(spark, sf_dir)
+        near = graph.reach(edges, members.select(F.col("doc").alias("id")), max_depth=3)  # from the tens of members back to who cites them
+        path = S.path_proximity(near.join(members.select(F.col("doc").alias("seed"), "parent"), "seed").select("id", "parent", "distance"))
+        own = text.corpus(papers, "id", "title", "abstract")
+        together = own.join(members, "doc").select(F.concat(F.lit("T:"), "parent").alias("doc"), "tokens")
+        vectors = stored(text.tfidf(own.unionByName(together)), "vectors")
+        unit = vectors.join(text.norms(vectors), "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("u"))
+        kind = F.substring("doc", 1, 2)
+        x = unit.filter(kind != "T:").select(F.col("doc").alias("id"), "term", "u")
+        y = unit.filter(kind == "T:").select(F.expr("substring(doc, 3)").alias("parent"), "term", F.col("u").alias("v"))
+        texts = x.join(F.broadcast(y), "term").groupBy("id", "parent").agg(F.sum(F.col("u") * F.col("v")).alias("value"))  # y: the terms of 20 papers
+        refs = stored(edges.filter(F.substring("src", 1, 1).isin("P", "C")).select(F.col("src").alias("id"), F.col("dst").alias("m")), "refs")
+        parent_refs = refs.join(members.select(F.col("doc").alias("id"), "parent"), "id").select("parent", "m").distinct()
+        shared = refs.join(parent_refs, "m").groupBy("id", "parent").agg(F.count(F.lit(1)).alias("c"))
+        shared = shared.join(refs.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id").join(parent_refs.groupBy("parent").agg(F.count(F.lit(1)).alias("k")), "parent")
+        overlap = shared.select("id", "parent", (F.col("c") / F.sqrt(F.col("n").cast("double") * F.col("k"))).alias("value"))
+        return stored(S.assign(papers, parents, path, texts, overlap), "assignments")
+
+    return kept(spark, sf_dir, "assignments", make)
 
 
 @query(ASSIGN + " SELECT id, parent, proximity, text_similarity, reference_similarity, score, confidence FROM asg")
@@ -158,8 +168,8 @@ def assignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brands = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("grp"))
-    return assignments(spark, sf_dir).join(brands, "id")
+    """Assignments by brand or market segment."""
+    return assignments(spark, sf_dir).join(articles(spark, sf_dir).select("id", F.col("journal").alias("grp")), "id")
 
 
 @query(ASSIGN + """, g AS (SELECT asg.*, brand AS grp FROM asg JOIN pt ON pt.doc = asg.id), p AS (SELECT grp, parent, count(*) AS c, sum(score) AS s FROM g GROUP BY ALL),
@@ -204,70 +214,144 @@ def branch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("mean_year", "recent_share", "recent_growth", "active_share")})
 
 
-TREND = f""", tb AS (SELECT grp, avg(price / 500000.0::DOUBLE) AS structural, avg(refs / 10.0::DOUBLE) AS semantic, avg(greatest(0.0::DOUBLE, 1.0::DOUBLE - greatest({NOW} - year, 0) / 7.0::DOUBLE)) AS recent, avg(refs / greatest({NOW} - year + 1, 1)) AS velocity FROM mb GROUP BY grp),
-ts AS (SELECT grp, round(0.3::DOUBLE * {mm('structural')} + 0.25::DOUBLE * {mm('semantic')} + 0.25::DOUBLE * {mm('recent')} + 0.2::DOUBLE * {mm('ln(1 + velocity)')}, 6) AS branch_trend_score FROM tb)"""
+#: Branches: orders by priority, and customers by the priority of their first order, as far as they are in the cleaned graph.
+#: bc has what the graph and the assignments say of each branch: cohesion, assignment, citations, structure.
+BRANCHES = ASSIGN + ARTICLES + f""", mb AS MATERIALIZED (SELECT x.id, grp, x.year, in_degree AS citations FROM (SELECT 'O' || o_orderkey AS id, o_orderpriority AS grp, year(o_orderdate)::INTEGER AS year FROM orders
+  UNION ALL SELECT 'C' || o_custkey, arg_min(o_orderpriority, o_orderkey), max(year(o_orderdate))::INTEGER FROM orders GROUP BY o_custkey) x JOIN deg ON deg.id = x.id),
+bd AS MATERIALIZED (SELECT grp, mb.id AS doc, {TEXTS} AS tokens FROM mb JOIN art ON art.id = mb.id), """ + vectors_sql("bd", "bv", "grp") + f""", bn AS (SELECT grp, doc, sqrt(sum(w * w)) AS norm FROM bv GROUP BY grp, doc),
+bu AS (SELECT grp, doc, term, w / norm AS u FROM bv JOIN bn USING (grp, doc)), bs AS (SELECT grp, term, sum(u) AS s, sum(u * u) AS q FROM bu GROUP BY grp, term), bt AS (SELECT grp, (sum(s * s) - sum(q)) / 2 AS total FROM bs GROUP BY grp),
+sem AS (SELECT grp, round(CASE WHEN count(*) > 1 THEN coalesce(any_value(total), 0) / (count(*) * (count(*) - 1) / 2) ELSE 0 END, 9) AS semantic FROM mb LEFT JOIN bt USING (grp) GROUP BY grp),
+ba AS MATERIALIZED (SELECT asg.*, grp FROM asg JOIN mb USING (id)),
+bp AS (SELECT grp, parent, round(sum(score), 9) AS s FROM ba GROUP BY ALL), bq AS (SELECT grp, round(CASE WHEN sum(s) > 0 THEN max(s) / sum(s) ELSE 0 END, 6) AS concentration FROM bp GROUP BY grp),
+bf AS (SELECT grp, round(avg(score), 9) AS trunk_score, round(avg((confidence IN ('strong', 'moderate'))::INT), 6) AS firm_share FROM ba GROUP BY grp),
+be AS (SELECT x.grp, count(*) FILTER (WHERE y.grp = x.grp) AS e FROM clean JOIN mb x ON x.id = src JOIN mb y ON y.id = dst GROUP BY x.grp),
+co AS (SELECT x.id AS customer, x.grp, list_distinct(list(y.grp)) AS kinds FROM mb x JOIN clean ON src = x.id JOIN mb y ON y.id = dst GROUP BY ALL),
+bl AS (SELECT g.grp, count(*) FILTER (WHERE co.grp <> g.grp AND kinds = [g.grp]) AS lone FROM (SELECT DISTINCT grp FROM mb) g CROSS JOIN co GROUP BY g.grp),
+bc AS MATERIALIZED (SELECT grp, count(*) AS n, any_value(semantic) AS semantic, round(avg(citations / greatest({NOW} - year + 1, 1)), 9) AS velocity, sum(citations)::DOUBLE AS citations, avg(greatest(0.0::DOUBLE, 1.0::DOUBLE - greatest({NOW} - year, 0) / 7.0::DOUBLE)) AS recent,
+  any_value(trunk_score) AS trunk_score, any_value(firm_share) AS firm_share, any_value(concentration) AS concentration, round(2.0::DOUBLE * coalesce(any_value(e), 0) / (count(*) * (count(*) - 1)), 6) AS density, 2.0::DOUBLE * any_value(lone) AS impact
+  FROM mb LEFT JOIN sem USING (grp) LEFT JOIN bf USING (grp) LEFT JOIN bq USING (grp) LEFT JOIN be USING (grp) LEFT JOIN bl USING (grp) GROUP BY grp)"""
+
+
+def branch_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grp, id, year, citations of the branches' members in the cleaned graph."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("customer"), F.col("o_orderpriority").alias("grp"), F.year("o_orderdate").alias("year"), "o_orderkey")
+    customers = o.groupBy(F.col("customer").alias("id")).agg(F.min_by("grp", "o_orderkey").alias("grp"), F.max("year").alias("year"))
+    rows = o.select("id", "grp", "year").unionByName(customers.select("id", "grp", "year"))
+    return rows.join(graph.degrees(clean_edges(spark, sf_dir)).select("id", F.col("in_degree").alias("citations")), "id")
+
+
+def branch_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per branch what the graph, the texts and the assignments say: the inputs of trend and emergence. Made once."""
+
+    def make() -> DataFrame:
+        m, edges = stored(branch_members(spark, sf_dir), "members"), clean_edges(spark, sf_dir)
+        docs = text.corpus(articles(spark, sf_dir).join(m.select("id"), "id"), "id", "title", "abstract").join(m.select(F.col("id").alias("doc"), "grp"), "doc")
+        semantic = text.mean_pairwise(stored(text.tfidf_by_group(docs), "vectors"), docs.select("doc", "grp")).select("grp", F.round("mean_similarity", 9).alias("semantic"))
+        own = stored(assignments(spark, sf_dir).join(m.select("id", "grp"), "id"), "assigned")
+        parents = S.parent_distribution(own).select("grp", "concentration", "firm_share")
+        trunk = own.groupBy("grp").agg(F.round(F.avg("score"), 9).alias("trunk_score"))
+        quality = graph.subgraph_quality(edges, m.select("grp", "id")).select("grp", "density")
+        impact = graph.removal_impacts(edges, m.select("grp", "id")).select("grp", (F.greatest(F.lit(0), "component_delta") + F.col("giant_loss")).cast("double").alias("impact"))
+        out = m.groupBy("grp").agg(F.round(F.avg(F.col("citations") / C.age(F.col("year"), NOW)), 9).alias("velocity"), F.sum("citations").cast("double").alias("citations"), F.avg(S.recent_activity(F.col("year"), NOW)).alias("recent"))
+        for more in (semantic, parents, trunk, quality, impact, S.windows(m, NOW)):
+            out = out.join(more, "grp", "left")
+        return stored(out, "facts")
+
+    return kept(spark, sf_dir, "facts", make)
+
+
+@query(BRANCHES + f" SELECT grp, semantic, velocity, citations, round(recent, 9) AS recent, trunk_score, firm_share, concentration, density, impact FROM bc")
+def branch_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branch_facts(spark, sf_dir).select("grp", "semantic", "velocity", "citations", F.round("recent", 9).alias("recent"), "trunk_score", "firm_share", "concentration", "density", "impact")
 
 
-@query(MEMBERS + TREND + " SELECT grp, branch_trend_score, row_number() OVER (ORDER BY branch_trend_score DESC, grp)::INTEGER AS branch_trend_rank FROM ts")
+TREND = f""", ts AS (SELECT grp, round(0.3::DOUBLE * {mm('trunk_score')} + 0.25::DOUBLE * {mm('semantic')} + 0.25::DOUBLE * {mm('recent')} + 0.2::DOUBLE * {mm('ln(1 + velocity)')}, 6) AS branch_trend_score FROM bc)"""
+
+
+@query(BRANCHES + TREND + " SELECT grp, branch_trend_score, row_number() OVER (ORDER BY branch_trend_score DESC, grp)::INTEGER AS branch_trend_rank FROM ts")
 def branch_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _members(spark, sf_dir)
-    rows = m.groupBy("grp").agg(F.avg(F.col("price") / 500000.0).alias("structural"), F.avg(F.col("refs") / 10.0).alias("semantic"), F.avg(S.recent_activity(F.col("year"), NOW)).alias("recent"), F.avg(F.col("refs") / C.age(F.col("year"), NOW)).alias("velocity"))
-    return S.trend(rows).select("grp", "branch_trend_score", "branch_trend_rank")
+    return S.trend(branch_facts(spark, sf_dir).withColumn("structural", F.col("trunk_score"))).select("grp", "branch_trend_score", "branch_trend_rank")
+
+
+NOVEL = """, nrf AS MATERIALIZED (SELECT DISTINCT 'O' || l_orderkey AS src, l_partkey AS dst FROM lineitem), nsz AS (SELECT src, count(*) AS n FROM nrf GROUP BY 1), nyr AS (SELECT 'O' || o_orderkey AS id, year(o_orderdate)::INTEGER AS year, o_orderpriority AS grp FROM orders),
+nsh AS (SELECT a.src AS id, b.src AS cand, count(*) AS s FROM nrf a JOIN nrf b ON a.dst = b.dst AND a.src <> b.src JOIN nyr x ON x.id = a.src JOIN nyr y ON y.id = b.src WHERE y.year < x.year AND y.year >= x.year - 10 GROUP BY ALL),
+nfo AS (SELECT id, count(*) AS c, avg(s::DOUBLE / (p.n + q.n - s)) AS o FROM nsh JOIN nsz p ON p.src = id JOIN nsz q ON q.src = cand GROUP BY id),
+nv AS MATERIALIZED (SELECT nyr.id, grp, year, coalesce(n, 0) AS reference_count, coalesce(c, 0) AS candidate_count, round(o, 6) AS mean_overlap, round(1 - o, 6) AS reference_novelty, coalesce(c, 0) >= 3 AS supported FROM nyr LEFT JOIN nsz ON nsz.src = nyr.id LEFT JOIN nfo ON nfo.id = nyr.id)"""
+NOVEL_BY_BRANCH = f""", sm AS (SELECT grp, count(*) AS paper_count, count(*) FILTER (WHERE supported AND reference_novelty IS NOT NULL) AS supported_count, round(coalesce(avg(reference_novelty) FILTER (WHERE supported), 0), 6) AS mean_novelty, round(coalesce(median(reference_novelty) FILTER (WHERE supported), 0), 6) AS median_novelty,
+ round(coalesce(max(reference_novelty) FILTER (WHERE supported), 0), 6) AS max_novelty, round(coalesce(avg(reference_novelty) FILTER (WHERE supported AND year >= {NOW - 4}), 0), 6) AS recent_mean_novelty, round(coalesce(avg((reference_novelty >= 0.8)::INT) FILTER (WHERE supported), 0), 6) AS high_share FROM nv GROUP BY grp),
+sn AS MATERIALIZED (SELECT *, round({mm('recent_mean_novelty')}, 6) AS novelty_score, round(supported_count::DOUBLE / greatest(paper_count, 1), 6) AS support_share FROM sm),
+se AS MATERIALIZED (SELECT *, round(novelty_score * support_share, 6) AS effective_score, row_number() OVER (ORDER BY novelty_score DESC, grp)::INTEGER AS novelty_rank FROM sn)"""
 
 
-@query(MEMBERS + WINDOWS + f""", x AS (SELECT grp, avg(refs / 10.0::DOUBLE) AS semantic, avg(refs / greatest({NOW} - year + 1, 1)) AS velocity, sum(refs) AS citations, avg(price / 500000.0::DOUBLE) AS trunk_score FROM mb GROUP BY grp),
-j AS (SELECT w2.*, semantic, velocity, citations, trunk_score FROM w2 JOIN x USING (grp)),
-d AS (SELECT *, round(0.4::DOUBLE * {mm('recent_share')} + 0.4::DOUBLE * {mm('recent_growth')} + 0.2::DOUBLE * {mm('mean_year')}, 6) AS novelty_growth, round(0.5::DOUBLE * {mm('semantic')} + 0.25::DOUBLE * {mm('semantic')} + 0.25::DOUBLE * {mm('active_share')}, 6) AS persistence,
-  round(0.4::DOUBLE * {mm('ln(1 + velocity)')} + 0.3::DOUBLE * {mm('ln(1 + citations)')} + 0.3::DOUBLE * {mm('trunk_score')}, 6) AS scientific_impact, round(0.4::DOUBLE * {mm('recent_share')} + 0.4::DOUBLE * {mm('trunk_score')} + 0.2::DOUBLE * 1.0, 6) AS uncertainty_reduction FROM j),
-e AS (SELECT *, round(0.35::DOUBLE * novelty_growth + 0.25::DOUBLE * persistence + 0.25::DOUBLE * scientific_impact + 0.15::DOUBLE * uncertainty_reduction, 6) AS score FROM d)
-SELECT grp, novelty_growth, persistence, scientific_impact, uncertainty_reduction, score AS branch_emergence_score, row_number() OVER (ORDER BY score DESC, grp)::INTEGER AS branch_emergence_rank,
+@query(BRANCHES + WINDOWS + NOVEL + NOVEL_BY_BRANCH + f""", j AS (SELECT w2.*, semantic, velocity, citations, trunk_score, firm_share, concentration, density, impact, coalesce(effective_score, 0) AS novelty FROM w2 JOIN bc USING (grp) LEFT JOIN se USING (grp)),
+d AS (SELECT *, round(0.4::DOUBLE * {mm('recent_share')} + 0.4::DOUBLE * {mm('recent_growth')} + 0.2::DOUBLE * {mm('mean_year')}, 6) AS novelty_growth, round(0.5::DOUBLE * {mm('semantic')} + 0.25::DOUBLE * {mm('density')} + 0.25::DOUBLE * {mm('active_share')}, 6) AS persistence,
+  round(0.4::DOUBLE * {mm('ln(1 + velocity)')} + 0.3::DOUBLE * {mm('ln(1 + citations)')} + 0.3::DOUBLE * {mm('trunk_score')}, 6) AS scientific_impact, round(0.4::DOUBLE * {mm('concentration')} + 0.4::DOUBLE * {mm('firm_share')} + 0.2::DOUBLE * {mm('impact')}, 6) AS uncertainty_reduction,
+  round({mm('novelty')}, 6) AS reference_novelty_score FROM j),
+e AS (SELECT *, round(0.3::DOUBLE * novelty_growth + 0.25::DOUBLE * persistence + 0.2::DOUBLE * scientific_impact + 0.15::DOUBLE * uncertainty_reduction + 0.1::DOUBLE * reference_novelty_score, 6) AS score FROM d)
+SELECT grp, novelty_growth, persistence, scientific_impact, uncertainty_reduction, reference_novelty_score, score AS branch_emergence_score, row_number() OVER (ORDER BY score DESC, grp)::INTEGER AS branch_emergence_rank,
 CASE WHEN novelty_growth >= 0.65 AND semantic < 0.05 THEN 'active_but_heterogeneous_candidate' WHEN score >= 0.65 AND novelty_growth >= 0.45 AND persistence >= 0.45 AND semantic >= 0.05 AND recent_share >= 0.25 AND recent_growth >= 0 THEN 'emerging_research_direction'
- WHEN recent_share <= 0.20 AND semantic >= 0.15 AND semantic >= 0.04 THEN 'mature_niche_or_specialized_domain' WHEN novelty_growth >= 0.65 AND persistence < 0.35 THEN 'active_but_heterogeneous_candidate'
+ WHEN recent_share <= 0.20 AND density >= 0.15 AND semantic >= 0.04 THEN 'mature_niche_or_specialized_domain' WHEN novelty_growth >= 0.65 AND persistence < 0.35 THEN 'active_but_heterogeneous_candidate'
  WHEN scientific_impact >= 0.65 AND novelty_growth < 0.45 THEN 'established_structural_trajectory' ELSE 'weak_or_preliminary_candidate' END AS branch_emergence_type FROM e""")
 def branch_emergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = stored(_members(spark, sf_dir), "members")
-    more = m.groupBy("grp").agg(F.avg(F.col("refs") / 10.0).alias("semantic"), F.avg(F.col("refs") / C.age(F.col("year"), NOW)).alias("velocity"), F.sum("refs").alias("citations"), F.avg(F.col("price") / 500000.0).alias("trunk_score"))
-    rows = S.windows(m, NOW).join(more, "grp")
-    rows = rows.withColumns({"density": F.col("semantic"), "concentration": F.col("recent_share"), "firm_share": F.col("trunk_score"), "impact": F.lit(0.0), "novelty": F.lit(0.0)})
-    return S.emergence(rows).select("grp", "novelty_growth", "persistence", "scientific_impact", "uncertainty_reduction", "branch_emergence_score", "branch_emergence_rank", "branch_emergence_type")
+    novelty = _novelty_by_branch(spark, sf_dir).select("grp", F.col("effective_score").alias("novelty"))
+    rows = branch_facts(spark, sf_dir).join(novelty, "grp", "left")
+    out = S.emergence(rows, shares=(0.3, 0.25, 0.2, 0.15, 0.1))
+    return out.select("grp", "novelty_growth", "persistence", "scientific_impact", "uncertainty_reduction", "reference_novelty_score", "branch_emergence_score", "branch_emergence_rank", "branch_emergence_type")
 
 
-# --- members: documents by source ----------------------------------------------------------------
+# --- members: parts by brand, customers by segment ------------------------------------------------
 
-TOPICS = ("the the", "ing the", "ion ", "der ", "que ")
-ROLE_MEMBERS = f"""WITH RECURSIVE m AS MATERIALIZED (SELECT source AS grp, d.doc_id AS id, 1990 + (d.doc_id % 12)::INTEGER AS year, string_split(coalesce(text, ''), chr(10))[1] AS title, array_to_string(list_slice(string_split(coalesce(text, ''), chr(10)), 2, 1000000000), chr(10)) AS abstract,
- len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z]+'), lambda w: len(w) > 2)) AS n_tokens, coalesce(quality, 0) / 2.0::DOUBLE AS trunk_score, length(coalesce(text, '')) % 100 / 100.0::DOUBLE AS similarity FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+TOPICS = ("steel", "polished", "automobile", "house")
 
 
 def _topical(text_sql: str, terms) -> str:
     return "(" + " OR ".join(f"contains(lower({text_sql}), '{t}')" for t in terms) + ")"
 
 
-ROLES = ROLE_MEMBERS + f""", q AS (SELECT *, trim(title, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' OR n_tokens < 4 AS weak, {mm('similarity', 'PARTITION BY grp')} AS sl, (({NOW} - year) BETWEEN 0 AND 4)::INT::DOUBLE AS rec, {mm('trunk_score', 'PARTITION BY grp')} AS tl,
- CASE WHEN trunk_score >= 0.25 THEN 'strong' ELSE 'unassigned' END AS confidence FROM m),
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ROLES = ASSIGN + ARTICLES + f""", rd AS MATERIALIZED (SELECT journal AS grp, id AS doc, {TEXTS} AS tokens FROM art WHERE id[1] IN ('P', 'C')), """ + vectors_sql("rd", "rv2") + f""", rg AS (SELECT grp, rv2.* FROM rv2 JOIN rd USING (doc)), rc2 AS (SELECT grp, count(DISTINCT doc) AS n FROM rg GROUP BY grp),
+ce AS MATERIALIZED (SELECT grp, term, sum(w) / any_value(n) AS cw FROM rg JOIN rc2 USING (grp) GROUP BY grp, term), cn AS (SELECT grp, sqrt(sum(cw * cw)) AS size FROM ce GROUP BY grp),
+cs AS (SELECT doc, rg.grp, sum(w * cw) / (sqrt(sum(w * w)) * any_value(size)) AS similarity FROM rg JOIN ce USING (grp, term) JOIN cn USING (grp) GROUP BY doc, rg.grp),
+m AS MATERIALIZED (SELECT rd.grp, art.id, art.year, title, abstract, journal, source_title, len(tokens) AS n_tokens, score AS trunk_score, confidence, round(coalesce(similarity, 0), 9) AS similarity, in_degree AS citations_received
+  FROM art JOIN rd ON rd.doc = art.id LEFT JOIN cs ON cs.doc = art.id LEFT JOIN asg ON asg.id = art.id LEFT JOIN deg ON deg.id = art.id),
+q AS (SELECT *, trim(coalesce(title, ''), {_WS}) = '' OR n_tokens < 4 AS weak, {mm('similarity', 'PARTITION BY grp')} AS sl, coalesce((({NOW} - year) BETWEEN 0 AND 4)::INT::DOUBLE, 0) AS rec, {mm('trunk_score', 'PARTITION BY grp')} AS tl FROM m),
 s AS (SELECT *, round(0.5::DOUBLE * sl + 0.3::DOUBLE * rec + 0.2::DOUBLE * tl, 6) AS core FROM q),
-ro AS MATERIALIZED (SELECT grp, id, core AS branch_core_score, CASE WHEN weak THEN 'weak' WHEN trim(abstract, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'title_only' ELSE 'complete' END AS metadata_quality,
- CASE WHEN weak THEN 'missing_metadata' WHEN {_topical("title", S.NON_SCHOLARLY_TERMS)} OR {_topical("title", S.METHOD_TERMS)} THEN 'background_methodological'
-  WHEN {_topical("title || ' ' || abstract", TOPICS)} AND ((core >= 0.55 AND similarity >= 0.03) OR (sl >= 0.5 AND similarity >= 0.03) OR (similarity >= 0.2 AND core >= 0.2) OR (confidence IN ('strong', 'moderate') AND similarity >= 0.03)) THEN 'core' ELSE 'peripheral' END AS branch_member_role FROM s)"""
+ro AS MATERIALIZED (SELECT grp, id, year, citations_received, similarity, core AS branch_core_score, CASE WHEN weak THEN 'weak' WHEN trim(coalesce(abstract, ''), {_WS}) = '' THEN 'title_only' ELSE 'complete' END AS metadata_quality,
+ CASE WHEN weak THEN 'missing_metadata' WHEN {_topical("concat_ws(' ', title, journal, source_title)", S.NON_SCHOLARLY_TERMS)} OR {_topical("concat_ws(' ', title, journal, source_title)", S.METHOD_TERMS)} THEN 'background_methodological'
+  WHEN {_topical("concat_ws(' ', title, abstract, journal, source_title)", TOPICS)} AND ((core >= 0.55 AND similarity >= 0.03) OR (sl >= 0.5 AND similarity >= 0.03) OR (similarity >= 0.2 AND core >= 0.2) OR (confidence IN ('strong', 'moderate') AND similarity >= 0.03)) THEN 'core' ELSE 'peripheral' END AS branch_member_role FROM s)"""
 
 
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.coalesce("text", F.lit(""))
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    lines = F.split(t, "\n")
-    words = F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit("[a-z][a-z]+"), 0), lambda w: F.length(w) > 2))
-    trunk = F.coalesce("quality", F.lit(0)) / 2.0
-    none = F.lit(None).cast("string")
-    rows = d.select(
-        F.col("source").alias("grp"), F.col("doc_id").alias("id"), (1990 + F.col("doc_id") % 12).cast("int").alias("year"), lines[0].alias("title"), F.array_join(F.slice(lines, 2, 1_000_000_000), "\n").alias("abstract"),
-        none.alias("journal"), none.alias("source_title"), words.alias("token_count"), (F.length(t) % 100 / 100.0).alias("similarity"), trunk.alias("trunk_score"), F.when(trunk >= 0.25, "strong").otherwise("unassigned").alias("confidence"),
-    )
-    return S.member_roles(rows, TOPICS, NOW)
+    """Members joined with their similarity to the branch, assignment and citations; roles by rule."""
+
+    def make() -> DataFrame:
+        rows = articles(spark, sf_dir).filter(F.substring("id", 1, 1).isin("P", "C")).withColumn("grp", F.col("journal"))
+        docs = stored(text.corpus(rows, "id", "title", "abstract"), "corpus")
+        groups = rows.select(F.col("id").alias("doc"), "grp")
+        near = text.centroid_similarity(stored(text.tfidf(docs), "vectors"), groups).select(F.col("doc").alias("id"), F.round("similarity", 9).alias("similarity"))
+        given = assignments(spark, sf_dir).select("id", F.col("score").alias("trunk_score"), "confidence")
+        rows = rows.join(near, "id", "left").join(given, "id", "left").join(docs.select(F.col("doc").alias("id"), F.size("tokens").alias("token_count")), "id", "left")
+        rows = rows.join(graph.degrees(clean_edges(spark, sf_dir)).select("id", F.col("in_degree").alias("citations_received")), "id", "left")
+        return stored(S.member_roles(rows, TOPICS, NOW), "members")
+
+    return kept(spark, sf_dir, "member roles", make)
 
 
-@query(ROLES + " SELECT grp, id, branch_core_score, metadata_quality, branch_member_role FROM ro")
+@query(ROLES + " SELECT grp, id, similarity, branch_core_score, metadata_quality, branch_member_role FROM ro")
 def member_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _roles(spark, sf_dir).select("grp", "id", "branch_core_score", "metadata_quality", "branch_member_role")
+    return _roles(spark, sf_dir).select("grp", "id", "similarity", "branch_core_score", "metadata_quality", "branch_member_role")
+
+
+@query(ROLES + """, nb AS (SELECT *, 'branch_' || dense_rank() OVER (ORDER BY grp) AS branch FROM ro), po AS (SELECT branch, id, row_number() OVER (ORDER BY regexp_extract(branch, '[0-9]+')::INT, CASE branch_member_role WHEN 'core' THEN 1 WHEN 'peripheral' THEN 2 WHEN 'background_methodological' THEN 3 ELSE 4 END,
+ branch_core_score DESC, year DESC NULLS LAST, citations_received DESC NULLS LAST, id)::INTEGER AS display_position, row_number() OVER (PARTITION BY branch ORDER BY branch_core_score DESC, id) AS p FROM nb)
+SELECT branch || '_' || lpad(p::VARCHAR, greatest(2, length(p::VARCHAR))::INTEGER, '0') AS pid, id, display_position FROM po""")
+def branch_display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member's place on the drawing, and its positional id within its branch."""
+    rows = _roles(spark, sf_dir)
+    names = rows.select("grp").distinct().withColumn("g", F.row_number().over(W.orderBy("grp")))  # a row for each branch
+    rows = rows.join(F.broadcast(names), "grp").withColumn("grp", F.concat(F.lit("branch_"), F.col("g").cast("string")))
+    out = S.positional_ids(S.display_order(rows), "branch", F.col("branch_core_score").desc(), "id", group="g")
+    return out.select("pid", "id", "display_position")
 
 
 @query(ROLES + """ SELECT grp, count(*) AS paper_count, count(*) FILTER (WHERE branch_member_role = 'core') AS core_count, count(*) FILTER (WHERE branch_member_role = 'peripheral') AS peripheral_count, count(*) FILTER (WHERE branch_member_role = 'background_methodological') AS background_methodological_count,
@@ -278,40 +362,41 @@ def member_role_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- novelty: orders that share parts ------------------------------------------------------------
 
-NOVELTY = MEMBERS + """, rf AS MATERIALIZED (SELECT DISTINCT 'O' || l_orderkey AS src, l_partkey AS dst FROM lineitem), sz AS (SELECT src, count(*) AS n FROM rf GROUP BY 1),
-sh AS (SELECT a.src AS id, b.src AS cand, count(*) AS s FROM rf a JOIN rf b ON a.dst = b.dst AND a.src <> b.src JOIN mb x ON x.id = a.src JOIN mb y ON y.id = b.src WHERE y.year < x.year AND y.year >= x.year - 10 GROUP BY ALL),
-fo AS (SELECT id, count(*) AS c, avg(s::DOUBLE / (p.n + q.n - s)) AS o FROM sh JOIN sz p ON p.src = id JOIN sz q ON q.src = cand GROUP BY id),
-nv AS MATERIALIZED (SELECT mb.id, grp, year, coalesce(n, 0) AS reference_count, coalesce(c, 0) AS candidate_count, round(o, 6) AS mean_overlap, round(1 - o, 6) AS reference_novelty, coalesce(c, 0) >= 3 AS supported FROM mb LEFT JOIN sz ON sz.src = mb.id LEFT JOIN fo ON fo.id = mb.id)"""
+def _novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Novelty of every order by its parts, with its priority and year. Made once."""
 
+    def make() -> DataFrame:
+        members = _members(spark, sf_dir).select("id", "grp", "year")
+        edges = raw_edges(spark, sf_dir).filter(F.substring("src", 1, 1) == "O")
+        years = articles(spark, sf_dir).select("id", "year")
+        refs = stored(S.windowed_references(edges, years), "refs")
+        return stored(S.reference_novelty(members, refs, years.filter(F.substring("id", 1, 1) == "O")).join(members, "id"), "novelty")
 
-def _novelty(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    members = _members(spark, sf_dir)
-    edges = raw_edges(spark, sf_dir).filter(F.substring("src", 1, 1) == "O")
-    years = articles(spark, sf_dir).select("id", "year")
-    refs = stored(S.windowed_references(edges, years), "refs")
-    return members, stored(S.reference_novelty(members, refs, years.filter(F.substring("id", 1, 1) == "O")), "novelty")
+    return kept(spark, sf_dir, "novelty", make)
 
 
-@query(NOVELTY + " SELECT id, reference_count, candidate_count, mean_overlap, reference_novelty, supported FROM nv")
+def _novelty_by_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.novelty_summary(_novelty(spark, sf_dir), NOW)
+
+
+@query(MEMBERS + NOVEL + " SELECT id, reference_count, candidate_count, mean_overlap, reference_novelty, supported FROM nv")
 def reference_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _novelty(spark, sf_dir)[1]
+    return _novelty(spark, sf_dir).drop("grp", "year")
 
 
-@query(NOVELTY + f""", sm AS (SELECT grp, count(*) AS paper_count, count(*) FILTER (WHERE supported AND reference_novelty IS NOT NULL) AS supported_count, round(coalesce(avg(reference_novelty) FILTER (WHERE supported), 0), 6) AS mean_novelty, round(coalesce(median(reference_novelty) FILTER (WHERE supported), 0), 6) AS median_novelty,
- round(coalesce(max(reference_novelty) FILTER (WHERE supported), 0), 6) AS max_novelty, round(coalesce(avg(reference_novelty) FILTER (WHERE supported AND year >= {NOW - 4}), 0), 6) AS recent_mean_novelty, round(coalesce(avg((reference_novelty >= 0.8)::INT) FILTER (WHERE supported), 0), 6) AS high_share FROM nv GROUP BY grp)
-SELECT grp, paper_count, supported_count, mean_novelty, median_novelty, max_novelty, recent_mean_novelty, high_share, round(supported_count::DOUBLE / greatest(paper_count, 1), 6) AS support_share FROM sm""")
+@query(MEMBERS + NOVEL + NOVEL_BY_BRANCH + " SELECT grp, paper_count, supported_count, mean_novelty, median_novelty, max_novelty, recent_mean_novelty, high_share, support_share, novelty_score, effective_score, novelty_rank FROM se")
 def novelty_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, novelty = _novelty(spark, sf_dir)
-    out = S.novelty_summary(novelty.join(members.select("id", "grp", "year"), "id"), NOW)
-    return out.drop("novelty_score", "effective_score", "novelty_rank")
+    return _novelty_by_branch(spark, sf_dir)
 
 
 # --- fruits and leaves ---------------------------------------------------------------------------
 
-FRUIT = CITED + PAPERS + f""", un AS MATERIALIZED (SELECT DISTINCT 'P' || l_partkey AS a, 'S' || l_suppkey AS b FROM lineitem), f AS (SELECT DISTINCT b AS id FROM un JOIN papers ON papers.doc = a UNION SELECT doc FROM papers),
+FRUIT = CITED + PAPERS + f""", mp AS (SELECT 'P' || p_partkey AS doc, p_name AS title, p_type || ' ' || p_brand AS abstract FROM part), md AS (SELECT doc, {TEXTS} AS tokens FROM mp), """ + vectors_sql("md", "mv") + f""",
+mn AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM mv GROUP BY doc), mu AS MATERIALIZED (SELECT doc, term, w / norm AS u FROM mv JOIN mn USING (doc)),
+ms AS (SELECT doc, max(s) AS tr FROM (SELECT x.doc, y.doc AS anchor, sum(x.u * y.u) AS s FROM mu x JOIN mu y USING (term) WHERE y.doc IN (SELECT doc FROM papers) GROUP BY x.doc, y.doc) GROUP BY doc), un AS MATERIALIZED (SELECT DISTINCT 'P' || l_partkey AS a, 'S' || l_suppkey AS b FROM lineitem), f AS (SELECT DISTINCT b AS id FROM un JOIN papers ON papers.doc = a UNION SELECT doc FROM papers),
 nb AS (SELECT a AS id, count(*) AS n FROM un WHERE b IN (SELECT id FROM f) GROUP BY 1),
-cd AS MATERIALIZED (SELECT cp.doc AS id, year, round_even(price, 0) AS cited_by, cites AS in_degree, coalesce(n, 0) AS nb, CASE WHEN n > 0 THEN 1 END AS dist, EXISTS (SELECT 1 FROM un WHERE un.a = cp.doc) AS in_graph, length(brand) / 10.0::DOUBLE AS tr
-  FROM cp LEFT JOIN nb ON nb.id = cp.doc WHERE cp.doc NOT IN (SELECT doc FROM papers) AND year >= {NOW} - 5),
+cd AS MATERIALIZED (SELECT cp.doc AS id, year, round_even(price, 0) AS cited_by, cites AS in_degree, coalesce(n, 0) AS nb, CASE WHEN n > 0 THEN 1 END AS dist, EXISTS (SELECT 1 FROM un WHERE un.a = cp.doc) AS in_graph, round(coalesce(tr, 0), 6) AS tr
+  FROM cp LEFT JOIN nb ON nb.id = cp.doc LEFT JOIN ms ON ms.doc = cp.doc WHERE cp.doc NOT IN (SELECT doc FROM papers) AND year >= {NOW} - 5),
 v AS (SELECT *, cited_by / greatest({NOW} - year + 1, 1) AS ev, greatest(0.0::DOUBLE, {mm('ln(1 + cited_by)')} - {mm('ln(1 + in_degree)')}) AS gap FROM cd),
 g AS (SELECT *, {mm('gap')} AS ag, 0.65::DOUBLE * coalesce(1.0::DOUBLE / (1 + dist), 0) + 0.35::DOUBLE * {mm('ln(1 + nb::DOUBLE)')} AS px FROM v),
 fr AS MATERIALIZED (SELECT *, round(0.35::DOUBLE * {mm('ln(1 + ev)')} + 0.35::DOUBLE * ag + 0.2::DOUBLE * px + 0.1::DOUBLE * {mm('tr')}, 6) AS fs, CASE WHEN cited_by <= 0 THEN 'recent_no_external_signal' WHEN NOT in_graph THEN 'external_signal_not_matched_in_graph'
@@ -325,9 +410,12 @@ def _fruits(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _cited_parts(spark, sf_dir).withColumnRenamed("doc", "id").filter(F.col("year") >= NOW - 5).join(field, "id", "left_anti")
     rows = parts.join(graph.field_neighbors(edges, field), "id", "left").join(graph.field_distance(edges, field, 1).withColumnRenamed("distance", "dist"), "id", "left")
     rows = rows.join(edges.select(F.col("src").alias("id")).distinct().withColumn("in_graph", F.lit(True)), "id", "left")
+    docs = text.corpus(articles(spark, sf_dir).filter(F.substring("id", 1, 1) == "P"), "id", "title", "abstract")
+    relevance = text.best_anchor(stored(text.tfidf(docs), "vectors"), docs, papers).select(F.col("doc").alias("id"), F.round("similarity", 6).alias("text_relevance"))
+    rows = rows.join(relevance, "id", "left")
     rows = rows.select(
         "id", "year", F.rint("price").alias("cited_by"), F.col("citations_received").alias("in_degree"), F.coalesce("in_graph", F.lit(False)).alias("in_graph"),
-        F.col("dist").alias("distance"), F.coalesce("field_neighbors", F.lit(0)).alias("field_neighbors"), (F.length("brand") / 10.0).alias("text_relevance"),
+        F.col("dist").alias("distance"), F.coalesce("field_neighbors", F.lit(0)).alias("field_neighbors"), F.coalesce("text_relevance", F.lit(0.0)).alias("text_relevance"),
     )
     return S.fruit_scores(rows, NOW).withColumn("fruit_score", F.round("fruit_score", 6))
 
@@ -350,10 +438,8 @@ def year_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years from metadata where there is any, else from the node id, with where each came from."""
     o = table(spark, sf_dir, "orders")
     node = F.concat(F.lit("ORDER "), F.col("o_orderkey").cast("string"), F.lit("x, "), F.date_format("o_orderdate", "yyyy"), F.lit(", J"))
-    meta = F.when(F.col("o_orderstatus") == "F", F.year("o_orderdate"))
-    rows = o.select(meta.alias("m"), C.year_in_word(node).alias("i"))
-    source = F.when(F.col("m").isNotNull(), "metadata").when(F.col("i").isNotNull(), "node_id").otherwise("missing")
-    return rows.groupBy(F.coalesce("m", "i").alias("year"), source.alias("year_source")).agg(F.count(F.lit(1)).alias("n"))
+    rows = S.publication_years(o.select(node.alias("id"), F.when(F.col("o_orderstatus") == "F", F.year("o_orderdate")).alias("year")))
+    return rows.groupBy("year", "year_source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"SELECT page_id, try_cast(nullif(regexp_extract(url, '(?:^|[^0-9])(19[0-9]{2}|20[0-9]{2})(?:[^0-9]|$)', 1), '') AS INTEGER) AS year FROM pages")
@@ -385,6 +471,101 @@ def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", rank.cast("long").alias("rank"))
 
 
+# --- branches of given communities: orders and customers by nation ---------------------------------
+
+NATIONS = CLEAN + SAP + """, nn AS MATERIALIZED (SELECT 'C' || c_custkey AS id, c_nationkey AS nation, 'C' || c_custkey AS customer FROM customer UNION ALL SELECT 'O' || o_orderkey, c_nationkey, 'C' || c_custkey FROM orders JOIN customer ON o_custkey = c_custkey),
+nm2 AS MATERIALIZED (SELECT nn.* FROM nn JOIN deg USING (id)), ns AS (SELECT nation, row_number() OVER (ORDER BY count(*), min(id))::INTEGER AS branch FROM nm2 GROUP BY nation),
+nb2 AS MATERIALIZED (SELECT nm2.*, branch FROM nm2 JOIN ns USING (nation) WHERE branch <= 3),
+el AS MATERIALIZED (SELECT nb2.*, art.year FROM nb2 JOIN art USING (id) JOIN sc USING (id) WHERE art.year IS NOT NULL AND root = 0 AND id NOT IN (SELECT id FROM tr)),
+se2 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY year DESC, id DESC)::INTEGER AS branch_rank FROM el) WHERE branch_rank <= 15)"""
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, community) of the cleaned graph's customers and their orders, by nation."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("community"))
+    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string")).alias("id")
+    rows = c.select(name("C", "c_custkey"), "community").unionByName(o.select(name("O", "o_orderkey"), "community"))
+    return rows.join(graph.vertices(clean_edges(spark, sf_dir)), "id", "left_semi")
+
+
+@query(NATIONS + " SELECT id, branch, branch_rank FROM se2")
+def branch_selection_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scores(spark, sf_dir)
+    return roles.branches(_nations(spark, sf_dir), s, roles.trunk(s), articles(spark, sf_dir))
+
+
+@query(NATIONS + """, br AS (SELECT id, 'branch_' || branch AS role FROM se2), lb AS (SELECT sc.id, CASE WHEN root > 0 THEN 'root' WHEN tr.id IS NOT NULL THEN 'trunk' WHEN leaf > 0 THEN 'leaf' WHEN br.id IS NOT NULL THEN br.role ELSE '' END AS role FROM sc LEFT JOIN tr ON tr.id = sc.id LEFT JOIN br ON br.id = sc.id)
+SELECT id, role FROM lb""")
+def role_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node's label: root before trunk before leaf before branch_N."""
+    s = scores(spark, sf_dir)
+    trunk = roles.trunk(s)
+    return roles.label(s, trunk, roles.branches(_nations(spark, sf_dir), s, trunk, articles(spark, sf_dir))).select("id", "role")
+
+
+@query(NATIONS + f""", ce2 AS (SELECT branch, count(*) AS n, count(DISTINCT customer) AS k FROM nb2 GROUP BY branch), cl2 AS (SELECT branch, max(n) AS largest FROM (SELECT branch, customer, count(*) AS n FROM nb2 GROUP BY ALL) GROUP BY branch),
+sk AS (SELECT branch, customer, count(*) AS n, max((id = customer)::INT) AS hub FROM se2 GROUP BY ALL),
+sp AS (SELECT branch, sum(n)::BIGINT AS n, sum(CASE WHEN hub = 1 THEN n - 1 ELSE 0 END)::BIGINT AS e, sum(CASE WHEN hub = 1 THEN 1 ELSE n END)::BIGINT AS k, max(CASE WHEN hub = 1 THEN n ELSE 1 END) AS largest FROM sk GROUP BY branch),
+sd AS (SELECT branch AS grp, se2.id AS doc, {TEXTS} AS tokens FROM se2 JOIN art USING (id)), """ + vectors_sql("sd", "sv", "grp") + """, sno AS (SELECT grp, doc, sqrt(sum(w * w)) AS norm FROM sv GROUP BY grp, doc), su AS (SELECT grp, term, w / norm AS u FROM sv JOIN sno USING (grp, doc)),
+st AS (SELECT grp, (sum(s * s) - sum(q)) / 2 AS total FROM (SELECT grp, term, sum(u) AS s, sum(u * u) AS q FROM su GROUP BY grp, term) GROUP BY grp), ec AS (SELECT branch, count(*) AS n FROM el GROUP BY branch), li AS (SELECT branch, string_agg(id, '; ' ORDER BY branch_rank) AS ids FROM se2 GROUP BY branch)
+SELECT 'by_nation' AS algorithm, 'branch_' || branch AS branch_label, 'current' AS selection_strategy, ce2.n AS community_size, ec.n AS eligible_candidate_count, ce2.n - ce2.k AS community_internal_edges, round(2.0::DOUBLE * (ce2.n - ce2.k) / (ce2.n * (ce2.n - 1)), 6) AS community_density,
+ ce2.k AS community_connected_components, round(cl2.largest::DOUBLE / ce2.n, 6) AS community_largest_component_fraction, sp.n AS selected_node_count, e AS internal_edges_selected, round(CASE WHEN sp.n > 1 THEN 2.0::DOUBLE * e / (sp.n * (sp.n - 1)) ELSE 0 END, 6) AS density_selected,
+ sp.k AS connected_components_selected, round(sp.largest::DOUBLE / sp.n, 6) AS largest_component_fraction, round(CASE WHEN sp.n > 1 THEN coalesce(total, 0) / (sp.n * (sp.n - 1) / 2) ELSE 0 END, 6) AS mean_pairwise_text_similarity, ids AS member_node_ids
+FROM ce2 JOIN cl2 USING (branch) JOIN sp USING (branch) JOIN ec USING (branch) JOIN li USING (branch) LEFT JOIN st ON st.grp = branch""")
+def branch_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, edges = scores(spark, sf_dir), clean_edges(spark, sf_dir)
+    trunk, arts = roles.trunk(s), articles(spark, sf_dir)
+    groups = stored(_nations(spark, sf_dir), "communities")
+    nodes = stored(roles.smallest_communities(groups), "branches")
+    selected = stored(roles.branches(groups, s, trunk, arts), "selected")
+    docs = text.corpus(arts.join(selected.select("id"), "id"), "id", "title", "abstract")
+    out = community.branch_quality(edges, nodes, selected, roles.eligible(nodes, s, trunk, arts), docs, "by_nation", "current")
+    return _whole(out, "community_internal_edges", "internal_edges_selected")
+
+
+# --- the graphs and clusters of the papers ---------------------------------------------------------
+
+
+@query(COMBINED + """ SELECT 'text' AS measure, a, b, text AS weight FROM co WHERE text >= 0.15 UNION ALL SELECT 'cocitation', a, b, cocitation FROM co WHERE cocitation >= 0.01 UNION ALL SELECT 'structural', a, b, structural FROM co WHERE structural >= 0.25
+UNION ALL SELECT 'combined', a, b, combined FROM co WHERE combined >= 0.12""")
+def threshold_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity graph of each measure alone, and of their sum."""
+    _, _, pairs = combined(spark, sf_dir)
+    parts = [similarity.strong(pairs, m, t).select(F.lit(m).alias("measure"), "a", "b", "weight") for m, t in (("text", 0.15), ("cocitation", 0.01), ("structural", 0.25), ("combined", 0.12))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(COMBINED + " SELECT a, b, text, structural AS \"references\", cocitation AS citers, round(0.4::DOUBLE * text + 0.35::DOUBLE * structural + 0.25::DOUBLE * cocitation, 8) AS combined FROM co")
+def trunk_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers, _, pairs = combined(spark, sf_dir)
+    parts = {"text": pairs.select("a", "b", "text"), "references": pairs.select("a", "b", "structural"), "citers": pairs.select("a", "b", "cocitation")}
+    return similarity.combine(papers, parts, {"text": 0.40, "references": 0.35, "citers": 0.25}, 8)
+
+
+@query(CLUSTERS + """, cs AS (SELECT cluster, member, count(DISTINCT st.doc) AS c FROM st JOIN cl USING (doc) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY c DESC, member) AS r FROM cs)
+SELECT cluster AS community, coalesce(string_agg(member, '; ' ORDER BY r) FILTER (WHERE r <= 3), 'isolated_root') AS label FROM (SELECT DISTINCT cluster FROM cl) LEFT JOIN r USING (cluster) GROUP BY cluster""")
+def shared_member_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities named by who cites most of their papers."""
+    papers = part_papers(spark, sf_dir)
+    sets = similarity.member_sets(raw_edges(spark, sf_dir), papers)
+    return similarity.shared_members(sets, _clusters(spark, sf_dir, papers).withColumnRenamed("cluster", "community"))
+
+
+@query("SELECT c_custkey AS custkey, c_name || ', ' || c_mktsegment AS label FROM customer")
+def short_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = F.concat_ws(" , ", "c_name", "c_mktsegment", F.lit("JOURNAL"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), C.short_label(node).alias("label"))
+
+
+@query("SELECT o_orderkey AS orderkey, CASE WHEN o_orderstatus = 'F' THEN year(o_orderdate)::DOUBLE END AS year, try_cast(left(o_orderpriority, 1) AS DOUBLE) AS cited_by FROM orders")
+def numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's table under other spellings of the columns, its numbers as text."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("orderkey"), F.when(F.col("o_orderstatus") == "F", F.year("o_orderdate").cast("string")).otherwise("n/a").alias(" Year "), F.substring("o_orderpriority", 1, 1).alias("CITED_BY"))
+    return clean.numeric(clean.normalize_columns(rows), "year", "cited_by")
+
+
 # --- communities, topics: no SQL; the tests hold them against bounds and brute force --------------
 
 

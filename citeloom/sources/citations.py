@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from ..functions.columns import number, trim_ws
-from ..operators.clean import keep_first, require_columns
+from ..operators.clean import keep_first, normalize_columns, require_columns
+from ..operators.graph import degrees
 
 ARTICLE_COLUMNS = ("SR", "title", "author", "author_full_names", "orcid", "abstract", "year", "journal", "source_title", "country", "doi", "__doi_norm")
 
@@ -37,13 +38,23 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
     return keep_first(picked, "SR", F.col("_row")).drop("_row")
 
 
+def raw_articles(spark: SparkSession, path: str) -> DataFrame:
+    """Every column of the article file, with the rows' order as _row."""
+    rows = read_csv(spark, path).withColumn("_row", F.monotonically_increasing_id())
+    require_columns(rows, "SR")
+    return rows
+
+
 def nodes_of(article_rows: DataFrame) -> DataFrame:
-    """Articles under the names the graph operators use."""
-    return article_rows.withColumnRenamed("SR", "id")
+    """Articles under the names and kinds the graph operators use: id, title, abstract, journal, source_title, year, cited_by; what is missing is null."""
+    rows = normalize_columns(article_rows)
+    texts = [(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in ("title", "abstract", "journal", "source_title")]
+    value = lambda c: number(F.col(c)) if c in rows.columns else F.lit(None).cast("double")
+    return rows.select(F.col("SR").alias("id"), *texts, value("year").cast("int").alias("year"), value("cited_by").alias("cited_by"))
 
 
 def gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a GEXF file: id, label and a map of attributes by title; src, dst."""
+    """(nodes, edges) of a GEXF file: id, label, a map of attributes by title, in_degree and out_degree; src, dst."""
     xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
     names = xml("attribute", "_id string, _title string").filter("_id IS NOT NULL").select(F.map_from_entries(F.collect_list(F.struct("_id", "_title"))).alias("names"))
     value = T.StructType([T.StructField("_for", T.StringType()), T.StructField("_value", T.StringType())])
@@ -53,6 +64,8 @@ def gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     pairs = F.transform(F.coalesce("attvalues.attvalue", F.array().cast(T.ArrayType(value))), lambda x: F.struct(F.coalesce(F.try_element_at("names", x["_for"]), x["_for"]).alias("k"), x["_value"].alias("v")))
     nodes = nodes.select(F.col("_id").alias("id"), F.coalesce("_label", "_id").alias("label"), F.map_from_entries(pairs).alias("attributes"))
     edges = xml("edge", "_source string, _target string").select(F.col("_source").alias("src"), F.col("_target").alias("dst"))
+    ends = degrees(edges.distinct())
+    nodes = nodes.join(ends, "id", "left").fillna({"in_degree": 0, "out_degree": 0})
     return nodes, edges
 
 

@@ -5,6 +5,8 @@ The whole tables take part. Ids carry a letter for their kind, so all nodes shar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..storage import stored
 
-_kept: dict[tuple[str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,24 +26,31 @@ def _id(letter: str, column: str, name: str):
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, parts = table(spark, sf_dir, "lineitem"), []
-    parts.append(lines.select(_id("O", "l_orderkey", "src"), _id("P", "l_partkey", "dst")))
-    parts.append(lines.select(_id("P", "l_partkey", "src"), _id("S", "l_suppkey", "dst")))
-    parts.append(table(spark, sf_dir, "supplier").select(_id("S", "s_suppkey", "src"), _id("N", "s_nationkey", "dst")))
-    parts.append(table(spark, sf_dir, "nation").select(_id("N", "n_nationkey", "src"), _id("R", "n_regionkey", "dst")))
-    parts.append(table(spark, sf_dir, "orders").select(_id("C", "o_custkey", "src"), _id("O", "o_orderkey", "dst")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return graph.build_edges(out, "src", "dst")
+    """Distinct (src, dst) of all tables. Pairs are made distinct as numbers, before they get their letters; kinds share no pair."""
+
+    def pairs(name: str, of: str, src: str, to: str, dst: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).select(F.col(src).alias("s"), F.col(dst).alias("d")).filter("s IS NOT NULL AND d IS NOT NULL").distinct()
+        return rows.select(_id(of, "s", "src"), _id(to, "d", "dst"))
+
+    out = pairs("lineitem", "O", "l_orderkey", "P", "l_partkey").unionByName(pairs("lineitem", "P", "l_partkey", "S", "l_suppkey"))
+    out = out.unionByName(pairs("supplier", "S", "s_suppkey", "N", "s_nationkey")).unionByName(pairs("nation", "N", "n_nationkey", "R", "n_regionkey"))
+    return out.unionByName(pairs("orders", "C", "o_custkey", "O", "o_orderkey"))
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, made once per session and state of the tables; a table that changes is read anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if _kept.get(key, (None, None))[0] != state:
+        _kept[key] = (state, make())
+    return _kept[key][1]
 
 
 def clean_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned graph, made once per session and folder; every role query starts from its files."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _kept:
-        _kept[key] = graph.clean_graph(raw_edges(spark, sf_dir))
-    return _kept[key]
+    """The cleaned graph; every role query starts from its files."""
+    return kept(spark, sf_dir, "clean", lambda: graph.clean_graph(raw_edges(spark, sf_dir)))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

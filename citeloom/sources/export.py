@@ -93,12 +93,14 @@ def leaf(x: float, y: float, length: float, width: float, turn: float, color: st
 
 def html_page(drawing: str, records: DataFrame, fields: Sequence[str]) -> str:
     """A page with the drawing and a list of records that filters by role and by text in the given fields."""
-    rows = [r.asDict() for r in records.toLocalIterator()]
-    data = json.dumps(rows, default=str).replace("</", "<\\/")
+    rows = (r["row"] for r in records.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).toLocalIterator())
+    data = f"[{','.join(rows)}]".replace("</", "<\\/")
     script = """
-const q=document.getElementById('q'),role=document.getElementById('role'),list=document.getElementById('list');
-[...new Set(rows.map(r=>r.role))].forEach(x=>role.add(new Option(x,x)));
-function draw(){const t=q.value.toLowerCase();list.replaceChildren(...rows.filter(r=>(!role.value||r.role===role.value)&&fields.map(f=>r[f]??'').join(' ').toLowerCase().includes(t))
- .map(r=>Object.assign(document.createElement('li'),{textContent:r.role+': '+(r.title||r.id)+' ('+(r.year??'')+')'})));}
-q.oninput=role.onchange=draw;draw();"""
-    return f'<!DOCTYPE html><meta charset="utf-8"><title>Citation tree</title>{drawing}<p><input id="q" placeholder="search"><select id="role"><option value="">all</option></select></p><ol id="list"></ol><script>const rows={data},fields={json.dumps(list(fields))};{script}</script>'
+const q=document.getElementById('q'),role=document.getElementById('role'),sub=document.getElementById('sub'),list=document.getElementById('list'),count=document.getElementById('count');
+const roles=[...new Set(rows.map(r=>r.role))];roles.forEach(x=>role.add(new Option((rows.find(r=>r.role===x).role_label??x)+' ('+rows.filter(r=>r.role===x).length+')',x)));
+function groups(){sub.replaceChildren(new Option('all',''));[...new Set(rows.filter(r=>!role.value||r.role===role.value).map(r=>r.subgroup).filter(x=>x))].forEach(x=>sub.add(new Option(x,x)));}
+function draw(){const t=q.value.toLowerCase();const own=rows.filter(r=>(!role.value||r.role===role.value)&&(!sub.value||r.subgroup===sub.value)&&fields.map(f=>r[f]??'').join(' ').toLowerCase().includes(t));
+ count.textContent=own.length+' of '+rows.length;
+ list.replaceChildren(...own.map(r=>Object.assign(document.createElement('li'),{textContent:r.role+': '+(r.title||r.id)+' ('+(r.year??'year unknown')+')'+(r.subgroup_label?' - '+r.subgroup_label:'')})));}
+q.oninput=sub.onchange=draw;role.onchange=()=>{groups();draw();};groups();draw();"""
+    return f'<!DOCTYPE html><meta charset="utf-8"><title>Citation tree</title>{drawing}<p><input id="q" placeholder="search"><select id="role"><option value="">all</option></select><select id="sub"></select> <span id="count"></span></p><ol id="list"></ol><script>const rows={data},fields={json.dumps(list(fields))};{script}</script>'

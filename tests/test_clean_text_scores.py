@@ -123,3 +123,43 @@ def test_topics_separate_two_vocabularies(spark):
     best = {r.doc: r.topic for r in found.filter("dominant").collect()}
     assert len({best[f"d{i}"] for i in range(3)}) == 1 and best["d0"] != best["d5"]
     assert {(r.a, r.b): r.similarity for r in topics.topic_pairs(found).collect()}["d0", "d1"] == pytest.approx(1.0, abs=1e-3)
+
+
+def test_article_tidy(spark):
+    rows = [(0, "A ", "ta", None, "10.1/a;10.1/b"), (1, "B", "tb", "jb", "10.1/b; 10.1/c"), (2, "C", "", "jc", None), (3, "ANONYMOUS, 2", "x", "x", None), (4, "D", "gone", "x", " 10.9/Z "), (5, None, "x", "x", None), (6, "E", None, None, None)]
+    df = spark.createDataFrame(rows, "_row long, SR string, title string, journal string, doi string")
+    by_hand = spark.createDataFrame([("E", "hand", None), ("N", "new", "jn")], "SR string, title string, journal string")
+    pairs = spark.createDataFrame([("B", "A"), ("C", "A")], "SR string, canonical string")
+    for mapping in ({"B": "A", "C": "A"}, pairs):
+        out = clean.tidy_articles(df, "_row", mapping, multi_doi=("A",), dropped_dois=("10.9/z",), overrides=by_hand)
+        got = {r.SR: (r.title, r.journal, r.doi) for r in out.collect()}
+        assert got == {"A": ("ta", "jb", "10.1/a;10.1/b;10.1/c"), "E": ("hand", None, None), "N": ("new", "jn", None)}
+
+
+def test_publications(spark):
+    rows = [("A ", "2019", "3", "yes"), ("A", "2018", "9", "TRUE"), ("B", "n/a", "5", "1"), ("C", "2010", "5", "1"), ("D", "2020", "x", "1"), (None, "2020", "1", "1"), ("E", "2020", "7", "no")]
+    df = spark.createDataFrame(rows, "`sr ` string, Year string, cited_BY string, ismain_wos string")
+    got = {r.SR: (r.year, r.cited_by) for r in clean.publications(df, 2020, 5).collect()}
+    assert got == {"A": (2018, 9.0), "D": (2020, 0.0)}
+    assert "E" in {r.SR for r in clean.publications(df, 2020, 5, include_non_main=True).collect()}
+    with pytest.raises(ValueError, match="cited_by"):
+        clean.publications(df.drop("cited_BY"), 2020)
+
+
+def test_modes_ids_and_order(spark):
+    df = spark.createDataFrame([("g", "b"), ("g", "a"), ("g", "b"), ("g", "a"), ("h", "z"), ("h", None), ("h", None)], "grp string, parent string")
+    assert {r.grp: r.m for r in scores.mode(df, "grp", "parent", "m").collect()} == {"g": "a", "h": "z"}
+    rows = [(f"p{i}", f"branch_{1 + i % 2}", ["core", "peripheral", "odd", "missing_metadata"][i % 4], 0.1 * (i % 3), None if i == 5 else 2000 + i, float(i)) for i in range(12)]
+    members = spark.createDataFrame(rows, "id string, grp string, branch_member_role string, branch_core_score double, year int, citations_received double")
+    order = {"core": 1, "peripheral": 2, "background_methodological": 3, "missing_metadata": 4}
+    expected = [r[0] for r in sorted(rows, key=lambda r: (int(r[1][7:]), order.get(r[2], 5), -r[3], -(r[4] or -1), -r[5], r[0]))]
+    assert [r.id for r in scores.display_order(members).orderBy("display_position").collect()] == expected
+    ids = {r.id: r.pid for r in scores.positional_ids(members.withColumn("b", F.substring("grp", 8, 1)), "branch", F.col("id"), group="b").collect()}
+    assert ids["p0"] == "branch_1_01" and ids["p1"] == "branch_2_01" and len(set(ids.values())) == 12
+    many = scores.positional_ids(spark.range(120).select(F.col("id").cast("string")), "root", F.col("id").cast("int"))
+    assert [r.pid for r in many.orderBy("position").collect()][::50] == ["root_01", "root_51", "root_101"]
+
+
+def test_publication_years(spark):
+    df = spark.createDataFrame([("SMITH J, 1999, J", "2001"), ("SMITH J, 1999, J", None), ("SMITH 19991", "n/a")], "id string, year string")
+    assert [(r.year, r.metadata_year, r.year_from_id, r.year_source) for r in scores.publication_years(df).collect()] == [(2001, 2001, 1999, "metadata"), (1999, None, 1999, "node_id"), (None, None, None, "missing")]

@@ -147,3 +147,46 @@ def test_compare_fills_missing_labels(spark):
     x = spark.createDataFrame([("a", "b1"), ("b", "b2")], "id string, label string")
     y = spark.createDataFrame([("b", "b2"), ("c", "b3")], "id string, label string")
     assert pairs(community.compare(x, y)) == [("a", "b1", "", False), ("b", "b2", "b2", True), ("c", "", "b3", False)]
+
+
+def test_removal_impacts_against_brute_force(spark):
+    rng = random.Random(11)
+    pairs = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(45)}
+    groups = {"x": {"n1", "n2", "n3", "absent"}, "y": {f"n{i}" for i in range(0, 40, 5)}, "z": {"n7"}}
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    members = spark.createDataFrame([(g, n) for g, ns in groups.items() for n in ns], "grp string, id string")
+
+    def sizes(nodes):
+        left, out = set(nodes), []
+        while left:
+            stack, part = [left.pop()], 1
+            while stack:
+                n = stack.pop()
+                near = {b for a, b in pairs if a == n} | {a for a, b in pairs if b == n}
+                for m in near & left:
+                    left.discard(m)
+                    stack.append(m)
+                    part += 1
+            out.append(part)
+        return out
+
+    every = {n for p in pairs for n in p}
+    before = sizes(every)
+    for r in graph.removal_impacts(edges, members).collect():
+        own = groups[r.grp] & every
+        after = sizes(every - own)
+        assert (r.component_delta, r.giant_loss) == (len(after) - len(before), max(0, max(before) - max(after, default=0) - len(own))), r.grp
+
+
+def test_components_of_long_paths_and_numbers(spark):
+    rng = random.Random(2)
+    order = list(range(300))
+    rng.shuffle(order)
+    edges = [(order[i], order[i + 1]) for i in range(299) if i != 150] + [(1000, 1000)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r.id: r.component for r in graph.components(df, spark.createDataFrame([(2000,)], "id long")).collect()}
+    low, high = min(order[:151]), min(order[151:])
+    assert got == {n: low for n in order[:151]} | {n: high for n in order[151:]} | {1000: 1000, 2000: 2000}
+    named = df.select(*(F.lpad(F.col(c).cast("string"), 5, "0").alias(c) for c in ("src", "dst")))
+    assert {(int(r.id), int(r.component)) for r in graph.components(named).collect()} == {x for x in got.items() if x[0] != 2000}
+    assert graph.components(named.limit(0)).count() == 0

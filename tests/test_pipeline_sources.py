@@ -34,6 +34,94 @@ def test_all_stages_and_exports(spark, tmp_path):
     assert {r.attributes["role"] for r in nodes.collect()} == kinds
 
 
+def test_exports_of_the_whole_plan(spark, tmp_path):
+    cites, arts = corpus(spark)
+    settings = pipeline.Settings(2020, max_roots=3, max_leaves=4, max_trunk=4, max_branch_size=5, recent_years=19, topic_terms=("market",), compare_algorithms=True)
+    out = tmp_path / "out"
+    t = pipeline.run(spark, cites, arts, settings, out)
+    assert {"roots.svg", "trunk.svg", "leaves_labelled.svg", "branches.svg", "gephi_nodes.csv", "gephi_edges.csv", "leaf_like.md", "roots_nodes_only.gexf", "branch_emergence.csv", "branch_comparison.csv", "figures"} <= {p.name for p in out.iterdir()}
+    assert "<viz:color" in (out / "roots_nodes_only.gexf").read_text() and "<edge " not in (out / "roots_nodes_only.gexf").read_text()
+    members = {r.id: r for r in t["branch_members"].collect()}
+    assert set(members) == {r.id for r in t["branches"].collect()} and all(r.branch_member_role in ("core", "peripheral", "background_methodological", "missing_metadata") for r in members.values())
+    assert all(r.pid == f"branch_{r.branch}_{r.position:02d}" for r in members.values())
+    assert sorted(r.display_position for r in members.values()) == list(range(1, len(members) + 1))
+    compared = t["branch_comparison"].collect()
+    assert {r.algorithm for r in compared} == {f"{a}_{s}" for a in ("louvain", "leiden") for s in ("current", "cohesive")} and all(r.selected_node_count <= 5 for r in compared)
+    data = json.loads((out / "index.html").read_text().split("const rows=")[1].split(",fields=")[0].replace("<\\/", "</"))
+    assert {"root", "trunk", "leaf", "fruit"} <= {r["role"] for r in data} and all(r["title"] for r in data)
+    assert not {r["id"] for r in data if r["role"] == "leaf"} & {r["id"] for r in data if r["role"] == "fruit"}
+    ids = [r.pid for r in t["root_papers"].orderBy("position").collect()]
+    assert ids == [f"root_{i + 1:02d}" for i in range(len(ids))]
+
+
+def test_run_on_files(spark, tmp_path):
+    cites, arts = corpus(spark)
+    (tmp_path / "c.csv").write_text("SR,SR_ref\n" + "\n".join(f"{r.SR},{r.SR_ref}" for r in cites.collect()))
+    lines = [f"{r.id},{r.title},{r.abstract},J,S,{r.year},,{r.cited_by}" for r in arts.collect()]
+    lines += ["l0 old,,,,,,10.1/x,", "gone,t,a,J,S,2020,10.9/z,999"]
+    (tmp_path / "a.csv").write_text("SR,title,Abstract,journal,source_title,YEAR,doi,Cited_By\n" + "\n".join(lines))
+    settings = pipeline.Settings(2020, max_roots=3, max_leaves=4, max_trunk=4, max_branch_size=5, recent_years=19, article_replacements={"l0 old": "l0"}, dropped_dois=("10.9/z",), article_overrides={"r0": {"title": "By hand"}, "r9": {"title": "Added"}})
+    t = pipeline.run_files(spark, str(tmp_path / "c.csv"), str(tmp_path / "a.csv"), settings, end=7, template=str(tmp_path / "none.xlsx"))
+    titles = {r.id: r.title for r in t["articles"].collect()}
+    assert titles["r0"] == "By hand" and titles["r9"] == "Added" and "gone" not in titles and "l0 old" not in titles
+    fruits = {r.id: r for r in t["fruits"].collect()}
+    assert fruits["new"].cited_by == 50.0 and fruits["new"].fruit_signal_type == "external_signal_not_matched_in_graph"
+    assert any(r.fruit_signal_type != "recent_no_external_signal" for r in fruits.values())
+
+
+def test_spreadsheets(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    (tmp_path / "a.csv").write_text("SR,x\nA,1\n")
+    assert citations.article_source(spark, str(tmp_path / "a.csv"), str(tmp_path / "no.xlsx")).collect()[0].x == "1"
+    (tmp_path / "t.xlsx").write_bytes(b"")
+    monkeypatch.setattr(pd, "read_excel", lambda path, sheet_name, dtype: pd.DataFrame({"SR": ["B"], "x": [sheet_name]}))
+    assert tuple(citations.article_source(spark, str(tmp_path / "a.csv"), str(tmp_path / "t.xlsx"), sheet="s").collect()[0]) == ("B", "s")
+
+    def missing(*a, **k):
+        raise ImportError("openpyxl")
+
+    monkeypatch.setattr(pd, "read_excel", missing)
+    with pytest.raises(RuntimeError, match="CSV"):
+        citations.article_source(spark, str(tmp_path / "a.csv"), str(tmp_path / "t.xlsx"))
+
+
+def test_stored_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    from citeloom import storage
+
+    df = storage.stored(spark.range(3), "three")
+    path = Path(df._stored_at.removeprefix("file://").removeprefix("file:"))
+    assert path.exists() and df.count() == 3 and path.is_relative_to(storage.own_dir(spark).removeprefix("file://").removeprefix("file:"))
+    storage.forget(df)
+    assert not path.exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from citeloom import storage
+
+    context = lambda master: N(master=master, getConf=lambda: N(get=lambda k: None), _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="all machines share"):
+            storage.shared_dir(N(conf=N(get=lambda k, d: None), sparkContext=context(master)))
+
+
+def test_changed_tables_are_read_anew(spark, tmp_path):
+    from citeloom.sources.driver_tables import kept
+
+    made = []
+    spark.range(1).write.parquet(f"{tmp_path}/t.parquet")
+    for _ in range(2):
+        kept(spark, str(tmp_path), "x", lambda: made.append(1))
+    assert len(made) == 1
+    spark.range(2).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    kept(spark, str(tmp_path), "x", lambda: made.append(1))
+    assert len(made) == 2
+
+
 def test_dry_run_and_selection(spark, capsys):
     assert pipeline.run(spark, None, None, pipeline.Settings(2020), dry_run=True, end=2) == {"citations": None, "articles": None}
     assert "2. build the citation graph" in capsys.readouterr().out
@@ -78,8 +166,15 @@ def test_layout():
     assert len(layout.path_polygon("M0 0 C 0 1 1 1 1 0")) == 9
     with pytest.raises(ValueError):
         layout.path_polygon("M 0 0 A 1 1")
-    places = layout.canopy_places(10, square, 2.0, seed=3)
-    assert places == layout.canopy_places(10, square, 2.0, seed=3) and all(layout.inside(x, y, square) for x, y in places)
+    places = layout.canopy_places([2.0] * 10, square, seed=3)
+    assert places == layout.canopy_places([2.0] * 10, square, seed=3) and all(layout.inside(x, y, square) for x, y, _ in places)
+    assert min(math.hypot(a[0] - b[0], a[1] - b[1]) for a in places for b in places if a != b) >= 2.0 * 1.18 * 0.68
+    wide = layout.path_polygon("M 0 0 H 900 V 900 H 0 Z")
+    apart = layout.canopy_places([40.0, 10.0], wide, seed=1)
+    assert math.hypot(apart[0][0] - apart[1][0], apart[0][1] - apart[1][1]) >= (40 + 10) / 2 * 1.18
+    assert all(abs((turn - math.degrees(math.atan2(y - 450, x - 450)) + 180) % 360 - 180) <= 42 for x, y, turn in apart)
+    assert len(layout.canopy_places([30.0] * 6, square, seed=2)) == 6  # crowded: no distance holds
+    assert layout.fan(1, (0, 0), (10, 10))[0] == pytest.approx((5, 10 * math.sin(math.radians(60))))
     assert layout.radius_px(25.4) == pytest.approx(48)
     assert len(layout.leaf_places(5)) == 5 and layout.arc(3, 0, 0, 1)[0] == (0, 0)
     assert layout.columns([["a"], ["b", "c"]])["c"] == (460, 210)
@@ -108,7 +203,16 @@ def test_drawings(spark, tmp_path):
     rows = [(f"N{i}, 200{i}", f"c{i % 2}", 0.1 * i, 2000 + i, float(i), 14.0, "#C4AE97", "core" if i < 2 else "peripheral", 20.0, 8.6, "#7D932D", 22.0) for i in range(5)]
     df = spark.createDataFrame(rows, "id string, cluster string, anchor_score double, year int, sap double, size double, color string, branch_member_role string, leaf_length double, leaf_width double, leaf_color string, radius double")
     df = df.withColumn("fruit_score", F.col("anchor_score")).withColumn("grp", F.col("cluster"))
-    assert drawings.roots(df, labels=True).count("<circle") == 5
+    clustered = df.withColumn("cluster_order", F.when(F.col("cluster") == "c0", 1).otherwise(2)).withColumn("citations_received", F.col("sap"))
+    page = drawings.roots(clustered, labels=True)
+    assert page.count("<circle") == 5 and "Cluster 2" in page and 'cx="840.00"' in page  # the second cluster's first slot of two
+    many = df.withColumn("cluster_order", F.lit(1)).withColumn("citations_received", F.col("sap")).crossJoin(spark.range(2).toDF("n"))
+    assert drawings.roots(many).count("<circle") == 10
+    cards = drawings.role_cards(df.withColumn("branch_core_score", F.col("anchor_score")))
+    assert set(cards) == {"c0", "c1"} and "core (1)" in cards["c0"] and "N2, 2002" in cards["c0"]
+    overview = drawings.branch_overview(spark.createDataFrame([("branch_2", 3, 0.5, 1, "weak_or_preliminary_candidate"), ("branch_1", 4, 0.25, 2, "x")], "grp string, paper_count int, branch_emergence_score double, branch_emergence_rank int, branch_emergence_type string"))
+    assert overview.index("branch_2 (3)") < overview.index("branch_1 (4)") and 'width="200.0"' in overview
+    assert drawings.leaves(df, labels=True).count("<text") == 5 and drawings.workflow(["a", "b"]).count("<rect") == 2
     assert drawings.trunk(df, ["c1"]).count("<circle") == 2
     assert {k: v.count("<circle") for k, v in drawings.branches(df).items()} == {"c0": 3, "c1": 2}
     assert drawings.leaves(df, exclude=["N1, 2001"]).count("<path") == 4
