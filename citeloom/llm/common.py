@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import forget, scratch, stored
+
+__all__ = ["WORD", "bounded_batches", "components", "forget", "materialize", "pick", "scratch", "sent", "table"]
+
 #: Separators between words: the space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,32 +45,9 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return flat.select(*(F.col(f"_c{place(old)}").alias(new) for new, old in wanted.items()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none, as in tests, a local folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    made = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if made.isDefined():
-        return made.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name, **{"compression": "zstd"} | options)
 
 
 #: A join's side of up to so many bytes, counted in rows of known width, is sent to all executors; a larger one is shuffled.
@@ -91,12 +69,13 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     both = materialize(
         links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct(), "edges"
     )
-    labels = materialize(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")), "labels")
+    labels = last = materialize(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")), "labels")
     while True:
         heard = both.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("near"))
         step = labels.join(heard, "v", "left").select("v", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         to = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
         step = materialize(step.join(to, "label", "left").select("v", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        labels = step.select("v", "label")
+        forget(last)
+        last, labels = step, step.select("v", "label")
         if step.filter("was <> label").isEmpty():
             return labels.withColumnRenamed("v", "id")

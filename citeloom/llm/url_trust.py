@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import forget, materialize, pick
 
 # Fixed values of the standard list: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -99,13 +99,16 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return ranks
     edges = materialize(edges.join(degree, "src"), "edges")
+    last = None
     while True:
         share = F.expr(f"(rank * {DAMPING}) DIV (100 * degree)")
         given = edges.join(ranks.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(share).alias("given"))
         new = own.join(given, "host", "full").select("host", (F.coalesce("own", F.lit(0)) + F.coalesce("given", F.lit(0))).cast("long").alias("rank"))
         was = ranks.withColumnRenamed("rank", "was")
         step = materialize(new.filter("rank > 0").join(was, "host", "left"), "ranks")
-        ranks = step.select("host", "rank")
+        if last is not None:
+            forget(last)
+        last, ranks = step, step.select("host", "rank")
         if step.filter("rank <> coalesce(was, 0)").isEmpty():
             return ranks
 

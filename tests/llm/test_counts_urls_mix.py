@@ -196,7 +196,8 @@ def test_ten_thousand_rules_against_brute_force(spark):
     assert url_trust.judge(df.limit(0), rules).count() == 0
 
 
-def test_link_graph_against_brute_force_and_sql(spark):
+def test_link_graph_against_brute_force_and_sql(spark, monkeypatch):
+    monkeypatch.setattr(url_trust, "SCALE", 10**5)  # settles sooner
     rng = random.Random(6)
     hosts = [f"h{i}.com" for i in range(12)] + ["bad.net", "worse.net", "good.example.net", "fine.org"]
     rows = []

@@ -273,6 +273,99 @@ def test_pipeline_stages(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == len(rows)
 
 
+def brute_force_pipeline(spark, rows, labels):
+    """How often each (doc_id, piece, start, length, checksum) comes out of all five stages. rows: (doc_id, text, source), ids distinct."""
+    import hashlib
+    from array import array
+
+    import public_tokenizers
+    from cases import components
+    from test_counts_urls_mix import targets
+    from test_dedup_quality import brute_force_judge, within
+    from tokenizers import Tokenizer
+
+    rows = sorted(rows)
+    kept = brute_force_judge(spark, [(d, t) for d, t, _ in rows], labels)
+    docs, seen, by_length = [], set(), {}
+    for (d, text, source), (_, good) in zip(rows, kept, strict=True):
+        if not good:
+            continue
+        left, lines = [], (text or "").split("\n")
+        for x in lines:
+            s = x.strip(" \t\n\x0b\x0c\r")
+            near = (y for n in (len(s) - 1, len(s), len(s) + 1) if n >= 20 for y in by_length.get(n, ())) if len(s) >= 20 else ()
+            if not s or not (s in seen or any(within(s, y) for y in near)):
+                left.append(x)
+            if s and s not in seen:
+                seen.add(s)
+                by_length.setdefault(len(s), []).append(s)
+        new = "\n".join(left)
+        if len(left) == len(lines) or words(new):
+            docs.append((d, text if len(left) == len(lines) else new, source))
+    sets = {}
+    for d, t, _ in docs:
+        w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in words(t)]
+        sets[d] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    ids = list(sets)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    label = components(ids, links)
+    docs = [x for x in docs if label[x[0]] == x[0]]
+    size = Counter()
+    for _, t, s in docs:
+        size[s] += len(words(t))
+    goal, out = targets(size), Counter()
+    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for s in size:
+        own = sorted((hashlib.md5(str(d).encode()).hexdigest(), d, t) for d, t, x in docs if x == s)
+        whole = min(3, int(goal[s] + 0.5) // size[s]) if size[s] else 0
+        before = 0
+        for _, d, t in own:
+            n = len(words(t))
+            part = max(0, min(int(goal[s] + 0.5) - whole * size[s] - before, n))
+            before += n
+            times = whole + (part > 0) if whole * n + part > 0 else 0
+            tokens = coder.encode(t or "", add_special_tokens=False).ids + [1]
+            for k in range(0, len(tokens), 4096):
+                piece = tokens[k : k + 4096]
+                out[d, k // 4096, k, len(piece), zlib.crc32(array("I", piece).tobytes())] += times
+    return +out
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", None])
+def test_the_whole_pipeline_against_brute_force(spark, sf, tmp_path):
+    import corpus_pipeline as cp
+    from test_tokens_packing import bins
+
+    if sf is None:
+        sf, rng = str(tmp_path), random.Random(6)
+        held = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+        texts = [r.text for r in held[:60]]
+        texts += ["\n".join(rng.sample((t or "x").split("\n"), k=1) + [f"some more words {i} that no other text has in it"]) for i, t in enumerate(texts)]
+        texts += [" ".join(w if rng.random() > 0.01 else "other" for w in (t or "").split(" ")) for t in texts[:30]] + [None, "", "\n\n", "All rights reserved\n" + "a few words of its own, at least ten of them in all", "All rights reserved\nwords of another text, at least ten of them in a line"]
+        df = docs(spark, *texts, sources=[rng.choice(["a", "b", None]) for _ in texts])
+        df.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = sorted({(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id is not None and r.quality is not None})
+    got = cp.run(spark, sf).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == brute_force_pipeline(spark, rows, labels)
+    assert all(sum(n for _, n in x) <= 4096 for x in bins(got).values())
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    awkward(spark).drop("ids").toDF("doc_id", "text", "lang", "source", "n_chars", "more", "id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 0), (3, None, 0), (3, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = cp.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} <= {3, 5, None}
+    now = awkward(spark)
+    for _, stage in cp.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == list(cp.COLUMNS)
+        now.collect()
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline as cp
 
