@@ -1,7 +1,22 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, whatever other
+columns come in and however their names clash.
+
+At every stage null texts are empty ones, texts of any length are read whole, and repeated rows are
+documents of their own, so:
+
+- quality rules: null, empty and short texts go; repeated rows go or stay together.
+- line dedup: a text that loses no line stays as it is, null too; one that loses every line with a word
+  goes. A repeated row's lines are not earlier than its twin's, so both stay; null doc_ids come last.
+- near-dedup: documents without words link with nothing and stay, as do null doc_ids; rows of one doc_id
+  go or stay together. Ties don't arise: of a group the smallest doc_id stays.
+- source mix: documents without words are never taken; rows equal in doc_id, source and size are
+  interchangeable in the order, which decides which of them a last, partial pass takes.
+- packing: every row that comes in is one document, cut into pieces of at most 4096 tokens.
+
+An empty table gives no row.
 """
 
 from __future__ import annotations
