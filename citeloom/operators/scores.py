@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import ACTIVE_GREENS, BROWNS, DORMANT_BROWNS, FRUIT_REDS, LEAF_GREENS, ROOT_SIZES, age, contains_any, joined, minmax, mixed_color, number, scaled, size_level, trim_ws, year_in_word
+from ..storage import stored
+from . import graph
 
 # Phrases that mark sources and topics of branch members.
 METHOD_TERMS = ("bibliometric", "checklist", "equation", "method", "methodological", "methodology", "modeling", "modelling", "qualitative", "reporting", "research method", "structural equation")
@@ -317,14 +319,17 @@ def reference_novelty(focal: DataFrame, references: DataFrame, years: DataFrame,
     an equi-join on the shared reference with the years as a further condition. Novelty is 1 minus
     the mean Jaccard overlap with them.
     """
-    sizes = references.groupBy("src").agg(F.count(F.lit(1)).alias("size"))
-    own = references.join(focal.select(F.col("id").alias("src")), "src").join(years.select(F.col("id").alias("src"), F.col("year").alias("fy")), "src", "left").select(F.col("src").alias("id"), "dst", "fy")
-    other = references.join(years.select(F.col("id").alias("src"), F.col("year").alias("cy")), "src", "left").select(F.col("src").alias("cand"), "dst", "cy")
+    ids, refs = graph.numbered(references)  # pairs of papers are many, and numbers are short
+    year = years.join(ids, "id").select("n", "year")
+    sizes = stored(refs.groupBy("src").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    own = refs.join(focal.join(ids, "id").select(F.col("n").alias("src")), "src").join(year.select(F.col("n").alias("src"), F.col("year").alias("fy")), "src", "left").select(F.col("src").alias("id"), "dst", "fy")
+    other = refs.join(year.select(F.col("n").alias("src"), F.col("year").alias("cy")), "src", "left").select(F.col("src").alias("cand"), "dst", "cy")
     fits = (F.col("cy") < F.col("fy")) & (F.lit(True) if co_citing_window is None else F.col("cy") >= F.col("fy") - co_citing_window)
     shared = own.join(other, "dst").filter((F.col("id") != F.col("cand")) & (F.col("fy").isNull() | F.coalesce(fits, F.lit(False)))).groupBy("id", "cand").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
     shared = shared.join(sizes.select(F.col("src").alias("id"), F.col("size").alias("na")), "id").join(sizes.select(F.col("src").alias("cand"), F.col("size").alias("nb")), "cand")
     found = shared.groupBy("id").agg(F.count(F.lit(1)).alias("candidate_count"), F.round(F.avg(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))), 9).alias("overlap"))
-    out = focal.select("id").join(sizes.withColumnRenamed("src", "id"), "id", "left").join(found, "id", "left")
+    facts = sizes.withColumnRenamed("src", "id").join(found, "id", "left").withColumnRenamed("id", "n").join(ids, "n").drop("n")
+    out = focal.select("id").join(facts, "id", "left")
     n = F.coalesce("candidate_count", F.lit(0))
     return out.select("id", F.coalesce("size", F.lit(0)).alias("reference_count"), n.alias("candidate_count"), F.round("overlap", 6).alias("mean_overlap"), F.round(1 - F.col("overlap"), 6).alias("reference_novelty"), (n >= min_candidates).alias("supported"))
 

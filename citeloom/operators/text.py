@@ -11,11 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import joined, tokens
+from ..storage import spread
 
 
 def corpus(df: DataFrame, doc: str, *texts: str) -> DataFrame:
     """(doc, tokens) of the given text columns, joined by spaces."""
-    return df.select(F.col(doc).alias("doc"), tokens(F.concat_ws(" ", *(F.coalesce(F.col(t), F.lit("")) for t in texts))).alias("tokens"))
+    rows = spread(df.select(F.col(doc).alias("doc"), F.concat_ws(" ", *(F.coalesce(F.col(t), F.lit("")) for t in texts)).alias("text")))
+    return rows.select("doc", tokens(F.col("text")).alias("tokens"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

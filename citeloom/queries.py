@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import clean, community, graph, roles, similarity, text
-from .sources.driver_tables import articles, clean_edges, event_hops, kept, part_papers, raw_edges, table
+from .sources.driver_tables import articles, clean_edges, event_hops, kept, part_papers, raw_edges, stored_edges, table
 from .storage import stored
 
 QUERIES: dict = {}
@@ -262,7 +262,7 @@ def subgraph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("grp", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"))
     own = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("grp"))
     members = suppliers.unionByName(nations.select("grp", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"))).unionByName(own.select("grp", F.col("grp").alias("id")))
-    out = graph.subgraph_quality(raw_edges(spark, sf_dir), members.distinct())
+    out = graph.subgraph_quality(stored_edges(spark, sf_dir), members.distinct())
     return out.select("grp", "n_nodes", F.col("internal_edges").cast("long").alias("internal_edges"), "density", "n_components", "largest_fraction")
 
 
@@ -271,7 +271,7 @@ def subgraph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n::BIGINT AS component_delta, n::BIGINT AS giant_loss FROM lone""")
 def removal_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the whole graph loses with its nations."""
-    edges = stored(raw_edges(spark, sf_dir), "edges")
+    edges = stored_edges(spark, sf_dir)
     return graph.removal_impact(edges, graph.vertices(edges).filter(F.substring("id", 1, 1) == "N"))
 
 
@@ -440,7 +440,7 @@ OVERLAP = "SELECT a, b, shared, size_a, size_b, round(coalesce(shared / nullif(s
 
 def _paper_sets(spark: SparkSession, sf_dir: str, cited: bool) -> tuple[DataFrame, DataFrame]:
     papers = part_papers(spark, sf_dir)
-    return papers, similarity.member_sets(raw_edges(spark, sf_dir), papers, cited)
+    return papers, similarity.member_sets(stored_edges(spark, sf_dir), papers, cited)
 
 
 @query(CITERS + ", " + overlap_sql() + " " + OVERLAP)
@@ -471,8 +471,12 @@ cb AS MATERIALIZED (SELECT ov.a, ov.b, round(coalesce(similarity, 0), 6) AS text
 
 def combined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Papers, their TF-IDF vectors, and all pairs' text, co-citation and reference similarity with the weighted sum."""
+    return kept(spark, sf_dir, "combined", lambda: _combined(spark, sf_dir))
+
+
+def _combined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     papers, citers = _paper_sets(spark, sf_dir, True)
-    refs = similarity.member_sets(raw_edges(spark, sf_dir), papers, False)
+    refs = similarity.member_sets(stored_edges(spark, sf_dir), papers, False)
     docs = text.corpus(articles(spark, sf_dir).join(papers.select(F.col("doc").alias("id")), "id"), "id", "title", "abstract")
     vectors = stored(text.tfidf(docs), "vectors")
     parts = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import clean, community, graph, roles, scores as S, similarity, text, topics
 from .queries import _whole, ARTICLES, ORACLES, CLEAN, COMBINED, PAPERS, SAP, TEXTS, _leaves, _topic_communities, combined, mm, query, scores, vectors_sql
-from .sources.driver_tables import articles, clean_edges, kept, part_papers, raw_edges, table
+from .sources.driver_tables import articles, clean_edges, kept, part_papers, stored_edges, table
 from .storage import stored
 
 NOW = 2001  # the newest year of the driver's orders; always passed, never today
@@ -85,7 +85,7 @@ j AS (SELECT m.cluster, member_count, coalesce(cohesion, 0) AS co, coalesce(e, 0
 SELECT cluster, member_count, round(co, 6) AS cohesion, round(ex, 6) AS external_strength, round(1.0::DOUBLE - ex, 6) AS separation, round(support, 6) AS support, supported, round(0.45::DOUBLE * co + 0.25::DOUBLE * (1.0::DOUBLE - ex) + 0.3::DOUBLE * support, 6) AS strength FROM j""")
 def cluster_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers, _, pairs = combined(spark, sf_dir)
-    edges = raw_edges(spark, sf_dir).filter(F.substring("src", 1, 1) == "O")
+    edges = stored_edges(spark, sf_dir).filter(F.substring("src", 1, 1) == "O")
     influence = graph.reach(edges, papers.select(F.col("doc").alias("id")), max_depth=1)
     return S.cluster_metrics(pairs, _clusters(spark, sf_dir, papers), influence, edges.select(F.col("src").alias("id")).distinct())
 
@@ -367,7 +367,7 @@ def _novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make() -> DataFrame:
         members = _members(spark, sf_dir).select("id", "grp", "year")
-        edges = raw_edges(spark, sf_dir).filter(F.substring("src", 1, 1) == "O")
+        edges = stored_edges(spark, sf_dir).filter(F.substring("src", 1, 1) == "O")
         years = articles(spark, sf_dir).select("id", "year")
         refs = stored(S.windowed_references(edges, years), "refs")
         return stored(S.reference_novelty(members, refs, years.filter(F.substring("id", 1, 1) == "O")).join(members, "id"), "novelty")
@@ -405,7 +405,7 @@ fr AS MATERIALIZED (SELECT *, round(0.35::DOUBLE * {mm('ln(1 + ev)')} + 0.35::DO
 
 def _fruits(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = part_papers(spark, sf_dir)
-    edges = stored(raw_edges(spark, sf_dir).filter(F.substring("src", 1, 1) == "P"), "edges")
+    edges = stored(stored_edges(spark, sf_dir).filter(F.substring("src", 1, 1) == "P"), "edges")
     field = stored(papers.select(F.col("doc").alias("id")).unionByName(edges.join(papers.select(F.col("doc").alias("src")), "src").select(F.col("dst").alias("id"))).distinct(), "field")
     parts = _cited_parts(spark, sf_dir).withColumnRenamed("doc", "id").filter(F.col("year") >= NOW - 5).join(field, "id", "left_anti")
     rows = parts.join(graph.field_neighbors(edges, field), "id", "left").join(graph.field_distance(edges, field, 1).withColumnRenamed("distance", "dist"), "id", "left")
@@ -548,7 +548,7 @@ SELECT cluster AS community, coalesce(string_agg(member, '; ' ORDER BY r) FILTER
 def shared_member_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities named by who cites most of their papers."""
     papers = part_papers(spark, sf_dir)
-    sets = similarity.member_sets(raw_edges(spark, sf_dir), papers)
+    sets = similarity.member_sets(stored_edges(spark, sf_dir), papers)
     return similarity.shared_members(sets, _clusters(spark, sf_dir, papers).withColumnRenamed("cluster", "community"))
 
 

@@ -65,6 +65,12 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small file is one partition, however long its rows take to work on."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of tables that ``stored`` returned and nothing reads any more."""
     for df in tables:

@@ -115,17 +115,81 @@ def test_communities_of_two_cliques(spark, algorithm):
 
 def test_label_propagation_needs_no_single_task(spark):
     edges, nodes = two_cliques(spark)
-    found = community.louvain(edges, nodes, max_nodes=3)
-    assert found.count() == 8
+    assert {r.id: r.community for r in community.label_propagation(edges, nodes).collect()} == {f"{k}{i}": f"{k}0" for k in "ab" for i in range(4)}
 
 
-@pytest.mark.parametrize("algorithm", [community.louvain, community.leiden])
+@pytest.mark.parametrize("algorithm", [community.greedy_modularity, community.louvain, community.leiden])
 def test_too_large_a_graph_is_an_error_not_another_algorithm(spark, monkeypatch, algorithm):
     monkeypatch.setattr(community, "MAX_NODES", 3)
     with pytest.raises(ValueError, match="8 nodes"):
         algorithm(*two_cliques(spark))
 
 
+def random_weighted(seed, n=40, links=90):
+    rng = random.Random(seed)
+    out = {}
+    for _ in range(links):
+        a, b = rng.randrange(n), rng.randrange(n)
+        if rng.random() < 0.7:
+            b = a // 8 * 8 + b % 8  # mostly within groups of eight
+        if a != b and b < n:
+            out.setdefault(a, {})[b] = out.setdefault(b, {})[a] = rng.choice([0.5, 1.0, 2.0])
+    return out, list(range(n))
+
+
+def quality(adjacency, label):
+    total = sum(sum(x.values()) for x in adjacency.values())
+    inner = sum(w for a in adjacency for b, w in adjacency[a].items() if label[a] == label[b])
+    weight = {}
+    for a in adjacency:
+        weight[label[a]] = weight.get(label[a], 0.0) + sum(adjacency[a].values())
+    return inner / total - sum(w * w for w in weight.values()) / total**2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_greedy_merging_against_brute_force(seed):
+    adjacency, nodes = random_weighted(seed)
+    label = {n: n for n in nodes}
+    while True:  # try every pair of linked communities
+        now, best = quality(adjacency, label), None
+        for a, b in sorted({tuple(sorted((label[x], label[y]))) for x in adjacency for y in adjacency[x] if label[x] != label[y]}):
+            gain = quality(adjacency, {n: a if x == b else x for n, x in label.items()}) - now
+            if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                best = (gain, a, b)
+        if best is None:
+            break
+        label = {n: best[1] if x == best[2] else x for n, x in label.items()}
+    found = community.greedy_merge(adjacency, nodes)
+    assert quality(adjacency, found) == pytest.approx(quality(adjacency, label), abs=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_refined_communities_are_connected_and_no_move_improves_them(seed):
+    adjacency, nodes = random_weighted(seed, 60, 150)
+    plain, found = community.local_moving(adjacency, nodes), community.refined_moving(adjacency, nodes)
+    assert quality(adjacency, found) >= quality(adjacency, plain) - 0.03 and set(found) == set(nodes)
+    for c in set(found.values()):
+        own = {n for n in nodes if found[n] == c}
+        seen, stack = set(), [min(own)]
+        while stack:
+            n = stack.pop()
+            if n not in seen:
+                seen.add(n)
+                stack += [m for m in adjacency.get(n, ()) if m in own]
+        assert seen == own
+
+
+def test_refinement_joins_only_the_well_connected():
+    # two triangles that one community holds, with no link between them: refinement keeps them apart
+    edges = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)]
+    graph = {n: {} for n in range(6)}
+    for a, b in edges:
+        graph[a][b] = graph[b][a] = 1.0
+    degree = {n: 2.0 for n in graph}
+    sub = community._refine(graph, degree, 12.0, dict.fromkeys(graph, 0))
+    assert {sub[n] for n in (0, 1, 2)}.isdisjoint({sub[n] for n in (3, 4, 5)}) and len(set(sub.values())) < 6
+
+
 def test_community_queries_see_the_whole_graph(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()

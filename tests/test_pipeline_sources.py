@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import layout
+from citeloom.operators import graph
 from citeloom.plans import pipeline
 from citeloom.sources import citations, export
 from citeloom.streaming import edges as stream
@@ -21,24 +22,30 @@ def corpus(spark):
     return cites, spark.createDataFrame(arts, "id string, title string, abstract string, journal string, source_title string, year int, cited_by double")
 
 
-def test_all_stages_and_exports(spark, tmp_path):
+@pytest.fixture(scope="module")
+def planned(spark, tmp_path_factory):
+    """The whole plan, run once: its tables and the folder of its exports."""
     cites, arts = corpus(spark)
-    settings = pipeline.Settings(2020, max_roots=3, max_leaves=4, max_trunk=4, max_branch_size=5, recent_years=19)
-    t = pipeline.run(spark, cites, arts, settings, tmp_path / "out")
+    settings = pipeline.Settings(2020, max_roots=3, max_leaves=4, max_trunk=4, max_branch_size=5, recent_years=19, topic_terms=("market",), compare_algorithms=True)
+    out = tmp_path_factory.mktemp("plan") / "out"
+    return pipeline.run(spark, cites, arts, settings, out), out
+
+
+def test_all_stages_and_exports(spark, planned):
+    t, out = planned
     kinds = {r.role for r in t["labels"].select("role").distinct().collect()}
     assert {"root", "trunk", "leaf"} <= kinds
     assert "new" in {r.id for r in t["fruits"].collect()}
-    assert (tmp_path / "out" / "index.html").read_text().startswith("<!DOCTYPE html>")
-    nodes, edges = citations.gexf(spark, str(tmp_path / "out" / "network.gexf"))
+    assert (out / "index.html").read_text().startswith("<!DOCTYPE html>")
+    nodes, edges = citations.gexf(spark, str(out / "network.gexf"))
     assert nodes.count() == t["labels"].count() and edges.count() == t["edges"].count()
+    degrees = {r.id: (r.in_degree, r.out_degree) for r in graph.degrees(t["edges"]).collect()}
+    assert {r.id: (r.in_degree, r.out_degree) for r in nodes.collect()} == degrees
     assert {r.attributes["role"] for r in nodes.collect()} == kinds
 
 
-def test_exports_of_the_whole_plan(spark, tmp_path):
-    cites, arts = corpus(spark)
-    settings = pipeline.Settings(2020, max_roots=3, max_leaves=4, max_trunk=4, max_branch_size=5, recent_years=19, topic_terms=("market",), compare_algorithms=True)
-    out = tmp_path / "out"
-    t = pipeline.run(spark, cites, arts, settings, out)
+def test_exports_of_the_whole_plan(planned):
+    t, out = planned
     assert {"roots.svg", "trunk.svg", "leaves_labelled.svg", "branches.svg", "gephi_nodes.csv", "gephi_edges.csv", "leaf_like.md", "roots_nodes_only.gexf", "branch_emergence.csv", "branch_comparison.csv", "figures"} <= {p.name for p in out.iterdir()}
     assert "<viz:color" in (out / "roots_nodes_only.gexf").read_text() and "<edge " not in (out / "roots_nodes_only.gexf").read_text()
     members = {r.id: r for r in t["branch_members"].collect()}
