@@ -16,6 +16,8 @@ from . import graph
 METHOD_TERMS = ("bibliometric", "checklist", "equation", "method", "methodological", "methodology", "modeling", "modelling", "qualitative", "reporting", "research method", "structural equation")
 NON_SCHOLARLY_TERMS = ("guardian", "newspaper")
 ROLE_ORDER = ("core", "peripheral", "background_methodological", "missing_metadata")
+#: Lifts what would be a tie in rounding but for the order of a sum.
+TIE = 1e-12
 
 
 # --- sizes and colours ---------------------------------------------------------------------------
@@ -327,11 +329,11 @@ def reference_novelty(focal: DataFrame, references: DataFrame, years: DataFrame,
     fits = (F.col("cy") < F.col("fy")) & (F.lit(True) if co_citing_window is None else F.col("cy") >= F.col("fy") - co_citing_window)
     shared = own.join(other, "dst").filter((F.col("id") != F.col("cand")) & (F.col("fy").isNull() | F.coalesce(fits, F.lit(False)))).groupBy("id", "cand").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
     shared = shared.join(sizes.select(F.col("src").alias("id"), F.col("size").alias("na")), "id").join(sizes.select(F.col("src").alias("cand"), F.col("size").alias("nb")), "cand")
-    found = shared.groupBy("id").agg(F.count(F.lit(1)).alias("candidate_count"), F.round(F.avg(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))), 9).alias("overlap"))
+    found = shared.groupBy("id").agg(F.count(F.lit(1)).alias("candidate_count"), F.avg(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("overlap"))
     facts = sizes.withColumnRenamed("src", "id").join(found, "id", "left").withColumnRenamed("id", "n").join(ids, "n").drop("n")
     out = focal.select("id").join(facts, "id", "left")
     n = F.coalesce("candidate_count", F.lit(0))
-    return out.select("id", F.coalesce("size", F.lit(0)).alias("reference_count"), n.alias("candidate_count"), F.round("overlap", 6).alias("mean_overlap"), F.round(1 - F.col("overlap"), 6).alias("reference_novelty"), (n >= min_candidates).alias("supported"))
+    return out.select("id", F.coalesce("size", F.lit(0)).alias("reference_count"), n.alias("candidate_count"), F.round(F.col("overlap") + TIE, 6).alias("mean_overlap"), F.round(1 - F.col("overlap") + TIE, 6).alias("reference_novelty"), (n >= min_candidates).alias("supported"))
 
 
 def novelty_summary(novelty: DataFrame, current_year: int, recent_years: int = 5, high: float = 0.80) -> DataFrame:

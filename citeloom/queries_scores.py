@@ -275,8 +275,8 @@ def branch_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NOVEL = """, nrf AS MATERIALIZED (SELECT DISTINCT 'O' || l_orderkey AS src, l_partkey AS dst FROM lineitem), nsz AS (SELECT src, count(*) AS n FROM nrf GROUP BY 1), nyr AS (SELECT 'O' || o_orderkey AS id, year(o_orderdate)::INTEGER AS year, o_orderpriority AS grp FROM orders),
 nsh AS (SELECT a.src AS id, b.src AS cand, count(*) AS s FROM nrf a JOIN nrf b ON a.dst = b.dst AND a.src <> b.src JOIN nyr x ON x.id = a.src JOIN nyr y ON y.id = b.src WHERE y.year < x.year AND y.year >= x.year - 10 GROUP BY ALL),
-nfo AS (SELECT id, count(*) AS c, round(avg(s::DOUBLE / (p.n + q.n - s)), 9) AS o FROM nsh JOIN nsz p ON p.src = id JOIN nsz q ON q.src = cand GROUP BY id),
-nv AS MATERIALIZED (SELECT nyr.id, grp, year, coalesce(n, 0) AS reference_count, coalesce(c, 0) AS candidate_count, round(o, 6) AS mean_overlap, round(1 - o, 6) AS reference_novelty, coalesce(c, 0) >= 3 AS supported FROM nyr LEFT JOIN nsz ON nsz.src = nyr.id LEFT JOIN nfo ON nfo.id = nyr.id)"""
+nfo AS (SELECT id, count(*) AS c, avg(s::DOUBLE / (p.n + q.n - s)) AS o FROM nsh JOIN nsz p ON p.src = id JOIN nsz q ON q.src = cand GROUP BY id),
+nv AS MATERIALIZED (SELECT nyr.id, grp, year, coalesce(n, 0) AS reference_count, coalesce(c, 0) AS candidate_count, round(o + 1e-12::DOUBLE, 6) AS mean_overlap, round(1 - o + 1e-12::DOUBLE, 6) AS reference_novelty, coalesce(c, 0) >= 3 AS supported FROM nyr LEFT JOIN nsz ON nsz.src = nyr.id LEFT JOIN nfo ON nfo.id = nyr.id)"""
 NOVEL_BY_BRANCH = f""", sm AS (SELECT grp, count(*) AS paper_count, count(*) FILTER (WHERE supported AND reference_novelty IS NOT NULL) AS supported_count, round(coalesce(avg(reference_novelty) FILTER (WHERE supported), 0), 6) AS mean_novelty, round(coalesce(median(reference_novelty) FILTER (WHERE supported), 0), 6) AS median_novelty,
  round(coalesce(max(reference_novelty) FILTER (WHERE supported), 0), 6) AS max_novelty, round(coalesce(avg(reference_novelty) FILTER (WHERE supported AND year >= {NOW - 4}), 0), 6) AS recent_mean_novelty, round(coalesce(avg((reference_novelty >= 0.8)::INT) FILTER (WHERE supported), 0), 6) AS high_share FROM nv GROUP BY grp),
 sn AS MATERIALIZED (SELECT *, round({mm('recent_mean_novelty')}, 6) AS novelty_score, round(supported_count::DOUBLE / greatest(paper_count, 1), 6) AS support_share FROM sm),
