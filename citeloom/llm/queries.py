@@ -17,6 +17,7 @@ NAMES = {
     "op8_line_neighbourhood": "linededup",
     "op9_hypergeometric_shards": "sharding",
     "op10_pivot_top_k": "topk",
+    "op11_run_length_middle": "fim",
 }
 
 
