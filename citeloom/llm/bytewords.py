@@ -6,7 +6,7 @@ A text is never cut: a block holds whole texts, about BLOCK bytes of them, or on
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -46,11 +46,12 @@ def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Block:
-    """Some whole texts: their bytes one after the other, and where each begins and ends."""
+    """Some whole texts: their bytes one after the other, where each begins and ends, and which bytes separate words."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    breaks: np.ndarray = field(default_factory=lambda: _SEP)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -69,7 +70,7 @@ class Block:
 
     @cached_property
     def separators(self) -> np.ndarray:
-        return _SEP[self.data]
+        return self.breaks[self.data]
 
     @cached_property
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,8 +133,8 @@ def windows(block: Block, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return out, np.where(which[:k] == which[n - 1 :], which[:k], -1)
 
 
-def blocks(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, Block]]:
-    """Whole texts in blocks, each with the number of its first text. A null text is empty."""
+def blocks(texts: pa.Array | pa.ChunkedArray, lower: bool = False, breaks: np.ndarray = _SEP) -> Iterator[tuple[int, Block]]:
+    """Whole texts in blocks, each with the number of its first text. A null text is empty; ``breaks`` are the bytes that separate words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -147,5 +148,5 @@ def blocks(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[t
         j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK, side="right")) - 1)
         j = min(j, len(texts))
         piece = raw[at[i] : at[j]]
-        yield i, Block(_LOWER[piece] if lower else piece, at[i:j] - at[i], at[i + 1 : j + 1] - at[i])
+        yield i, Block(_LOWER[piece] if lower else piece, at[i:j] - at[i], at[i + 1 : j + 1] - at[i], breaks)
         i = j

@@ -18,6 +18,7 @@ NAMES = {
     "op9_hypergeometric_shards": "sharding",
     "op10_pivot_top_k": "topk",
     "op11_run_length_middle": "fim",
+    "op12_template_licenses": "licenses",
     "op13_spelling_variants": "spelling",
 }
 
