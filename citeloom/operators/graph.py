@@ -39,12 +39,12 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def numbered(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(ids, edges): ids has id and n, numbers that grow with the id; the edges' src and dst are numbers. nodes (id) adds nodes."""
+def numbered(edges: DataFrame, nodes: DataFrame | None = None, *others: str) -> tuple[DataFrame, DataFrame]:
+    """(ids, edges): ids has id and n, numbers that grow with the id; the edges' src and dst are numbers. nodes (id) adds nodes; the edges keep their columns ``others``."""
     every = vertices(edges) if nodes is None else nodes.select("id").unionByName(vertices(edges)).distinct()
     ids = stored(every.repartitionByRange("id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("n")), "ids")
     out = edges.join(ids.select(F.col("id").alias("src"), F.col("n").alias("s")), "src").join(ids.select(F.col("id").alias("dst"), F.col("n").alias("d")), "dst")
-    return ids, stored(out.select(F.col("s").alias("src"), F.col("d").alias("dst")), "edges")
+    return ids, stored(out.select(F.col("s").alias("src"), F.col("d").alias("dst"), *others), "edges")
 
 
 def _named(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
