@@ -575,30 +575,47 @@ def _weighted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return edges, stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
 
 
+def _communities(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
+    """(id, community) of the whole cleaned graph; made once."""
+    return kept(spark, sf_dir, algorithm, lambda: stored(getattr(community, algorithm)(*_weighted(spark, sf_dir)), algorithm))
+
+
 @query()
 def louvain_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles.smallest_communities(community.louvain(*_weighted(spark, sf_dir)))
+    return roles.smallest_communities(_communities(spark, sf_dir, "louvain"))
 
 
 @query()
 def leiden_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles.smallest_communities(community.leiden(*_weighted(spark, sf_dir)))
+    return roles.smallest_communities(_communities(spark, sf_dir, "leiden"))
 
 
 @query()
 def cohesive_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, nodes = _weighted(spark, sf_dir)
-    rows = roles.smallest_communities(community.leiden(edges, nodes)).select(F.col("branch").alias("community"), "id")
-    degree = graph.degrees(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    rows = rows.join(degree, "id").select("community", "id", F.lit(2000).alias("year"), (F.col("in_degree") + F.col("out_degree")).alias("sap"))
-    return community.cohesive(edges, rows)
+    """The connected papers grown from each branch's best by year and path score."""
+    s, edges = scores(spark, sf_dir), _weighted(spark, sf_dir)[0]
+    rows = roles.eligible(roles.smallest_communities(_communities(spark, sf_dir, "leiden")), s, roles.trunk(s), articles(spark, sf_dir))
+    return community.cohesive(edges, rows.select(F.col("branch").alias("community"), "id", "year", "sap"))
 
 
 @query()
 def algorithm_overlap_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, nodes = _weighted(spark, sf_dir)
+    label = lambda a: roles.smallest_communities(_communities(spark, sf_dir, a)).select("id", F.concat(F.lit("branch_"), F.col("branch").cast("string")).alias("label"))
+    return community.compare(label("louvain"), label("leiden"))
+
+
+SEGMENTS = NATIONS + """, sg AS (SELECT 'C' || c_custkey AS id, c_mktsegment AS segment FROM customer JOIN deg ON deg.id = 'C' || c_custkey),
+sr AS (SELECT segment, row_number() OVER (ORDER BY count(*), min(id)) AS branch FROM sg GROUP BY segment), sl AS (SELECT sg.id, 'branch_' || branch AS label FROM sg JOIN sr USING (segment) WHERE branch <= 3)"""
+
+
+@query(SEGMENTS + """, nl AS (SELECT id, 'branch_' || branch AS label FROM nb2)
+SELECT coalesce(nl.id, sl.id) AS id, coalesce(nl.label, '') AS left_label, coalesce(sl.label, '') AS right_label, coalesce(nl.label, '') = coalesce(sl.label, '') AS same FROM nl FULL JOIN sl ON nl.id = sl.id""")
+def given_overlap_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison of two labellings, of given ones: customers and orders by nation, customers by market segment."""
+    nodes = graph.vertices(clean_edges(spark, sf_dir))
+    segments = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("community")).join(nodes, "id", "left_semi")
     label = lambda df: roles.smallest_communities(df).select("id", F.concat(F.lit("branch_"), F.col("branch").cast("string")).alias("label"))
-    return community.compare(label(community.louvain(edges, nodes)), label(community.leiden(edges, nodes)))
+    return community.compare(label(_nations(spark, sf_dir)), label(segments))
 
 
 @query()

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..storage import stored
+from ..storage import at_release, forget, stored
 
 _kept: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
@@ -38,16 +38,28 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() returns, made once per session and state of the tables; a table that changes is read anew."""
+    """What make() returns, made once per session and state of the tables. When a table changes, it is made anew and the old files go."""
     path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if _kept.get(key, (None, None))[0] != state:
+    was = _kept.get(key)
+    if was is None or was[0] != state:
         _kept[key] = (state, make())
+        if was is not None and hasattr(was[1], "_stored_at"):
+            forget(was[1])
     return _kept[key][1]
 
 
+def _drop(spark: SparkSession) -> None:
+    """Frames whose files go with the session's folder are made anew when they are asked for again."""
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        del _kept[key]
+
+
+at_release.append(_drop)
+
+
 def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_edges, made once, for queries that read them more than once or in part."""
     return kept(spark, sf_dir, "raw", lambda: stored(raw_edges(spark, sf_dir), "raw"))

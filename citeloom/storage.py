@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import suppress
 
 from py4j.protocol import Py4JError
@@ -77,6 +78,12 @@ def forget(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._stored_at)
 
 
+#: Called with the session when its tables go, by whoever holds frames that read them.
+at_release: list[Callable[[SparkSession], None]] = []
+
+
 def release(spark: SparkSession) -> None:
     """Delete all that the session has stored; results not yet read go with it."""
+    for drop in at_release:
+        drop(spark)
     _delete(spark, own_dir(spark))

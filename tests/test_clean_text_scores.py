@@ -125,6 +125,48 @@ def test_topics_separate_two_vocabularies(spark):
     assert {(r.a, r.b): r.similarity for r in topics.topic_pairs(found).collect()}["d0", "d1"] == pytest.approx(1.0, abs=1e-3)
 
 
+def dense_factors(x, rank, iterations, seed):
+    """The multiplicative updates on the dense tensor."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    parts = [rng.random((n, rank)) + 0.1 for n in x.shape]
+    for _ in range(iterations):
+        for mode, form in enumerate(("ijk,jr,kr->ir", "ijk,ir,kr->jr", "ijk,ir,jr->kr")):
+            y, z = (parts[m] for m in range(3) if m != mode)
+            parts[mode] *= np.einsum(form, x, y, z) / np.maximum(parts[mode] @ ((y.T @ y) * (z.T @ z)), 1e-10)
+        scale = np.maximum(np.linalg.norm(parts[1], axis=0), 1e-10)
+        parts[1] /= scale
+        parts[0] *= scale
+    return parts
+
+
+def test_factors_by_rounds_equal_those_of_the_dense_tensor(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.random((7, 12, 3)) * (rng.random((7, 12, 3)) < 0.4)
+    x[:, :, 0] += 0.1 * (np.arange(12) % 3 == 0)
+    where = np.argwhere(x)
+    cells = spark.createDataFrame([(f"d{i}", f"t{j:02}", int(k), float(x[i, j, k])) for i, j, k in where], "doc string, term string, bin int, v double").repartition(3)
+    want = dense_factors(x, 3, 4, 9)
+    found = topics.factorize((*where.T, x[tuple(where.T)]), x.shape, 3, 4, 9)
+    assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(found, want, strict=True))
+    docs, terms = topics.numbered(cells, "doc"), topics.numbered(cells, "term")
+    assert [(r.doc, r.n) for r in docs.orderBy("doc").collect()] == [(f"d{i}", i) for i in range(7)]
+    rows = cells.join(docs.withColumnRenamed("n", "i"), "doc").join(terms.withColumnRenamed("n", "j"), "term").select("i", "j", F.col("bin").alias("k"), "v")
+    for df, factor in zip(topics.factorize_rounds(rows, docs, terms, 3, 3, 4, 9), want, strict=False):
+        assert np.allclose([tuple(r) for r in df.orderBy("n").select("f0", "f1", "f2").collect()], factor, rtol=0, atol=1e-9)
+    key = lambda r: (r.doc, r.topic)
+    one, many = (sorted(topics.topics(cells, 3, 4, 9, n_terms=2, task_cells=n).collect(), key=key) for n in (10**6, 0))
+    assert [(r.doc, r.topic, r.dominant, r.terms) for r in one] == [(r.doc, r.topic, r.dominant, r.terms) for r in many] and len(one) == 21
+    assert [r.weight for r in one] == pytest.approx([r.weight for r in many], abs=1e-9)
+    share = want[0] / want[0].sum(axis=1, keepdims=True)
+    assert [r.weight for r in one] == pytest.approx(share.reshape(-1).tolist(), abs=1e-9)
+    assert all(r.confidence == pytest.approx(share[int(r.doc[1:])].max(), abs=1e-9) for r in one)
+    assert topics.topics(cells.limit(0)).count() == 0
+
+
 def test_article_tidy(spark):
     rows = [(0, "A ", "ta", None, "10.1/a;10.1/b"), (1, "B", "tb", "jb", "10.1/b; 10.1/c"), (2, "C", "", "jc", None), (3, "ANONYMOUS, 2", "x", "x", None), (4, "D", "gone", "x", " 10.9/Z "), (5, None, "x", "x", None), (6, "E", None, None, None)]
     df = spark.createDataFrame(rows, "_row long, SR string, title string, journal string, doi string")

@@ -154,11 +154,12 @@ def brute_greedy(adjacency, nodes):
         label = {n: best[1] if x == best[2] else x for n, x in label.items()}
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_greedy_merging_against_brute_force(spark, seed):
-    adjacency, nodes = random_weighted(seed, 32, 70)
-    want = brute_greedy(adjacency, nodes)
-    assert sequential.greedy_merge(adjacency, nodes) == want
+def test_greedy_merging_against_brute_force(spark):
+    for seed in range(6):
+        adjacency, nodes = random_weighted(seed)
+        assert sequential.greedy_merge(adjacency, nodes) == brute_greedy(adjacency, nodes)
+    adjacency, nodes = random_weighted(1, 20, 40)
+    want = sequential.greedy_merge(adjacency, nodes)
     found = {r.id: r.community for r in community.greedy_modularity(*frames(spark, adjacency, nodes)).collect()}
     assert found == want
     fast = {r.id: r.community for r in community.greedy_modularity(*frames(spark, adjacency, nodes), exact=False).collect()}
@@ -175,9 +176,8 @@ def connected(adjacency, own):
     return seen == own
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_louvain_and_leiden_against_the_sequential_one(spark, seed):
-    adjacency, nodes = random_weighted(seed, 120, 400)
+def test_louvain_and_leiden_against_the_sequential_one(spark):
+    adjacency, nodes = random_weighted(0, 60, 200)
     plain = quality(adjacency, sequential.local_moving(adjacency, nodes))
     for algorithm in (community.louvain, community.leiden):
         found = {r.id: r.community for r in algorithm(*frames(spark, adjacency, nodes)).collect()}
@@ -185,8 +185,8 @@ def test_louvain_and_leiden_against_the_sequential_one(spark, seed):
         assert all(found[c] == c and c == min(n for n in nodes if found[n] == c) for c in set(found.values()))
         if algorithm is community.leiden:
             assert all(connected(adjacency, {n for n in nodes if found[n] == c}) for c in set(found.values()))
-        again = {r.id: r.community for r in algorithm(*frames(spark, adjacency, nodes, 1)).collect()}
-        assert again == found
+            again = {r.id: r.community for r in algorithm(*frames(spark, adjacency, nodes, 1)).collect()}
+            assert again == found
 
 
 def test_communities_without_edges_and_of_loops(spark):
