@@ -7,11 +7,11 @@ as a share of its capacity (rule "norm"), or whose residuals have the smallest w
 product with the piece's demands ("dot": residuals that match the demand least are kept for
 others). Ties go to the sequence opened first. A piece that fits no open sequence opens one.
 
-The capacities for documents and cost follow from the load: DOCS_SLACK and COST_SLACK times what a
-sequence holds of them on average, at the fewest sequences that the tokens allow, and at least one
-piece's share. So they bind where short or long pieces crowd into one sequence. As the fewest
-sequences come first, a group that they cost a sequence is packed again without them, and that
-packing stands if it takes fewer. A caller that names capacities has them kept whatever they cost.
+All capacities hold in every sequence, whatever that costs. Those for documents and cost that a caller
+doesn't name follow from the whole load: DOCS_SLACK and COST_SLACK times what a sequence holds of them on
+average, at the fewest sequences that the tokens allow, and at least the share of the longest piece. So they
+bind where short or long pieces crowd into one sequence, and are wide enough for nearly as few sequences
+as the tokens allow.
 
 Pieces of one group are packed in one task. Groups are dealt by a stored row number, about
 GROUP_PIECES pieces each whatever the table's size and whatever repeats in it, so a task's memory is
@@ -38,7 +38,7 @@ from . import encoding
 from .common import bounded_batches, materialize, pick
 
 GROUP_PIECES = 50_000
-DOCS_SLACK = 8
+DOCS_SLACK = 16
 COST_SLACK = 4
 
 
@@ -129,7 +129,7 @@ def pack_pieces(
 ) -> DataFrame:
     """Pack pieces (doc_id, piece, start, length, ids_crc32): adds sequence_id and offset.
 
-    Capacities that are not named follow from the load, and give way where they would cost a sequence.
+    Capacities that are not named follow from the load.
     Raises ValueError for a capacity or a rule that makes no sense, and for a piece that no empty
     sequence can take.
     """
@@ -149,9 +149,6 @@ def pack_pieces(
         if lengths and (lengths[0] > capacity or lengths[0] ** 2 > area):
             raise ValueError(f"a piece of {lengths[0]} tokens fits no sequence")
         found = best_fit(lengths, capacity, docs, area, weights, rule)
-        if (max_docs is None or max_cost is None) and max(found) + 1 > -(-sum(lengths) // capacity):
-            free = best_fit(lengths, capacity, max_docs or len(lengths), max_cost or max(area, capacity**2), weights, rule)
-            found = free if max(free) < max(found) else found
         seq = np.array(found, np.int64)
         size = np.array(lengths, np.int64)
         order = np.argsort(seq, kind="stable")

@@ -54,6 +54,19 @@ def test_records_round_trip(spark):
     assert ids == [None, 1, 2, 3, 3, 5, 6]
 
 
+def test_records_of_the_whole_table_against_the_library(spark):
+    """start, n_tokens and ids_crc32 of every document of sf0.001, from the library's own ids."""
+    rows = {r.doc_id: r for r in token_records.op2_binary_records(spark, "/root/testdata/sf0.001").collect()}
+    tokenizer = encoding.encoder(BYTE).tokenizer
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    start = 0
+    for doc, text in table:
+        ids = array.array("I", [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2])
+        assert (rows[doc].start, rows[doc].n_tokens, rows[doc].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(rows) == len(table)
+
+
 def test_records_detect_damage(spark, tmp_path):
     import io
 
@@ -116,17 +129,31 @@ def pieces_of(spark, lengths):
     return spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def test_capacities_from_the_load_bind_without_a_sequence_more(spark, monkeypatch):
+def load_capacities(lengths, capacity):
+    least = -(-sum(lengths) // capacity)
+    return -(-packing.DOCS_SLACK * len(lengths) // least), max(max(lengths) ** 2, -(-packing.COST_SLACK * sum(n * n for n in lengths) // least))
+
+
+def test_capacities_from_the_load_bind(spark, monkeypatch):
     monkeypatch.setattr(packing, "DOCS_SLACK", 2)
     lengths = [600] * 40 + [1] * 4000
-    least = -(-sum(lengths) // 1000)
     free = bins(packing.pack_pieces(pieces_of(spark, lengths), 1000, max_docs=5000, max_cost=10**6).collect())
     found = bins(packing.pack_pieces(pieces_of(spark, lengths), 1000).collect())
-    docs = -(-packing.DOCS_SLACK * len(lengths) // least)
+    docs, _ = load_capacities(lengths, 1000)
     assert max(map(len, free.values())) > docs >= max(map(len, found.values()))  # without it more would crowd into one
     assert len(found) == len(free) == 40
-    crowd = [999] * 40 + [1] * 3000  # they would cost sequences here, and give way
-    assert len(bins(packing.pack_pieces(pieces_of(spark, crowd), 1000).collect())) == -(-sum(crowd) // 1000)
+
+
+def test_no_group_exceeds_a_capacity_of_the_load(spark):
+    rng = random.Random(5)
+    loads = {"crowd": [999] * 40 + [1] * 3000, "short": [1] * 5000 + [700] * 9, "mixed": [rng.choice([1, 2, 3, 40, 500, 990, 1000]) for _ in range(3000)]}
+    for lengths in loads.values():
+        docs, cost = load_capacities(lengths, 1000)
+        for group in (150, 50_000):
+            found = bins(packing.pack_pieces(pieces_of(spark, lengths), 1000, group_pieces=group).collect())
+            assert sum(map(len, found.values())) == len(lengths)
+            for x in found.values():
+                assert sum(n for _, n in x) <= 1000 and len(x) <= docs and sum(n * n for _, n in x) <= cost
 
 
 def test_equal_rows_are_dealt_over_all_groups(spark):
