@@ -15,10 +15,13 @@ seeds along the edges, distrust the same from the blocked seeds along the revers
 links to bad hosts is bad). A host is blocked if its distrust exceeds its trust; every other host
 is allowed.
 
-Ranks are whole numbers (SCALE in all), each step's shares rounded down, so they don't depend on
-the order of summation, and reruns and other engines agree. Iteration stops when no rank changes,
-which it must come to: ranks never fall from one round to the next, and together never exceed SCALE.
-The SQL goes through SQL_ROUNDS rounds, by when 0.85^n of SCALE has long been less than 1. Skew: pages are reduced to distinct edges and per-host counts before any
+Ranks are whole numbers, each step's shares rounded down, so they don't depend on
+the order of summation, and reruns and other engines agree. Every seed, trusted or blocked, starts with UNIT,
+however many there are: a link from a seed is worth the same in a small and in a large web, and a
+verdict depends on the seeds around the host alone, not on how many the other side has. A host takes the
+whole of 9 * 10^8 seeds before its rank passes 64 bits, which raises an error. Iteration stops when no rank changes,
+which it must come to: ranks never fall from one round to the next, and together never exceed what the seeds start with.
+The SQL goes through SQL_ROUNDS rounds, by when 0.85^n of UNIT has long been less than 1. Skew: pages are reduced to distinct edges and per-host counts before any
 exchange can gather a host's pages; joins on host are plain equi-joins, which AQE splits.
 
 Null urls and urls without "://" have an empty host and path, fit no rule and are allowed. Null
@@ -36,7 +39,7 @@ from .common import forget, materialize, pick
 
 # Fixed values of the standard list: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-SCALE = 10**15
+UNIT = 10**10
 SQL_ROUNDS = 300
 DAMPING = 85  # percent of a rank that follows the links
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,13 +93,10 @@ def links(pages: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Personalised PageRank in whole numbers, until no rank changes: (host, rank). edges: src, dst. seeds: host."""
-    n = seeds.count()
-    if not n:
-        return seeds.select("host", F.lit(0).cast("long").alias("rank"))
-    own = materialize(seeds.select("host", F.lit(SCALE // n * (100 - DAMPING) // 100).cast("long").alias("own")), "seeds")
+    own = materialize(seeds.select("host", F.lit(UNIT * (100 - DAMPING) // 100).cast("long").alias("own")), "seeds")
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     ranks = own.select("host", F.col("own").alias("rank"))
-    if edges.isEmpty():
+    if edges.isEmpty() or own.isEmpty():
         return ranks
     edges = materialize(edges.join(degree, "src"), "edges")
     last = None
@@ -166,12 +166,12 @@ def oracle_sql(pages: str = "pages") -> str:
   WHERE src <> dst AND src <> '' AND dst <> '')""",
         "co AS MATERIALIZED (SELECT host, count(*) FILTER (WHERE listed = 'allow') AS allowed, count(*) FILTER (WHERE listed = 'block') AS blocked FROM ru GROUP BY host)",
     ]
-    own = f"({SCALE} // (SELECT count(*) FROM %s) * {100 - DAMPING} // 100)::BIGINT"
+    own = f"({UNIT * (100 - DAMPING) // 100})::BIGINT"
     for x, where, src, dst in (("t", "allowed > 0 AND blocked = 0", "src", "dst"), ("d", "allowed = 0 AND blocked > 0", "dst", "src")):
         parts += [
             f"{x}s AS MATERIALIZED (SELECT host FROM co WHERE {where})",
             f"{x}e AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, count(*) OVER (PARTITION BY {src}) AS degree FROM ed)",
-            f"{x}0 AS MATERIALIZED (SELECT host, {own % f'{x}s'} AS own, {own % f'{x}s'} AS rank FROM {x}s)",
+            f"{x}0 AS MATERIALIZED (SELECT host, {own} AS own, {own} AS rank FROM {x}s)",
         ]
         parts.append(f"""{x}r(k, host, rank) AS (SELECT 0, host, rank FROM {x}0 UNION ALL
   SELECT k + 1, host, sum(given)::BIGINT FROM (SELECT r.k, e.dst AS host, (r.rank * {DAMPING}) // (100 * e.degree) AS given FROM {x}r r JOIN {x}e e ON r.host = e.src

@@ -197,7 +197,7 @@ def test_ten_thousand_rules_against_brute_force(spark):
 
 
 def test_link_graph_against_brute_force_and_sql(spark, monkeypatch):
-    monkeypatch.setattr(url_trust, "SCALE", 10**5)  # settles sooner
+    monkeypatch.setattr(url_trust, "UNIT", 10**5)  # settles sooner
     rng = random.Random(6)
     hosts = [f"h{i}.com" for i in range(12)] + ["bad.net", "worse.net", "good.example.net", "fine.org"]
     rows = []
@@ -213,7 +213,7 @@ def test_link_graph_against_brute_force_and_sql(spark, monkeypatch):
     edges = {(a, b) for a, b in edges if a != b}
 
     def rank(links, seeds):
-        own = {s: url_trust.SCALE // len(seeds) * 15 // 100 for s in seeds}
+        own = {s: url_trust.UNIT * 15 // 100 for s in seeds}
         out, now = Counter(a for a, _ in links), dict(own)
         while True:
             new = defaultdict(int, own)
@@ -248,10 +248,22 @@ def test_all_linkers_of_a_much_linked_blocked_host_are_blocked(spark, tmp_path):
     assert got["apart.com"].verdict == "allow"
 
 
+def test_verdicts_do_not_depend_on_how_many_seeds_the_other_side_has(spark, tmp_path):
+    rows = [page("http://bad.net/"), page("http://fine.org/fr/", "http://x.com/"), page("http://x.com/", "http://bad.net/"), page("http://y.com/", "http://bad.net/")]
+    few = verdicts(spark, tmp_path / "few", rows)
+    many = [page(f"http://s{i}.org/fr/") for i in range(100_000)]
+    trusted = verdicts(spark, tmp_path / "trusted", rows + many)
+    blocked = verdicts(spark, tmp_path / "blocked", rows + [page(f"http://s{i}.net/") for i in range(300)])
+    for h in ("bad.net", "fine.org", "x.com", "y.com"):
+        assert tuple(few[h])[1:] == tuple(trusted[h])[1:] == tuple(blocked[h])[1:], h
+    assert (few["x.com"].verdict, few["y.com"].verdict) == ("allow", "block")
+    assert {trusted[f"s{i}.org"].trust for i in range(0, 100_000, 997)} == {url_trust.UNIT * 15 // 100}
+
+
 def test_distrust_reaches_the_far_end_of_a_chain(spark, tmp_path):
     chain = ["bad.net", *(f"c{i}.com" for i in range(18))]
     got = verdicts(spark, tmp_path, [page("http://bad.net/"), *(page(f"http://{a}/", f"http://{b}/") for b, a in zip(chain, chain[1:], strict=False))])
-    rank = url_trust.SCALE * 15 // 100
+    rank = url_trust.UNIT * 15 // 100
     for h in chain:
         assert (got[h].distrust, got[h].verdict) == (rank, "block"), h
         rank = rank * 85 // 100
