@@ -2,9 +2,10 @@ r"""Line dedup: lines within one edit of an earlier line go, the earliest stays.
 
 Lines are \n-split, with white space at both ends (characters 9 to 13 and 32) ignored. Every line
 that isn't blank takes part. A line is dropped if a line stands earlier, by (doc_id, line number), in
-the whole corpus and is equal to it or, where both have MIN_CHARS code points or more, within
-MAX_EDITS insertions, deletions or substitutions of a code point: the edit bound of shorter lines is
-0, as one edit makes another word of them. Whether that earlier line is itself dropped doesn't
+the whole corpus and is within the edit bound of it, counted in insertions, deletions or substitutions
+of a code point. The bound is relative to length: one edit for every CHARS_PER_EDIT code points of the
+shorter line, MAX_EDITS at most; so what counts as the same line is a share of it, and a line in which one
+edit makes another word has no edit to spare. Whether that earlier line is itself dropped doesn't
 matter, so the answer depends on no order of work.
 
 Method: a deletion-neighbourhood join. Equal lines become one class, stood for by its earliest.
@@ -35,7 +36,7 @@ from . import encoding
 from .bytewords import Block, _table, blocks, mix
 from .common import SENT_BYTES, bounded_batches, materialize, pick, sent
 
-MIN_CHARS = 20
+CHARS_PER_EDIT = 20
 MAX_EDITS = 1
 #: A line's place, doc_id * LINES + line number, is one number that aggregates in place; null doc_ids come last.
 PLACE = "decimal(38,0)"
@@ -122,8 +123,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("th", F.xxhash64("text"))
 
 
-def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """docs: doc_id, text, th. One row per line that isn't blank: place, th, h, n, k0 to k3 (hashes of halves, null if none or below min_chars)."""
+def line_table(docs: DataFrame, chars_per_edit: int) -> DataFrame:
+    """docs: doc_id, text, th. One row per line that isn't blank: place, th, h, n, k0 to k3 (hashes of halves, null if none or below chars_per_edit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding.forget()
@@ -131,7 +132,7 @@ def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
             for first, block in blocks(batch.column(1)):
                 lines = Lines(block)
                 k = np.flatnonzero(lines.n >= 1)
-                halves = [pa.array(x.view(np.int64), mask=~there | (lines.n[k] < min_chars)) for x, there in lines.halves(k)]
+                halves = [pa.array(x.view(np.int64), mask=~there | (lines.n[k] < chars_per_edit)) for x, there in lines.halves(k)]
                 ids, th = (batch.column(c).take(pa.array(first + lines.which[k])) for c in (0, 2))
                 yield pa.RecordBatch.from_arrays([ids, th, pa.array(lines.number[k].astype(np.int32)), _signed(lines.h[k]), pa.array(lines.n[k].astype(np.int32)), *halves], ["doc_id", "th", "line_no", "h", "n", *_KEYS])
 
@@ -247,11 +248,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(rest)
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def dropped_lines(docs: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, max_edits: int = MAX_EDITS) -> DataFrame:
     """docs: doc_id, text, th. The lines to drop: doc_id, th, line_no, h (a line counts as meant only if its hash is h)."""
-    if max_edits not in (0, 1):
-        raise ValueError(f"max_edits is {max_edits}; 0 and 1 are supported")
-    lines = materialize(line_table(docs, min_chars), "lines")
+    if max_edits not in (0, 1) or chars_per_edit < 1:
+        raise ValueError(f"max_edits {max_edits}, chars_per_edit {chars_per_edit}; 0 and 1 edits are supported")
+    lines = materialize(line_table(docs, chars_per_edit), "lines")
     classes = lines.groupBy("h", "n").agg(F.min("place").alias("place"), F.min_by("th", "place").alias("th"), F.count(F.lit(1)).alias("c"), *(F.max(k).alias(k) for k in _KEYS))
     classes = materialize(classes, "classes")
     near = close_lines(docs, classes) if max_edits else None
@@ -262,7 +263,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     return _doc_and_line(gone, "th", "h")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, max_edits: int = MAX_EDITS) -> DataFrame:
     """docs: doc_id, text and any columns, which are kept. Text loses its dropped lines; adds n_lines and n_dropped."""
     bounded_batches(docs.sparkSession)
     names = docs.columns
@@ -270,7 +271,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
     at = [names.index(x) if x in names else low.index(x) for x in ("doc_id", "text")]
     flat = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     plain = _keyed(flat.select(F.col(f"_c{at[0]}").cast("long").alias("doc_id"), F.col(f"_c{at[1]}").alias("text")))
-    drops = dropped_lines(plain, min_chars, max_edits)
+    drops = dropped_lines(plain, chars_per_edit, max_edits)
     joined = _by_document(flat.withColumns({"doc_id": F.col(f"_c{at[0]}").cast("long"), "th": F.xxhash64(f"_c{at[1]}")}), drops)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +311,7 @@ ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS MATERIALIZED (SELECT doc_id, i AS line_no, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
 c AS MATERIALIZED (SELECT line, min((doc_id, line_no)) AS place, length(line) AS n FROM l WHERE line <> '' GROUP BY line),
-k AS (SELECT line, unnest([left(line, n // 2), left(line, (n + 1) // 2), '<' || right(line, n // 2), '<' || right(line, (n + 1) // 2)]) AS half FROM c WHERE n >= {MIN_CHARS}),
+k AS (SELECT line, unnest([left(line, n // 2), left(line, (n + 1) // 2), '<' || right(line, n // 2), '<' || right(line, (n + 1) // 2)]) AS half FROM c WHERE n >= {CHARS_PER_EDIT}),
 s AS MATERIALIZED (SELECT line, place, n FROM c WHERE line IN (SELECT line FROM k WHERE half IN (SELECT half FROM k GROUP BY half HAVING count(DISTINCT line) > 1))),
 v AS MATERIALIZED (SELECT line, place, r, left(line, r - 1) || substr(line, r + 1) AS v FROM s, unnest(range(1, n + 1)) AS u(r)),
 p AS (SELECT x.line, y.place FROM v x JOIN v y ON x.v = y.v AND x.r = y.r UNION ALL SELECT x.line, y.place FROM v x JOIN s y ON x.v = y.line

@@ -83,7 +83,7 @@ def test_lines_against_brute_force(spark):
         keep = []
         for x in (t or "").split("\n"):
             s = x.strip(" \t\n\x0b\x0c\r")
-            if not s or not any(s == y or min(len(s), len(y)) >= linededup.MIN_CHARS and within(s, y) for y in seen):
+            if not s or not any(s == y or min(len(s), len(y)) >= linededup.CHARS_PER_EDIT and within(s, y) for y in seen):
                 keep.append(x)
             if s:
                 seen.append(s)
