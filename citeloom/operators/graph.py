@@ -7,7 +7,11 @@ number is the smallest id, and edges of numbers are taken as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import forget, stored
@@ -111,17 +115,55 @@ def prune_terminal(edges: DataFrame) -> DataFrame:
     return edges.join(ends, "dst", "left_anti").select("src", "dst")
 
 
+#: Tables that a loop only adds to are folded into one when so many have come together.
+FOLD = 16
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _folded(tables: list[DataFrame], by: Callable[[DataFrame], DataFrame] | None = None) -> list[DataFrame]:
+    """tables, or if there are FOLD of them, one that holds them all (aggregated by ``by``)."""
+    if len(tables) < FOLD:
+        return tables
+    whole = _union(tables)
+    out = stored(by(whole) if by else whole, "folded")
+    forget(*tables)
+    return [out]
+
+
 def _trim(left: DataFrame) -> DataFrame:
-    """Edges without the nodes that have no predecessor or no successor, again and again until all have both."""
-    n = left.count()
-    while n:
-        whole = degrees(left).filter("in_degree > 0 AND out_degree > 0").select("id")
-        step = stored(left.join(whole.withColumnRenamed("id", "src"), "src", "left_semi").join(whole.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "left")
-        forget(left)
-        was, n, left = n, step.count(), step
-        if n == was:
-            break
-    return left
+    """Edges without the nodes that have no predecessor or no successor, again and again until all have both.
+
+    By a work list: degrees are counted once; a round reads the edges of the nodes that went in the last one, writes down
+    how many each neighbour loses, and takes those out of which none is left. Edges are written once, at the end, so
+    what is written grows with the edges, whatever the number of layers.
+    """
+    degree = stored(degrees(left), "degrees")
+    gone = stored(degree.filter("in_degree = 0 OR out_degree = 0").select("id"), "gone")
+    if gone.isEmpty():
+        return left
+    removed, losses, none = [gone], [], F.lit(0).cast("long")
+    total = lambda rows: rows.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    while not gone.isEmpty():
+        below = left.join(gone.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o"))
+        above = left.join(gone.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o"))
+        loss = stored(total(below.unionByName(above)), "loss")
+        touched = loss.withColumnsRenamed({"i": "now_i", "o": "now_o"}).join(degree, "id")
+        if losses:
+            touched = touched.join(total(_union(losses).join(loss.select("id"), "id", "left_semi")), "id", "left")
+        else:
+            touched = touched.withColumns({"i": none, "o": none})
+        i, o = F.col("in_degree") - F.coalesce("i", none), F.col("out_degree") - F.coalesce("o", none)
+        here = (i > 0) & (o > 0)  # before this round; what went earlier is touched again, but doesn't go again
+        gone = stored(touched.filter(here & ((i == F.col("now_i")) | (o == F.col("now_o")))).select("id"), "gone")
+        losses, removed = _folded([*losses, loss], total), [*_folded(removed), gone]
+    lost = stored(_union(removed), "removed")
+    out = left.join(lost.withColumnRenamed("id", "src"), "src", "left_anti").join(lost.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
+    out = stored(out, "left")
+    forget(left, degree, lost, *losses, *removed)
+    return out
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -140,28 +182,32 @@ def strong_components(edges: DataFrame) -> DataFrame:
         left = _trim(left)
         if left.isEmpty():
             break
-        colors = stored(vertices(left).select("id", F.col("id").alias("color")), "colors")
+        colors = last = stored(vertices(left).select("id", F.col("id").alias("color")), "colors")
         while True:
             heard = left.join(colors.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("heard"))
             step = stored(colors.join(heard, "id", "left").select("id", F.col("color").alias("was"), F.greatest("color", F.coalesce("heard", "color")).alias("color")), "colors")
-            colors = step.select("id", "color")
+            forget(last)
+            last, colors = step, step.select("id", "color")
             if step.filter("was <> color").isEmpty():
                 break
         same = left.join(colors.withColumnRenamed("id", "src"), "src").join(colors.select(F.col("id").alias("dst"), F.col("color").alias("c2")), "dst").filter("color = c2").select("src", "dst", "color")
         same = stored(same, "same")
-        reached = stored(colors.filter("id = color"), "reached")
-        frontier = reached
+        frontier = stored(colors.filter("id = color"), "reached")
+        parts = [frontier]
         while True:
             back = same.join(frontier.select(F.col("id").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("id"), "color").distinct()
-            frontier = stored(back.join(reached, ["id", "color"], "left_anti"), "frontier")
+            frontier = stored(back.join(_union(parts), ["id", "color"], "left_anti"), "reached")
             if frontier.isEmpty():
                 break
-            reached = stored(reached.unionByName(frontier), "reached")
+            parts = [*_folded(parts), frontier]
+        reached = stored(_union(parts), "reached")
+        forget(same, last, frontier, *parts)
         groups = reached.groupBy("color").count().filter("count > 1").select("color")
         members = stored(reached.join(groups, "color").select("id", F.col("color").alias("scc")), "scc")
         found = members if found is None else found.unionByName(members)
-        gone = reached.select("id")
+        gone, was = reached.select("id"), left
         left = stored(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "left")
+        forget(was, reached)
     return vertices(edges.limit(0)).select("id", F.col("id").alias("scc")) if found is None else found
 
 
@@ -203,22 +249,65 @@ def path_sums(edges: DataFrame, seeds: DataFrame, *values: str, backward: bool =
     return every.groupBy("id").agg(*(F.sum(v).cast(BIG).alias(v) for v in values))
 
 
+def places(values: DataFrame, name: str) -> DataFrame:
+    """The distinct values of a column with their places from 0 on, in order: (name, n)."""
+    rows = stored(values.select(name).distinct().repartitionByRange(name).sortWithinPartitions(name).select(name, F.monotonically_increasing_id().alias("m")), "places")
+    sizes = sorted((r.p, r["count"]) for r in rows.groupBy(F.shiftright("m", 33).alias("p")).count().collect())  # a row a partition
+    before = list(zip([p for p, _ in sizes], accumulate((c for _, c in sizes), initial=0), strict=False))
+    starts = values.sparkSession.createDataFrame(before, "p long, start long")
+    placed = rows.join(F.broadcast(starts), F.shiftright("m", 33) == F.col("p"))
+    return stored(placed.select(name, (F.col("start") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("n")), "places")
+
+
+#: A mask of seeds is so many whole numbers of 63 bits at most; more seeds are worked off in turns.
+MASK_WORDS = 16
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, backward: bool = True) -> DataFrame:
     """All (seed, id, distance) within max_depth steps, the seed itself at 0. seeds: id.
 
-    backward finds the nodes that can reach the seed (its influence set).
+    backward finds the nodes that can reach the seed (its influence set). A node is one row with a mask of the seeds that
+    it has met; each round spreads only the bits that are new, so what is exchanged grows with nodes, not with seeds times nodes.
     """
+    at = places(seeds, "id")
+    out, first, n = [], 0, at.count()
+    while first < n or not out:
+        own = at.filter(F.col("n").between(first, first + 63 * MASK_WORDS - 1)).select("id", (F.col("n") - first).alias("n"))
+        words = max(1, -(-min(n - first, 63 * MASK_WORDS) // 63))
+        for distance, part in enumerate(_spread(edges, own, words, max_depth, backward)):
+            for k in range(words):
+                seed = F.explode(_bits(F.col(f"m{k}"), 63 * k + first))
+                out.append(part.filter(F.col(f"m{k}") != 0).select(seed.alias("n"), F.col("id"), F.lit(distance).alias("distance")))
+        first += 63 * MASK_WORDS
+    return _union(out).join(at.withColumnRenamed("id", "seed"), "n").select("seed", "id", "distance")
+
+
+def _bits(mask: Column, first: int) -> Column:
+    """The numbers of the bits that are set, counted from ``first``."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.getbit(mask, b) == 1), lambda b: (b + first).cast("long"))
+
+
+def _spread(edges: DataFrame, seeds: DataFrame, words: int, max_depth: int | None, backward: bool) -> list[DataFrame]:
+    """For each distance the nodes first met by some seeds there: id, m0, m1, ... seeds: id, n (the bit)."""
     to, of = ("src", "dst") if backward else ("dst", "src")
-    seen = stored(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance")).distinct(), "seen")
-    frontier, depth = seen, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        nxt = edges.join(frontier.select("seed", F.col("id").alias(of)), of).select("seed", F.col(to).alias("id")).distinct()
-        frontier = stored(nxt.join(seen, ["seed", "id"], "left_anti").withColumn("distance", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+    masks = [f"m{k}" for k in range(words)]
+    zero = F.lit(0).cast("long")
+    bit = F.expr("shiftleft(1L, CAST(n % 63 AS INT))")
+    found = [stored(seeds.select("id", *(F.when(F.floor(F.col("n") / 63) == k, bit).otherwise(zero).alias(m) for k, m in enumerate(masks))), "met")]
+    met = found[:]
+    while max_depth is None or len(found) <= max_depth:
+        came = edges.join(found[-1].withColumnRenamed("id", of), of).groupBy(F.col(to).alias("id")).agg(*(F.bit_or(m).alias(m) for m in masks))
+        rows = came.select("id", *masks, *(zero.alias(f"old{k}") for k in range(words)))
+        rows = rows.unionByName(_union(met).select("id", *(zero.alias(m) for m in masks), *(F.col(m).alias(f"old{k}") for k, m in enumerate(masks))))
+        new = rows.groupBy("id").agg(*(F.bit_or(m).bitwiseAND(F.bitwise_not(F.bit_or(f"old{k}"))).alias(m) for k, m in enumerate(masks)))
+        new = stored(new.filter(reduce(lambda a, b: a | b, (F.col(m) != 0 for m in masks))), "met")
+        if new.isEmpty():
             break
-        seen = stored(seen.unionByName(frontier), "seen")
-    return seen
+        found.append(new)
+        met.append(new)
+        if len(met) >= FOLD:
+            met = [stored(_union(met).groupBy("id").agg(*(F.bit_or(m).alias(m) for m in masks)), "met")]
+    return found
 
 
 def field_distance(edges: DataFrame, field: DataFrame, cutoff: int) -> DataFrame:

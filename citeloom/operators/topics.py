@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import forget, stored
+from .graph import places
 
 FLOOR = 1e-10
 #: A tensor of up to so many cells, 32 bytes each, is one task's work.
@@ -63,16 +63,6 @@ def factorize(cells: tuple[np.ndarray, ...], shape: tuple[int, int, int], rank:
     return parts
 
 
-def numbered(values: DataFrame, name: str) -> DataFrame:
-    """The distinct values of a column with their places from 0 on, in order: (name, n)."""
-    rows = stored(values.select(name).distinct().repartitionByRange(name).sortWithinPartitions(name).select(name, F.monotonically_increasing_id().alias("m")), "places")
-    sizes = sorted((r.p, r["count"]) for r in rows.groupBy(F.shiftright("m", 33).alias("p")).count().collect())  # a row a partition
-    before = list(zip([p for p, _ in sizes], accumulate((c for _, c in sizes), initial=0), strict=False))
-    starts = values.sparkSession.createDataFrame(before, "p long, start long")
-    placed = rows.join(F.broadcast(starts), F.shiftright("m", 33) == F.col("p"))
-    return stored(placed.select(name, (F.col("start") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("n")), "numbers")
-
-
 def _started(numbers: DataFrame, first: int, rank: int, seed: int) -> DataFrame:
     """numbers with factor columns f0, f1, ...: the draws that ``factorize`` would give row n, which follow the ``first`` ones."""
 
@@ -142,7 +132,7 @@ def topics(cells: DataFrame, rank: int = 4, iterations: int = 300, seed: int = 4
 
     Up to ``task_cells`` cells, counted first, are one task's work, as a broadcast table would be; more go by rounds, to the same factors.
     """
-    docs, terms = numbered(cells, "doc"), numbered(cells, "term")
+    docs, terms = places(cells, "doc"), places(cells, "term")
     rows = cells.join(docs.withColumnRenamed("n", "i"), "doc").join(terms.withColumnRenamed("n", "j"), "term")
     rows = stored(rows.select("i", "j", F.col("bin").alias("k"), F.col("v").cast("double").alias("v")), "cells")
     names = [f"f{r}" for r in range(rank)]

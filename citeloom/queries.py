@@ -115,9 +115,11 @@ def in_out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(raw_edges(spark, sf_dir))
 
 
-@query(RAW + ", lined AS (SELECT DISTINCT 'O' || l_orderkey AS o FROM lineitem), alive AS (SELECT DISTINCT src FROM raw WHERE src[1] = 'C' AND dst IN (SELECT o FROM lined)) SELECT src, dst FROM raw WHERE src[1] <> 'C' OR src IN (SELECT src FROM alive)")
+@query(HOPS.replace("WITH RECURSIVE", "WITH") + """, n AS (SELECT src AS id FROM hops UNION SELECT dst FROM hops), c AS (SELECT split_part(id, '@', 2) AS h, count(*) AS k, min(id) AS low FROM n GROUP BY 1), g AS (SELECT h FROM c ORDER BY k DESC, low LIMIT 1)
+SELECT DISTINCT src, dst FROM hops WHERE split_part(src, '@', 2) IN (SELECT h FROM g)""")
 def wcc_giant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.giant_component(raw_edges(spark, sf_dir))
+    """The largest of the components of the event graph, which has one for each hour."""
+    return graph.giant_component(graph.build_edges(event_hops(spark, sf_dir), "src", "dst"))
 
 
 @query(HOPS + ", n AS (SELECT src AS id FROM hops UNION SELECT dst FROM hops) SELECT id, min(id) OVER (PARTITION BY split_part(id, '@', 2)) AS component FROM n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 from collections.abc import Sequence
+from html import escape
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ def _groups(rows: list, key: str) -> list[list]:
 
 
 def _label(x: float, y: float, text: str) -> str:
-    return f'<text x="{x:.1f}" y="{y:.1f}" font-size="14">{text}</text>'
+    return f'<text x="{x:.1f}" y="{y:.1f}" font-size="14">{escape(text)}</text>'
 
 
 def roots(nodes: DataFrame, labels: bool = False) -> str:

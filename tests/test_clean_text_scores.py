@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import columns as C
-from citeloom.operators import clean, scores, similarity, text, topics
+from citeloom.operators import clean, graph, scores, similarity, text, topics
 
 
 def one(spark, column):
@@ -152,7 +152,7 @@ def test_factors_by_rounds_equal_those_of_the_dense_tensor(spark):
     want = dense_factors(x, 3, 4, 9)
     found = topics.factorize((*where.T, x[tuple(where.T)]), x.shape, 3, 4, 9)
     assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(found, want, strict=True))
-    docs, terms = topics.numbered(cells, "doc"), topics.numbered(cells, "term")
+    docs, terms = graph.places(cells, "doc"), graph.places(cells, "term")
     assert [(r.doc, r.n) for r in docs.orderBy("doc").collect()] == [(f"d{i}", i) for i in range(7)]
     rows = cells.join(docs.withColumnRenamed("n", "i"), "doc").join(terms.withColumnRenamed("n", "j"), "term").select("i", "j", F.col("bin").alias("k"), "v")
     for df, factor in zip(topics.factorize_rounds(rows, docs, terms, 3, 3, 4, 9), want, strict=False):

@@ -1,4 +1,4 @@
-"""The registered queries against their SQL in DuckDB, on the smallest tables (a part of them; the driver runs all)."""
+"""The registered queries against their SQL in DuckDB, on the smallest tables."""
 
 from pathlib import Path
 
@@ -6,11 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from citeloom import queries as base
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-CHOSEN = ["root_select", "path_count_to_roots", "sap_score", "trunk_topk", "frontier_fill", "tfidf_cosine_pairs", "combined_pairs", "branch_assignment", "member_roles", "novelty_summary", "fruit_top3_capped", "doi_ordered_union"]
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -24,7 +23,7 @@ def plain(v):
     return round(v, 6) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(base.ORACLES))
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, str(DATA))
     cols = sorted(df.columns)

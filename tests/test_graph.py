@@ -100,6 +100,45 @@ def test_density_of_a_published_subgraph():
     assert round(2 * 75 / (43 * 42), 6) == 0.083056
 
 
+def test_reach_of_many_seeds_equals_a_search_from_each(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MASK_WORDS", 2)
+    monkeypatch.setattr(graph, "FOLD", 3)
+    rng = random.Random(7)
+    edges = sorted({(f"n{rng.randrange(150):03}", f"n{rng.randrange(150):03}") for _ in range(260)})
+    seeds = sorted({n for e in edges for n in e})[:140]  # more than two masks of two words hold
+    for backward, depth in ((True, None), (False, 2)):
+        found = graph.reach(E(spark, *edges), spark.createDataFrame([(s,) for s in seeds], "id string"), depth, backward)
+        want = set()
+        for s in seeds:
+            seen, frontier, d = {s: 0}, [s], 0
+            while frontier and (depth is None or d < depth):
+                d += 1
+                nxt = {a if backward else b for a, b in edges if (b if backward else a) in frontier} - seen.keys()
+                seen |= dict.fromkeys(nxt, d)
+                frontier = nxt
+            want |= {(s, n, k) for n, k in seen.items()}
+        assert {tuple(r) for r in found.collect()} == want
+    assert graph.reach(E(spark, *edges), spark.createDataFrame([], "id string")).count() == 0
+
+
+def test_trimming_writes_no_more_than_the_graph(spark, monkeypatch):
+    from pathlib import Path
+
+    from citeloom.storage import own_dir, stored
+
+    monkeypatch.setattr(graph, "FOLD", 4)
+    layers = 14  # a layered graph without cycles, and a cycle with a tail at each side
+    dag = [(10 * k + a, 10 * (k + 1) + b) for k in range(layers) for a in range(3) for b in range(3)]
+    ring = [(900, 901), (901, 902), (902, 900), (800, 900), (902, 700), (700, 701)]
+    df = stored(spark.createDataFrame(dag + ring, "src long, dst long"), "edges")
+    rows = []
+    monkeypatch.setattr(graph, "stored", lambda d, name: rows.append((name, (out := stored(d, name)).count())) or out)
+    assert pairs(graph._trim(df)) == [(900, 901), (901, 902), (902, 900)]
+    assert sum(n for name, n in rows if name == "loss") <= 2 * len(dag + ring) and sum(n for name, n in rows if name == "gone") == 3 * (layers + 1) + 3
+    assert [n for name, n in rows if name == "left"] == [3]
+    assert not Path(df._stored_at.removeprefix("file:")).exists() and Path(own_dir(spark).removeprefix("file:")).exists()
+
+
 def two_cliques(spark):
     rows = [(x, y, 1.0) for k in "ab" for i in range(4) for j in range(i + 1, 4) for x, y in [(f"{k}{i}", f"{k}{j}")]] + [("a0", "b0", 1.0)]
     edges = spark.createDataFrame(rows, "a string, b string, weight double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import layout
 from citeloom.operators import graph
 from citeloom.plans import pipeline
-from citeloom.sources import citations, export
+from citeloom.sources import citations, drawings, export
 from citeloom.streaming import edges as stream
 
 
@@ -173,6 +173,10 @@ def test_layout():
     assert len(layout.path_polygon("M0 0 C 0 1 1 1 1 0")) == 9
     with pytest.raises(ValueError):
         layout.path_polygon("M 0 0 A 1 1")
+    assert layout.path_polygon("M 0 0 H 10 V 10 Z l 5 5") == [(0, 0), (10, 0), (10, 10), (0, 0), (5, 5)]
+    assert layout.path_polygon("m 1 1 l 2 0 z m 1 0 h 3") == [(1, 1), (3, 1), (1, 1), (2, 1), (5, 1)]
+    with pytest.raises(RuntimeError):
+        layout.canopy_places([1.0], [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)])
     places = layout.canopy_places([2.0] * 10, square, seed=3)
     assert places == layout.canopy_places([2.0] * 10, square, seed=3) and all(layout.inside(x, y, square) for x, y, _ in places)
     assert min(math.hypot(a[0] - b[0], a[1] - b[1]) for a in places for b in places if a != b) >= 2.0 * 1.18 * 0.68
@@ -188,6 +192,34 @@ def test_layout():
     assert math.isclose(layout.diagonal(3, (0, 0), (1, 2))[2][1], 4)
 
 
+def test_labels_of_drawings_are_escaped():
+    from xml.etree import ElementTree
+
+    page = drawings.workflow(["A & B", "<c>"])
+    assert "A & B" in "".join(ElementTree.fromstring(page).itertext())
+
+
+def test_kept_tables_are_made_anew_after_a_release(spark, tmp_path):
+    from pathlib import Path
+
+    from citeloom import storage
+    from citeloom.sources import driver_tables
+
+    made = []
+
+    def make():
+        made.append(storage.stored(spark.range(3), "three"))
+        return made[-1]
+
+    ask = lambda: driver_tables.kept(spark, str(tmp_path), "three", make).count()
+    here = lambda df: Path(df._stored_at.removeprefix("file:")).exists()
+    assert ask() == ask() == 3 and len(made) == 1
+    storage.release(spark)
+    assert not here(made[0]) and ask() == 3 and len(made) == 2
+    (tmp_path / "another").write_text("x")  # the tables changed
+    assert ask() == 3 and len(made) == 3 and here(made[2]) and not here(made[1])
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "src string, dst string"
