@@ -334,9 +334,14 @@ def subgraph_quality(edges: DataFrame, members: DataFrame) -> DataFrame:
     pairs = undirected(edges)
     inner = pairs.join(members.select(F.col("id").alias("a"), "grp"), "a").join(members.select(F.col("id").alias("b"), F.col("grp").alias("g2")), "b").filter("grp = g2").select("grp", "a", "b")
     inner = stored(inner, "inner")
-    tag = lambda c: F.concat_ws("\u0001", F.col("grp").cast("string"), F.col(c).cast("string"))
-    own = members.select(tag("id").alias("id"), "grp").distinct()
-    parts = components(inner.select(tag("a").alias("src"), tag("b").alias("dst")), own).join(own, "id")
+    groups = stored(places(members, "grp").withColumnRenamed("n", "g"), "groups")
+    n_groups = max(1, groups.count())
+    ids, _ = numbered(inner.select(F.col("a").alias("src"), F.col("b").alias("dst")), members)
+    tag = lambda c: (F.col(c) * n_groups + F.col("g")).alias(c)
+    own = stored(members.select("grp", "id").distinct().join(ids, "id").join(groups, "grp").select("grp", "g", tag("n")).withColumnRenamed("n", "id"), "own")
+    number = lambda c: ids.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"))
+    linked = inner.join(number("a"), "a").join(number("b"), "b").join(groups, "grp").select("g", F.col("a_n").alias("src"), F.col("b_n").alias("dst"))
+    parts = components(linked.select(tag("src"), tag("dst")), own.select("id")).join(own, "id")
     sizes = parts.groupBy("grp", "component").count().groupBy("grp").agg(F.count(F.lit(1)).alias("n_components"), F.max("count").alias("largest"), F.sum("count").alias("n_nodes"))
     edges_in = inner.groupBy("grp").agg(F.count(F.lit(1)).alias("internal_edges"))
     out = sizes.join(edges_in, "grp", "left").withColumn("internal_edges", F.coalesce("internal_edges", F.lit(0)))
@@ -363,23 +368,37 @@ def removal_impact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def removal_impacts(edges: DataFrame, members: DataFrame) -> DataFrame:
     """What taking each group of members (grp, id) out does: grp, component_delta, giant_loss (beyond the members themselves).
 
-    All groups are taken out at once, each from a copy of the graph: edges grow with the number of groups, a handful of branches.
+    What no group touches is contracted once: each of its components becomes one node that weighs as much. Only what is left, the
+    members' own links, is copied for each group (and once more for the whole graph), without that group's members.
     """
     ids, links = numbered(edges)
-    pairs = stored(undirected(links).withColumnsRenamed({"a": "src", "b": "dst"}), "pairs")
-    groups = stored(members.select("grp").distinct().orderBy("grp").coalesce(1).withColumn("g", F.monotonically_increasing_id()), "groups")
-    own = stored(members.join(ids, "id").join(groups, "grp").select("g", "n").distinct(), "members")
+    pairs = stored(undirected(links), "pairs")
+    groups = stored(places(members, "grp").withColumnRenamed("n", "g"), "groups")
     n_groups = groups.count()
-    whole = stored(components(pairs, ids.select(F.col("n").alias("id"))).groupBy("component").count(), "whole")
-    before = whole.agg(F.count(F.lit(1)).alias("n_before"), F.coalesce(F.max("count"), F.lit(0)).alias("giant_before"))
-    tag = lambda c: (F.col(c) * n_groups + F.col("g")).alias(c)
-    copies = pairs.crossJoin(F.broadcast(groups.select("g")))  # a handful of groups
-    for c in ("src", "dst"):
+    own = stored(members.join(ids, "id").join(groups, "grp").select("g", "n").distinct(), "members")
+    touched = stored(own.select("n").distinct(), "touched")
+    end = lambda c: touched.withColumnRenamed("n", c)
+    free = pairs.join(end("a"), "a", "left_anti").join(end("b"), "b", "left_anti").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    parts = stored(components(free, ids.select(F.col("n").alias("id")).join(end("id"), "id", "left_anti")), "parts")
+    of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(end("a"), "a")
+    left = stored(both.join(of("b"), "b", "left").select("a", F.coalesce("b_part", "b").alias("b")).distinct(), "contracted")
+    weight = parts.groupBy(F.col("component").alias("id")).agg(F.count(F.lit(1)).alias("w"))
+    near = left.select(F.col("b").alias("id")).distinct()
+    nodes = stored(touched.select(F.col("n").alias("id"), F.lit(1).cast("long").alias("w")).unionByName(weight.join(near, "id", "left_semi")), "nodes")
+    apart = weight.join(near, "id", "left_anti").agg(F.count(F.lit(1)).alias("n_apart"), F.coalesce(F.max("w"), F.lit(0)).alias("most_apart"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups).cast("long"))).alias("g")  # the last stands for the whole graph
+    tag = lambda c: (F.col(c) * (n_groups + 1) + F.col("g")).alias(c)
+    copies = left.select("a", "b", every)
+    for c in ("a", "b"):
         copies = copies.join(own.withColumnRenamed("n", c), ["g", c], "left_anti")
-    nodes = ids.select("n").crossJoin(F.broadcast(groups.select("g"))).join(own, ["g", "n"], "left_anti").select((F.col("n") * n_groups + F.col("g")).alias("id"))
-    parts = components(copies.select(tag("src"), tag("dst")), nodes).groupBy("component").count()
-    after = parts.groupBy((F.col("component") % n_groups).alias("g")).agg(F.count(F.lit(1)).alias("n_after"), F.max("count").alias("giant_after"))
-    size = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    out = groups.join(size, "g", "left").join(after, "g", "left").crossJoin(before)  # one row
+    copied = stored(nodes.select("id", "w", every).join(own.withColumnRenamed("n", "id"), ["g", "id"], "left_anti").select("g", tag("id"), "w"), "copied")
+    found = components(copies.select(tag("a"), tag("b")).withColumnsRenamed({"a": "src", "b": "dst"}), copied.select("id")).join(copied, "id")
+    sizes = found.groupBy("g", "component").agg(F.sum("w").alias("w")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("most"))
+    facts = stored(sizes, "sizes")
+    whole = apart.join(facts.filter(F.col("g") == n_groups).select(F.col("n").alias("n_whole"), F.col("most").alias("most_whole")), how="left")  # one row each
+    size = own.groupBy("g").agg(F.count(F.lit(1)).alias("taken"))
+    out = groups.join(facts, "g", "left").join(size, "g", "left").crossJoin(F.broadcast(whole))  # one row
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select("grp", (zero("n_after") - F.col("n_before")).alias("component_delta"), F.greatest(F.lit(0), F.col("giant_before") - zero("giant_after") - zero("n")).alias("giant_loss"))
+    loss = F.greatest(zero("most_whole"), F.col("most_apart")) - F.greatest(zero("most"), F.col("most_apart")) - zero("taken")
+    return out.select("grp", (zero("n") - zero("n_whole")).alias("component_delta"), F.greatest(F.lit(0), loss).alias("giant_loss"))
