@@ -314,12 +314,29 @@ def windowed_references(edges: DataFrame, years: DataFrame, window: int | None =
     return rows.filter(F.col("sy").isNull() | F.coalesce(inside, F.lit(include_missing))).select("src", "dst")
 
 
-def reference_novelty(focal: DataFrame, references: DataFrame, years: DataFrame, co_citing_window: int | None = 10, min_shared: int = 1, min_candidates: int = 3) -> DataFrame:
+#: A reference that more papers cite is hot: its citers meet in blocks of about so many.
+HOT_CITERS = 4096
+
+
+def _shared_by_blocks(own: DataFrame, other: DataFrame, hot: DataFrame, fits: Column, block: int) -> DataFrame:
+    """(id, cand) for each hot reference that both cite. hot: dst, n. Citing papers of a year, and focal papers, are cut
+    into blocks of about ``block``; every pair of blocks within the window is a key of its own, so no task holds more than one."""
+    rows = other.join(hot.select("dst"), "dst", "left_semi").withColumn("y", F.coalesce("cy", F.lit(-1)))
+    keys = rows.groupBy("dst", "y").agg(F.max("cy").alias("cy"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cn"))
+    keys = stored(keys.join(hot.select("dst", F.ceil(F.col("n") / block).cast("int").alias("own_n")), "dst"), "blocks")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    place = lambda c, n, name: F.pmod(F.xxhash64(c), F.col(n)).cast("int").alias(name)
+    left = own.join(keys, "dst").filter(F.col("fy").isNull() | F.coalesce(fits, F.lit(False))).select("id", "dst", "y", place("id", "own_n", "x"), every("cn", "z"))
+    right = rows.drop("cy").join(keys, ["dst", "y"]).select("cand", "dst", "y", place("cand", "cn", "z"), every("own_n", "x"))
+    return left.join(right, ["dst", "y", "x", "z"]).filter("id <> cand").select("id", "cand")
+
+
+def reference_novelty(focal: DataFrame, references: DataFrame, years: DataFrame, co_citing_window: int | None = 10, min_shared: int = 1, min_candidates: int = 3, hot_citers: int = HOT_CITERS) -> DataFrame:
     """id, reference_count, candidate_count, mean_overlap, reference_novelty, supported for each focal paper (id).
 
     Candidates are earlier papers, at most co_citing_window years, that share min_shared references:
-    an equi-join on the shared reference with the years as a further condition. Novelty is 1 minus
-    the mean Jaccard overlap with them.
+    an equi-join on the shared reference with the years as a further condition, and for references of more than
+    hot_citers citers one on pairs of blocks of them. Novelty is 1 minus the mean Jaccard overlap with them.
     """
     ids, refs = graph.numbered(references)  # pairs of papers are many, and numbers are short
     year = years.join(ids, "id").select("n", "year")
@@ -327,7 +344,11 @@ def reference_novelty(focal: DataFrame, references: DataFrame, years: DataFrame,
     own = refs.join(focal.join(ids, "id").select(F.col("n").alias("src")), "src").join(year.select(F.col("n").alias("src"), F.col("year").alias("fy")), "src", "left").select(F.col("src").alias("id"), "dst", "fy")
     other = refs.join(year.select(F.col("n").alias("src"), F.col("year").alias("cy")), "src", "left").select(F.col("src").alias("cand"), "dst", "cy")
     fits = (F.col("cy") < F.col("fy")) & (F.lit(True) if co_citing_window is None else F.col("cy") >= F.col("fy") - co_citing_window)
-    shared = own.join(other, "dst").filter((F.col("id") != F.col("cand")) & (F.col("fy").isNull() | F.coalesce(fits, F.lit(False)))).groupBy("id", "cand").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
+    hot = stored(refs.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_citers), "hot")  # one row for each hot_citers edges at most
+    blocked = None if hot.isEmpty() else _shared_by_blocks(own, other, hot, fits, hot_citers)
+    cold = own if blocked is None else own.join(hot, "dst", "left_anti")
+    both = cold.join(other, "dst").filter((F.col("id") != F.col("cand")) & (F.col("fy").isNull() | F.coalesce(fits, F.lit(False)))).select("id", "cand")
+    shared = (both if blocked is None else both.unionByName(blocked)).groupBy("id", "cand").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
     shared = shared.join(sizes.select(F.col("src").alias("id"), F.col("size").alias("na")), "id").join(sizes.select(F.col("src").alias("cand"), F.col("size").alias("nb")), "cand")
     found = shared.groupBy("id").agg(F.count(F.lit(1)).alias("candidate_count"), F.avg(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("overlap"))
     facts = sizes.withColumnRenamed("src", "id").join(found, "id", "left").withColumnRenamed("id", "n").join(ids, "n").drop("n")

@@ -79,14 +79,14 @@ tied AS (SELECT co.a, co.b, combined, x.cluster AS ca, y.cluster AS cb FROM co J
 
 @query(CLUSTERS + """, inn AS (SELECT ca AS cluster, avg(combined) AS cohesion FROM tied WHERE ca = cb GROUP BY 1),
 ext AS (SELECT cluster, avg(combined) AS e FROM (SELECT ca AS cluster, combined FROM tied WHERE ca <> cb UNION ALL SELECT cb, combined FROM tied WHERE ca <> cb) GROUP BY 1),
-sup AS (SELECT DISTINCT 'O' || l_orderkey AS id, cluster FROM lineitem JOIN cl ON doc = 'P' || l_partkey), su AS (SELECT cluster, count(*) AS supported FROM sup GROUP BY 1),
-t AS (SELECT count(DISTINCT l_orderkey) AS total FROM lineitem), m AS (SELECT cluster, count(*) AS member_count FROM cl GROUP BY 1),
+so AS MATERIALIZED (SELECT DISTINCT 'O' || l_orderkey AS id, cluster FROM lineitem JOIN cl ON doc = 'P' || l_partkey), sup AS (SELECT id, cluster FROM so UNION SELECT 'C' || o_custkey, cluster FROM orders JOIN so ON id = 'O' || o_orderkey), su AS (SELECT cluster, count(*) AS supported FROM sup GROUP BY 1),
+t AS (SELECT (SELECT count(DISTINCT l_orderkey) + count(DISTINCT l_partkey) FROM lineitem) + (SELECT count(DISTINCT s_suppkey) FROM supplier) + (SELECT count(DISTINCT n_nationkey) FROM nation) + (SELECT count(DISTINCT o_custkey) FROM orders) AS total), m AS (SELECT cluster, count(*) AS member_count FROM cl GROUP BY 1),
 j AS (SELECT m.cluster, member_count, coalesce(cohesion, 0) AS co, coalesce(e, 0) AS ex, coalesce(supported, 0) AS supported, coalesce(supported, 0)::DOUBLE / total AS support FROM m LEFT JOIN inn USING (cluster) LEFT JOIN ext USING (cluster) LEFT JOIN su USING (cluster) CROSS JOIN t)
 SELECT cluster, member_count, round(co, 6) AS cohesion, round(ex, 6) AS external_strength, round(1.0::DOUBLE - ex, 6) AS separation, round(support, 6) AS support, supported, round(0.45::DOUBLE * co + 0.25::DOUBLE * (1.0::DOUBLE - ex) + 0.3::DOUBLE * support, 6) AS strength FROM j""")
 def cluster_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers, _, pairs = combined(spark, sf_dir)
-    edges = stored_edges(spark, sf_dir).filter(F.substring("src", 1, 1) == "O")
-    influence = graph.reach(edges, papers.select(F.col("doc").alias("id")), max_depth=1)
+    edges = stored_edges(spark, sf_dir)
+    influence = graph.reach(edges, papers.select(F.col("doc").alias("id")))
     return S.cluster_metrics(pairs, _clusters(spark, sf_dir, papers), influence, edges.select(F.col("src").alias("id")).distinct())
 
 

@@ -116,6 +116,25 @@ def test_reference_novelty_window(spark):
     assert scores.windowed_references(refs, years.union(spark.createDataFrame([("r1", 1980), ("r2", 2009)], "id string, year int"))).count() == 1
 
 
+def test_hot_references_in_blocks_equal_the_plain_join(spark):
+    import random
+
+    rng = random.Random(4)
+    refs = sorted({(f"p{i}", f"r{min(rng.randrange(12), rng.randrange(12))}") for i in range(60) for _ in range(4)})
+    year = {f"p{i}": rng.choice([None, *range(1990, 2010)]) for i in range(60)}
+    edges, years = spark.createDataFrame(refs, "src string, dst string"), spark.createDataFrame(list(year.items()), "id string, year int")
+    focal = years.select("id").filter("id < 'p4'")
+    for window in (10, None):
+        plain, blocks = ({tuple(r) for r in scores.reference_novelty(focal, edges, years, window, hot_citers=n).collect()} for n in (1000, 5))
+        assert plain == blocks and len(plain) == focal.count()
+    of = {p: {r for q, r in refs if q == p} for p in year}
+    for r in scores.reference_novelty(focal, edges, years, 10, hot_citers=5).collect():
+        y = year[r.id]
+        cands = [c for c in year if c != r.id and of[c] & of[r.id] and (y is None or year[c] is not None and y - 10 <= year[c] < y)]
+        mean = sum(len(of[c] & of[r.id]) / len(of[c] | of[r.id]) for c in cands) / len(cands) if cands else None
+        assert r.candidate_count == len(cands) and (mean is None and r.mean_overlap is None or r.mean_overlap == pytest.approx(mean, abs=1e-6))
+
+
 def test_topics_separate_two_vocabularies(spark):
     rows = [(f"d{i}", ["aaa", "bbb"] * 3 if i < 3 else ["ccc", "ddd"] * 3) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc string, tokens array<string>")
