@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import clean, community, graph, roles, scores as S, similarity, text, topics
+from .operators import clean, community, graph, roles, scores as S, search, similarity, text, topics
 from .queries import _whole, ARTICLES, ORACLES, CLEAN, COMBINED, PAPERS, SAP, TEXTS, _leaves, _topic_communities, combined, mm, query, scores, vectors_sql
 from .sources.driver_tables import articles, clean_edges, kept, part_papers, stored_edges, table
 from .storage import stored
@@ -471,6 +471,24 @@ def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", rank.cast("long").alias("rank"))
 
 
+_KINDS = {"R": "root", "N": "root", "S": "trunk", "P": "branch", "C": "leaf", "O": "fruit"}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The index of every article as a record: its kind is the role, its journal the subgroup. Made once."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair)), F.substring("id", 1, 1))
+    rows = articles(spark, sf_dir).select("id", "title", "journal", "source_title", "year", kind.alias("role"), F.concat(kind, F.lit("s")).alias("role_label"), F.coalesce("journal", F.lit("none")).alias("subgroup"))
+    return kept(spark, sf_dir, "search", lambda: search.Index(rows.withColumn("subgroup_label", F.col("subgroup"))))
+
+
+@query(CLEAN + ARTICLES + f""", r AS (SELECT id, title, journal, source_title, year, CASE id[1] {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} END AS role, coalesce(journal, 'none') AS subgroup FROM art),
+h AS (SELECT *, lower(array_to_string([id, coalesce(title, ''), role || 's', subgroup, coalesce(journal, ''), coalesce(source_title, ''), '', coalesce(year::VARCHAR, ''), ''], ' ')) AS t FROM r)
+SELECT id, role, row_number() OVER (ORDER BY list_position(['root', 'trunk', 'branch', 'leaf', 'fruit'], role), coalesce(year, 0) DESC, id) AS rank FROM h WHERE contains(t, 'uildin') AND role = 'leaf' AND subgroup = 'BUILDING'""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of all nine fields of every article, with role and subgroup, from the stored index."""
+    return search_index(spark, sf_dir).search("UILDIN", "leaf", "BUILDING").select("id", "role", "rank")
+
+
 # --- branches of given communities: orders and customers by nation ---------------------------------
 
 NATIONS = CLEAN + SAP + """, nn AS MATERIALIZED (SELECT 'C' || c_custkey AS id, c_nationkey AS nation, 'C' || c_custkey AS customer FROM customer UNION ALL SELECT 'O' || o_orderkey, c_nationkey, 'C' || c_custkey FROM orders JOIN customer ON o_custkey = c_custkey),

@@ -224,3 +224,18 @@ def test_modes_ids_and_order(spark):
 def test_publication_years(spark):
     df = spark.createDataFrame([("SMITH J, 1999, J", "2001"), ("SMITH J, 1999, J", None), ("SMITH 19991", "n/a")], "id string, year string")
     assert [(r.year, r.metadata_year, r.year_from_id, r.year_source) for r in scores.publication_years(df).collect()] == [(2001, 2001, 1999, "metadata"), (1999, None, 1999, "node_id"), (None, None, None, "missing")]
+
+
+def test_index_answers_as_a_full_scan(spark):
+    from citeloom.operators import search
+
+    rng = __import__("random").Random(3)
+    names = ["Éa bcd", "aaa", "AAAA", "b", None, "x y", "日本語の", "a_b%c", "ab", ""]
+    rows = [(f"i{k}", rng.choice(names), rng.choice(names), rng.choice([None, 1999, 2001]), rng.choice([*search.ROLES, None]), rng.choice(["s", "t", None])) for k in range(120)]
+    df = spark.createDataFrame(rows, "id string, title string, journal string, year int, role string, subgroup string")
+    index, whole = search.Index(df), df.withColumn("haystack", search.haystack(df))
+    for query, role, subgroup in (("", None, None), ("a", None, None), ("AA", "leaf", None), ("aaa", None, "s"), ("é", None, None), ("本語", "root", "t"), ("a bcd", None, None), ("bcd  ", None, None), ("1999", "trunk", None), ("_b%", None, None), ("zzz", None, None), ("", "fruit", "t"), ("i11", None, None)):
+        want = [r.id for r in search.ranked(whole.filter(search.matches(whole, query, role, subgroup))).orderBy("rank").collect()]
+        assert [r.id for r in index.search(query, role, subgroup).orderBy("rank").collect()] == want, query
+    assert [r.id for r in index.search("i11").collect()].count("i11") == 1 and index.search("q" * 50).count() == 0
+    assert search.Index(df.limit(0)).search("a").count() == 0
