@@ -1,6 +1,7 @@
 """Sinks: CSV, GEXF, Gephi tables, Markdown, SVG, and one HTML page with search.
 
-Single files are for people; rows stream to the driver one partition at a time.
+CSV, Markdown and HTML files are for people, and their rows stream to the driver one partition at a time. A graph's file is
+written by the tasks, in parts that are joined.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from collections.abc import Iterable, Sequence
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import filled
+from ..storage import scratch
 
 GEXF_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" xmlns:viz="http://www.gexf.net/1.2draft/viz" version="1.2">\n<graph mode="static" defaultedgetype="directed">\n'
 
@@ -31,28 +33,70 @@ def write_csv(df: DataFrame, path: str | Path) -> int:
     return n
 
 
+def _quoted(c: Column) -> Column:
+    """A text as an XML attribute."""
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        out = F.replace(out, F.lit(char), F.lit(name))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def _joined(spark: SparkSession, path: str | Path, pieces: Sequence[str | DataFrame]) -> None:
+    """One text file of texts and of lines (one column each). Tasks write the lines as parts, in the shared folder; the
+    parts are then joined file to file, and the whole takes its name when it is complete. No line comes to the driver's Python."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    held = scratch(spark, "lines")
+    parts: list[str | list] = []
+    for i, piece in enumerate(pieces):
+        if isinstance(piece, str):
+            parts.append(piece)
+            continue
+        piece.write.text(f"{held}/{i}")
+        folder = jvm.org.apache.hadoop.fs.Path(f"{held}/{i}")
+        files = folder.getFileSystem(conf).listStatus(folder)
+        parts.append(sorted((f.getPath() for f in files if f.getPath().getName().startswith("part-")), key=lambda p: p.getName()))
+    place = str(path) if "://" in str(path) else Path(path).resolve().as_uri()
+    to, draft = (jvm.org.apache.hadoop.fs.Path(f"{place}{end}") for end in ("", ".draft"))
+    store = to.getFileSystem(conf)
+    store.setWriteChecksum(False)
+    out = store.create(draft, True)
+    for part in parts:
+        if isinstance(part, str):
+            out.write(bytearray(part, "utf-8"))
+            continue
+        for file in part:
+            read = file.getFileSystem(conf).open(file)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 16, False)
+            read.close()
+    out.close()
+    store.setWriteChecksum(True)
+    store.delete(to, False)
+    store.rename(draft, to)
+    gone = jvm.org.apache.hadoop.fs.Path(held)
+    gone.getFileSystem(conf).delete(gone, True)
+
+
 def write_gexf(path: str | Path, nodes: DataFrame, edges: DataFrame | None = None, label: str = "id", color: str | None = None, size: str | None = None) -> None:
-    """nodes: id and attributes (null becomes empty); edges: src, dst[, weight]; colour and size as viz elements."""
+    """nodes: id and attributes (null becomes empty); edges: src, dst[, weight]; colour and size as viz elements.
+
+    Every element is a line made by column expressions and written by the tasks.
+    """
+    text = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
     names = [c for c in nodes.columns if c not in ("id", color, size)]
-    with Path(path).open("w", encoding="utf-8") as out:
-        out.write(GEXF_HEAD + '<attributes class="node" mode="static">\n')
-        out.writelines(f'<attribute id="{i}" title={quoteattr(n)} type="string" />\n' for i, n in enumerate(names))
-        out.write("</attributes>\n<nodes>\n")
-        for row in nodes.toLocalIterator():
-            out.write(f"<node id={quoteattr(str(row['id']))} label={quoteattr(str(row[label] or row['id']))}><attvalues>")
-            out.writelines(f'<attvalue for="{i}" value={quoteattr("" if row[n] is None else str(row[n]))} />' for i, n in enumerate(names))
-            out.write("</attvalues>")
-            if color:
-                r, g, b = (int(row[color][i : i + 2], 16) for i in (1, 3, 5))
-                out.write(f'<viz:color r="{r}" g="{g}" b="{b}" />')
-            if size:
-                out.write(f'<viz:size value="{row[size]}" />')
-            out.write("</node>\n")
-        out.write("</nodes>\n<edges>\n")
-        for i, row in enumerate(edges.toLocalIterator() if edges is not None else ()):
-            weight = f' weight="{row["weight"]}"' if "weight" in edges.columns else ""
-            out.write(f'<edge id="{i}" source={quoteattr(str(row["src"]))} target={quoteattr(str(row["dst"]))}{weight} />\n')
-        out.write("</edges>\n</graph>\n</gexf>\n")
+    name = F.coalesce(F.when(F.col(label).cast("string") != "", F.col(label).cast("string")), F.col("id").cast("string"))
+    line = [text("<node id=", _quoted(F.col("id")), " label=", _quoted(name), "><attvalues>")]
+    line += [text(f'<attvalue for="{i}" value=', _quoted(F.col(n)), " />") for i, n in enumerate(names)] + [F.lit("</attvalues>")]
+    if color:
+        parts = (F.conv(F.substring(color, at, 2), 16, 10) for at in (2, 4, 6))
+        line.append(text(*(x for c, p in zip("rgb", parts, strict=True) for x in (f'{"<viz:color " if c == "r" else " "}{c}="', p, '"')), " />"))
+    if size:
+        line.append(text('<viz:size value="', F.col(size).cast("string"), '" />'))
+    head = GEXF_HEAD + '<attributes class="node" mode="static">\n' + "".join(f'<attribute id="{i}" title={quoteattr(n)} type="string" />\n' for i, n in enumerate(names)) + "</attributes>\n<nodes>\n"
+    pieces: list[str | DataFrame] = [head, nodes.select(F.concat(*line, F.lit("</node>")).alias("value")), "</nodes>\n<edges>\n"]
+    if edges is not None:
+        weight = [' weight="', F.col("weight").cast("string"), '"'] if "weight" in edges.columns else []
+        pieces.append(edges.select(text('<edge id="', F.monotonically_increasing_id().cast("string"), '" source=', _quoted(F.col("src")), " target=", _quoted(F.col("dst")), *weight, " />").alias("value")))
+    _joined(nodes.sparkSession, path, [*pieces, "</edges>\n</graph>\n</gexf>\n"])
 
 
 def gephi_nodes(nodes: DataFrame, title: str = "title") -> DataFrame:

@@ -192,6 +192,32 @@ def test_layout():
     assert math.isclose(layout.diagonal(3, (0, 0), (1, 2))[2][1], 4)
 
 
+def test_gexf_round_trip_of_parts(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+    from xml.etree import ElementTree
+
+    odd = [("a&b", 'say "x" <y>', "#0A0B0C", 1.5, None), ("c'\td\n", None, "#FFFFFF", 2.0, 7), ("é", "", "#000000", 0.25, 8)]
+    nodes = spark.createDataFrame(odd + [(f"n{i}", f"t{i}", "#102030", 1.0, i) for i in range(200)], "id string, title string, color string, size double, year int").repartition(5)
+    links = [("a&b", "é", 0.5), ("c'\td\n", "a&b", 2.0)] + [(f"n{i}", f"n{i + 1}", 1.0) for i in range(199)]
+    edges = spark.createDataFrame(links, "src string, dst string, weight double").repartition(4)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("rows come to the driver"))
+    for _ in range(2):  # the second one replaces the first
+        export.write_gexf(tmp_path / "graph.gexf", nodes, edges, label="title", color="color", size="size")
+    assert [p.name for p in tmp_path.iterdir()] == ["graph.gexf"]
+    space = "{http://www.gexf.net/1.2draft}"
+    root = ElementTree.parse(tmp_path / "graph.gexf").getroot()
+    found = {n.get("id"): (n.get("label"), [v.get("value") for v in n.iter(f"{space}attvalue")]) for n in root.iter(f"{space}node")}
+    assert found == {r.id: (r.title or r.id, [r.title or "", "" if r.year is None else str(r.year)]) for r in nodes.collect()}
+    assert {(e.get("source"), e.get("target"), float(e.get("weight"))) for e in root.iter(f"{space}edge")} == set(links)
+    assert len({e.get("id") for e in root.iter(f"{space}edge")}) == len(links)
+    color = next(root.iter(space.replace("}", "/viz}color")))
+    assert {int(color.get(c)) for c in "rgb"} <= {10, 11, 12, 255, 0, 16, 32, 48}
+    back, pairs = citations.gexf(spark, str(tmp_path / "graph.gexf"))
+    assert back.count() == 203 and pairs.count() == len(links)
+    export.write_gexf(tmp_path / "none.gexf", nodes.limit(0), None)
+    assert "<node " not in (tmp_path / "none.gexf").read_text()
+
+
 def test_labels_of_drawings_are_escaped():
     from xml.etree import ElementTree
 
