@@ -228,6 +228,16 @@ def clean_graph(edges: DataFrame) -> DataFrame:
     return stored(_named(kept, ids, "src", "dst"), "clean")
 
 
+def _folded_levels(levels: list[DataFrame], values: tuple[str, ...]) -> list[DataFrame]:
+    """levels, or if there are FOLD of them, their sums in one table; the newest, which the next round reads, isn't among them."""
+    if len(levels) < FOLD:
+        return levels
+    whole = _union(levels).groupBy("id").agg(*(F.sum(v).cast(BIG).alias(v) for v in values))
+    out = stored(whole, "levels")
+    forget(*levels)
+    return [out]
+
+
 def path_sums(edges: DataFrame, seeds: DataFrame, *values: str, backward: bool = True) -> DataFrame:
     """Sum the seeds' values over all directed paths: (id, *values), seeds included.
 
@@ -242,11 +252,8 @@ def path_sums(edges: DataFrame, seeds: DataFrame, *values: str, backward: bool =
         level = stored(nxt, "level")
         if level.isEmpty():
             break
-        levels.append(level)
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    return every.groupBy("id").agg(*(F.sum(v).cast(BIG).alias(v) for v in values))
+        levels = [*_folded_levels(levels, values), level]
+    return _union(levels).groupBy("id").agg(*(F.sum(v).cast(BIG).alias(v) for v in values))
 
 
 def places(values: DataFrame, name: str) -> DataFrame:
@@ -279,6 +286,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, back
                 seed = F.explode(_bits(F.col(f"m{k}"), 63 * k + first))
                 out.append(part.filter(F.col(f"m{k}") != 0).select(seed.alias("n"), F.col("id"), F.lit(distance).alias("distance")))
         first += 63 * MASK_WORDS
+    while len(out) > FOLD:  # a plan of a few tables, however far the seeds reach
+        out = [stored(_union(out[i : i + FOLD]), "reached") for i in range(0, len(out), FOLD)]
     return _union(out).join(at.withColumnRenamed("id", "seed"), "n").select("seed", "id", "distance")
 
 

@@ -121,6 +121,16 @@ def test_reach_of_many_seeds_equals_a_search_from_each(spark, monkeypatch):
     assert graph.reach(E(spark, *edges), spark.createDataFrame([], "id string")).count() == 0
 
 
+def test_path_counts_of_a_long_ladder_fold_their_levels(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FOLD", 3)
+    edges = [(f"n{k:02}", f"n{k + s:02}") for k in range(12) for s in (1, 2)]
+    found = graph.path_sums(E(spark, *edges), spark.createDataFrame([("n13", 1)], "id string, paths int"), "paths")
+    want = {13: 1, 12: 0}  # nothing leads on from the twelfth
+    for k in range(11, -1, -1):
+        want[k] = want[k + 1] + want[k + 2]
+    assert {r.id: int(r.paths) for r in found.collect()} == {f"n{k:02}": n for k, n in want.items() if n}
+
+
 def test_trimming_writes_no_more_than_the_graph(spark, monkeypatch):
     from pathlib import Path
 
