@@ -207,10 +207,15 @@ def test_greedy_merging_against_brute_force(spark):
     for seed in range(6):
         adjacency, nodes = random_weighted(seed)
         assert sequential.greedy_merge(adjacency, nodes) == brute_greedy(adjacency, nodes)
-    adjacency, nodes = random_weighted(1, 20, 40)
+        degree = {n: round(sum(adjacency.get(n, {}).values()) * 2) for n in nodes}
+        weights = {(a, b): round(w * 2) for a in adjacency for b, w in adjacency[a].items() if a < b}
+        into = modularity._merged_in_order(weights, dict(degree), sum(degree.values()))
+        assert {n: into.get(n, n) for n in nodes} == sequential.greedy_merge(adjacency, nodes)
+    adjacency, nodes = random_weighted(1, 18, 36)
     want = sequential.greedy_merge(adjacency, nodes)
-    found = {r.id: r.community for r in community.greedy_modularity(*frames(spark, adjacency, nodes)).collect()}
-    assert found == want
+    for task_pairs in (0, 10**6):  # by rounds, and in one task
+        found = {r.id: r.community for r in community.greedy_modularity(*frames(spark, adjacency, nodes), task_pairs=task_pairs).collect()}
+        assert found == want
     fast = {r.id: r.community for r in community.greedy_modularity(*frames(spark, adjacency, nodes), exact=False).collect()}
     assert quality(adjacency, fast) >= 0.9 * quality(adjacency, want)
 
