@@ -27,7 +27,8 @@ Vectors become whole numbers first: floor(scale * x), x as double. Vectors that
 null or non-finite components take no part, neither as queries nor as candidates. Vectors of
 different lengths compare over the components both have. Repeated rows are separate candidates, but
 equal rows (vec_id and vector) are one query; rows of one vec_id and different vectors are a query
-each. Rows with the query's own id are not candidates of that query. Ties go to the smaller vec_id.
+each. Only the query's own row is no candidate of it: other rows of its vec_id are, and so are
+further copies of it. Ties go to the smaller vec_id.
 Null ids take no part. Columns beyond vec_id and embedding don't matter. Scores beyond 64 bits raise
 an error. An empty table gives no row.
 """
@@ -165,16 +166,16 @@ class Chunk:
     """One chunk of candidates in a worker: blocks with their boxes; answers packs of queries."""
 
     def __init__(self, k: int):
-        self.k, self.parts, self.ids, self.vectors, self.exact = k, [], None, None, {}
+        self.k, self.parts, self.ids, self.vectors, self.row_no, self.exact = k, [], None, None, None, {}
         self.evaluated = 0
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, apexes: np.ndarray) -> None:
-        self.parts.append((ids, vectors, apexes, apexes.min(axis=0), apexes.max(axis=0)))
+    def add(self, ids: np.ndarray, row_no: np.ndarray, vectors: np.ndarray, apexes: np.ndarray) -> None:
+        self.parts.append((ids, vectors, apexes, row_no, apexes.min(axis=0), apexes.max(axis=0)))
 
     def _whole(self) -> None:
-        self.ids, self.vectors = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        self.ids, self.vectors, self.row_no = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1, 3))
         self.first = np.cumsum([0, *(len(p[0]) for p in self.parts)])
-        self.low, self.high = (np.stack([p[i] for p in self.parts]) for i in (3, 4))
+        self.low, self.high = (np.stack([p[i] for p in self.parts]) for i in (4, 5))
         self.most = float(np.abs(self.vectors.astype(np.int64)).max(initial=0))
 
     def _scorer(self, queries: np.ndarray):
@@ -188,9 +189,9 @@ class Chunk:
         mine, own = queries.astype(kind), self.exact[kind]
         return lambda q, rows: (own[rows] @ mine[q]).astype(np.int64)
 
-    def search(self, ids: np.ndarray, vectors: np.ndarray, apexes: np.ndarray, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the (scores, ids) of its k best rows here that reach its floor."""
-        nothing = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+    def search(self, own: np.ndarray, vectors: np.ndarray, apexes: np.ndarray, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the (scores, ids) of its k best rows here that reach its floor. own: the queries' row numbers."""
+        nothing = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own)
         if not self.parts:
             return nothing
         if self.ids is None:
@@ -201,9 +202,9 @@ class Chunk:
         upper = np.concatenate([apexes @ self.parts[b][2].T for b in open_blocks], axis=1) + apexes.dtype.type(1)
         rows = np.concatenate([np.arange(self.first[b], self.first[b + 1]) for b in open_blocks])
         score = self._scorer(vectors)
-        return [self._best(int(ids[q]), q, upper[q], float(floors[q]), rows, score) for q in range(len(ids))]
+        return [self._best(int(own[q]), q, upper[q], float(floors[q]), rows, score) for q in range(len(own))]
 
-    def _best(self, query: int, number: int, upper: np.ndarray, floor: float, rows: np.ndarray, scorer) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, own: int, number: int, upper: np.ndarray, floor: float, rows: np.ndarray, scorer) -> tuple[np.ndarray, np.ndarray]:
         score, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def evaluate(places: np.ndarray) -> None:
@@ -218,9 +219,8 @@ class Chunk:
                 found = scorer(number, part)
                 keep = np.flatnonzero(found >= floor)
                 if len(keep):
-                    names, found = self.ids[part[keep]], found[keep]
-                    other = names != query
-                    score, ids = np.concatenate([score, found[other]]), np.concatenate([ids, names[other]])
+                    keep = keep[self.row_no[part[keep]] != own]
+                    score, ids = np.concatenate([score, found[keep]]), np.concatenate([ids, self.ids[part[keep]]])
                     order = np.lexsort((ids, -score))[: self.k]
                     score, ids = score[order], ids[order]
                     if len(score) == self.k:
@@ -269,20 +269,21 @@ class Index:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32()), pa.array(d.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(near.astype(np.int32)), pa.array(to[np.arange(len(d)), near])], ["vec_id", "v", "distances", "cell", "near"])
 
-        #: vec_id, v, distances, cell (nearest pivot), near (the distance to it)
-        self.table = rows.mapInArrow(measure, "vec_id long, v array<bigint>, distances array<double>, cell int, near double")
+        measured = rows.mapInArrow(measure, "vec_id long, v array<bigint>, distances array<double>, cell int, near double")
+        #: vec_id, v, distances, cell (nearest pivot), near (the distance to it), row_no (which tells equal rows apart)
+        self.table = materialize(measured.withColumn("row_no", F.monotonically_increasing_id()), "distances")
         self.chunks = min(MAX_CHUNKS, max(-(-n // chunk_rows), min(least_chunks, n)))
         order = ["cell", "near", "vec_id", "v"]
-        ranged = self.table.repartitionByRange(self.chunks, *order).sortWithinPartitions(*order).select("vec_id", "v", "distances")
+        ranged = self.table.repartitionByRange(self.chunks, *order).sortWithinPartitions(*order).select("vec_id", "v", "distances", "row_no")
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Blocks of a partition, which is a chunk; then one row with the chunk's box."""
             from pyspark import TaskContext
 
             chunk, no, low, high = TaskContext.get().partitionId(), 0, None, None
-            for ids, v, apexes in _blocks(batches, sent, width, block):
+            for ids, v, apexes, row_no in _blocks(batches, sent, width, block):
                 low, high = (apexes.min(axis=0), apexes.max(axis=0)) if low is None else (np.minimum(low, apexes.min(axis=0)), np.maximum(high, apexes.max(axis=0)))
-                yield _rows(0, chunk, no, ids, [], v, apexes, [])
+                yield _rows(0, chunk, no, ids, row_no, v, apexes, [])
                 no += 1
             if no:
                 yield _rows(2, chunk, no, [], [], np.zeros((0, 0), np.int64), np.stack([low, high]), [])
@@ -293,7 +294,7 @@ class Index:
         self.numbers, self.low, self.high = boxes.column("chunk").to_numpy(), edges[:, 0], edges[:, 1]
 
     def queries(self, condition) -> DataFrame:
-        """vec_id, v, apex, tag (of the vector) of the distinct rows that meet the condition, stored in the table's order."""
+        """vec_id, v, apex, tag (the row number) of the distinct rows that meet the condition, stored in the table's order."""
         pivots, order = self.pivots, ["cell", "near", "vec_id", "tag"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,19 +302,19 @@ class Index:
                 apexes = pivots.apexes(np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)) if batch.num_rows else ()
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a in apexes], pa.binary()), batch.column(3)], ["vec_id", "v", "apex", "tag"])
 
-        rows = self.table.filter(condition).withColumn("tag", F.xxhash64("v")).dropDuplicates(["vec_id", "v"])
+        rows = self.table.filter(condition).withColumnRenamed("row_no", "tag").dropDuplicates(["vec_id", "v"])
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "v", "distances", "tag")
         return materialize(rows.mapInArrow(run, "vec_id long, v array<bigint>, apex binary, tag long"), "queries")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pivots: Pivots, width: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """ids, vectors and apexes of runs of ``size`` rows of a stream (vec_id, v, distances)."""
+def _blocks(batches: Iterator[pa.RecordBatch], pivots: Pivots, width: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """ids, vectors, apexes and row numbers of runs of ``size`` rows of a stream (vec_id, v, distances, row_no)."""
     held: list[pa.RecordBatch] = []
 
     def joined(rows: list[pa.RecordBatch]):
         table = pa.Table.from_batches(rows).combine_chunks()
-        ids, v, d = (table.column(i).chunk(0) for i in range(3))
-        return np.asarray(ids), _matrix(v, width), pivots.apexes(np.asarray(d.flatten()).reshape(len(ids), -1))
+        ids, v, d, row_no = (table.column(i).chunk(0) for i in range(4))
+        return np.asarray(ids), _matrix(v, width), pivots.apexes(np.asarray(d.flatten()).reshape(len(ids), -1)), np.asarray(row_no)
 
     for batch in batches:
         at = 0
@@ -379,13 +380,13 @@ def answer(index: Index, asked: DataFrame, k: int) -> DataFrame:
                 c, salt, what, _, ids, tags, vectors, apexes, floors = (batch.column(j)[i].as_py() for j in range(9))
                 if (c, salt) != now:
                     now, chunk = (c, salt), Chunk(k)
-                ids = np.frombuffer(ids, np.int64)
+                ids, tags = np.frombuffer(ids, np.int64), np.frombuffer(tags, np.int64)
                 v, a = _widen(vectors, len(ids)), np.frombuffer(apexes, kind).reshape(len(ids), -1)
                 if what == 0:
-                    chunk.add(ids, v, a)
+                    chunk.add(ids, tags, v, a)
                     continue
-                before, tags = chunk.evaluated, np.frombuffer(tags, np.int64)
-                best = chunk.search(ids, v, a, np.frombuffer(floors, np.float64))
+                before = chunk.evaluated
+                best = chunk.search(tags, v, a, np.frombuffer(floors, np.float64))
                 n = [len(s) for s, _ in best]
                 none = pa.nulls(1, pa.int64())
                 cols = [np.repeat(ids, n), np.repeat(tags, n), np.concatenate([b for _, b in best]), np.concatenate([s for s, _ in best])]
@@ -438,10 +439,10 @@ def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, q.v AS qv, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM (SELECT DISTINCT vec_id, v FROM e WHERE vec_id % 20 = 0) q JOIN e c ON q.vec_id <> c.vec_id),
+  FROM (SELECT vec_id, v, min(row_no) AS row_no FROM e WHERE vec_id % 20 = 0 GROUP BY vec_id, v) q JOIN e c ON q.row_no <> c.row_no),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -138,9 +138,9 @@ def best(rows, k, every):
             ok.setdefault(i, []).append([int(np.floor(64 * np.float64(x))) for x in v])
     flat = [(i, v) for i, vs in ok.items() for v in vs]
     out = {}
-    for q, v in flat:
+    for at, (q, v) in enumerate(flat):
         if q % every == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in flat if i != q))
+            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for k, (i, w) in enumerate(flat) if k != at))
             out.setdefault(q, []).append([(i, -s) for s, i in scored[:k]])
     return out
 
