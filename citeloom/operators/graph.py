@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from itertools import accumulate
+from itertools import accumulate, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -238,22 +238,119 @@ def _folded_levels(levels: list[DataFrame], values: tuple[str, ...]) -> list[Dat
     return [out]
 
 
+#: Path sums go by path length for so many rounds; a deeper graph is shrunk first.
+PATIENCE = 32
+
+
 def path_sums(edges: DataFrame, seeds: DataFrame, *values: str, backward: bool = True) -> DataFrame:
     """Sum the seeds' values over all directed paths: (id, *values), seeds included.
 
     backward: from each node along citations to the seeds (seeds are cited); else from the seeds on.
-    edges must be free of cycles. One round per path length, each storing only its frontier.
+    edges must be free of cycles. One round per path length, each storing only its frontier. What PATIENCE rounds leave is
+    the same sum from the last frontier on, over edges that are contracted first as far as they shrink (see _shrunk).
     """
     to, of = ("src", "dst") if backward else ("dst", "src")
+    links = edges.select(F.col(of).alias("p"), F.col(to).alias("r"))
     level = stored(seeds.select("id", *(F.col(v).cast(BIG).alias(v) for v in values)), "level")
-    levels = [level]
-    while True:
-        nxt = edges.join(level.withColumnRenamed("id", of), of).groupBy(F.col(to).alias("id")).agg(*(F.sum(v).cast(BIG).alias(v) for v in values))
-        level = stored(nxt, "level")
+    done, level = _by_length(links, level, values, PATIENCE)
+    if level is not None:
+        few, base, late = _shrunk(stored(links.groupBy("p", "r").agg(F.count(F.lit(1)).cast(BIG).alias("m")), "links"), level, values)
+        parts, _ = _by_length(few, base, values)
+        rest = _sum_by_id(_union(parts), values)
+        for step in reversed(late):
+            rest = stored(_sum_by_id(rest.unionByName(_pushed(step, rest, values)), values), "restored")
+        done.append(rest)
+    return _sum_by_id(_union(done), values)
+
+
+def _sum_by_id(rows: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    return rows.groupBy("id").agg(*(F.sum(v).cast(BIG).alias(v) for v in values))
+
+
+def _times(m: Column, value: Column) -> Column:
+    """m * value; an m too large for its type is null, and an error where it would count."""
+    return F.when(m.isNull() & (value != 0), F.raise_error(F.lit("path counts overflow"))).otherwise((F.coalesce(m, F.lit(0).cast(BIG)) * value).cast(BIG))
+
+
+def _pushed(links: DataFrame, rows: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """What links (p, r, m if there are several of a kind) carry from rows (id, *values) to their receivers: (id, *values)."""
+    met = links.join(rows.withColumnRenamed("id", "p"), "p")
+    weighed = [_times(F.col("m"), F.col(v)).alias(v) if "m" in links.columns else v for v in values]
+    return _sum_by_id(met.select(F.col("r").alias("id"), *weighed), values)
+
+
+def _by_length(links: DataFrame, level: DataFrame, values: tuple[str, ...], rounds: int | None = None) -> tuple[list[DataFrame], DataFrame | None]:
+    """Sums by path length: tables whose sum they are, and the frontier that isn't in them, if ``rounds`` didn't suffice."""
+    levels: list[DataFrame] = []
+    for _ in count() if rounds is None else range(rounds):
+        nxt = stored(_pushed(links, level, values), "level")
+        levels, level = [*_folded_levels(levels, values), level], nxt
         if level.isEmpty():
+            return levels, None
+    return levels, level
+
+
+def _shrunk(links: DataFrame, base: DataFrame, values: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """A smaller graph with the same sums: links (p, r, m), base (id, *values), and links to apply afterwards, the last first.
+
+    Each round takes out the nodes that nothing comes to, once they have passed on what they have; the nodes from which nothing goes on,
+    whose links wait; and the chains of nodes with one link in and one out, found by doubling pointers: their ends become
+    one link with a multiplier, what starts within a chain is given to its end, and their inner nodes' links to the chain's start wait. Links
+    of the same ends add up, so a chain of diamonds, too, becomes a chain. It stops when a round takes less than a quarter of
+    the links, so what is written grows with the links alone.
+    """
+    late: list[DataFrame] = []
+    n = links.count()
+    while n:
+        ends = stored(_ends(links), "ends")
+        first, last = ends.filter("i = 0").select("id"), ends.filter("i > 0 AND o = 0").select("id")
+        starting = links.join(first.withColumnRenamed("id", "p"), "p", "left_semi")
+        before, base = base, stored(_sum_by_id(base.unionByName(_pushed(starting, base, values)), values), "base")
+        inner = links.join(first.withColumnRenamed("id", "p"), "p", "left_anti")
+        late.append(stored(inner.join(last.withColumnRenamed("id", "r"), "r", "left_semi").select("p", "r", "m"), "late"))
+        inner = stored(inner.join(last.withColumnRenamed("id", "r"), "r", "left_anti").select("p", "r", "m"), "links")
+        forget(links, ends, before)
+        chain = stored(_ends(inner).filter("i = 1 AND o = 1").select("id"), "chain")
+        links, base, waits = _without_chains(inner, chain, base, values)
+        late.append(waits)
+        was, n = n, links.count()
+        if n > 0.75 * was:
             break
-        levels = [*_folded_levels(levels, values), level]
-    return _union(levels).groupBy("id").agg(*(F.sum(v).cast(BIG).alias(v) for v in values))
+    return links, base, late
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """id, i (links in), o (links out)."""
+    one, none = F.lit(1), F.lit(0)
+    rows = links.select(F.col("p").alias("id"), none.alias("i"), one.alias("o")).unionByName(links.select(F.col("r").alias("id"), one.alias("i"), none.alias("o")))
+    return rows.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+
+
+def _without_chains(links: DataFrame, chain: DataFrame, base: DataFrame, values: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """links and base without the nodes of chain (id), which have one link in and one out; and the links from each one's chain's start to it."""
+    own = base.join(chain, "id", "left_semi")
+    # of each inner node: p, how far the pointer has come; m, the paths from there; inside, whether p is an inner node, too
+    up = links.join(chain.withColumnRenamed("id", "r"), "r").select(F.col("r").alias("id"), "p", "m")
+    up = up.join(own, "id", "left").join(chain.select(F.col("id").alias("p"), F.lit(True).alias("inside")), "p", "left")
+    up = stored(up.select("id", "p", "m", F.coalesce("inside", F.lit(False)).alias("inside"), *values), "chains")
+    while not up.filter("inside").isEmpty():
+        far = up.select(F.col("id").alias("p"), F.col("p").alias("p2"), F.col("m").alias("m2"), F.col("inside").alias("inside2"), *(F.col(v).alias(f"{v}_2") for v in values))
+        met = up.filter("inside").join(far, "p")
+        sums = [F.coalesce(F.col(v) + _times(F.col("m"), F.col(f"{v}_2")), F.col(v), _times(F.col("m"), F.col(f"{v}_2"))).cast(BIG).alias(v) for v in values]
+        step = met.select("id", F.col("p2").alias("p"), F.try_multiply("m", "m2").cast(BIG).alias("m"), F.col("inside2").alias("inside"), *sums)
+        was, up = up, stored(step.unionByName(up.filter("NOT inside")), "chains")
+        forget(was)
+    carried = up.filter(F.col(values[0]).isNotNull()).select("id", *values)
+    out = links.join(chain.withColumnRenamed("id", "r"), "r", "left_anti").select("p", "r", "m")
+    through = out.join(up.select(F.col("id").alias("p"), F.col("p").alias("start"), F.col("m").alias("m2")), "p", "left")
+    through = through.select(F.coalesce("start", "p").alias("p"), "r", F.when(F.col("start").isNull(), F.col("m")).otherwise(F.try_multiply("m", "m2").cast(BIG)).alias("m"))
+    # a sum with a null in it, a multiplier too large, is null as well
+    fewer = through.groupBy("p", "r").agg(F.when(F.count("m") == F.count(F.lit(1)), F.try_sum("m")).cast(BIG).alias("m"))
+    kept = base.join(chain, "id", "left_anti").unionByName(carried)
+    after = stored(_sum_by_id(kept.unionByName(_pushed(out, carried, values)), values), "base")
+    result = stored(fewer, "links"), after, stored(up.select("p", F.col("id").alias("r"), "m"), "late")
+    forget(links, up, base, chain)
+    return result
 
 
 def places(values: DataFrame, name: str) -> DataFrame:

@@ -131,6 +131,57 @@ def test_path_counts_of_a_long_ladder_fold_their_levels(spark, monkeypatch):
     assert {r.id: int(r.paths) for r in found.collect()} == {f"n{k:02}": n for k, n in want.items() if n}
 
 
+def path_sums_by_hand(edges, seeds):
+    """{id: sum over all paths to the seeds}, edges (citing, cited) with citing < cited."""
+    out = {}
+    for v in sorted({x for e in edges for x in e} | set(seeds), reverse=True):
+        below = [out[d] for s, d in edges if s == v and d in out]
+        if v in seeds or below:
+            out[v] = seeds.get(v, 0) + sum(below)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "caterpillar", "diamonds", "dense"])
+def test_path_sums_over_contracted_graphs(spark, monkeypatch, kind):
+    monkeypatch.setattr(graph, "PATIENCE", 1)
+    rng = random.Random(kind)
+    n = 60
+    edges = {
+        "random": lambda: {tuple(sorted(rng.sample(range(n), 2))) for _ in range(110)},
+        "caterpillar": lambda: {(v, v + 2) for v in range(0, n, 2)} | {(v, v + 1) for v in range(0, n, 4)} | {(v - 1, v) for v in range(2, n, 4)},
+        "diamonds": lambda: {e for v in range(0, n, 3) for e in ((v, v + 1), (v, v + 2), (v + 1, v + 3), (v + 2, v + 3))},
+        "dense": lambda: {(a, b) for a in range(18) for b in range(a + 1, 18)},
+    }[kind]()
+    nodes = sorted({x for e in edges for x in e})
+    seeds = {v: rng.randrange(1, 9) for v in [*rng.sample(nodes, 5), nodes[-1]]}
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    found = graph.path_sums(df, spark.createDataFrame([(v, x, 2 * x) for v, x in seeds.items()], "id long, x int, y int"), "x", "y")
+    want = path_sums_by_hand(edges, seeds)
+    assert {r.id: (int(r.x), int(r.y)) for r in found.collect()} == {v: (x, 2 * x) for v, x in want.items()}
+
+
+def test_path_sums_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from citeloom.storage import stored
+
+    monkeypatch.setattr(graph, "PATIENCE", 4)
+    n, tables = 100_000, []
+    monkeypatch.setattr(graph, "stored", lambda d, name: tables.append(name) or stored(d, name))
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    found = graph.path_sums(chain, spark.createDataFrame([(n, 1), (n // 2, 1)], "id long, x int"), "x")
+    assert found.groupBy("x").count().orderBy("x").collect() == [(1, n // 2), (2, n // 2 + 1)]
+    assert len(tables) < 60 and tables.count("chains") <= 19
+
+
+def test_path_counts_too_large_are_an_error_only_where_they_count(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PATIENCE", 1)
+    edges = [e for v in range(0, 420, 3) for e in ((v, v + 1), (v, v + 2), (v + 1, v + 3), (v + 2, v + 3))]
+    apart = [(1000 + v, 1001 + v) for v in range(9)]
+    df = spark.createDataFrame(edges + apart, "src long, dst long")
+    assert graph.path_sums(df, spark.createDataFrame([(1009, 1)], "id long, x int"), "x").count() == 10
+    with pytest.raises(Exception, match="(?i)overflow|out of range|cannot be represented"):
+        graph.path_sums(df, spark.createDataFrame([(420, 1)], "id long, x int"), "x").collect()
+
+
 def test_trimming_writes_no_more_than_the_graph(spark, monkeypatch):
     from pathlib import Path
 
