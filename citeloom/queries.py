@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import clean, community, graph, roles, similarity, text
+from .operators import clean, community, experiments, graph, roles, similarity, text
 from .sources.driver_tables import articles, clean_edges, event_hops, kept, part_papers, raw_edges, stored_edges, table
 from .storage import stored
 
@@ -224,6 +224,26 @@ def leaf_count_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("max_leaves").agg(F.count(F.lit(1)).alias("n"), F.avg("year").alias("mean_year"), F.median("year").alias("median_year"), F.max("year").alias("newest"), F.count_if(F.col("base").isNull()).alias("added"))
 
 
+@query(CLEAN + LEAVES + """, wide AS (SELECT id, leaf::DOUBLE AS leaf, year, row_number() OVER (ORDER BY leaf DESC, id DESC) AS r FROM dated WHERE year >= (SELECT max(year) FROM dated) - 7),
+runs AS (SELECT 'top_50' AS run, * FROM wide WHERE r <= 50 UNION ALL SELECT 'top_100', * FROM wide WHERE r <= 100 UNION ALL SELECT 'added_51_100', * FROM wide WHERE r BETWEEN 51 AND 100)
+SELECT run, count(*) AS leaf_count, count(art.id) AS metadata_count, round(count(art.id) / count(*), 4) AS metadata_share, min(runs.year)::INTEGER AS min_year, max(runs.year)::INTEGER AS max_year,
+  min(leaf) AS min_leaf_connections, max(leaf) AS max_leaf_connections, median(runs.year)::DOUBLE AS median_year, median(leaf)::DOUBLE AS median_leaf_connections FROM runs LEFT JOIN art USING (id) GROUP BY run""")
+def leaf_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.leaf_count_summary(experiments.leaf_counts(clean_edges(spark, sf_dir), articles(spark, sf_dir)))
+
+
+@query(CLEAN + SAP + """, taken AS (SELECT id FROM sc WHERE root > 0 UNION SELECT id FROM tr UNION SELECT id FROM lf),
+fr AS (SELECT deg.id, year, out_degree, row_number() OVER (ORDER BY year DESC, out_degree DESC, coalesce(cited_by, 0) DESC, (length(coalesce(title, '')) + length(coalesce(abstract, '')) > 0) DESC, id) AS r
+  FROM deg JOIN art USING (id) WHERE in_degree = 0 AND out_degree >= 1 AND year >= (SELECT max(year) FROM art JOIN deg USING (id)) - 4 AND id NOT IN (SELECT id FROM taken)),
+n AS (SELECT count(*) AS n FROM lf), b AS (SELECT fr.* FROM fr, n WHERE r <= 100 - n)
+SELECT (SELECT n FROM n) AS sap_leaf_count, (SELECT count(*) FROM b) AS selected_frontier_leaf_count, (SELECT n FROM n) + (SELECT count(*) FROM b) AS combined_leaf_count, (SELECT min(year) FROM b)::INTEGER AS min_year,
+  (SELECT max(year) FROM b)::INTEGER AS max_year, (SELECT min(out_degree) FROM b) AS min_out_degree, (SELECT max(out_degree) FROM b) AS max_out_degree, (SELECT count(*) FROM fr) AS frontier_candidate_count, 100 AS target_leaves, 5 AS recent_years""")
+def frontier_leaf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scores(spark, sf_dir)
+    taken = s.filter("root > 0").select("id").unionByName(roles.trunk(s).select("id"))
+    return experiments.frontier_summary(*experiments.frontier_leaves(s, clean_edges(spark, sf_dir), articles(spark, sf_dir), taken))
+
+
 # --- traversal -----------------------------------------------------------------------------------
 
 
