@@ -46,13 +46,13 @@ def continuous_sizes(df: DataFrame, low: float = 6.0, high: float = 25.0) -> Dat
     return out.withColumn("size", low + F.sqrt("citation_size_score") * (high - low))
 
 
-def leaf_metrics(df: DataFrame, low: float = 19.0, high: float = 34.0) -> DataFrame:
-    """Adds year_score, leaf_length, leaf_width and leaf_color. df: year, in_degree. A missing year counts as the oldest."""
+def leaf_metrics(df: DataFrame, degree: str = "in_degree", low: float = 19.0, high: float = 34.0, colored: bool = False) -> DataFrame:
+    """Adds year_score, leaf_length, leaf_width and leaf_color (unless ``colored``). df: year, and the degree that gives the size. A missing year counts as the oldest."""
     oldest = df.agg(F.min("year").alias("_oldest"))
     out = df.crossJoin(F.broadcast(oldest))  # one row
-    out = scaled(out, year_score=F.coalesce("year", "_oldest").cast("double"), citation_size_score=F.log1p(F.col("in_degree").cast("double"))).drop("_oldest")
+    out = scaled(out, year_score=F.coalesce("year", "_oldest").cast("double"), citation_size_score=F.log1p(F.col(degree).cast("double"))).drop("_oldest")
     out = out.withColumn("leaf_length", low + F.col("citation_size_score") * (high - low)).withColumn("leaf_width", F.col("leaf_length") * 0.43)
-    return out.withColumn("leaf_color", mixed_color(F.col("year_score"), LEAF_GREENS))
+    return out if colored else out.withColumn("leaf_color", mixed_color(F.col("year_score"), LEAF_GREENS))
 
 
 def temporal_leaves(df: DataFrame, recent_years: int = 5) -> DataFrame:

@@ -76,6 +76,23 @@ def optional(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def optional_csv(spark: SparkSession, path: str | None, **columns: str) -> DataFrame:
+    """Of a CSV file with a header, if it is there, the columns named (new name: old name) as text; else no rows of them."""
+    if not path or not Path(path).exists():
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    missing = sorted(set(columns.values()) - set(rows.columns))
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    return rows.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """rows (a, b, similarity) in whatever order and with repeats: each pair once, the smaller id first; of repeats the greatest similarity."""
+    ordered = rows.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("similarity").cast("double").alias("similarity"))
+    return ordered.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
 def article_source(spark: SparkSession, path: str, template: str | None = None, sheet: str = "wos_scopus") -> DataFrame:
     """A user's spreadsheet, if it is there and can be read, in place of the article file."""
     if template and Path(template).exists():

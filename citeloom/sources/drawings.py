@@ -119,10 +119,10 @@ def leaves(nodes: DataFrame, exclude: Sequence[str] = (), labels: bool = False)
     return svg(shapes, 1280, 560)
 
 
-def canopy(nodes: DataFrame, shape_path: str, seed: int = 42) -> str:
-    """nodes: id, year, sap, leaf_length, leaf_width, leaf_color; leaves at random places of a closed path, kept apart by their lengths and turned outwards."""
+def canopy(nodes: DataFrame, shape_path: str, seed: int = 42, then: str = "sap") -> str:
+    """The newest first, then those of most ``then``. nodes: id, year, sap, leaf_length, leaf_width, leaf_color; leaves at random places of a closed path, kept apart by their lengths and turned outwards."""
     polygon = layout.path_polygon(shape_path)
-    rows = nodes.orderBy(F.col("year").desc_nulls_last(), F.col("sap").desc(), "id").collect()
+    rows = nodes.orderBy(F.col("year").desc_nulls_last(), F.col(then).desc(), F.col("sap").desc(), "id").collect()
     places = layout.canopy_places([r["leaf_length"] for r in rows], polygon, seed)
     shapes = [leaf(x, y, r["leaf_length"], r["leaf_width"], turn, r["leaf_color"], r["id"]) for r, (x, y, turn) in zip(rows, places, strict=True)]
     return svg(shapes, max(p[0] for p in polygon), max(p[1] for p in polygon))

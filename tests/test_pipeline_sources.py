@@ -1,5 +1,6 @@
 import json
 import math
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -27,8 +28,10 @@ def planned(spark, tmp_path_factory):
     """The whole plan, run once: its tables and the folder of its exports."""
     cites, arts = corpus(spark)
     settings = pipeline.Settings(2020, max_roots=3, max_leaves=4, max_trunk=4, max_branch_size=5, recent_years=19, topic_terms=("market",), compare_algorithms=True)
+    settings = replace(settings, leaf_experiments=True, target_leaves=5, w_topics=0.2, canopy_path="M 0 0 H 600 V 400 H 0 Z")
     out = tmp_path_factory.mktemp("plan") / "out"
-    return pipeline.run(spark, cites, arts, settings, out), out
+    topics = spark.createDataFrame([("r1", "r0", 0.9), ("r0", "r1", 0.5)], "a string, b string, similarity double")
+    return pipeline.run(spark, cites, arts, settings, out, topic_pairs=topics), out
 
 
 def test_all_stages_and_exports(spark, planned):
@@ -61,6 +64,49 @@ def test_exports_of_the_whole_plan(planned):
     assert ids == [f"root_{i + 1:02d}" for i in range(len(ids))]
 
 
+def test_leaf_experiments_topic_weights_and_canopy(spark, planned, tmp_path):
+    t, out = planned
+    runs = {}
+    for r in t["leaf_runs"].collect():
+        runs.setdefault(r.run, {})[r.id] = r
+    assert set(runs) == {"top_4", "top_5", "added_5_5"} and len(runs["top_4"]) == 4 and len(runs["top_5"]) == 5
+    assert set(runs["added_5_5"]) == set(runs["top_5"]) - set(runs["top_4"]) and all(r.in_baseline == (i in runs["top_4"]) for i, r in runs["top_5"].items())
+    counts = {r.run: r for r in t["leaf_run_summary"].collect()}
+    assert counts["top_5"].leaf_count == 5 and counts["top_5"].metadata_share == 1.0 and counts["added_5_5"].min_year == counts["added_5_5"].max_year
+    leaves = sorted(t["frontier_leaves"].collect(), key=lambda r: r.leaf_rank)
+    assert [r.leaf_rank for r in leaves] == list(range(1, 6)) and [r.leaf for r in leaves] == sorted((r.leaf for r in leaves), reverse=True)
+    [facts] = t["frontier_summary"].collect()
+    assert (facts.sap_leaf_count, facts.selected_frontier_leaf_count, facts.combined_leaf_count, facts.min_year) == (5, 0, 5, None)
+    assert (out / "frontier_leaves.md").read_text().count("sap_leaf; out-degree") == 5 and (out / "leaf_runs.csv").exists()
+    assert (out / "leaf_like_canopy.svg").read_text().count("<title>") == t["leaf_like"].count()
+    pairs = {(r.a, r.b): r for r in t["root_pairs"].collect()}
+    assert pairs["r0", "r1"].topics == 0.9 and pairs["r0", "r2"].topics == 0.0
+    r = pairs["r0", "r1"]
+    assert r.combined == pytest.approx((0.45 * r.text + 0.35 * r.cocitation + 0.2 * r.structural + 0.2 * 0.9) / 1.2, abs=1e-6)
+    path = tmp_path / "pairs.csv"
+    assert citations.optional_csv(spark, str(path), a="x").collect() == []
+    path.write_text("source_root_id,target_root_id,ntf_topic_similarity\nB,A,0.5\nA,A,1\n,A,1\n")
+    read = citations.optional_csv(spark, str(path), a="source_root_id", b="target_root_id", similarity="ntf_topic_similarity")
+    assert [tuple(r) for r in citations.pairs_of(read).collect()] == [("A", "B", 0.5)]
+    with pytest.raises(ValueError, match="lacks"):
+        citations.optional_csv(spark, str(path), a="nothing")
+
+
+def test_frontier_leaves_fill_up_in_order(spark):
+    from citeloom.operators import experiments
+
+    edges = spark.createDataFrame([("a", "m"), ("m", "r"), ("f1", "m"), ("f2", "m"), ("f2", "r"), ("f3", "r"), ("old", "r"), ("none", "r"), ("fruit", "r")], "src string, dst string")
+    arts = spark.createDataFrame([("a", 2020, 1.0), ("f1", 2020, 9.0), ("f2", 2020, None), ("f3", 2021, 0.0), ("old", 2000, 99.0), ("fruit", 2021, 5.0), ("m", 2010, 1.0)], "id string, year int, cited_by double")
+    arts = arts.withColumns({"title": F.lit(None).cast("string"), "abstract": F.lit("x")})
+    zero = spark.createDataFrame([(x, 1 if x == "a" else 0, 7) for x in ("a", "m", "r", "f1", "f2", "f3", "old", "none", "fruit")], "id string, leaf int, sap int")
+    taken = spark.createDataFrame([("r",), ("m",), ("fruit",)], "id string")
+    found, candidates = experiments.frontier_leaves(zero, edges, arts, taken, target=3)
+    assert [(r.id, r.leaf_type, r.frontier_rank) for r in found.orderBy("leaf_rank").collect()] == [("a", "sap_leaf", None), ("f3", "frontier_leaf", 1), ("f2", "frontier_leaf", 2)]
+    [facts] = experiments.frontier_summary(found, candidates, 3).collect()
+    assert (facts.frontier_candidate_count, facts.min_year, facts.max_year, facts.min_out_degree, facts.max_out_degree) == (3, 2020, 2021, 1, 2)
+    assert experiments.frontier_leaves(zero, edges, arts, taken, target=0)[0].count() == 1
+
+
 def test_run_on_files(spark, tmp_path):
     cites, arts = corpus(spark)
     (tmp_path / "c.csv").write_text("SR,SR_ref\n" + "\n".join(f"{r.SR},{r.SR_ref}" for r in cites.collect()))
