@@ -239,3 +239,23 @@ def test_index_answers_as_a_full_scan(spark):
         assert [r.id for r in index.search(query, role, subgroup).orderBy("rank").collect()] == want, query
     assert [r.id for r in index.search("i11").collect()].count("i11") == 1 and index.search("q" * 50).count() == 0
     assert search.Index(df.limit(0)).search("a").count() == 0
+
+
+def test_novelty_by_kinds_of_citers_equals_novelty_by_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = spark.createDataFrame(sorted({(rng.randrange(80), 100 + rng.randrange(25)) for _ in range(300)}), "src long, dst long")
+    years = spark.createDataFrame([(n, None if n % 9 == 0 else 1990 + n % 14) for n in range(80)], "id long, year int")
+    focal = spark.createDataFrame([(n,) for n in range(85)], "id long")
+    made = []
+    for window in (10, None):
+        own = edges.join(years.select(F.col("id").alias("src"), F.col("year").alias("fy")), "src").withColumnRenamed("src", "id")
+        other = edges.join(years.select(F.col("id").alias("src"), F.col("year").alias("cy")), "src").withColumnRenamed("src", "cand")
+        sizes, citers = edges.groupBy("src").agg(F.count("*").alias("size")), edges.groupBy("dst").agg(F.count("*").alias("n"))
+        fits = (F.col("cy") < F.col("fy")) & (F.lit(True) if window is None else F.col("cy") >= F.col("fy") - window)
+        few, pairs = scores._overlaps(own, other, sizes, edges, fits), scores._met(own, other, sizes, citers, fits, 1, 5)
+        rounded = lambda rows: {(r.id, r.candidate_count, round(r.overlap, 9)) for r in rows.collect()}
+        assert rounded(few) == rounded(pairs)
+        made.append({r.id: r.candidate_count for r in scores.reference_novelty(focal, edges, years, window).collect()})
+        assert {k: v for k, v in made[-1].items() if v} == {r.id: r.candidate_count for r in pairs.collect()}
