@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -21,17 +22,20 @@ def leaf_run(edges: DataFrame, articles: DataFrame, max_leaves: int, max_roots:
 
 def ranked_leaves(scored: DataFrame, edges: DataFrame, articles: DataFrame) -> DataFrame:
     """A run's leaves by leaf count, sap and id: leaf_rank, id, leaf, sap, in_degree, out_degree, and what the articles say of them."""
-    rows = scored.filter("leaf > 0").select("id", "leaf", "sap").join(graph.degrees(edges), "id")
+    rows = stored(scored.filter("leaf > 0").select("id", "leaf", "sap"), "leaves")  # few, so the joins needn't move the rest
+    own = rows.select("id")
+    ends = graph.degrees(edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")).distinct())
+    rows, articles = rows.join(ends, "id"), articles.join(own, "id", "left_semi")
     rank = F.row_number().over(W.orderBy(F.col("leaf").desc(), F.col("sap").desc(), F.col("id").desc()))  # a run's leaves, max_leaves at most
     return roles.enrich(rows.withColumn("leaf_rank", rank), articles)
 
 
-def leaf_counts(edges: DataFrame, articles: DataFrame, few: int = 50, many: int = 100, max_roots: int = 20) -> DataFrame:
+def leaf_counts(edges: DataFrame, articles: DataFrame, few: int = 50, many: int = 100, max_roots: int = 20, run: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """The leaves of a run with ``few``, of one with ``many``, and those that only the second has, told apart by ``run``.
 
-    in_baseline: whether the first run has the leaf, too.
+    in_baseline: whether the first run has the leaf, too. run: the scored graph if so many leaves may be chosen, if it is at hand.
     """
-    first, second = (stored(ranked_leaves(leaf_run(edges, articles, n, max_roots), edges, articles), "leaves") for n in (few, many))
+    first, second = (stored(ranked_leaves(run(n) if run else leaf_run(edges, articles, n, max_roots), edges, articles), "leaves") for n in (few, many))
     base = first.select("id", F.lit(True).alias("in_baseline"))
     second = second.join(base, "id", "left").withColumn("in_baseline", F.coalesce("in_baseline", F.lit(False)))
     runs = {f"top_{few}": first.withColumn("in_baseline", F.lit(True)), f"top_{many}": second, f"added_{few + 1}_{many}": second.filter("NOT in_baseline")}
