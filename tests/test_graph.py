@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom import queries_scores
 from citeloom.operators import community, graph, modularity, roles
 from citeloom.queries import CLEAN
+from citeloom.storage import stored
 
 
 def E(spark, *pairs):
@@ -385,3 +386,15 @@ def test_components_of_long_paths_and_numbers(spark):
     named = df.select(*(F.lpad(F.col(c).cast("string"), 5, "0").alias(c) for c in ("src", "dst")))
     assert {(int(r.id), int(r.component)) for r in graph.components(named).collect()} == {x for x in got.items() if x[0] != 2000}
     assert graph.components(named.limit(0)).count() == 0
+
+
+def test_long_ways_within_cycles_take_few_rounds(spark, monkeypatch):
+    ring = [(i, (i + 1) % 400) for i in range(400)]
+    two = [(1000 + i, 1000 + (i + 1) % 300) for i in range(300)] + [(1000, 1600), (1600, 1601), (1601, 1150)]
+    turn = [(3000, 2999), (2999, 3000), (3000, 3001), (3001, 3002), (3002, 3003), (3003, 3001)]
+    made = []
+    monkeypatch.setattr(graph, "stored", lambda df, name, **options: made.append(name) or stored(df, name, **options))
+    edges = spark.createDataFrame([*ring, *two, *turn, (5, 4000), (4000, 1000)], "src long, dst long")
+    found = {r.id: r.scc for r in graph.strong_components(edges).collect()}
+    assert found == {i: 399 for i in range(400)} | {v: 1601 for v in [*range(1000, 1300), 1600, 1601]} | {2999: 3000, 3000: 3000, 3001: 3003, 3002: 3003, 3003: 3003}
+    assert len(made) < 150
