@@ -20,11 +20,11 @@ def leaf_run(edges: DataFrame, articles: DataFrame, max_leaves: int, max_roots:
     return stored(roles.sap_scores(edges, root_rows, leaf_rows), "run")
 
 
-def ranked_leaves(scored: DataFrame, edges: DataFrame, articles: DataFrame) -> DataFrame:
+def ranked_leaves(scored: DataFrame, edges: DataFrame, articles: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
     """A run's leaves by leaf count, sap and id: leaf_rank, id, leaf, sap, in_degree, out_degree, and what the articles say of them."""
     rows = stored(scored.filter("leaf > 0").select("id", "leaf", "sap"), "leaves")  # few, so the joins needn't move the rest
     own = rows.select("id")
-    ends = graph.degrees(edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")).distinct())
+    ends = degrees if degrees is not None else graph.degrees(edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")).distinct())
     rows, articles = rows.join(ends, "id"), articles.join(own, "id", "left_semi")
     rank = F.row_number().over(W.orderBy(F.col("leaf").desc(), F.col("sap").desc(), F.col("id").desc()))  # a run's leaves, max_leaves at most
     return roles.enrich(rows.withColumn("leaf_rank", rank), articles)
@@ -51,18 +51,19 @@ def leaf_count_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run").agg(size.alias("leaf_count"), known.alias("metadata_count"), F.round(known / size, 4).alias("metadata_share"), *spread, *middle)
 
 
-def frontier_leaves(scored: DataFrame, edges: DataFrame, articles: DataFrame, taken: DataFrame, target: int = 100, recent_years: int = 5) -> tuple[DataFrame, DataFrame]:
+def frontier_leaves(scored: DataFrame, edges: DataFrame, articles: DataFrame, taken: DataFrame, target: int = 100, recent_years: int = 5, degrees: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A run's leaves, and after them the best frontier papers up to target; and all candidates for that.
 
     taken (id): who has another role, roots, trunk, branches and top fruits. The leaves have leaf_rank, frontier_rank (null for a leaf
-    of the run), leaf_type, leaf, sap, degrees, and what the articles say.
+    of the run), leaf_type, leaf, sap, degrees, and what the articles say. degrees: those of the edges, if known.
     """
-    own = stored(ranked_leaves(scored, edges, articles), "leaves")
-    candidates, order = roles.frontier(edges, articles, taken.select("id").unionByName(own.select("id")).distinct(), recent_years)
+    degrees = stored(graph.degrees(edges), "degrees") if degrees is None else degrees
+    own = stored(ranked_leaves(scored, edges, articles, degrees), "leaves")
+    candidates, order = roles.frontier(edges, articles, taken.select("id").unionByName(own.select("id")).distinct(), recent_years, degrees)
     candidates = stored(candidates, "candidates")
     n = own.count()
     best = candidates.orderBy(*order).limit(max(0, target - n)).withColumn("frontier_rank", F.row_number().over(W.orderBy(*order)))
-    more = best.select("id", "frontier_rank", (F.col("frontier_rank") + n).alias("leaf_rank")).join(scored.select("id", "leaf", "sap"), "id").join(graph.degrees(edges), "id")
+    more = best.select("id", "frontier_rank", (F.col("frontier_rank") + n).alias("leaf_rank")).join(scored.select("id", "leaf", "sap"), "id").join(degrees, "id")
     more = roles.enrich(more, articles).withColumn("leaf_type", F.lit("frontier_leaf"))
     own = own.withColumns({"frontier_rank": F.lit(None).cast("int"), "leaf_type": F.lit("sap_leaf")})
     return own.unionByName(more), candidates
