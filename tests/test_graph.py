@@ -398,3 +398,54 @@ def test_long_ways_within_cycles_take_few_rounds(spark, monkeypatch):
     found = {r.id: r.scc for r in graph.strong_components(edges).collect()}
     assert found == {i: 399 for i in range(400)} | {v: 1601 for v in [*range(1000, 1300), 1600, 1601]} | {2999: 3000, 3000: 3000, 3001: 3003, 3002: 3003, 3003: 3003}
     assert len(made) < 150
+
+
+def test_cycles_of_small_parts_are_found_in_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = {(a, a // 20 * 20 + rng.randrange(20)) for a in range(160) for _ in range(rng.choice([0, 1, 1, 2]))} | {(200, 201), (201, 202), (202, 200)}
+    reach = {n: {n} for e in edges for n in e}
+    for _ in range(8):  # ways double in length
+        reach = {n: set().union(*(reach[m] for m in r), *(reach[b] for a, b in edges if a in r)) for n, r in reach.items()}
+    want = {(n, max(m for m in r if n in reach[m])) for n, r in reach.items() if any(m != n and n in reach[m] for m in r)}
+    monkeypatch.setattr(graph, "_trim", None)  # no rounds
+    found = {tuple(r) for r in graph.strong_components(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()}
+    assert found == want and len(found) > 10
+
+
+def test_parts_beyond_the_limit_of_a_task_go_by_rounds(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (11, 12), (12, 13), (13, 14), (14, 11), (14, 15)], "src long, dst long")
+    assert {tuple(r) for r in graph.strong_components(edges, task_links=4).collect()} == {(1, 2), (2, 2)} | {(n, 14) for n in (11, 12, 13, 14)}
+
+
+def test_a_graph_that_only_goes_down_takes_no_search_for_cycles(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_trim", None)
+    monkeypatch.setattr(graph, "_searched", None)
+    down = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(9, 3)], "src long, dst long")
+    assert graph.strong_components(down).isEmpty() and graph.strong_components(down.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).isEmpty()
+    assert graph.break_cycles(down).count() == 31
+
+
+def test_distances_write_no_copy_of_the_edges(spark, monkeypatch):
+    edges = stored(spark.createDataFrame([(5, 4), (3, 4), (3, 2), (1, 2), (9, 8)], "src long, dst long"), "edges")
+    made = []
+    monkeypatch.setattr(graph, "stored", lambda df, name, **options: made.append(name) or stored(df, name, **options))
+    found = graph.field_distance(edges, spark.createDataFrame([(4,)], "id long"), 3)
+    assert {tuple(r) for r in found.collect()} == {(4, 0), (5, 1), (3, 1), (2, 2), (1, 3)} and set(made) == {"seen", "frontier"}
+
+
+def test_groups_of_numbered_nodes_need_no_sort_of_ids(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = spark.createDataFrame(sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(30)}), "src long, dst long")
+    members = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), ("y", 8), ("z", 77)], "grp string, id long")
+    far = 1 << 61  # no room for copies: these are numbered
+    want = pairs(graph.removal_impacts(edges.select(*(F.col(c) + far for c in ("src", "dst"))).toDF("src", "dst"), members.withColumn("id", F.col("id") + far)))
+    monkeypatch.setattr(graph, "numbered", None)
+    assert pairs(graph.removal_impacts(edges, members)) == want
+
+
+def test_a_frontier_of_known_degrees_reads_no_edges(spark):
+    edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "a")], "src string, dst string")
+    rows = spark.createDataFrame([("c", 2001, "t", None, 1.0), ("d", 1990, "t", None, 1.0), ("b", 2002, "t", None, 1.0), ("x", 2050, "t", None, 1.0)], "id string, year int, title string, abstract string, cited_by double")
+    taken = edges.limit(0).select(F.col("src").alias("id"))
+    want = roles.frontier(edges, rows, taken)[0].collect()
+    assert [r.id for r in want] == ["c"] and roles.frontier(None, rows, taken, degrees=graph.degrees(edges))[0].collect() == want
