@@ -449,3 +449,36 @@ def test_a_frontier_of_known_degrees_reads_no_edges(spark):
     taken = edges.limit(0).select(F.col("src").alias("id"))
     want = roles.frontier(edges, rows, taken)[0].collect()
     assert [r.id for r in want] == ["c"] and roles.frontier(None, rows, taken, degrees=graph.degrees(edges))[0].collect() == want
+
+
+def test_blocks_of_nodes_move_in_few_rounds(spark, monkeypatch):
+    # one block, and four and more, come close to the sequential quality in fewer rounds than a sweep of hash classes takes
+    adjacency, nodes = random_weighted(0, 60, 200)
+    plain = quality(adjacency, sequential.local_moving(adjacency, nodes))
+    rounds, judged = [], modularity._judged
+    monkeypatch.setattr(modularity, "_judged", lambda *a: rounds.append(1) or judged(*a))
+    for algorithm, task_links, least, most in ((community.louvain, 10**6, 0.99, 8), (community.louvain, 100, 0.8, 60), (community.leiden, 100, 0.8, 60)):
+        rounds.clear()
+        found = {r.id: r.community for r in algorithm(*frames(spark, adjacency, nodes), task_links=task_links).collect()}
+        assert set(found) == set(nodes) and quality(adjacency, found) >= least * plain and len(rounds) <= most
+        if algorithm is community.leiden:
+            assert all(connected(adjacency, {n for n in nodes if found[n] == c}) for c in set(found.values()))
+
+
+def test_two_algorithms_share_their_first_moves(spark):
+    adjacency, nodes = random_weighted(2, 40, 120)
+    first = community.first_level(*frames(spark, adjacency, nodes))
+    for algorithm in (community.louvain, community.leiden):
+        found, again = ({r.id: r.community for r in algorithm(*frames(spark, adjacency, nodes), first=f).collect()} for f in (first, None))
+        assert found == again
+
+
+def test_nodes_of_too_many_links_are_judged_beside_the_blocks(spark):
+    pairs = [(0, n) for n in range(1, 7)] + [(1, 2), (3, 4)]
+    links = spark.createDataFrame([(a, b, 1) for x, y in pairs for a, b in ((x, y), (y, x))], "v long, w long, weight long")
+    state = links.groupBy("v").count().selectExpr("v", "count AS k", "IF(v IN (1, 2), 1, v) AS c")
+    heavy = spark.createDataFrame([(0,)], "v long")
+    found = {r.v: r for r in modularity._judged(links, state, 16.0, 0, 3, heavy).collect()}
+    assert sorted(found) == list(range(7)) and found[1].inner == found[2].inner == 1 and found[0].inner == 0
+    # 1 and 2 together are worth 2 - 4 * 6 / 16; 5 is worth more, 1 - 6 / 16, but is alone too and larger
+    assert found[0].target == 1
