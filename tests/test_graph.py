@@ -482,3 +482,12 @@ def test_nodes_of_too_many_links_are_judged_beside_the_blocks(spark):
     assert sorted(found) == list(range(7)) and found[1].inner == found[2].inner == 1 and found[0].inner == 0
     # 1 and 2 together are worth 2 - 4 * 6 / 16; 5 is worth more, 1 - 6 / 16, but is alone too and larger
     assert found[0].target == 1
+
+
+def test_leiden_ends_when_a_level_gains_little(spark, monkeypatch):
+    adjacency, nodes = random_weighted(2, 40, 120)
+    refined, refine = [], community.leiden.__globals__["_refine"]
+    monkeypatch.setitem(community.leiden.__globals__, "_refine", lambda *a: refined.append(1) or refine(*a))
+    found = {r.id: r.community for r in community.leiden(*frames(spark, adjacency, nodes), tolerance=1.0).collect()}
+    assert len(refined) == 1 and set(found) == set(nodes)
+    assert all(connected(adjacency, {n for n in nodes if found[n] == c}) for c in set(found.values()))
