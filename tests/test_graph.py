@@ -536,3 +536,48 @@ def test_large_communities_are_refined_in_a_task_each(spark, monkeypatch):
     monkeypatch.setattr(modularity, "_block_subs", task)
     at = modularity._refine(links, state, 96.0, 0, 12).groupBy("sub").agg({"c": "max", "v": "count"}).collect()
     assert len(at) == 8 and {r["count(v)"] for r in at} == {6}
+
+
+def part_sizes(edges, nodes):
+    left, out = set(nodes), []
+    while left:
+        stack, part = [left.pop()], 1
+        while stack:
+            n = stack.pop()
+            for m in {b for a, b in edges if a == n} | {a for a, b in edges if b == n}:
+                if m in left:
+                    left.discard(m)
+                    stack.append(m)
+                    part += 1
+        out.append(part)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_removal_impact_against_brute_force(spark, monkeypatch, kind):
+    rng = random.Random(5)
+    name = (lambda n: n) if kind == "long" else (lambda n: f"n{n}")
+    edges = {(name(rng.randrange(60)), name(rng.randrange(60))) for _ in range(70)} | {(name(70), name(70)), (name(71), name(71))}
+    taken = {name(n) for n in (1, 2, 3, 71, 99)}  # one has only a loop, one isn't there
+    every, names = {n for e in edges for n in e}, []
+    before, after = part_sizes(edges, every), part_sizes(edges, every - taken)
+    monkeypatch.setattr(graph, "stored", lambda d, n: names.append(n) or stored(d, n))
+    found = graph.removal_impact(spark.createDataFrame(sorted(edges), f"src {kind}, dst {kind}"), spark.createDataFrame([(n,) for n in taken], f"id {kind}")).first()
+    assert tuple(found) == (len(after) - len(before), max(0, max(before) - max(after) - len(taken)))
+    assert names.count("ids") == (kind == "string")  # ids are numbered once
+
+
+def test_members_of_what_stays_are_not_copied_for_each_group(spark, monkeypatch):
+    rng = random.Random(7)
+    edges = {(a, rng.randrange(80, 100)) for a in range(60) for _ in range(2)} | {(a, b) for a in range(60, 80) for b in (rng.randrange(60), rng.randrange(60, 80)) if a != b} | {(n, n + 1) for n in range(80, 89)}
+    groups = {g: {n for n in range(80) if n % 4 == g or (n % 7 == 0 and g < 2)} for g in range(4)}  # some are in two
+    counts, components = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda e, n=None: counts.append(e.count()) or components(e, n))
+    members = spark.createDataFrame([(g, n) for g, own in groups.items() for n in own], "grp long, id long")
+    found = {r.grp: (r.component_delta, r.giant_loss) for r in graph.removal_impacts(spark.createDataFrame(sorted(edges), "src long, dst long"), members).collect()}
+    every = {n for e in edges for n in e}
+    before = part_sizes(edges, every)
+    for g, own in groups.items():
+        after = part_sizes(edges, every - own)
+        assert found[g] == (len(after) - len(before), max(0, max(before) - max(after) - len(own & every))), g
+    assert counts[-1] < 2 * len(edges)
